@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from stavegrid.llm.common import materialize
 
 _FINE, _STEPS = 1 << 16, 12
+#: Parts of a size class in which groups are ranked side by side.
+SALTS = 8
 
 
 class CapacityTree:
@@ -173,10 +175,10 @@ def shard_rows(docs: DataFrame, shards: int = 16, text: str = "text", key: str =
     total = F.sum("size")
     wide = F.pow(F.lit(2.0), F.floor(F.log2("weight")) - _STEPS)
     cls = F.when(F.col("weight") < _FINE, F.col("weight")).otherwise((F.ceil(F.col("weight") / wide) * wide).cast("long"))
-    groups = rows.groupBy("g1", "g2").agg(total.alias("weight")).withColumn("cls", cls).withColumn("salt", F.pmod(F.col("g1"), F.lit(64)))
+    groups = rows.groupBy("g1", "g2").agg(total.alias("weight")).withColumn("cls", cls).withColumn("salt", F.pmod(F.col("g1"), F.lit(SALTS)))
     groups = materialize(groups.withColumn("rank", F.row_number().over(Window.partitionBy("cls", "salt").orderBy("g1", "g2")) - 1), "groups")
     counts: dict[int, list[tuple[int, int]]] = {}
-    for r in groups.groupBy("cls", "salt").agg(F.count("*").alias("n")).toLocalIterator():  # at most 64 for each of the bounded classes
+    for r in groups.groupBy("cls", "salt").agg(F.count("*").alias("n")).toLocalIterator():  # SALTS for each of the bounded classes at most
         counts.setdefault(r.cls, []).append((r.salt, r.n))
     runs = sorted(((c, sum(n for _, n in parts)) for c, parts in counts.items()), reverse=True)
     single, plan = even_plan(runs, shards) if runs else ([], [])
@@ -208,7 +210,7 @@ def shard_rows(docs: DataFrame, shards: int = 16, text: str = "text", key: str =
     spark = docs.sparkSession
     table = spark.createDataFrame(spans, "cls long, salt long, first long, shard int") if spans else spark.createDataFrame([], "cls long, salt long, first long, shard int")
     table = table.groupBy("cls", "salt").agg(F.sort_array(F.collect_list(F.struct("first", "shard"))).alias("spans"))
-    placed = groups.join(F.broadcast(table), ["cls", "salt"])  # bounded by classes x salts + shards
+    placed = groups.join(table, ["cls", "salt"])
     placed = placed.select("g1", "g2", F.element_at(F.filter("spans", lambda s: s["first"] <= F.col("rank")), -1)["shard"].alias("shard"))
     sharded = rows.join(placed, ["g1", "g2"]).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "g1"), F.lit(512)))
     sharded = materialize(sharded, "sharded")
