@@ -34,7 +34,10 @@ DEPTH = WINDOW // SYMBOL
 GROUP = 1 << 21
 _TOP = 12
 
-SUFFIX = np.dtype([("s0", "<u8"), ("s1", "<u4"), ("s2", "<u4"), ("s3", "<u4"), ("s4", "<u4"), ("doc", "<u4"), ("pos", "<u4")])
+#: As sent: 96 bits of five symbols, so that unequal windows of a corpus of
+#: 10**12 words are taken for equal with a probability of 10**-5.
+SUFFIX = np.dtype([("s0", "<u4"), ("s1", "<u2"), ("s2", "<u2"), ("s3", "<u2"), ("s4", "<u2"), ("doc", "<u2"), ("pos", "<u4")])
+GONE = np.dtype([("doc", "<u2"), ("pos", "<u4")])
 DOC = np.dtype([("null", "u1"), ("doc", "<i8"), ("text", "<i8")])
 
 
@@ -102,31 +105,31 @@ def prefix_plan(counts: np.ndarray, tasks: int, group: int = GROUP) -> tuple[np.
 
 
 def _group(s: np.ndarray, more: np.ndarray, first: np.ndarray) -> np.ndarray:
-    top = (s["s0"] >> np.uint64(64 - _TOP)).astype(np.int64)
+    top = (s["s0"] >> np.uint32(32 - _TOP)).astype(np.int64)
     further = mix(s["s1"].astype(np.uint64)) ^ (mix(s["s2"].astype(np.uint64) + np.uint64(1)) * (more[top] > 8).astype(np.uint64))
     return first[top] + (further & ((np.uint64(1) << more[top].astype(np.uint64)) - np.uint64(1))).astype(np.int64)
 
 
-def _tree(suffixes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted suffixes with the common prefix length (in symbols) of each
+def _tree(suffixes: np.ndarray, docs: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted suffixes and their documents with the common prefix length (in symbols) of each
     with the one before: the tree's internal nodes are its intervals."""
     rank = np.empty(len(docs), np.int64)
     rank[np.lexsort((docs["text"], docs["doc"], docs["null"]))] = np.arange(len(docs))
-    order = np.lexsort((suffixes["pos"], rank[suffixes["doc"]], *(suffixes[f"s{k}"] for k in range(DEPTH - 1, -1, -1))))
+    order = np.lexsort((suffixes["pos"], rank[doc], *(suffixes[f"s{k}"] for k in range(DEPTH - 1, -1, -1))))
     s = suffixes[order]
     common, same = np.zeros(len(s), np.int64), np.ones(max(0, len(s) - 1), bool)
     for k in range(DEPTH):
         same = same & (s[f"s{k}"][1:] == s[f"s{k}"][:-1])
         common[1:] += same
-    return s, common
+    return s, doc[order], common
 
 
-def _leaves(s: np.ndarray, common: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _leaves(s: np.ndarray, doc: np.ndarray, common: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of sorted suffixes: each deep node's first leaf, and the leaves that are
     later than it.  The same place of equal rows is no later place."""
     head = np.flatnonzero(common < DEPTH)
     of = head[np.cumsum(common < DEPTH) - 1] if len(s) else head
-    d, f = docs[s["doc"]], docs[s["doc"][of]]
+    d, f = docs[doc], docs[doc[of]]
     return head, (common >= DEPTH) & ((s["pos"] != s["pos"][of]) | (d != f))
 
 
@@ -134,13 +137,14 @@ _SENT = pa.schema([("task", pa.int32()), ("suffixes", pa.binary()), ("docs", pa.
 _GONE = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("starts", pa.binary())])
 
 
-def _by_doc(gone: np.ndarray, docs: np.ndarray):
-    gone = gone[np.argsort(gone["doc"], kind="stable")]
-    edge = np.flatnonzero(np.r_[True, gone["doc"][1:] != gone["doc"][:-1]]) if len(gone) else np.zeros(0, np.int64)
-    at = gone["doc"][edge]
+def _by_doc(doc: np.ndarray, pos: np.ndarray, docs: np.ndarray):
+    order = np.lexsort((pos, doc))
+    doc, pos = doc[order], pos[order]
+    edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
+    at = doc[edge]
     if len(edge):
-        ends = np.r_[edge[1:], len(gone)]
-        starts = [gone["pos"][a:b].astype("<u4").tobytes() for a, b in zip(edge, ends)]
+        ends = np.r_[edge[1:], len(doc)]
+        starts = [pos[a:b].astype("<u4").tobytes() for a, b in zip(edge, ends)]
         yield batch_of(_GONE, doc_id=pa.array(docs["doc"][at], pa.int64(), mask=docs["null"][at] > 0), text_hash=docs["text"][at], starts=starts)
 
 
@@ -165,20 +169,21 @@ def repeats(docs: DataFrame) -> DataFrame:
     counts = np.zeros(1 << _TOP, np.int64)
     for r in texts.mapInArrow(histogram, "top int, n long").groupBy("top").agg(F.sum("n").alias("n")).collect():  # at most 2**_TOP
         counts[r.top] = r.n
-    more, first, tasks = prefix_plan(counts, 2 * shuffle_width(spark))
+    more, first, tasks = prefix_plan(counts, shuffle_width(spark))
 
     def deal(batches):
         def flush():
             known = np.concatenate(tables)
-            s, common = _tree(np.concatenate(held), known)
-            head, later = _leaves(s, common, known)
+            s, doc, common = _tree(every := np.concatenate(held), known, every["doc"])
+            head, later = _leaves(s, doc, common, known)
+            lost = np.empty(int(later.sum()), GONE)
+            lost["doc"], lost["pos"] = doc[later], s["pos"][later]
             out = []
-            for records, lost in ((s[head], False), (s[later], True)):
-                task = _group(records, more, first)
+            for records, task, gone in ((s[head], _group(s[head], more, first), False), (lost, lost["doc"].astype(np.int64) % tasks, True)):
                 for t, blob in bucket_rows(records, task, tasks):
-                    own = np.frombuffer(blob, SUFFIX).copy()
+                    own = np.frombuffer(blob, records.dtype).copy()
                     used, own["doc"] = np.unique(own["doc"], return_inverse=True)
-                    out.append((t, own.tobytes(), known[used].tobytes(), lost))
+                    out.append((t, own.tobytes(), known[used].tobytes(), gone))
             for k in range(0, len(out), 64):
                 yield batch_of(_SENT, **dict(zip(_SENT.names, map(list, zip(*out[k : k + 64])))))
 
@@ -191,12 +196,15 @@ def repeats(docs: DataFrame) -> DataFrame:
                 continue
             symbols = window_hashes(words, SYMBOL)
             s = np.empty(len(at), SUFFIX)
-            s["s0"] = symbols[at]
+            s["s0"] = symbols[at] >> np.uint64(32)
             for k in range(1, DEPTH):
-                s[f"s{k}"] = symbols[at + k * SYMBOL] >> np.uint64(32)
+                s[f"s{k}"] = symbols[at + k * SYMBOL] >> np.uint64(48)
             of = np.searchsorted(first_word, at, "right") - 1
             s["pos"] = at - first_word[of]
             used, of = np.unique(of, return_inverse=True)
+            if held and (n > 1 << 21 or rows + len(used) > 65000):
+                yield from flush()
+                held, tables, n, rows = [], [], 0, 0
             s["doc"] = of + rows
             table = np.empty(len(used), DOC)
             ids = batch.column("doc_id")
@@ -206,27 +214,26 @@ def repeats(docs: DataFrame) -> DataFrame:
             held.append(s)
             tables.append(table)
             n, rows = n + len(s), rows + len(used)
-            if n > 1 << 21:
-                yield from flush()
-                held, tables, n, rows = [], [], 0, 0
         if held:
             yield from flush()
 
     def grow(batches):
         held: dict[int, list] = {}
         for batch in batches:
-            for t, suffixes, table, lost in zip(*(c.to_pylist() for c in batch.columns)):
-                s, d = np.frombuffer(suffixes, SUFFIX), np.frombuffer(table, DOC)
+            for t, records, table, lost in zip(*(c.to_pylist() for c in batch.columns)):
+                s, d = np.frombuffer(records, GONE if lost else SUFFIX), np.frombuffer(table, DOC)
                 if lost:
-                    yield from _by_doc(s, d)
+                    yield from _by_doc(s["doc"].astype(np.int64), s["pos"], d)
                 else:
                     held.setdefault(t, []).append((s, d))
         while held:
             _, parts = held.popitem()
             s, d = np.concatenate([p for p, _ in parts]), np.concatenate([p for _, p in parts])
-            s["doc"] += np.repeat(np.cumsum([0, *(len(p) for _, p in parts[:-1])]), [len(p) for p, _ in parts]).astype(np.uint32)
-            s, common = _tree(s, d)
-            yield from _by_doc(s[_leaves(s, common, d)[1]], d)
+            base = np.cumsum([0, *(len(p) for _, p in parts[:-1])])
+            doc = s["doc"].astype(np.int64) + np.repeat(base, [len(p) for p, _ in parts])
+            s, doc, common = _tree(s, d, doc)
+            later = _leaves(s, doc, common, d)[1]
+            yield from _by_doc(doc[later], s["pos"][later], d)
 
     dealt = docs.select("doc_id", "text", "text_hash").mapInArrow(deal, "task int, suffixes binary, docs binary, gone boolean")
     return dealt.repartition(max(2, min(tasks, 4 * shuffle_width(spark))), "task").mapInArrow(grow, "doc_id long, text_hash long, starts binary")
