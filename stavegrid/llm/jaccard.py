@@ -4,9 +4,10 @@ Rows of the incidence matrix are distinct shingle sets, columns are shingles.
 Two sets can reach the similarity only if they share a column among their
 first n - need + 1 in one common order, so only these entries enter the
 product.  Columns that many sets hold come last in that order.  A block of
-columns goes to one task, which adds up the overlap counts of its row pairs;
-the blocks' counts are summed, pairs below the bound that their sizes imply are
-discarded, and the rest are verified with whole sets.
+columns goes to one task, which names the row pairs that their sizes and the
+entries' places admit.  Then the overlaps of these pairs' heads are counted,
+pairs below the bound that their sizes imply are discarded, and the rest are
+verified with whole sets.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stavegrid.llm.common import batch_of, bucket_rows, in_filter, materialize, mix, repeat_filter, shuffle_width, slices, window_hashes, word_hashes
-from stavegrid.llm.links import PAIR_SCHEMA, filtered, linked, pair_batches
+from stavegrid.llm.links import PAIR_SCHEMA, filtered, linked, pair_batches, surviving
 
 WIDTH = 5
 SHARE = (75, 100)
@@ -76,7 +77,7 @@ def joined(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int
     spark = docs.sparkSession
     texts = docs.select(F.col(text).cast("string").alias("text"))
     named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text_hash"))
-    buckets = shuffle_width(spark)
+    buckets = max(64, shuffle_width(spark))
     row_schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64())])
 
     def name(batches):
@@ -99,6 +100,12 @@ def joined(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int
             yield np.concatenate(held)
 
     hot = spark.sparkContext.broadcast(repeat_filter(texts, heads, HOT))
+
+    def head(x):
+        """The entries that enter the product, hot columns last."""
+        late = in_filter(hot.value, x)
+        return np.concatenate([x[~late], x[late]])[: _head(len(x), share)]
+
     table = [("key", "<i8"), ("n", "<u4")]
     entry = [("h", "<u4"), ("row", "<u2"), ("pos", "<u2")]
     sent = pa.schema([("bucket", pa.int32()), ("entries", pa.binary()), ("rows", pa.binary())])
@@ -118,11 +125,10 @@ def joined(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int
 
         held, keys, size = [], [], 0
         for k, x in _distinct_sets(batches, width):
-            late = in_filter(hot.value, x)
-            x = np.concatenate([x[~late], x[late]])[: _head(len(x), share)] if late.any() else x[: _head(len(x), share)]
-            held.append((x, np.full(len(x), len(keys), np.uint16), np.arange(len(x))))
-            keys.append((k, late.size))
-            size += len(x)
+            first = head(x)
+            held.append((first, np.full(len(first), len(keys), np.uint16), np.arange(len(first))))
+            keys.append((k, len(x)))
+            size += len(first)
             if size > 3 << 20 or len(keys) == 65000:
                 yield flush()
                 held, keys, size = [], [], 0
@@ -145,7 +151,7 @@ def joined(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int
                 at += len(e)
             yield from pair_batches(b, records, share)
 
-    pairs = texts.mapInArrow(deal, "bucket int, entries binary, rows binary").repartition(buckets, "bucket").mapInArrow(multiply, PAIR_SCHEMA)
+    pairs = texts.mapInArrow(deal, "bucket int, entries binary, rows binary").repartition(shuffle_width(spark), "bucket").mapInArrow(multiply, PAIR_SCHEMA)
     pairs = materialize(pairs, "overlaps")
     element_schema = pa.schema([("key", pa.int64()), ("elements", pa.binary())])
 
@@ -166,19 +172,23 @@ def joined(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int
 
         return texts.mapInArrow(run, "key long, elements binary")
 
-    def bounded(counted, large):
-        sizes = rows.where("cls is not null").groupBy("cls").agg(F.first("n_shingles").alias("n"))
-        many = large.groupBy("key").agg(F.count("*").alias("k"))
-        for side in ("a", "b"):
-            counted = counted.join(sizes.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}")), side)
-            counted = counted.join(many.select(F.col("key").alias(side), F.col("k").alias(f"k_{side}")), side, "left")
-        s, t = share
-        least = F.ceil(s * (F.col("n_a") + F.col("n_b")) / (s + t))
-        unseen = F.least(F.coalesce("k_a", F.lit(0)), F.coalesce("k_b", F.lit(0)))  # shared large postings are not in c
-        behind = F.greatest(F.ceil(s * F.col("n_a") / t), F.ceil(s * F.col("n_b") / t)) - 1
-        return counted.where(F.col("c") + unseen + behind >= least)
-
-    _, roots = linked(pairs, sets_of, share, bounded)
+    def heads_of(bits):
+        shared = spark.sparkContext.broadcast(bits)
+
+        def run(batches):
+            keys, elements = [], []
+            for k, x in _distinct_sets(batches, width):
+                if filtered(shared.value, np.array([k], np.int64))[0]:
+                    keys.append(k)
+                    elements.append(np.r_[np.uint64(len(x)), head(x)].astype("<u4").tobytes())
+                if len(keys) == 5000:
+                    yield batch_of(element_schema, key=keys, elements=elements)
+                    keys, elements = [], []
+            yield batch_of(element_schema, key=keys, elements=elements)
+
+        return texts.mapInArrow(run, "key long, elements binary")
+
+    _, roots = linked(pairs, sets_of, share, lambda found: surviving(found, heads_of, share))
     return rows, roots
 
 

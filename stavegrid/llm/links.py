@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from stavegrid.llm.common import batch_of, in_filter, materialize, mix, repeat_filter
 
-#: Members of a posting up to which all its pairs are made at once.
-SMALL = 16
+#: Members of a posting up to which all its admitted pairs are made at once.
+SMALL = 256
 #: Star rounds before a large posting's remaining pairs are all compared.
 ROUNDS = 4
 
@@ -62,8 +62,8 @@ def need(n_a, n_b, share: tuple[int, int]):
 def postings_pairs(records: np.ndarray, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs from records (h, key, n, pos) of whole postings.
 
-    Returns pairs (a, b, count of shared postings), star pairs of the large
-    postings, and the large postings' records.  A pair is made only if the
+    Returns pairs (a, b), star pairs of the large postings, and the large
+    postings' records.  A pair is made only if the
     sizes and what is left behind the shared entry admit the needed overlap.
     """
     order = np.lexsort((records["key"], records["h"]))
@@ -87,13 +87,14 @@ def postings_pairs(records: np.ndarray, share: tuple[int, int]) -> tuple[np.ndar
 
     small = (size <= SMALL)[of] if len(r) else np.zeros(0, bool)
     found = []
-    for d in range(1, SMALL):
-        i = np.flatnonzero(small[:-d] & (of[:-d] == of[d:])) if len(r) > d else np.zeros(0, np.int64)
-        if not len(i):
-            break
+    i, d = np.flatnonzero(small), 1
+    while len(i):  # a member that has none d places on has none further on
+        i = i[i + d < len(r)]
+        i = i[of[i] == of[i + d]]
         found.append(pairs(i, i + d))
+        d += 1
     close = np.concatenate(found) if found else np.empty(0, [("a", "<i8"), ("b", "<i8")])
-    close, counts = np.unique(close, return_counts=True)
+    close = np.unique(close)
     big = np.flatnonzero(~small)
     stars = np.empty(0, close.dtype)
     if len(big):
@@ -101,77 +102,96 @@ def postings_pairs(records: np.ndarray, share: tuple[int, int]) -> tuple[np.ndar
         head = by[np.r_[True, of[by[1:]] != of[by[:-1]]]]
         central = head[np.cumsum(np.r_[False, of[by[1:]] != of[by[:-1]]])]
         stars = np.unique(np.concatenate([pairs(central, by), pairs(edge[of[big]], big)]))
-    out = np.empty(len(close), [("a", "<i8"), ("b", "<i8"), ("c", "<i8")])
-    out["a"], out["b"], out["c"] = close["a"], close["b"], counts
-    return out, stars, r[big]
+    return close, stars, r[big]
 
 
-PAIR_SCHEMA = "kind int, a long, b long, c long, n long, pos long"
-_ARROW = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("pos", pa.int64())])
+PAIR_SCHEMA = "kind int, a long, b long, n long, pos long"
+_ARROW = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("pos", pa.int64())])
 
 
 def pair_batches(bucket: int, records: np.ndarray, share: tuple[int, int]):
-    """Rows of PAIR_SCHEMA: 0 pairs with counts, 1 star pairs, 2 large postings
-    (a: posting, b: key)."""
+    """Rows of PAIR_SCHEMA: 0 pairs, 1 star pairs, 2 large postings (a: posting,
+    b: key)."""
     close, stars, big = postings_pairs(records, share)
     zero = lambda k: np.zeros(k, np.int64)
     if len(close):
-        yield batch_of(_ARROW, kind=np.zeros(len(close), np.int32), a=close["a"], b=close["b"], c=close["c"], n=zero(len(close)), pos=zero(len(close)))
+        yield batch_of(_ARROW, kind=np.zeros(len(close), np.int32), a=close["a"], b=close["b"], n=zero(len(close)), pos=zero(len(close)))
     if len(stars):
-        yield batch_of(_ARROW, kind=np.ones(len(stars), np.int32), a=stars["a"], b=stars["b"], c=zero(len(stars)), n=zero(len(stars)), pos=zero(len(stars)))
+        yield batch_of(_ARROW, kind=np.ones(len(stars), np.int32), a=stars["a"], b=stars["b"], n=zero(len(stars)), pos=zero(len(stars)))
     if len(big):
         posting = (mix(big["h"].astype(np.uint64) + (np.uint64(bucket) << np.uint64(32)))).view(np.int64)
-        yield batch_of(_ARROW, kind=np.full(len(big), 2, np.int32), a=posting, b=big["key"], c=zero(len(big)), n=big["n"].astype(np.int64), pos=big["pos"].astype(np.int64))
-
+        yield batch_of(_ARROW, kind=np.full(len(big), 2, np.int32), a=posting, b=big["key"], n=big["n"].astype(np.int64), pos=big["pos"].astype(np.int64))
 
-def verified(pairs: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], share: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity.
 
-    ``sets_of(filter)`` gives (key, elements) for the keys whose bit is set in
-    a filter of the keys wanted; it may repeat a key or give others.
-    """
+def _checked(pairs: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], passes: Callable[[np.ndarray, np.ndarray], bool], element: str, name: str) -> DataFrame:
+    """The pairs (a, b) whose elements pass.  ``sets_of(filter)`` gives (key,
+    elements) for the keys whose bit is set in a filter of the keys wanted; it
+    may repeat a key or give others."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
 
     def keys(batches):
         for batch in batches:
             yield mix(batch.column("key").to_numpy().view(np.uint64))
 
-    sets = materialize(sets_of(repeat_filter(wanted, keys, 1)), "sets").dropDuplicates(["key"])
+    sets = materialize(sets_of(repeat_filter(wanted, keys, 1)), name).dropDuplicates(["key"])
     one = sets.select(F.col("key").alias("a"), F.col("elements").alias("of_a"))
     two = sets.select(F.col("key").alias("b"), F.col("elements").alias("of_b"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    s, t = share
 
     def check(batches):
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            keep = []
-            for k, (x, y) in enumerate(zip(batch.column("of_a"), batch.column("of_b"))):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if t * both >= s * (len(x) + len(y) - both):
-                    keep.append(k)
-            yield batch_of(schema, a=[a[k] for k in keep], b=[b[k] for k in keep])
+            keep = [passes(np.frombuffer(x.as_buffer(), element), np.frombuffer(y.as_buffer(), element)) for x, y in zip(batch.column("of_a"), batch.column("of_b"))]
+            kept = pa.array(keep, pa.bool_())
+            yield batch_of(schema, a=batch.column("a").filter(kept), b=batch.column("b").filter(kept))
 
     return pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "of_a", "of_b").mapInArrow(check, "a long, b long")
 
 
-def linked(rows: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], share: tuple[int, int], bounded: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+def verified(pairs: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], share: tuple[int, int]) -> DataFrame:
+    """The pairs whose sets (sorted distinct uint64) reach the similarity."""
+    s, t = share
+
+    def similar(x, y):
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return t * both >= s * (len(x) + len(y) - both)
+
+    return _checked(pairs, sets_of, similar, "<u8", "sets")
+
+
+def surviving(pairs: DataFrame, heads_of: Callable[[np.ndarray], DataFrame], share: tuple[int, int]) -> DataFrame:
+    """The pairs whose overlap can still reach the need.
+
+    An element list is the set's size and its head (32 bits of each entry): the
+    first n - ceil(share n) + 1 in the common order.  Of what two sets share,
+    all but ceil(share n) - 1 entries lie in both heads, and shortened entries
+    can only be found more often.
+    """
+    s, t = share
+
+    def admits(x, y):
+        n, m = int(x[0]), int(y[0])
+        both = len(np.intersect1d(x[1:], y[1:]))
+        longest = max(-(-s * n // t), -(-s * m // t)) - 1
+        repeats = len(x) - 1 - len(np.unique(x[1:])) + len(y) - 1 - len(np.unique(y[1:]))
+        return both + repeats + longest >= need(n, m, share)
+
+    return _checked(pairs, heads_of, admits, "<u4", "heads")
+
+
+def linked(rows: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], share: tuple[int, int], prune: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(links, components) of materialized rows of PAIR_SCHEMA.
 
     Small postings name all their pairs.  A large posting first tries a star
     around two pivots; then, as long as its members are in different
     components, more stars, and at last all its pairs across components.  So a
     group of copies costs its size, and no link between components is missed.
-    ``bounded(pairs with counts, large postings)`` may discard pairs that
-    cannot reach the overlap.
+    ``prune`` discards pairs that cannot reach the overlap before whole sets
+    are fetched.
     """
+    exact = lambda found: verified(materialize(prune(found), "pruned") if prune else found, sets_of, share)
     large = rows.where("kind = 2").select(F.col("a").alias("posting"), F.col("b").alias("key"), "n", "pos")
-    counted = rows.where("kind = 0").groupBy("a", "b").agg(F.sum("c").alias("c"))
-    if bounded:
-        counted = bounded(counted, large)
-    pairs = materialize(counted.select("a", "b").unionByName(rows.where("kind = 1").select("a", "b")).distinct(), "pairs")
-    links = materialize(verified(pairs, sets_of, share), "links")
+    pairs = materialize(rows.where("kind < 2").select("a", "b").distinct(), "pairs")
+    links = materialize(exact(pairs), "links")
     roots = components(links)
     if not large.limit(1).count():
         return links, roots
@@ -197,7 +217,7 @@ def linked(rows: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], share: t
         more = one.join(two, (F.col("x.posting") == F.col("y.posting")) & across & admitted).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
         more = materialize(more.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
         if more.limit(1).count():
-            fresh = materialize(verified(more, sets_of, share), "links")
+            fresh = materialize(exact(more), "links")
             if fresh.limit(1).count():
                 links = links.unionByName(fresh)
                 roots = components(links)
