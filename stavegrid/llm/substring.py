@@ -134,23 +134,53 @@ def _leaves(s: np.ndarray, doc: np.ndarray, common: np.ndarray, docs: np.ndarray
 
 
 _SENT = pa.schema([("task", pa.int32()), ("suffixes", pa.binary()), ("docs", pa.binary()), ("gone", pa.bool_())])
+_PLACES = pa.schema([("bucket", pa.int32()), ("places", pa.binary()), ("docs", pa.binary())])
 _GONE = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("starts", pa.binary())])
-
-
-def _by_doc(doc: np.ndarray, pos: np.ndarray, docs: np.ndarray):
-    order = np.lexsort((pos, doc))
-    doc, pos = doc[order], pos[order]
-    edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
-    at = doc[edge]
-    if len(edge):
-        ends = np.r_[edge[1:], len(doc)]
-        starts = [pos[a:b].astype("<u4").tobytes() for a, b in zip(edge, ends)]
-        yield batch_of(_GONE, doc_id=pa.array(docs["doc"][at], pa.int64(), mask=docs["null"][at] > 0), text_hash=docs["text"][at], starts=starts)
+PLACE = np.dtype([("doc", "<u4"), ("pos", "<u4")])
+
+
+def _place_blobs(doc: np.ndarray, pos: np.ndarray, docs: np.ndarray, buckets: int):
+    """Places to remove, dealt by document."""
+    places = np.empty(len(doc), PLACE)
+    places["doc"], places["pos"] = doc, pos
+    home = (mix(docs["text"].view(np.uint64) + docs["doc"].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    out = []
+    for k, blob in bucket_rows(places, home[doc], buckets):
+        own = np.frombuffer(blob, PLACE).copy()
+        used, own["doc"] = np.unique(own["doc"], return_inverse=True)
+        out.append((k, own.tobytes(), docs[used].tobytes()))
+    if out:
+        yield batch_of(_PLACES, **dict(zip(_PLACES.names, map(list, zip(*out)))))
+
+
+def _joined(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Records of (records, documents) parts, each one's document, all documents."""
+    records, docs = np.concatenate([r for r, _ in parts]), np.concatenate([d for _, d in parts])
+    base = np.cumsum([0, *(len(d) for _, d in parts[:-1])])
+    return records, records["doc"].astype(np.int64) + np.repeat(base, [len(r) for r, _ in parts]), docs
+
+
+def _by_document(batches):
+    """One row a document from the blobs of its bucket."""
+    held: dict[int, list] = {}
+    for batch in batches:
+        for k, places, docs in zip(*(c.to_pylist() for c in batch.columns)):
+            held.setdefault(k, []).append((np.frombuffer(places, PLACE), np.frombuffer(docs, DOC)))
+    while held:
+        places, doc, docs = _joined(held.popitem()[1])
+        docs, same = np.unique(docs, return_inverse=True)
+        both = np.unique(same[doc].astype(np.uint64) << np.uint64(32) | places["pos"])
+        doc, pos = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype("<u4")
+        edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        own = docs[doc[edge]]
+        starts = [pos[a:b].tobytes() for a, b in zip(edge, np.r_[edge[1:], len(doc)])]
+        yield batch_of(_GONE, doc_id=pa.array(own["doc"], pa.int64(), mask=own["null"] > 0), text_hash=own["text"], starts=starts)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, starts): windows of ``docs`` (doc_id, text,
-    text_hash) that also start earlier, as blobs of word positions."""
+    text_hash) that also start earlier, a row a document, as a blob of word
+    positions."""
     spark = docs.sparkSession
     texts = docs.select("text")
     wanted = spark.sparkContext.broadcast(repeat_filter(texts, _anchors, 2))
@@ -169,7 +199,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     counts = np.zeros(1 << _TOP, np.int64)
     for r in texts.mapInArrow(histogram, "top int, n long").groupBy("top").agg(F.sum("n").alias("n")).collect():  # at most 2**_TOP
         counts[r.top] = r.n
-    more, first, tasks = prefix_plan(counts, shuffle_width(spark))
+    buckets = max(2, shuffle_width(spark))
+    more, first, tasks = prefix_plan(counts, buckets)
 
     def deal(batches):
         def flush():
@@ -223,29 +254,27 @@ def repeats(docs: DataFrame) -> DataFrame:
             for t, records, table, lost in zip(*(c.to_pylist() for c in batch.columns)):
                 s, d = np.frombuffer(records, GONE if lost else SUFFIX), np.frombuffer(table, DOC)
                 if lost:
-                    yield from _by_doc(s["doc"].astype(np.int64), s["pos"], d)
+                    yield from _place_blobs(s["doc"].astype(np.int64), s["pos"], d, buckets)
                 else:
                     held.setdefault(t, []).append((s, d))
         while held:
-            _, parts = held.popitem()
-            s, d = np.concatenate([p for p, _ in parts]), np.concatenate([p for _, p in parts])
-            base = np.cumsum([0, *(len(p) for _, p in parts[:-1])])
-            doc = s["doc"].astype(np.int64) + np.repeat(base, [len(p) for p, _ in parts])
+            s, doc, d = _joined(held.popitem()[1])
             s, doc, common = _tree(s, d, doc)
             later = _leaves(s, doc, common, d)[1]
-            yield from _by_doc(doc[later], s["pos"][later], d)
+            yield from _place_blobs(doc[later], s["pos"][later], d, buckets)
 
     dealt = docs.select("doc_id", "text", "text_hash").mapInArrow(deal, "task int, suffixes binary, docs binary, gone boolean")
-    return dealt.repartition(max(2, min(tasks, 4 * shuffle_width(spark))), "task").mapInArrow(grow, "doc_id long, text_hash long, starts binary")
+    places = dealt.repartition(max(2, min(tasks, 4 * buckets)), "task").mapInArrow(grow, "bucket int, places binary, docs binary")
+    return places.repartition(buckets, "bucket").mapInArrow(_by_document, "doc_id long, text_hash long, starts binary")
 
 
-def _cut(text: str | None, starts) -> tuple[int, list[bytes] | None]:
+def _cut(text: str | None, starts: bytes | None) -> tuple[int, list[bytes] | None]:
     """Word count, and the words that no repeated window covers (None: all)."""
     words = (text or "").encode("utf-8", "surrogatepass").split()  # bytes.split cuts at exactly 0x20 and 0x09-0x0D
     if not starts:
         return len(words), None
     change = np.zeros(len(words) + 1, np.int64)
-    at = np.unique(np.concatenate([np.frombuffer(b, "<u4") for b in starts]))
+    at = np.frombuffer(starts, "<u4")
     np.add.at(change, at, 1)
     np.add.at(change, at + WINDOW, -1)
     keep = np.cumsum(change[:-1]) == 0
@@ -253,11 +282,10 @@ def _cut(text: str | None, starts) -> tuple[int, list[bytes] | None]:
 
 
 def with_repeats(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """``docs`` with ``__text_hash`` and ``__starts`` (blobs, null if none)."""
+    """``docs`` with ``__text_hash`` and ``__starts`` (null if none)."""
     hashed = docs.withColumn("__text_hash", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
     found = repeats(hashed.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col("__text_hash").alias("text_hash")))
-    found = found.groupBy("doc_id", "text_hash").agg(F.collect_list("starts").alias("__starts"))
-    found = found.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), "__starts")
+    found = found.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("starts").alias("__starts"))
     same = hashed[key].cast("long").eqNullSafe(found["__doc"]) & (hashed["__text_hash"] == found["__hash"])
     return hashed.join(found, same, "left").drop("__doc", "__hash")
 
