@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stavegrid.llm.common import batch_of, bucket_rows, in_filter, materialize, mix, repeat_filter, shuffle_width, slices, window_hashes, word_hashes
-from stavegrid.llm.links import PAIR_SCHEMA, filtered, linked, pair_batches, surviving
+from stavegrid.llm.links import PAIR_SCHEMA, admitting_heads, checked, fetched, filtered, keys_of, linked, members, pair_batches, similar_sets
 
 WIDTH = 5
 SHARE = (75, 100)
@@ -188,7 +188,14 @@ def joined(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int
 
         return texts.mapInArrow(run, "key long, elements binary")
 
-    _, roots = linked(pairs, sets_of, share, lambda found: surviving(found, heads_of, share))
+
+    heads = fetched(members(pairs), heads_of, "heads")
+
+    def exact(found):
+        left = materialize(checked(found, heads, admitting_heads(share), "<u4"), "pruned")
+        return checked(left, fetched(keys_of(left), sets_of, "wholes"), similar_sets(share), "<u8") if left.limit(1).count() else left
+
+    _, roots = linked(pairs, exact, share)
     return rows, roots
 
 

@@ -15,6 +15,7 @@ lines: they stay, and two line feeds around a removed line become one.
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stavegrid.llm.common import batch_of, bucket_rows, materialize, mix, shuffle_width, slices, span_hashes, text_bytes
-from stavegrid.llm.links import PAIR_SCHEMA, filtered, linked, pair_batches
+from stavegrid.llm.links import PAIR_SCHEMA, checked, fetched, filtered, linked, members, pair_batches
 
 SHINGLE = 8
 BANDS, ROWS = 16, 4
@@ -98,6 +99,23 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
     return out
 
 
+@lru_cache(64)
+def _shingle_set(line: bytes) -> frozenset:
+    t = line.decode("utf-8", "surrogatepass")
+    return frozenset(t[i : i + SHINGLE] for i in range(len(t) - SHINGLE + 1))
+
+
+def similar_lines(x: bytes, y: bytes) -> bool:
+    """Exact Jaccard similarity of the character shingles; pairs come sorted by
+    their first line, so that its set is made once."""
+    a, b = _shingle_set(x), _shingle_set(y)
+    s, t = SHARE
+    if t * min(len(a), len(b)) < s * max(len(a), len(b)):
+        return False
+    both = len(a & b)
+    return t * both >= s * (len(a) + len(b) - both)
+
+
 def _new_lines(batches):
     """Of each slice: raw bytes, spans and keys of lines the task has not met."""
     seen: set[int] = set()
@@ -156,7 +174,7 @@ def line_components(texts: DataFrame) -> DataFrame:
     pairs = texts.mapInArrow(deal, "bucket int, entries binary").repartition(buckets, "bucket").mapInArrow(meet, PAIR_SCHEMA)
     schema = pa.schema([("key", pa.int64()), ("elements", pa.binary())])
 
-    def sets_of(bits):
+    def lines_of(bits):
         shared = spark.sparkContext.broadcast(bits)
 
         def run(batches):
@@ -165,14 +183,14 @@ def line_components(texts: DataFrame) -> DataFrame:
                 want = filtered(shared.value, keys)
                 if not want.any():
                     continue
-                shingles, count = _character_shingles(raw, starts[want], ends[want])
-                edge = np.r_[0, np.cumsum(count)]
-                sets = [np.unique(shingles[a:b]).astype("<u8").tobytes() for a, b in zip(edge[:-1], edge[1:])]
-                yield batch_of(schema, key=keys[want], elements=sets)
+                lines = [raw[a:b].tobytes() for a, b in zip(starts[want], ends[want])]
+                yield batch_of(schema, key=keys[want], elements=lines)
 
         return texts.mapInArrow(run, "key long, elements binary")
 
-    return linked(materialize(pairs, "bands"), sets_of, SHARE)[1]
+    rows = materialize(pairs, "bands")
+    lines = fetched(members(rows), lines_of, "texts")
+    return linked(rows, lambda found: checked(found, lines, similar_lines, None), SHARE)[1]
 
 
 _LINE = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("number", pa.int32()), ("key", pa.int64())])

@@ -18,7 +18,7 @@ from stavegrid.llm.common import batch_of, in_filter, materialize, mix, repeat_f
 #: Members of a posting up to which all its admitted pairs are made at once.
 SMALL = 256
 #: Star rounds before a large posting's remaining pairs are all compared.
-ROUNDS = 4
+ROUNDS = 2
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -123,72 +123,84 @@ def pair_batches(bucket: int, records: np.ndarray, share: tuple[int, int]):
         yield batch_of(_ARROW, kind=np.full(len(big), 2, np.int32), a=posting, b=big["key"], n=big["n"].astype(np.int64), pos=big["pos"].astype(np.int64))
 
 
-def _checked(pairs: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], passes: Callable[[np.ndarray, np.ndarray], bool], element: str, name: str) -> DataFrame:
-    """The pairs (a, b) whose elements pass.  ``sets_of(filter)`` gives (key,
-    elements) for the keys whose bit is set in a filter of the keys wanted; it
+def fetched(wanted: DataFrame, contents_of: Callable[[np.ndarray], DataFrame], name: str) -> DataFrame:
+    """(key, elements), once for each key of ``wanted``.  ``contents_of(filter)``
+    gives them for the keys whose bit is set in a filter of the keys wanted; it
     may repeat a key or give others."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
 
     def keys(batches):
         for batch in batches:
             yield mix(batch.column("key").to_numpy().view(np.uint64))
 
-    sets = materialize(sets_of(repeat_filter(wanted, keys, 1)), name).dropDuplicates(["key"])
-    one = sets.select(F.col("key").alias("a"), F.col("elements").alias("of_a"))
-    two = sets.select(F.col("key").alias("b"), F.col("elements").alias("of_b"))
+    return materialize(contents_of(repeat_filter(wanted.distinct(), keys, 1)).dropDuplicates(["key"]), name)
+
+
+def keys_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("key"))
+
+
+def members(rows: DataFrame) -> DataFrame:
+    """All keys that rows of PAIR_SCHEMA name."""
+    return keys_of(rows.where("kind < 2")).unionByName(rows.where("kind = 2").select(F.col("b").alias("key")))
+
+
+def checked(pairs: DataFrame, contents: DataFrame, passes: Callable, element: str | None) -> DataFrame:
+    """The pairs (a, b) whose elements pass, as arrays of ``element`` or as bytes."""
+    one = contents.select(F.col("key").alias("a"), F.col("elements").alias("of_a"))
+    two = contents.select(F.col("key").alias("b"), F.col("elements").alias("of_b"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def check(batches):
         for batch in batches:
-            keep = [passes(np.frombuffer(x.as_buffer(), element), np.frombuffer(y.as_buffer(), element)) for x, y in zip(batch.column("of_a"), batch.column("of_b"))]
+            if element:
+                keep = [passes(np.frombuffer(x.as_buffer(), element), np.frombuffer(y.as_buffer(), element)) for x, y in zip(batch.column("of_a"), batch.column("of_b"))]
+            else:
+                keep = [passes(x.as_py(), y.as_py()) for x, y in zip(batch.column("of_a"), batch.column("of_b"))]
             kept = pa.array(keep, pa.bool_())
             yield batch_of(schema, a=batch.column("a").filter(kept), b=batch.column("b").filter(kept))
 
     return pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "of_a", "of_b").mapInArrow(check, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], share: tuple[int, int]) -> DataFrame:
-    """The pairs whose sets (sorted distinct uint64) reach the similarity."""
+def similar_sets(share: tuple[int, int]) -> Callable[[np.ndarray, np.ndarray], bool]:
+    """Whether sorted distinct sets reach the similarity."""
     s, t = share
 
     def similar(x, y):
         both = len(np.intersect1d(x, y, assume_unique=True))
         return t * both >= s * (len(x) + len(y) - both)
 
-    return _checked(pairs, sets_of, similar, "<u8", "sets")
+    return similar
 
 
-def surviving(pairs: DataFrame, heads_of: Callable[[np.ndarray], DataFrame], share: tuple[int, int]) -> DataFrame:
-    """The pairs whose overlap can still reach the need.
+def admitting_heads(share: tuple[int, int]) -> Callable[[np.ndarray, np.ndarray], bool]:
+    """Whether the overlap of two sets can still reach the need, by their heads.
 
-    An element list is the set's size and its head (32 bits of each entry): the
-    first n - ceil(share n) + 1 in the common order.  Of what two sets share,
-    all but ceil(share n) - 1 entries lie in both heads, and shortened entries
-    can only be found more often.
+    Elements are the set's size and its head (32 bits of each entry): the first
+    n - ceil(share n) + 1 in the common order.  Of what two sets share, all but
+    ceil(share n) - 1 entries lie in both heads, and shortened entries can only
+    be found more often.
     """
     s, t = share
 
     def admits(x, y):
         n, m = int(x[0]), int(y[0])
-        both = len(np.intersect1d(x[1:], y[1:]))
-        longest = max(-(-s * n // t), -(-s * m // t)) - 1
-        repeats = len(x) - 1 - len(np.unique(x[1:])) + len(y) - 1 - len(np.unique(y[1:]))
-        return both + repeats + longest >= need(n, m, share)
+        a, b = np.unique(x[1:]), np.unique(y[1:])
+        both = len(np.intersect1d(a, b, assume_unique=True)) + len(x) + len(y) - 2 - len(a) - len(b)
+        return both + max(-(-s * n // t), -(-s * m // t)) - 1 >= need(n, m, share)
 
-    return _checked(pairs, heads_of, admits, "<u4", "heads")
+    return admits
 
 
-def linked(rows: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], share: tuple[int, int], prune: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(links, components) of materialized rows of PAIR_SCHEMA.
+def linked(rows: DataFrame, exact: Callable[[DataFrame], DataFrame], share: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """(links, components) of materialized rows of PAIR_SCHEMA; ``exact`` gives
+    those of the pairs (a, b) that are links.
 
     Small postings name all their pairs.  A large posting first tries a star
     around two pivots; then, as long as its members are in different
     components, more stars, and at last all its pairs across components.  So a
     group of copies costs its size, and no link between components is missed.
-    ``prune`` discards pairs that cannot reach the overlap before whole sets
-    are fetched.
     """
-    exact = lambda found: verified(materialize(prune(found), "pruned") if prune else found, sets_of, share)
     large = rows.where("kind = 2").select(F.col("a").alias("posting"), F.col("b").alias("key"), "n", "pos")
     pairs = materialize(rows.where("kind < 2").select("a", "b").distinct(), "pairs")
     links = materialize(exact(pairs), "links")
