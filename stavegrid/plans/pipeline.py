@@ -38,7 +38,10 @@ def records(detected: DataFrame, name: str) -> DataFrame:
 
 
 def _counts() -> Column:
-    kinds = [F.size(F.filter("noteheads", lambda n, k=kind: n["kind"] == k)).alias(f"{kind}_noteheads") for kind in ("filled", "open")]
+    def of(kind: str) -> Column:
+        return F.size(F.filter("noteheads", lambda n: n["kind"] == kind)).alias(f"{kind}_noteheads")
+
+    kinds = [of("filled"), of("open")]
     return F.struct(*[F.size(name).alias(name) for name in RECORDS], *kinds)
 
 

@@ -364,7 +364,7 @@ def stf6_pitch_distance(spark, sf):
 
 # ----------------------------------------------------------------------- text
 _TEXT20 = "x1 - x0 BETWEEN 2 AND 37 AND y1 - y0 BETWEEN 5 AND 35 AND area / greatest(1, (x1 - x0) * (y1 - y0)) BETWEEN 0.08 AND 0.82 AND NOT (x1 - x0 <= 4.4 AND y1 - y0 >= 29)"
-_LIGHT = _BOXES + ", light AS (SELECT page_id, staff, seq, x0, y0, x1, y1, CAST(trunc(area * 0.7) AS INTEGER) AS area, score FROM boxes)"
+_LIGHT = _BOXES + ", light AS (SELECT page_id, staff, seq, x0, y0, x1, y1, CAST(trunc(area * CAST(0.7 AS DOUBLE)) AS INTEGER) AS area, score FROM boxes)"
 
 
 def _light(spark, sf):
