@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stavegrid.operators.durable import cut
 from stavegrid.plans import pipeline
 from stavegrid.schema import RECORDS
 from stavegrid.sources import adapters, images
 
 
 def _detected(spark, sf):
-    return pipeline.detect(images.score_pages(spark, adapters.table(spark, sf, "region").count()))
+    """Detections are read many times by what draws them, so they are cut here."""
+    return cut(pipeline.detect(images.score_pages(spark, adapters.table(spark, sf, "region").count())))
 
 
 def _of(name: str):
