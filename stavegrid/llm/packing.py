@@ -57,7 +57,7 @@ def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def _codes(size: int) -> np.ndarray:
-    return np.random.default_rng(7).standard_normal((size, DIMENSIONS)).astype(np.float32)
+    return np.random.default_rng(7).standard_normal((DIMENSIONS, size)).astype(np.float32)
 
 
 def curve_keys(ids: np.ndarray, at: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -67,7 +67,7 @@ def curve_keys(ids: np.ndarray, at: np.ndarray, codes: np.ndarray) -> np.ndarray
     total = np.zeros((len(count), DIMENSIONS))
     if some.any():
         for d in range(DIMENSIONS):
-            total[some, d] = np.add.reduceat(codes[:, d][ids], at[:-1][some], dtype=np.float64)
+            total[some, d] = np.add.reduceat(codes[d][ids], at[:-1][some], dtype=np.float64)
     spread = total / np.sqrt(np.maximum(count, 1))[:, None] / 8
     return hilbert_keys(np.clip((np.tanh(spread) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64))
 
@@ -90,18 +90,17 @@ def pack(docs: DataFrame, path: str, length: int = 2048, end: int = 1, text: str
         codes = _codes(encoding.max_token_value + 1)
         for whole in batches:
             for batch in slices(whole, "text"):
-                found = [encoding.encode(t or "", allowed_special="all") for t in batch.column("text").to_pylist()]
+                found = [encoding.encode_to_numpy(t or "", allowed_special="all") for t in batch.column("text").to_pylist()]
                 at = np.r_[0, np.cumsum([len(f) for f in found])]
-                ids = np.fromiter((i for f in found for i in f), np.uint32, at[-1])
-                yield batch.column("doc_id"), found, curve_keys(ids, at, codes)
+                yield batch.column("doc_id"), found, curve_keys(np.concatenate(found), at, codes)
 
     def keys(batches):
         schema = pa.schema([("doc", pa.int64()), ("curve", pa.int64()), ("n", pa.int64())])
         for doc, found, curve in tokenized(batches):
             yield batch_of(schema, doc=doc.fill_null(low), curve=curve, n=[len(f) + 1 for f in found])
 
-    small = rows.mapInArrow(keys, "doc long, curve long, n long").repartitionByRange(parts, "curve", "doc")
-    small = materialize(small.withColumn("part", F.spark_partition_id()), "curve")
+    small = materialize(rows.mapInArrow(keys, "doc long, curve long, n long"), "keys")  # else sampling the ranges tokenizes again
+    small = materialize(small.repartitionByRange(parts, "curve", "doc").withColumn("part", F.spark_partition_id()), "curve")
     ranges = sorted(
         (r.part, r.first.curve, r.first.doc, r.n)
         for r in small.groupBy("part").agg(F.min(F.struct("curve", "doc")).alias("first"), F.sum("n").alias("n")).collect()
@@ -115,7 +114,7 @@ def pack(docs: DataFrame, path: str, length: int = 2048, end: int = 1, text: str
         schema = pa.schema([("part", pa.int32()), ("curve", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
         for doc, found, curve in tokenized(batches):
             place = [max(0, bisect_right(edges, (c, low if d is None else d)) - 1) for c, d in zip(curve.tolist(), doc.to_pylist())]
-            yield batch_of(schema, part=place, curve=curve, doc_id=doc, ids=[np.array([*f, end], "<u2").tobytes() for f in found])
+            yield batch_of(schema, part=place, curve=curve, doc_id=doc, ids=[np.append(f, end).astype("<u2").tobytes() for f in found])
 
     def cut(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
