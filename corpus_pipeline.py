@@ -16,7 +16,8 @@ from stavegrid.llm.common import materialize
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass their own rules, of hosts that are not rejected."""
-    return host_rules.judge(docs).where("_kept").select(docs.columns)
+    judged = materialize(host_rules.judge(docs), "judged")  # a filter pushed into the counts would compute them many times over
+    return judged.where("_kept").select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
