@@ -34,12 +34,12 @@ def rasterize(commands: DataFrame, sizes: DataFrame) -> DataFrame:
         if not len(sizes):
             return pd.DataFrame({"page_id": [], "png": []})
         size = sizes.iloc[0]
-        image = np.full((int(size["height"]), int(size["width"]), 3), 255.0)
+        image = np.full((int(size["page_height"]), int(size["page_width"]), 3), 255.0)
         for c in commands.sort_values("z", kind="stable").itertuples(index=False):
             paint(image, c.shape, list(c.coords), tuple(c.rgba), max(1, int(c.width)), int(c.width) == 0)
-        return pd.DataFrame({"page_id": [size["page_id"]], "png": [png_bytes(np.rint(image).astype(np.uint8))]})
+        return pd.DataFrame({"page_id": [size["page"]], "png": [png_bytes(np.rint(image).astype(np.uint8))]})
 
-    return commands.groupBy("page_id").cogroup(sizes.select("page_id", "width", "height").groupBy("page_id")).applyInPandas(draw, "page_id STRING, png BINARY")
+    return commands.select(*[commands[c].alias(c) for c in commands.columns]).groupBy("page_id").cogroup(sizes.selectExpr("page_id as page", "width as page_width", "height as page_height").groupBy("page")).applyInPandas(draw, "page_id STRING, png BINARY")
 
 
 def paint(image: np.ndarray, shape: str, at: list[float], rgba: tuple, width: int, solid: bool = False) -> None:
