@@ -242,7 +242,7 @@ def repeat_filter(
 
     out = hashed.mapInArrow(deal, "part int, blob binary").repartition(min(parts, 4 * shuffle_width(spark)), "part").mapInArrow(count, "part int, bits binary")
     whole = np.zeros((1 << bits) // 8, np.uint8)
-    for row in out.toLocalIterator():
+    for row in out.collect():  # 2**bits bits in all, in one job
         whole[row.part * (len(whole) // parts) : (row.part + 1) * (len(whole) // parts)] = np.frombuffer(row.bits, np.uint8)
     return whole
 
