@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stavegrid.llm.common import batch_of, bucket_rows, in_filter, materialize, mix, repeat_filter, shuffle_width, slices, window_hashes, word_hashes
-from stavegrid.llm.links import PAIR_SCHEMA, admitting_heads, checked, fetched, filtered, keys_of, linked, members, pair_batches, similar_sets
+from stavegrid.llm.links import PAIR_SCHEMA, admitting_heads, checked, fetched, filtered, keys_of, linked, members, pair_batches, short_head, similar_sets
 
 WIDTH = 5
 SHARE = (75, 100)
@@ -180,7 +180,7 @@ def joined(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int
             for k, x in _distinct_sets(batches, width):
                 if filtered(shared.value, np.array([k], np.int64))[0]:
                     keys.append(k)
-                    elements.append(np.r_[np.uint64(len(x)), head(x)].astype("<u4").tobytes())
+                    elements.append(short_head(len(x), head(x)))
                 if len(keys) == 5000:
                     yield batch_of(element_schema, key=keys, elements=elements)
                     keys, elements = [], []
@@ -188,11 +188,10 @@ def joined(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int
 
         return texts.mapInArrow(run, "key long, elements binary")
 
-
     heads = fetched(members(pairs), heads_of, "heads")
 
     def exact(found):
-        left = materialize(checked(found, heads, admitting_heads(share), "<u4"), "pruned")
+        left = materialize(checked(found, heads, admitting_heads(share), "<u2"), "pruned")
         return checked(left, fetched(keys_of(left), sets_of, "wholes"), similar_sets(share), "<u8") if left.limit(1).count() else left
 
     _, roots = linked(pairs, exact, share)

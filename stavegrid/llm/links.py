@@ -173,10 +173,15 @@ def similar_sets(share: tuple[int, int]) -> Callable[[np.ndarray, np.ndarray], b
     return similar
 
 
+def short_head(n: int, head: np.ndarray) -> bytes:
+    """A set's size in two numbers, and 16 bits of each entry of its head."""
+    return np.r_[np.uint64(n & 0xFFFF), np.uint64(n >> 16), head & np.uint64(0xFFFF)].astype("<u2").tobytes()
+
+
 def admitting_heads(share: tuple[int, int]) -> Callable[[np.ndarray, np.ndarray], bool]:
     """Whether the overlap of two sets can still reach the need, by their heads.
 
-    Elements are the set's size and its head (32 bits of each entry): the first
+    Elements come from ``short_head``; the head is the first
     n - ceil(share n) + 1 in the common order.  Of what two sets share, all but
     ceil(share n) - 1 entries lie in both heads, and shortened entries can only
     be found more often.
@@ -184,9 +189,9 @@ def admitting_heads(share: tuple[int, int]) -> Callable[[np.ndarray, np.ndarray]
     s, t = share
 
     def admits(x, y):
-        n, m = int(x[0]), int(y[0])
-        a, b = np.unique(x[1:]), np.unique(y[1:])
-        both = len(np.intersect1d(a, b, assume_unique=True)) + len(x) + len(y) - 2 - len(a) - len(b)
+        n, m = int(x[0]) + (int(x[1]) << 16), int(y[0]) + (int(y[1]) << 16)
+        a, b = np.unique(x[2:]), np.unique(y[2:])
+        both = len(np.intersect1d(a, b, assume_unique=True)) + len(x) + len(y) - 4 - len(a) - len(b)
         return both + max(-(-s * n // t), -(-s * m // t)) - 1 >= need(n, m, share)
 
     return admits
