@@ -31,6 +31,10 @@ from stavegrid.llm.common import batch_of, ragged, slices, text_bytes
 from stavegrid.llm.tokens import ChunkEncoder, _byte_letters, space_keeping_pieces
 
 
+#: States whose arcs are unpacked at once on compiling; a multiple of 8.
+_STATES = 512
+
+
 class TokenAutomaton:
     """Tables of one byte-level vocabulary; see the module's text."""
 
@@ -67,6 +71,7 @@ class TokenAutomaton:
                 longer[u] = np.sort(np.concatenate([np.array(begins[u], np.int32), *(longer[w] for w in begins[u])]))
         taken: list[np.ndarray] = []
         since: list[np.ndarray] = []
+        shared: list[np.ndarray] = []
         none = np.zeros(0, np.int32)
         state, rows = np.empty(n, np.int32), {}
         for t in range(n):
@@ -86,18 +91,28 @@ class TokenAutomaton:
                 arcs, cause = arcs[order], cause[order]
                 first = np.r_[True, arcs[1:] != arcs[:-1]]
                 arcs, cause = arcs[first], cause[first]
-            taken.append(arcs)
-            since.append(cause)
-            state[t] = rows.setdefault(arcs.tobytes(), len(rows))
-        missing = np.zeros((len(rows), n), bool)
-        for k, arcs in enumerate(rows):
-            missing[k, np.frombuffer(arcs, np.int32)] = True
-        packed = np.packbits(missing.T, axis=1)
+            state[t] = rows.setdefault(spelled := arcs.tobytes(), len(rows))
+            if state[t] == len(shared):
+                shared.append(np.frombuffer(spelled, np.int32))
+            taken.append(shared[state[t]])  # equal states hold one array
+            since.append(cause.astype(np.int32))
+        del longer, taken, since, shared
+        packed = np.zeros((n, -(-len(rows) // 8)), np.uint8)  # by arc, a bit for each state
+        every = list(rows)
+        for low in range(0, len(every), _STATES):
+            missing = np.zeros((min(_STATES, len(every) - low), n), bool)
+            for k, arcs in enumerate(every[low : low + _STATES]):
+                missing[k, np.frombuffer(arcs, np.int32)] = True
+            packed[:, low // 8 : -(-(low + len(missing)) // 8)] = np.packbits(missing.T, axis=1)
         joined: dict[bytes, int] = {}
-        self.arc = np.fromiter((joined.setdefault(packed[t].tobytes(), len(joined)) for t in range(n)), np.int32, n)
+        self.arc = np.fromiter((joined.setdefault(row.tobytes(), len(joined)) for row in packed), np.int32, n)
         distinct = np.zeros(len(joined), np.int64)
         distinct[self.arc] = np.arange(n)
-        self.state, self.missing = state, np.packbits(missing[:, distinct], axis=1)
+        packed = packed[distinct]
+        self.state, self.missing = state, np.zeros((len(rows), -(-len(joined) // 8)), np.uint8)
+        for low in range(0, len(every), _STATES):
+            block = np.unpackbits(packed[:, low // 8 : (low + _STATES) // 8], axis=1)[:, : len(every) - low]
+            self.missing[low : low + _STATES] = np.packbits(block.T, axis=1)
 
     def _label(self, labels: list[bytes]) -> None:
         """The trie of arc labels, and the labels by id for decoding."""
