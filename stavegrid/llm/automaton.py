@@ -19,6 +19,7 @@ writes the arcs' labels.
 from __future__ import annotations
 
 import json
+import zlib
 from bisect import bisect_left
 from functools import lru_cache
 
@@ -59,6 +60,19 @@ class TokenAutomaton:
         self._compile(left, right)
         self._label(labels)
 
+    def __getstate__(self) -> dict:
+        """The sparse tables shortened: each executor keeps copies of what is sent."""
+        at = np.flatnonzero(self.next)
+        return self.__dict__ | {"next": (self.next.shape, at.astype(np.int32), self.next.ravel()[at]), "missing": (self.missing.shape, zlib.compress(self.missing.tobytes(), 1))}
+
+    def __setstate__(self, held: dict) -> None:
+        self.__dict__.update(held)
+        shape, at, to = held["next"]
+        self.next = np.zeros(shape, np.int32)
+        self.next.ravel()[at] = to
+        shape, bits = held["missing"]
+        self.missing = np.frombuffer(zlib.decompress(bits), np.uint8).reshape(shape)
+
     # ------------------------------------------------------------ compilation
     def _compile(self, left: np.ndarray, right: np.ndarray) -> None:
         n = len(left)
