@@ -131,6 +131,20 @@ def _byte_letters() -> list[str]:
     return letters
 
 
+@lru_cache(1)
+def _fresh() -> frozenset[str]:
+    """Code points that Python's Unicode has not assigned and regex's
+    newer one calls letters or numbers; there the library cuts the text."""
+    import sys
+    import unicodedata
+
+    import regex
+
+    known = regex.compile(r"[\p{L}\p{N}]")
+    found = [c for k in range(sys.maxunicode + 1) if not 0xD800 <= k < 0xE000 and unicodedata.category(c := chr(k)) == "Cn" and known.match(c)]
+    return frozenset(found)
+
+
 @lru_cache(4)
 def word_end_encoder(path: str) -> ChunkEncoder:
     """Ids of a vocabulary with word ends, by the library's normalizer and model.
@@ -147,6 +161,7 @@ def word_end_encoder(path: str) -> ChunkEncoder:
         described = json.load(file)
     special = [t["content"] for t in described["added_tokens"]]
     pattern = regex.compile(_exact_space(described["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]))
+    fresh = _fresh()
     normalize, tokenize, letters = tokenizer.normalizer.normalize_str, tokenizer.model.tokenize, _byte_letters()
     known: dict[str, list[int]] = {}
 
@@ -163,7 +178,7 @@ def word_end_encoder(path: str) -> ChunkEncoder:
         size = np.empty(len(keys), np.int64)
         for k, key in enumerate(keys):
             before = len(out)
-            if "<|" in key and any(s in key for s in special):
+            if ("<|" in key and any(s in key for s in special)) or (not key.isascii() and not fresh.isdisjoint(key)):
                 out += tokenizer.encode(key, add_special_tokens=False).ids
             else:
                 plain = key.lower() if key.isascii() else normalize(key)
@@ -205,18 +220,23 @@ def space_keeping_pieces(path: str) -> Callable[[str], list[str]]:
 
     import public_tokenizers
     import regex
+    from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as file:
         special = [t["content"] for t in json.load(file)["added_tokens"]]
     pattern = regex.compile(_exact_space(public_tokenizers.PATTERN))
     cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
+    split, fresh = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str, _fresh()
+
+    def plain(text: str) -> list[str]:
+        return [text[a:b] for _, (a, b) in split(text)] if not fresh.isdisjoint(text) else pattern.findall(text)
 
     def pieces(text: str) -> list[str]:
         if cut is None or not cut.search(text):
-            return pattern.findall(text)
+            return plain(text)
         out: list[str] = []
         for k, part in enumerate(cut.split(text)):
-            out += [part] if k % 2 else pattern.findall(part)
+            out += [part] if k % 2 else plain(part)
         return out
 
     return pieces
