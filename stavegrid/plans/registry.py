@@ -289,6 +289,27 @@ def nms5_text_regions(spark, sf):
     return boxes.suppress(few, ["page_id"], _BOX, boxes.one_sided_conflict(3)).select("page_id", "seq")
 
 
+# The four above and their SQL hold a tenth of the pages; these hold the whole table.
+@_query(_fold_sql("page_id, staff", "boxes", _NEAR_BOXES.format(m=3), _BOXES))
+def nms1_boxes_whole(spark, sf):
+    return boxes.suppress(_boxes(spark, sf), ["page_id", "staff"], _BOX, boxes.boxes_conflict(3)).select("page_id", "staff", "seq")
+
+
+@_query(_fold_sql("page_id, staff", "boxes", "abs((i[1].x0 + i[1].x1) * 0.5 - (k.x0 + k.x1) * 0.5) <= 80 AND abs((i[1].y0 + i[1].y1) * 0.5 - (k.y0 + k.y1) * 0.5) <= 40", _BOXES))
+def nms3_ledger_lines_whole(spark, sf):
+    return boxes.suppress(_boxes(spark, sf), ["page_id", "staff"], _BOX, boxes.centers_conflict(80, 40)).select("page_id", "staff", "seq")
+
+
+@_query(_fold_sql("page_id, staff", "boxes", "abs(i[1].x0 - k.x0) <= 60.5 AND abs(i[1].x1 - k.x1) <= 60.5", _BOXES))
+def nms4_beam_links_whole(spark, sf):
+    return boxes.suppress(_boxes(spark, sf), ["page_id", "staff"], ["x0", "x1"], boxes.ends_conflict(60.5)).select("page_id", "staff", "seq")
+
+
+@_query(_fold_sql("page_id", "boxes", "least(i[1].x1, k.x1 + 3) > greatest(i[1].x0, k.x0 - 3) AND least(i[1].y1, k.y1 + 3) > greatest(i[1].y0, k.y0 - 3)", _BOXES))
+def nms5_text_regions_whole(spark, sf):
+    return boxes.suppress(_boxes(spark, sf), ["page_id"], _BOX, boxes.one_sided_conflict(3)).select("page_id", "seq")
+
+
 # --------------------------------------------------------------------- staves
 @_query(f"""WITH {_GRAY}, ink AS (SELECT page_id, y, x FROM gray WHERE g < 140), p AS (SELECT page_id, y, count(i.x) AS n FROM (SELECT DISTINCT page_id, y FROM gray) LEFT JOIN ink i USING (page_id, y) GROUP BY page_id, y),
 s AS (SELECT page_id, greatest(64 * 0.22, quantile_cont(n, 0.995) * 0.62) AS t FROM p GROUP BY page_id), h AS (SELECT p.* FROM p JOIN s USING (page_id) WHERE n > t),

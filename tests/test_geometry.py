@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stavegrid.operators import boxes, marks, masks, page, raster, runs, staves
 from stavegrid.params import DEFAULTS
-from stavegrid.plans import pipeline, sinks
+from stavegrid.plans import pipeline, registry, sinks
 from stavegrid.schema import RECORDS
 from stavegrid.sources import images
 
@@ -209,3 +209,32 @@ def test_arrivals_are_detected_once(spark, tmp_path):
     for _ in range(2):
         detect_arrivals(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+@pytest.mark.parametrize(
+    "name,keys,meet",
+    [
+        ("nms1_boxes_whole", 2, lambda a, b: min(a[5], b[5]) + 3 > max(a[3], b[3]) - 3 and min(a[6], b[6]) + 3 > max(a[4], b[4]) - 3),
+        ("nms3_ledger_lines_whole", 2, lambda a, b: abs(a[3] + a[5] - b[3] - b[5]) <= 160 and abs(a[4] + a[6] - b[4] - b[6]) <= 80),
+        ("nms4_beam_links_whole", 2, lambda a, b: abs(a[3] - b[3]) <= 60.5 and abs(a[5] - b[5]) <= 60.5),
+        ("nms5_text_regions_whole", 1, lambda a, b: min(a[5], b[5] + 3) > max(a[3], b[3] - 3) and min(a[6], b[6] + 3) > max(a[4], b[4] - 3)),
+    ],
+)
+def test_suppression_holds_every_page(spark, monkeypatch, name, keys, meet):
+    """Brute force on pages of which a tenth has a number that ten divides."""
+    r = np.random.default_rng(8)
+    rows = []
+    for seq in range(600):
+        x, y = map(int, r.integers(0, 400, 2))
+        w, h = map(int, r.integers(1, 30, 2))
+        rows.append((int(r.integers(1, 21)), int(r.integers(1, 3)), seq, x, y, x + w, y + h, float(r.integers(0, 50))))
+    frame = spark.createDataFrame(rows, "page_id long, staff int, seq long, x0 int, y0 int, x1 int, y1 int, score double")
+    monkeypatch.setattr(registry, "_boxes", lambda spark, sf: frame)
+    kept = {}
+    for b in sorted(rows, key=lambda b: (-b[7], b[2])):
+        group = kept.setdefault(b[:keys], [])
+        if not any(meet(b, k) for k in group):
+            group.append(b)
+    want = sorted((*key, b[2]) for key, group in kept.items() for b in group)
+    assert len(want) < len(rows) and {w[0] for w in want} == set(range(1, 21))
+    assert sorted(map(tuple, registry.queries()[name](spark, "").collect())) == want
