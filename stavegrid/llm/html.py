@@ -293,7 +293,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", key: str = "
         shared = spark.sparkContext.broadcast(by_host)
     else:
         arrays = templates.groupBy("host").agg(F.collect_list("key").alias("keys"))  # bounded, see template_subtrees
-        rows = rows.join(arrays, F.lower(F.parse_url("url", F.lit("HOST"))) == F.col("host"), "left").drop("host")
+        rows = rows.withColumn("host", F.udf(host_of, "string")("url")).join(arrays, "host", "left").drop("host")
 
     def run(batches):
         for whole in batches:

@@ -152,6 +152,18 @@ def test_templates_are_deleted_by_host(spark):
     assert html.extract(frame.limit(0)).count() == 0
 
 
+def test_joined_templates_equal_broadcast_ones(spark, monkeypatch):
+    """Hosts that Java's URI does not read."""
+    urls = ["http://a_b.example/{}", "http://[::1]:80/{}", "http://C.example/a b|{}{{", "http://u@d.example/{}", "//e.example/{}"]
+    pages = [(100 * i + k, u.format(k), f"<div>Menu of {i}</div><div>Own text {k}</div>") for i, u in enumerate(urls) for k in range(8)]
+    pages += [(900, None, "<p>x</p>"), (901, "http://[bad", "<p>y</p>"), (902, "http://a_b.example/z", None), pages[0], pages[0]]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    shared = sorted(map(tuple, html.extract(frame).collect()), key=str)
+    monkeypatch.setattr(html, "BROADCAST_TEMPLATES", -1)
+    assert sorted(map(tuple, html.extract(frame).collect()), key=str) == shared
+    assert len(shared) == len(pages) and not any("Menu" in r[2] for r in shared)
+
+
 # -------------------------------------------------------------- host rules
 def brute_counts(text):
     t = text or ""
