@@ -1,11 +1,12 @@
 """Main text of web pages by removal of site templates.
 
 Each page is parsed into a tree, and each element that can carry boilerplate
-gets a hash of its whole subtree.  Hashes are counted by host, once a page;
-subtrees that recur on many pages of a host are its template and are deleted.
-Running text inside an explicit article element is content even where pages
-repeat it, so only other elements are deleted there.  Elements whose tag, role
-or class says that they are no part of an article go too.
+gets a hash of its whole subtree.  Hashes are counted by host; subtrees that
+recur on LEAST_PAGES different pages of a host are its template and are deleted
+from the whole tree, however large the host is.  Running text inside an explicit
+article element is content even where pages repeat it, so only other elements
+are deleted there.  Elements whose tag, role or class says that they are no part
+of an article go too.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import re
 from collections import Counter
 from hashlib import blake2b
 from urllib.parse import urlsplit
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 
 from stavegrid.llm.common import batch_of, materialize, slices
 
-#: A subtree on this many pages of a host and this share of them is template.
+#: A subtree on this many different pages of a host is template; inside articles
+#: the different ones must also be this share of those that hold it.
 LEAST_PAGES, LEAST_SHARE = 5, 0.2
 #: Template subtrees up to this count are broadcast, 8 bytes and a host name each.
 BROADCAST_TEMPLATES = 500_000
@@ -33,7 +36,8 @@ _RAW = set("script style textarea title noscript iframe noembed noframes xmp tem
 _BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-_TEXT = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr tbody table ul ol dl figcaption figure section div".split())
+#: Running text inside an article stays.
+_PARTS = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr tbody table ul ol dl figcaption figure section div".split())
 _NO_ARTICLE = set("head script style textarea title noscript iframe noembed noframes template nav footer aside form button select option datalist input svg canvas audio video object map menu dialog search".split())
 _NO_ROLE = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist status".split())
 _NO_CLASS = set(
@@ -115,7 +119,7 @@ def parse(page: str) -> Element:
                 at = up.parent
         element = Element(name, _hints(m[3]) if m[3] else frozenset(), at)
         at.parts.append(element)
-        if name in ("article", "main") or "role:main" in element.hints or "role:article" in element.hints:
+        if _opens_article(element):
             up = at
             while up and not up.holds_article:
                 up.holds_article, up = True, up.parent
@@ -155,17 +159,64 @@ def hash_subtrees(root: Element) -> list[Element]:
     return elements
 
 
-def _within(e: Element) -> bool:
-    while e:
-        if e.name in ("article", "main"):
-            return True
-        e = e.parent
-    return False
+def _opens_article(e: Element) -> bool:
+    return e.name in ("article", "main") or "role:main" in e.hints or "role:article" in e.hints
 
 
 def _candidate(e: Element, inside: bool) -> bool:
     """Whether an element may be deleted as template."""
-    return bool(e.chars) and e.parent is not None and e.name in _BLOCK and not e.holds_article and e.name not in ("html", "body", "article", "main") and not (inside and e.name in _TEXT)
+    return bool(e.chars) and e.parent is not None and e.name in _BLOCK and not e.holds_article and e.name not in ("html", "head", "body", "article", "main") and not (inside and e.name in _PARTS)
+
+
+def _sketch(region: Element) -> int:
+    """The least hash of the region's word triples; near copies mostly share it."""
+    words = _WHITE.sub(" ", " ".join(p for e in _order(region) for p in e.parts if isinstance(p, str))).encode("utf-8", "surrogatepass").split()
+    return min(crc32(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2)))
+
+
+def subtrees(root: Element) -> set[tuple[bytes, bool, int]]:
+    """(key, inside, rest): each candidate of a hashed tree, and what tells its
+    page from others.  That is the page's hash outside articles, and the
+    article's sketch inside; an article stands beside the page's other ones."""
+    out, regions, own = set(), [], int.from_bytes(root.key, "little", signed=True)
+    stack = [root]
+    while stack:
+        e = stack.pop()
+        if e.name in ("article", "main"):
+            regions.append((e, _sketch(e)))
+            continue
+        if _candidate(e, False):
+            out.add((e.key, False, own))
+        stack += [p for p in e.parts if not isinstance(p, str)]
+    for k, (region, sketch) in enumerate(regions):
+        others = [s for m, (_, s) in enumerate(regions) if m != k]
+        if others and _candidate(region, False):
+            out.add((region.key, True, min(others)))
+        out |= {(e.key, True, sketch) for e in _order(region)[1:] if _candidate(e, True)}
+    return out
+
+
+def delete_subtrees(root: Element, template: frozenset | set) -> None:
+    """Takes the template's subtrees out of a hashed tree, with the articles that
+    hold nothing else."""
+    stack, emptied = [(root, False)], []
+    while stack:
+        e, inside = stack.pop()
+        inside = inside or e.name in ("article", "main")
+        gone = {p for p in e.parts if not isinstance(p, str) and p.key in template and _candidate(p, inside)}
+        if gone:
+            e.parts = [Element(p.name, frozenset(), e) if p in gone else p for p in e.parts]
+            up, chars = e, sum(p.chars for p in gone)
+            while up:
+                up.chars -= chars
+                if not up.chars and up.name in ("article", "main") and up.parent:
+                    emptied.append(up)
+                up = up.parent
+        stack += [(p, inside) for p in e.parts if not isinstance(p, str)]
+    for e in emptied:
+        e.parent.parts = [p for p in e.parent.parts if p is not e]
+    for e in reversed(_order(root) if emptied else []):
+        e.holds_article = any(p.holds_article or _opens_article(p) for p in e.parts if not isinstance(p, str))
 
 
 def _is_boilerplate(e: Element, inside: bool) -> bool:
@@ -181,7 +232,10 @@ def _is_boilerplate(e: Element, inside: bool) -> bool:
 
 
 def main_text(root: Element, template: frozenset | set) -> str:
-    """The article's blocks joined by two line feeds; "" if none is left."""
+    """The article's blocks joined by two line feeds; "" if none is left.  A
+    template wants a hashed tree, which it is deleted from."""
+    if template:
+        delete_subtrees(root, template)
     blocks: list[str] = []
     run: list[str] = []
 
@@ -201,7 +255,7 @@ def main_text(root: Element, template: frozenset | set) -> str:
                 run.append(_entities.unescape(item) if "&" in item else item)
             else:
                 e, inside = item
-                if e is not start and (_is_boilerplate(e, inside) or template and e.key in template and _candidate(e, inside)):
+                if e is not start and _is_boilerplate(e, inside):
                     if e.name in _BLOCK:
                         flush()
                     continue
@@ -214,13 +268,13 @@ def main_text(root: Element, template: frozenset | set) -> str:
                 stack += [p if isinstance(p, str) else (p, inside) for p in reversed(e.parts)]
         flush()
 
-    roots = _roots(root, template)
+    roots = _roots(root)
     for r in roots:
         lay(r, r.name in ("article", "main"))
     return "\n\n".join(blocks)
 
 
-def _roots(root: Element, template) -> list[Element]:
+def _roots(root: Element) -> list[Element]:
     """Outermost articles; else main elements; else the whole page."""
     for names in (("article",), ("main",)):
         out, stack = [], [root]
@@ -245,11 +299,16 @@ def host_of(url: str | None) -> str | None:
 
 
 def template_subtrees(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """host, key: subtrees that recur on at least LEAST_PAGES pages and
-    LEAST_SHARE of the host's pages.  A task sends each (host, key) once, with
-    its count.  A host has at most (its subtrees a page) / LEAST_SHARE of them."""
+    """host, key: subtrees that recur on at least LEAST_PAGES different pages of
+    a host, see :func:`subtrees`.  A task sends each of them once a page, with
+    its count; sums are taken in two steps, so that a menu that a host has on
+    all its pages is no single task's work."""
     rows = pages.select(F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
-    schema = pa.schema([("host", pa.string()), ("key", pa.binary()), ("n", pa.int64())])
+    schema = pa.schema([("host", pa.string()), ("key", pa.binary()), ("inside", pa.bool_()), ("rest", pa.int64()), ("n", pa.int64())])
+
+    def sent(seen: Counter):
+        host, key, inside, rest = zip(*seen) if seen else ((), (), (), ())
+        return batch_of(schema, host=list(host), key=list(key), inside=list(inside), rest=list(rest), n=list(seen.values()))
 
     def count(batches):
         seen: Counter = Counter()
@@ -259,19 +318,38 @@ def template_subtrees(pages: DataFrame, url: str = "url", html: str = "html") ->
                     host = host_of(u)
                     if host is None:
                         continue
-                    seen[host, b""] += 1
-                    elements = hash_subtrees(parse(page or ""))
-                    seen.update({(host, e.key) for e in elements if e.name in _BLOCK and _candidate(e, _within(e.parent) if e.parent else False)})
+                    root = parse(page or "")
+                    hash_subtrees(root)
+                    seen.update((host, *found) for found in subtrees(root))
                 if len(seen) > 200_000:
-                    yield batch_of(schema, host=[k[0] for k in seen], key=[k[1] for k in seen], n=list(seen.values()))
+                    yield sent(seen)
                     seen.clear()
-        yield batch_of(schema, host=[k[0] for k in seen], key=[k[1] for k in seen], n=list(seen.values()))
+        yield sent(seen)
+
+    counts = rows.mapInArrow(count, "host string, key binary, inside boolean, rest long, n long")
+    apart = counts.groupBy("host", "key", "inside", "rest").agg(F.sum("n").alias("n"))
+    found = apart.groupBy("host", "key", "inside").agg(F.count("*").alias("different"), F.sum("n").alias("n"))
+    many = (F.col("different") >= LEAST_PAGES) & (~F.col("inside") | (F.col("different") >= LEAST_SHARE * F.col("n")))
+    return found.where(many).select("host", "key").distinct()
+
+
+def _held(rows: DataFrame, templates: DataFrame) -> DataFrame:
+    """host, page, keys: the template subtrees that a page holds; pages by hash."""
+    schema = pa.schema([("host", pa.string()), ("page", pa.string()), ("key", pa.binary())])
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, "html"):
+                out = []
+                for host, name, page in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "html"))):
+                    if host is not None:
+                        root = parse(page or "")
+                        hash_subtrees(root)
+                        out += [(host, name, key) for key in {key for key, _, _ in subtrees(root)}]
+                yield batch_of(schema, host=[r[0] for r in out], page=[r[1] for r in out], key=[r[2] for r in out])
 
-    counts = rows.mapInArrow(count, "host string, key binary, n long").groupBy("host", "key").agg(F.sum("n").alias("n"))
-    counts = materialize(counts.where((F.col("n") >= LEAST_PAGES) | (F.length("key") == 0)), "subtrees")
-    pages_of = counts.where(F.length("key") == 0).select("host", F.col("n").alias("pages"))
-    found = counts.where(F.length("key") > 0).join(pages_of, "host")
-    return found.where(F.col("n") >= LEAST_SHARE * F.col("pages")).select("host", "key")
+    keys = rows.select("host", "page", "html").mapInArrow(run, "host string, page string, key binary")
+    return keys.join(templates, ["host", "key"]).groupBy("host", "page").agg(F.collect_set("key").alias("keys"))
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", key: str = "page_id") -> DataFrame:
@@ -279,7 +357,8 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", key: str = "
 
     A null page gives an empty text; a page without a host has no template;
     repeated rows give repeated results.  Pages are parsed twice, so that no
-    page is shuffled unless templates outgrow BROADCAST_TEMPLATES.
+    page is shuffled unless templates outgrow BROADCAST_TEMPLATES; then a page
+    is joined with those of its own subtrees that are template.
     """
     spark = pages.sparkSession
     templates = materialize(template_subtrees(pages, url, html), "templates")
@@ -292,8 +371,8 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", key: str = "
             by_host.setdefault(r.host, set()).add(bytes(r.key))
         shared = spark.sparkContext.broadcast(by_host)
     else:
-        arrays = templates.groupBy("host").agg(F.collect_list("key").alias("keys"))  # bounded, see template_subtrees
-        rows = rows.withColumn("host", F.udf(host_of, "string")("url")).join(arrays, "host", "left").drop("host")
+        rows = rows.withColumn("host", F.udf(host_of, "string")("url")).withColumn("page", F.sha2("html", 256))
+        rows = rows.join(_held(rows, templates), ["host", "page"], "left").drop("host", "page")
 
     def run(batches):
         for whole in batches:

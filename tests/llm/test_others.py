@@ -164,6 +164,15 @@ def test_joined_templates_equal_broadcast_ones(spark, monkeypatch):
     assert len(shared) == len(pages) and not any("Menu" in r[2] for r in shared)
 
 
+def test_templates_of_a_large_host(spark):
+    """A layout's part goes, however many pages of other layouts the host has."""
+    pages = [(k, f"http://a.example/{k}", f"<div>Notice of section {k % 50}</div><div>Own text {k}</div>") for k in range(400)]
+    pages += [(1000 + k, f"http://a.example/c{k}", "<div>One page</div><div>under many addresses</div>") for k in range(9)]
+    found = {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert {found[k] == f"Own text {k}" for k in range(400)} == {True}
+    assert {found[k] for k in range(1000, 1009)} == {"One page\n\nunder many addresses"}
+
+
 # -------------------------------------------------------------- host rules
 def brute_counts(text):
     t = text or ""
