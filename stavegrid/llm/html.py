@@ -3,10 +3,11 @@
 Each page is parsed into a tree, and each element that can carry boilerplate
 gets a hash of its whole subtree.  Hashes are counted by host; subtrees that
 recur on LEAST_PAGES different pages of a host are its template and are deleted
-from the whole tree, however large the host is.  Running text inside an explicit
-article element is content even where pages repeat it, so only other elements
-are deleted there.  Elements whose tag, role or class says that they are no part
-of an article go too.
+from the whole tree, however large the host is.  Inside an article a subtree
+must recur in articles that differ otherwise: near copies of an article share a
+sketch and count as one, so that copying does not delete it.  Headings, items and cells
+are not deleted there on their own.  Elements whose tag, role or class says that
+they are no part of an article go too; of the articles, those with text left count.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ _RAW = set("script style textarea title noscript iframe noembed noframes xmp tem
 _BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Running text inside an article stays.
-_PARTS = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr tbody table ul ol dl figcaption figure section div".split())
+#: Inside articles these mean something only within their whole.
+_PARTS = set("h1 h2 h3 h4 h5 h6 li dd dt td th tr tbody thead tfoot caption figcaption legend summary".split())
 _NO_ARTICLE = set("head script style textarea title noscript iframe noembed noframes template nav footer aside form button select option datalist input svg canvas audio video object map menu dialog search".split())
 _NO_ROLE = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist status".split())
 _NO_CLASS = set(
@@ -165,7 +166,7 @@ def _opens_article(e: Element) -> bool:
 
 def _candidate(e: Element, inside: bool) -> bool:
     """Whether an element may be deleted as template."""
-    return bool(e.chars) and e.parent is not None and e.name in _BLOCK and not e.holds_article and e.name not in ("html", "head", "body", "article", "main") and not (inside and e.name in _PARTS)
+    return bool(e.chars) and e.parent is not None and e.name in _BLOCK and not e.holds_article and e.name not in ("html", "head", "body", "main") and not (inside and e.name in _PARTS)
 
 
 def _sketch(region: Element) -> int:

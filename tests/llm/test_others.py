@@ -173,6 +173,25 @@ def test_templates_of_a_large_host(spark):
     assert {found[k] for k in range(1000, 1009)} == {"One page\n\nunder many addresses"}
 
 
+def test_templates_inside_articles(spark):
+    r = np.random.default_rng(9)
+    words = lambda n: " ".join(f"w{k}" for k in r.integers(0, 5000, n))
+    own = [words(40) for _ in range(12)]
+    pages = [(k, f"http://a.example/{k}", f"<article><h2>Summary</h2><p>{t}</p><div><p>Subscribe now</p></div><p>Share <b>this</b></p></article>") for k, t in enumerate(own)]
+    base = words(300).split()
+    near = [" ".join(w if r.random() > 0.01 else "edited" for w in base) for _ in range(60)]
+    pages += [(100 + k, f"http://a.example/n{k}", f"<article><p>A passage of all copies.</p><p>{t}</p></article>") for k, t in enumerate(near)]
+    pages += [(200 + k, f"http://b.example/{k}", f"<article><p>{t}</p></article><article><p>Read this too</p></article>") for k, t in enumerate(own)]
+    pages += [(300 + k, f"http://a.example/d{k}", f"<article><p>Share <b>this</b></p></article><div>Text {k} beside it</div>") for k in range(2)]
+    found = {p.page_id: p.text for p in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for k, t in enumerate(own):
+        assert found[k] == f"Summary\n\n{t}"
+        assert found[200 + k] == t
+    for k, t in enumerate(near):
+        assert found[100 + k] == f"A passage of all copies.\n\n{t}"
+    assert [found[300 + k] for k in range(2)] == ["Text 0 beside it", "Text 1 beside it"]
+
+
 # -------------------------------------------------------------- host rules
 def brute_counts(text):
     t = text or ""
