@@ -1,7 +1,7 @@
 """Queries over whole pages.
 
 The tables hold no images, so these run on generated score pages, as many as
-the folder has regions; they have no SQL, and the tests compare them with the
+the folder has suppliers, which grow with it; they have no SQL, and the tests compare them with the
 pages' known notes."""
 
 from __future__ import annotations
@@ -14,9 +14,13 @@ from stavegrid.schema import RECORDS
 from stavegrid.sources import adapters, images
 
 
+def _pages(spark, sf):
+    return images.score_pages(spark, adapters.table(spark, sf, "supplier").count())
+
+
 def _detected(spark, sf):
     """Detections are read many times by what draws them, so they are cut here."""
-    return cut(pipeline.detect(images.score_pages(spark, adapters.table(spark, sf, "region").count())))
+    return cut(pipeline.detect(_pages(spark, sf)))
 
 
 def _of(name: str):
@@ -30,7 +34,7 @@ def snk1_binary_png(spark, sf):
     """The binarised pages as PNG bytes."""
     from stavegrid.plans.sinks import binary_png
 
-    return binary_png(images.score_pages(spark, adapters.table(spark, sf, "region").count()))
+    return binary_png(_pages(spark, sf))
 
 
 def queries() -> dict:

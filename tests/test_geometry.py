@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stavegrid.operators import boxes, marks, masks, page, raster, runs, staves
 from stavegrid.params import DEFAULTS
-from stavegrid.plans import pipeline, registry, sinks
+from stavegrid.plans import page_queries, pipeline, registry, sinks
 from stavegrid.schema import RECORDS
 from stavegrid.sources import images
 
@@ -238,3 +238,12 @@ def test_suppression_holds_every_page(spark, monkeypatch, name, keys, meet):
     want = sorted((*key, b[2]) for key, group in kept.items() for b in group)
     assert len(want) < len(rows) and {w[0] for w in want} == set(range(1, 21))
     assert sorted(map(tuple, registry.queries()[name](spark, "").collect())) == want
+
+
+@pytest.mark.parametrize("suppliers", [3, 7])
+def test_whole_pages_grow_with_the_tables(spark, tmp_path, suppliers):
+    spark.range(5).write.parquet(str(tmp_path / "region.parquet"))
+    spark.range(suppliers).write.parquet(str(tmp_path / "supplier.parquet"))
+    queries = page_queries.queries()
+    assert queries["snk1_binary_png"](spark, str(tmp_path)).count() == suppliers
+    assert queries["drv1_detect"](spark, str(tmp_path)).count() == suppliers
