@@ -163,6 +163,17 @@ def shard_rows(docs: DataFrame, shards: int = 16, text: str = "text", key: str =
     empty table gives an empty result.  Texts do not leave the scan: only
     hashes and sizes are shuffled, and a group is summed before it moves.
     """
+    return _sharded(docs, lambda runs: even_plan(runs, shards), text, key)[0]
+
+
+def shard_rows_by_capacity(docs: DataFrame, capacity: int, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, int]:
+    """The rows of :func:`shard_rows` in shards of at most ``capacity``, and how
+    many shards best fit decreasing opened.  Raises ValueError when a group
+    exceeds the capacity."""
+    return _sharded(docs, lambda runs: ([], best_fit_decreasing(runs, capacity)), text, key, capacity)
+
+
+def _sharded(docs: DataFrame, planned, text: str, key: str, capacity: int | None = None) -> tuple[DataFrame, int]:
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(
         F.col(key).cast("long").alias("doc_id"),
@@ -175,13 +186,16 @@ def shard_rows(docs: DataFrame, shards: int = 16, text: str = "text", key: str =
     total = F.sum("size")
     wide = F.pow(F.lit(2.0), F.floor(F.log2("weight")) - _STEPS)
     cls = F.when(F.col("weight") < _FINE, F.col("weight")).otherwise((F.ceil(F.col("weight") / wide) * wide).cast("long"))
+    if capacity:  # rounding up must not lift a group over the capacity
+        cls = F.when(F.col("weight") <= capacity, F.least(cls, F.lit(capacity))).otherwise(cls)
     groups = rows.groupBy("g1", "g2").agg(total.alias("weight")).withColumn("cls", cls).withColumn("salt", F.pmod(F.col("g1"), F.lit(SALTS)))
     groups = materialize(groups.withColumn("rank", F.row_number().over(Window.partitionBy("cls", "salt").orderBy("g1", "g2")) - 1), "groups")
     counts: dict[int, list[tuple[int, int]]] = {}
     for r in groups.groupBy("cls", "salt").agg(F.count("*").alias("n")).toLocalIterator():  # SALTS for each of the bounded classes at most
         counts.setdefault(r.cls, []).append((r.salt, r.n))
     runs = sorted(((c, sum(n for _, n in parts)) for c, parts in counts.items()), reverse=True)
-    single, plan = even_plan(runs, shards) if runs else ([], [])
+    single, plan = planned(runs) if runs else ([], [])
+    opened = 1 + max([shard for _, shard in single] + [shard for p in plan for shard, _ in p], default=-1)
     spans: list[tuple[int, int, int, int]] = []  # class, salt, first rank, shard
     alone = iter(single)
     after: dict[int, list[list[int]]] = {}
@@ -217,4 +231,5 @@ def shard_rows(docs: DataFrame, shards: int = 16, text: str = "text", key: str =
     sizes = sharded.groupBy("shard", "bucket").agg(F.count("*").alias("n"))  # shards x 512 rows
     base = sizes.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("base"))
     ranked = sharded.withColumn("at", F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "g1", "g2")) - 1)
-    return ranked.join(F.broadcast(base), ["shard", "bucket"]).select("doc_id", "size", "text_crc32", "g1", "g2", "shard", (F.col("base") + F.col("at")).cast("long").alias("slot"))
+    base = base if capacity else F.broadcast(base)
+    return ranked.join(base, ["shard", "bucket"]).select("doc_id", "size", "text_crc32", "g1", "g2", "shard", (F.col("base") + F.col("at")).cast("long").alias("slot")), opened

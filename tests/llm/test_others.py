@@ -79,6 +79,23 @@ def test_best_fit_decreasing_equals_one_by_one():
         sharding.best_fit_decreasing([(61, 1)], 60)
 
 
+def test_shards_of_a_fixed_capacity(spark):
+    """Distinct texts of known sizes; the largest must not be rounded over the capacity."""
+    r = np.random.default_rng(7)
+    sizes = [2 * int(n) + 1 for n in r.integers(1, 30, 80)] + [99_999, 70_001]
+    docs = spark.createDataFrame([(k, chr(200 + k) * (n // 2)) for k, n in enumerate(sizes)], "doc_id long, text string")
+    for part, of, capacity in ((docs, sizes, 99_999), (docs.where("doc_id < 80"), sizes[:80], 60)):
+        frame, opened = sharding.shard_rows_by_capacity(part, capacity)
+        filled = Counter()
+        for row in frame.collect():
+            assert row.size == sizes[row.doc_id]
+            filled[row.shard] += row.size
+        assert sorted(capacity - n for n in filled.values()) == brute_best_fit(of, capacity)
+        assert opened == len(filled) and sum(filled.values()) == sum(of)
+    with pytest.raises(ValueError):
+        sharding.shard_rows_by_capacity(docs, 99_998)
+
+
 def test_capacity_tree_is_balanced():
     tree = sharding.CapacityTree()
     for k in range(1000):
