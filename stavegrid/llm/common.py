@@ -10,7 +10,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Text bytes handled at once by a Python worker; bounds its memory.
 SLICE_BYTES = 2 << 20
@@ -52,11 +54,59 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark._jvm.System.gc()  # Spark deletes the files of shuffles that nothing refers to any more only then
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialize` returned, once no lazy result reads them."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bytes of a source table that one shuffle partition stands for, where the session asks for fewer partitions.
+PARTITION_BYTES = 64 << 20
+
+
+def shuffle_width(spark: SparkSession, source: DataFrame | None = None) -> int:
+    """The session's number of shuffle partitions, or as many as the size of
+    ``source`` asks for (where Spark knows it), so that a partition's share of
+    the input is bounded."""
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if source is not None:
+        size = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        if size < 1 << 60:  # larger: not known
+            width = max(width, -(-size // PARTITION_BYTES))
+    return width
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as it takes to be no
+    column's name, in any letter case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def mapped(rows: DataFrame, run: Callable, schema: StructType) -> DataFrame:
+    """``rows.mapInArrow(run, schema)`` for columns of any name: batches have
+    their places for names, which mapInArrow would not find with a dot in them."""
+    places = StructType([StructField(str(k), f.dataType, f.nullable) for k, f in enumerate(schema.fields)])
+    return rows.toDF(*map(str, range(len(rows.columns)))).mapInArrow(run, places).toDF(*schema.names)
 
 
 # -------------------------------------------------------------------- batches
@@ -181,17 +231,6 @@ def bucket_rows(records: np.ndarray, bucket: np.ndarray, buckets: int) -> Iterat
         yield int(k), held[edges[k] : edges[k + 1]].tobytes()
 
 
-def by_bucket(batches: Iterator[pa.RecordBatch], key: str, blob: str, dtype) -> Iterator[tuple[int, np.ndarray]]:
-    """All records of each bucket of one task, for blobs in any order."""
-    held: dict[int, list[bytes]] = {}
-    for batch in batches:
-        for k, b in zip(batch.column(key).to_pylist(), batch.column(blob).to_pylist()):
-            held.setdefault(k, []).append(b)
-    while held:
-        k, parts = held.popitem()
-        yield k, np.frombuffer(b"".join(parts), dtype)
-
-
 def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, f.type) for f in schema], schema=schema)
 
@@ -200,44 +239,49 @@ def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
 def repeat_filter(
     hashed: DataFrame, emit: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], least: int, log2_bits: int = 27
 ) -> np.ndarray:
-    """A bit for each 64-bit hash that at least ``least`` emitted arrays' entries hold.
+    """A bit for each 64-bit hash that is emitted at least ``least`` times (255 at most).
 
     ``emit`` turns a task's batches into arrays of hashes.  They are dealt by
     bit range, so each task of the second stage counts whole keys and returns
     its own slice of the bit map: the driver gets exactly 2**log2_bits bits
-    whatever the input.  A set bit may be shared by other hashes, so it means
-    "perhaps"; users must not depend on a clear answer for correctness.
+    whatever the input.  A hash is sent as 32 bits besides its part, and a set
+    bit may be shared by other hashes, so it means "perhaps"; users must not
+    depend on a clear answer for correctness.
     """
     spark = hashed.sparkSession
-    parts = 1 << max(4, min(12, int(np.ceil(np.log2(2 * shuffle_width(spark))))))
-    shift_part = np.uint64(64 - int(np.log2(parts)))
-    bits = max(log2_bits, int(np.log2(parts)) + 3)
-    shift_bit = np.uint64(64 - bits)
+    split = max(4, min(12, int(np.ceil(np.log2(2 * shuffle_width(spark))))))  # bits that name a part
+    parts, bits = 1 << split, max(log2_bits, split + 3)
+    shift_part, shift_low = np.uint64(64 - split), np.uint64(32 - split)
     sent, got = pa.schema([("part", pa.int32()), ("blob", pa.binary())]), pa.schema([("part", pa.int32()), ("bits", pa.binary())])
 
     def deal(batches):
         for hashes in emit(batches):
             value, count = np.unique(hashes, return_counts=True)
-            pairs = np.empty(len(value), [("h", "<u8")] if least <= 1 else [("h", "<u8"), ("n", "<u2")])
-            pairs["h"] = value
-            if least > 1:
-                pairs["n"] = np.minimum(count, 65535)
-            rows = list(bucket_rows(pairs, (value >> shift_part).astype(np.int64), parts))
-            if rows:
-                yield batch_of(sent, part=[k for k, _ in rows], blob=[b for _, b in rows])
+            if not len(value):
+                continue
+            part, low = (value >> shift_part).astype(np.int64), (value >> shift_low).astype(np.uint32)
+            many = np.minimum(count, 255).astype(np.uint8)
+            edges = np.searchsorted(part, np.arange(parts + 1))
+            rows = [(k, low[edges[k] : edges[k + 1]].tobytes() + (many[edges[k] : edges[k + 1]].tobytes() if least > 1 else b"")) for k in np.flatnonzero(edges[1:] > edges[:-1]).tolist()]
+            yield batch_of(sent, part=[k for k, _ in rows], blob=[b for _, b in rows])
 
     def count(batches):
-        kind = [("h", "<u8")] if least <= 1 else [("h", "<u8"), ("n", "<u2")]
-        for k, pairs in by_bucket(batches, "part", "blob", kind):
+        held: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for k, b in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist()):
+                held.setdefault(k, []).append(b)
+        while held:
+            k, blobs = held.popitem()
+            size = [len(b) // (5 if least > 1 else 4) for b in blobs]
+            low = np.concatenate([np.frombuffer(b, "<u4", n) for b, n in zip(blobs, size)])
             if least > 1:
-                order = np.argsort(pairs["h"], kind="stable")
-                h = pairs["h"][order]
-                first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-                h = h[first][np.add.reduceat(pairs["n"][order].astype(np.int64), first) >= least]
-            else:
-                h = pairs["h"]
+                many = np.concatenate([np.frombuffer(b, "u1", n, 4 * n) for b, n in zip(blobs, size)])
+                both = np.sort(low.astype(np.uint64) << np.uint64(8) | many)
+                low, many = (both >> np.uint64(8)).astype(np.uint32), (both & np.uint64(255)).astype(np.int64)
+                first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
+                low = low[first][np.add.reduceat(many, first) >= least]
             own = np.zeros((1 << bits) // parts, bool)
-            own[(h >> shift_bit).astype(np.int64) - k * len(own)] = True
+            own[(low.astype(np.uint64) << np.uint64(8) >> np.uint64(40 - bits + split)).astype(np.int64)] = True
             yield batch_of(got, part=[k], bits=[np.packbits(own, bitorder="little").tobytes()])
 
     out = hashed.mapInArrow(deal, "part int, blob binary").repartition(min(parts, 4 * shuffle_width(spark)), "part").mapInArrow(count, "part int, bits binary")

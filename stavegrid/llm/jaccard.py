@@ -3,11 +3,12 @@
 Rows of the incidence matrix are distinct shingle sets, columns are shingles.
 Two sets can reach the similarity only if they share a column among their
 first n - need + 1 in one common order, so only these entries enter the
-product.  Columns that many sets hold come last in that order.  A block of
-columns goes to one task, which names the row pairs that their sizes and the
-entries' places admit.  Then the overlaps of these pairs' heads are counted,
-pairs below the bound that their sizes imply are discarded, and the rest are
-verified with whole sets.
+product of column blocks, which names the row pairs that their sizes and the
+entries' places admit.  Columns that HOT sets hold, counted over all entries,
+come last in that order: a passage that many texts quote admits a pair only if
+it is most of both.  Of the admitted pairs, and of blocks of rows where a
+column has too many of them, whole overlaps are accumulated over all columns
+and pairs below the bound that their sizes imply are discarded; see ``links``.
 """
 
 from __future__ import annotations
@@ -17,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stavegrid.llm.common import batch_of, bucket_rows, in_filter, materialize, mix, repeat_filter, shuffle_width, slices, window_hashes, word_hashes
-from stavegrid.llm.links import PAIR_SCHEMA, admitting_heads, checked, fetched, filtered, keys_of, linked, members, pair_batches, short_head, similar_sets
+from stavegrid.llm.common import batch_of, bucket_rows, column, discard, in_filter, materialize, mix, repeat_filter, shuffle_width, slices, unused, window_hashes, word_hashes
+from stavegrid.llm.links import PAIR_SCHEMA, fetched, filtered, linked, members, pair_batches
 
 WIDTH = 5
 SHARE = (75, 100)
-#: A column found in the first entries of so many sets goes last.
-HOT = 64
+#: A column that so many sets hold goes last.
+HOT = 32
+#: Bytes of a shingle's hash that are kept to count overlaps.
+_KEPT = 5
 
 
 def shingle_sets(column: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
@@ -75,9 +78,10 @@ def joined(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int
     keys are kept.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(text).cast("string").alias("text"))
-    named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text_hash"))
-    buckets = max(64, shuffle_width(spark))
+    whole = column(text).cast("string")
+    texts = docs.select(whole.alias("text"))
+    named = docs.select(column(key).cast("long").alias("doc_id"), whole.alias("text"), F.xxhash64(F.coalesce(whole, F.lit(""))).alias("text_hash"))
+    buckets = max(64, shuffle_width(spark, texts))
     row_schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64())])
 
     def name(batches):
@@ -88,18 +92,18 @@ def joined(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int
 
     rows = materialize(named.mapInArrow(name, "doc_id long, text_hash long, n_shingles long, cls long"), "sets")
 
-    def heads(batches):
+    def entries(batches):
         held, size = [], 0
         for _, x in _distinct_sets(batches, width):
-            held.append(x[: _head(len(x), share)])
-            size += len(held[-1])
+            held.append(x)
+            size += len(x)
             if size > 1 << 21:
                 yield np.concatenate(held)
                 held, size = [], 0
         if held:
             yield np.concatenate(held)
 
-    hot = spark.sparkContext.broadcast(repeat_filter(texts, heads, HOT))
+    hot = spark.sparkContext.broadcast(repeat_filter(texts, entries, HOT))
 
     def head(x):
         """The entries that enter the product, hot columns last."""
@@ -151,7 +155,7 @@ def joined(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int
                 at += len(e)
             yield from pair_batches(b, records, share)
 
-    pairs = texts.mapInArrow(deal, "bucket int, entries binary, rows binary").repartition(shuffle_width(spark), "bucket").mapInArrow(multiply, PAIR_SCHEMA)
+    pairs = texts.mapInArrow(deal, "bucket int, entries binary, rows binary").repartition(shuffle_width(spark, texts), "bucket").mapInArrow(multiply, PAIR_SCHEMA)
     pairs = materialize(pairs, "overlaps")
     element_schema = pa.schema([("key", pa.int64()), ("elements", pa.binary())])
 
@@ -163,39 +167,34 @@ def joined(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int
             for k, x in _distinct_sets(batches, width):
                 if filtered(shared.value, np.array([k], np.int64))[0]:
                     keys.append(k)
-                    elements.append(x.astype("<u8").tobytes())
+                    elements.append(_short(x))
                     size += len(elements[-1])
-                if size > 8 << 20:
+                if size > 4 << 20:
                     yield batch_of(element_schema, key=keys, elements=elements)
                     keys, elements, size = [], [], 0
             yield batch_of(element_schema, key=keys, elements=elements)
 
         return texts.mapInArrow(run, "key long, elements binary")
 
-    def heads_of(bits):
-        shared = spark.sparkContext.broadcast(bits)
-
-        def run(batches):
-            keys, elements = [], []
-            for k, x in _distinct_sets(batches, width):
-                if filtered(shared.value, np.array([k], np.int64))[0]:
-                    keys.append(k)
-                    elements.append(short_head(len(x), head(x)))
-                if len(keys) == 5000:
-                    yield batch_of(element_schema, key=keys, elements=elements)
-                    keys, elements = [], []
-            yield batch_of(element_schema, key=keys, elements=elements)
+    sets = fetched(members(pairs), sets_of, "wholes")
+    roots = linked(pairs, sets, _long, share, 64)
+    discard(pairs, sets)
+    return rows, roots
 
-        return texts.mapInArrow(run, "key long, elements binary")
 
-    heads = fetched(members(pairs), heads_of, "heads")
+def _short(x: np.ndarray) -> bytes:
+    """The leading bytes of each hash."""
+    return x.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :_KEPT].tobytes()
 
-    def exact(found):
-        left = materialize(checked(found, heads, admitting_heads(share), "<u2"), "pruned")
-        return checked(left, fetched(keys_of(left), sets_of, "wholes"), similar_sets(share), "<u8") if left.limit(1).count() else left
 
-    _, roots = linked(pairs, exact, share)
-    return rows, roots
+def _long(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a column of ``_short`` sets, and where each set begins."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]].reshape(-1, _KEPT)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :_KEPT] = raw
+    return out.view(">u8").ravel().astype(np.uint64), (at - at[0]) // _KEPT
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, share: tuple[int, int] = SHARE) -> DataFrame:
@@ -216,16 +215,17 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest
     doc_id (null comes last), with its copies in repeated rows of that id and
-    text.  Documents without words all stay.  All columns stay.
+    text.  Documents without words all stay.  All columns stay, whatever their
+    names.
     """
-    hashed = docs.withColumn("__text_hash", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
     rows, roots = joined(docs, text, key)
     # rows are named by content, so a set's name finds its texts again
     rank = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col("text_hash"))
     named = rows.where("cls is not null").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
     first = named.groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min(rank).alias("first")).select("first.*")
-    first = first.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), F.lit(True).alias("__first"))
-    wordless = rows.where("cls is null").select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), F.lit(True).alias("__first")).distinct()
-    keep = first.unionByName(wordless)
-    same = hashed[key].cast("long").eqNullSafe(keep["__doc"]) & (hashed["__text_hash"] == keep["__hash"])
-    return hashed.join(keep, same, "left_semi").select([F.col(f"`{c}`") for c in docs.columns])
+    keep = first.select("doc_id", "text_hash").unionByName(rows.where("cls is null").select("doc_id", "text_hash").distinct())
+    own, of, its = unused(docs.columns, "own_hash", "kept_id", "kept_hash")
+    keep = keep.select(F.col("doc_id").alias(of), F.col("text_hash").alias(its))
+    hashed = docs.withColumn(own, F.xxhash64(F.coalesce(column(text).cast("string"), F.lit(""))))
+    same = column(key).cast("long").eqNullSafe(F.col(of)) & (F.col(own) == F.col(its))
+    return hashed.join(keep, same, "left_semi").select([column(c) for c in docs.columns])

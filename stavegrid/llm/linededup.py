@@ -15,15 +15,14 @@ lines: they stay, and two line feeds around a removed line become one.
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stavegrid.llm.common import batch_of, bucket_rows, materialize, mix, shuffle_width, slices, span_hashes, text_bytes
-from stavegrid.llm.links import PAIR_SCHEMA, checked, fetched, filtered, linked, members, pair_batches
+from stavegrid.llm.common import batch_of, bucket_rows, column, discard, mapped, materialize, mix, shuffle_width, slices, span_hashes, text_bytes, unused
+from stavegrid.llm.links import PAIR_SCHEMA, fetched, filtered, linked, members, pair_batches
 
 SHINGLE = 8
 BANDS, ROWS = 16, 4
@@ -38,17 +37,21 @@ def line_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """Start, end, document and line number of all lines with a word."""
     n_docs = len(at) - 1
     feeds = np.flatnonzero(raw == 0x0A)
-    of = np.searchsorted(at, feeds, "right") - 1
-    starts = np.concatenate([at[:-1], feeds + 1])
-    doc = np.concatenate([np.arange(n_docs), of])
-    order = np.lexsort((starts, doc))
-    starts, doc = starts[order], doc[order]
-    last = np.r_[doc[1:] != doc[:-1], True] if len(doc) else np.zeros(0, bool)
-    ends = np.where(last, at[doc + 1], np.r_[starts[1:], 0] - 1)
-    first = np.searchsorted(doc, np.arange(n_docs))
+    before = np.searchsorted(feeds, at)  # line feeds before each document
+    many = np.diff(before) + 1  # its lines
+    first = np.cumsum(many) - many
+    doc = np.repeat(np.arange(n_docs), many)
+    starts, ends = np.empty(len(doc), np.int64), np.empty(len(doc), np.int64)
+    opens = np.zeros(len(doc), bool)
+    opens[first] = True
+    closes = np.r_[opens[1:], True][: len(doc)]
+    starts[opens], starts[~opens] = at[:-1], feeds + 1
+    ends[closes], ends[~closes] = at[1:], feeds
     number = np.arange(len(doc)) - first[doc]
-    inked = np.r_[0, np.cumsum(~_BLANK[raw])]
-    some = inked[ends] > inked[starts]
+    some = ends > starts
+    blank = np.flatnonzero(some)[_BLANK[raw[starts[some]]]]  # only lines that begin with white space can be white space alone
+    for k in blank.tolist():
+        some[k] = not _BLANK[raw[starts[k] : ends[k]]].all()
     return starts[some], ends[some], doc[some], number[some]
 
 
@@ -88,6 +91,13 @@ def signatures(shingles: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sizes(shingles: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """How many different shingles each line has (65535 at most, which admits no fewer pairs)."""
+    z = np.sort(np.repeat(np.arange(len(count), dtype=np.uint64), count) << np.uint64(44) | shingles >> np.uint64(20))
+    z = z[np.r_[True, z[1:] != z[:-1]]]
+    return np.minimum(np.bincount((z >> np.uint64(44)).astype(np.int64), minlength=len(count)), 65535)
+
+
 def band_hashes(signature: np.ndarray) -> np.ndarray:
     """lines x BANDS hashes."""
     out = np.empty((len(signature), BANDS), np.uint64)
@@ -99,21 +109,11 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
     return out
 
 
-@lru_cache(64)
-def _shingle_set(line: bytes) -> frozenset:
-    t = line.decode("utf-8", "surrogatepass")
-    return frozenset(t[i : i + SHINGLE] for i in range(len(t) - SHINGLE + 1))
-
-
-def similar_lines(x: bytes, y: bytes) -> bool:
-    """Exact Jaccard similarity of the character shingles; pairs come sorted by
-    their first line, so that its set is made once."""
-    a, b = _shingle_set(x), _shingle_set(y)
-    s, t = SHARE
-    if t * min(len(a), len(b)) < s * max(len(a), len(b)):
-        return False
-    both = len(a & b)
-    return t * both >= s * (len(a) + len(b) - both)
+def line_sets(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of a column of lines end to end, and where each line's begin."""
+    raw, at = text_bytes(lines)
+    shingles, count = _character_shingles(raw, at[:-1], at[1:])
+    return shingles, np.r_[0, np.cumsum(count)]
 
 
 def _new_lines(batches):
@@ -123,26 +123,28 @@ def _new_lines(batches):
         for batch in slices(whole, "text"):
             raw, at = text_bytes(batch.column("text"))
             starts, ends, _, _ = line_spans(raw, at)
-            keys, where = np.unique(span_hashes(raw, starts, ends), return_index=True)
+            every = span_hashes(raw, starts, ends)
+            keys, where = np.unique(every, return_index=True)
             fresh = np.fromiter((k not in seen for k in keys.tolist()), bool, len(keys))
             seen.update(keys[fresh].tolist())
             where = np.sort(where[fresh])
             if len(where):
-                yield raw, starts[where], ends[where], span_hashes(raw, starts[where], ends[where])
+                yield raw, starts[where], ends[where], every[where]
 
 
 def line_components(texts: DataFrame) -> DataFrame:
     """(node, root) of lines, by key, that have a near duplicate."""
     spark = texts.sparkSession
-    buckets = shuffle_width(spark)
-    entry = [("h", "<u4"), ("key", "<i8")]
+    buckets = shuffle_width(spark, texts)
+    entry = [("h", "<u4"), ("n", "<u2"), ("key", "<i8")]
     sent = pa.schema([("bucket", pa.int32()), ("entries", pa.binary())])
 
     def deal(batches):
         def flush():
-            h = np.concatenate([b.ravel() for b, _ in held])
+            h = np.concatenate([b.ravel() for b, _, _ in held])
             entries = np.empty(len(h), entry)
-            entries["h"], entries["key"] = h & np.uint64(0xFFFFFFFF), np.repeat(np.concatenate([k for _, k in held]), BANDS)
+            entries["h"], entries["key"] = h & np.uint64(0xFFFFFFFF), np.repeat(np.concatenate([k for _, k, _ in held]), BANDS)
+            entries["n"] = np.repeat(np.concatenate([c for _, _, c in held]), BANDS)
             out = list(bucket_rows(entries, ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), buckets))
             return batch_of(sent, bucket=[b for b, _ in out], entries=[e for _, e in out])
 
@@ -151,7 +153,7 @@ def line_components(texts: DataFrame) -> DataFrame:
             shingles, count = _character_shingles(raw, starts, ends)
             some = count > 0
             if some.any():
-                held.append((band_hashes(signatures(shingles, count[some])), keys[some].view(np.int64)))
+                held.append((band_hashes(signatures(shingles, count[some])), keys[some].view(np.int64), _sizes(shingles, count[some])))
                 n += int(some.sum())
             if n > 1 << 17:
                 yield flush()
@@ -168,7 +170,7 @@ def line_components(texts: DataFrame) -> DataFrame:
             b, own = parts.popitem()
             own = np.concatenate(own)
             records = np.zeros(len(own), [("h", "<u4"), ("key", "<i8"), ("n", "<u4"), ("pos", "<u4")])
-            records["h"], records["key"] = own["h"], own["key"]
+            records["h"], records["key"], records["n"] = own["h"], own["key"], own["n"]
             yield from pair_batches(b, records, SHARE)
 
     pairs = texts.mapInArrow(deal, "bucket int, entries binary").repartition(buckets, "bucket").mapInArrow(meet, PAIR_SCHEMA)
@@ -190,7 +192,9 @@ def line_components(texts: DataFrame) -> DataFrame:
 
     rows = materialize(pairs, "bands")
     lines = fetched(members(rows), lines_of, "texts")
-    return linked(rows, lambda found: checked(found, lines, similar_lines, None), SHARE)[1]
+    roots = linked(rows, lines, line_sets, SHARE, 16)
+    discard(rows, lines)
+    return roots
 
 
 _LINE = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("number", pa.int32()), ("key", pa.int64())])
@@ -220,13 +224,15 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return later.groupBy("doc_id", "text_hash").agg(F.collect_set("number").alias("numbers"))
 
 
-def with_repeats(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """``docs`` with ``__numbers``: line numbers to remove, null if none."""
-    hashed = docs.withColumn("__text_hash", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    found = repeated_lines(hashed.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col("__text_hash").alias("text_hash")))
-    found = found.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("numbers").alias("__numbers"))
-    same = hashed[key].cast("long").eqNullSafe(found["__doc"]) & (hashed["__text_hash"] == found["__hash"])
-    return hashed.join(found, same, "left").drop("__doc", "__hash")
+def with_repeats(docs: DataFrame, text: str, key: str, numbers: str) -> DataFrame:
+    """``docs`` with a column ``numbers``: line numbers to remove, null if none."""
+    own, of, its = unused([*docs.columns, numbers], "own_hash", "line_id", "line_hash")
+    whole, id_ = column(text).cast("string"), column(key).cast("long")
+    hashed = docs.withColumn(own, F.xxhash64(F.coalesce(whole, F.lit(""))))
+    found = repeated_lines(hashed.select(id_.alias("doc_id"), whole.alias("text"), column(own).alias("text_hash")))
+    found = found.select(F.col("doc_id").alias(of), F.col("text_hash").alias(its), F.col("numbers").alias(numbers))
+    same = id_.eqNullSafe(F.col(of)) & (F.col(own) == F.col(its))
+    return hashed.join(found, same, "left").select(*[column(c) for c in docs.columns], numbers)
 
 
 def _cut(text: str | None, numbers) -> str | None:
@@ -245,17 +251,17 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", drop_e
     Fully equal rows are one document: both keep or lose the same lines.
     """
     names, at = docs.columns, docs.columns.index(text)
-    rows = with_repeats(docs, text, key).select(*[F.col(f"`{c}`") for c in names], "__numbers")
+    rows = with_repeats(docs, text, key, *unused(names, "gone_lines"))
 
     def run(batches):
         for batch in batches:
             numbers = batch.column(len(names)).to_pylist()
             out = [_cut(t, n) for t, n in zip(batch.column(at).to_pylist(), numbers)]
             keep = pa.array([not (drop_empty and n and not t.strip(" \t\n\v\f\r")) for t, n in zip(out, numbers)], pa.bool_())
-            columns = [pa.array(out, pa.string()) if k == at else batch.column(k) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays(columns, names=names).filter(keep)
+            columns = [pa.array(out, batch.column(k).type) if k == at else batch.column(k) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names=[str(k) for k in range(len(names))]).filter(keep)
 
-    return rows.mapInArrow(run, docs.schema)
+    return mapped(rows, run, docs.schema)
 
 
 def digest(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -269,6 +275,5 @@ def digest(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
             kept = [hashlib.sha256((_cut(t, n) or "").encode("utf-8", "surrogatepass")).hexdigest() for t, n in zip(texts, numbers)]
             yield batch_of(schema, doc_id=batch.column("doc_id"), n_lines=lines, n_removed=[len(n or ()) for n in numbers], kept_sha256=kept)
 
-    rows = with_repeats(docs.select(key, text), text, key)
-    rows = rows.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col("__numbers").alias("numbers"))
+    rows = with_repeats(docs.select(column(key).cast("long").alias("doc_id"), column(text).cast("string").alias("text")), "text", "doc_id", "numbers")
     return rows.mapInArrow(run, "doc_id long, n_lines long, n_removed long, kept_sha256 string")

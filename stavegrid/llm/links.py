@@ -2,6 +2,22 @@
 
 Keys are 64-bit names of distinct contents (classes), so copies never meet.
 Nothing here is collected but counts.
+
+Candidates come from postings: the members that share a column.  Work is kept
+in proportion to the members, not to their pairs:
+
+1.  Members that no other member of a posting admits by size and place leave it.
+2.  Small postings name their pairs; a large one only its star, all members
+    against one pivot.  These pairs are verified and linked members joined.
+3.  Postings whose members are all in one component by then are done; of
+    postings with the same members one is kept.  Of the others those of few
+    members name their admitted pairs between components.  The members of the
+    rest meet in blocks of at most twice BLOCK rows, where a blocked product of
+    the block's incidence matrix counts all overlaps at once.  Only edges
+    between components leave a block, fewer than it has members.
+
+So no link between components is missed, and rows grow with the members of
+postings, whatever the size of a group.
 """
 
 from __future__ import annotations
@@ -13,44 +29,101 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stavegrid.llm.common import batch_of, in_filter, materialize, mix, repeat_filter
+from stavegrid.llm.common import batch_of, discard, in_filter, materialize, mix, repeat_filter, shuffle_width
 
 #: Members of a posting up to which all its admitted pairs are made at once.
-SMALL = 256
-#: Star rounds before a large posting's remaining pairs are all compared.
-ROUNDS = 2
+SMALL = 3
+#: Edges up to which one task ends the search for components.
+ALONE = 1 << 18
+#: Members of one side of a block.
+BLOCK = 512
+#: Columns of the incidence matrix in one step of the blocked product.
+COLUMNS = 4096
+
+_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node of its tree) for the nodes of edges that are not least themselves."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while len(x):
+        low, high = np.minimum(x, y), np.maximum(x, y)
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+        x, y = root[x], root[y]
+        x, y = x[x != y], y[x != y]
+    moved = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[moved], nodes[root[moved]]
+
+
+def _stars(batches):
+    """A task's edges as the stars of its own trees: (least node, node)."""
+    held, n = [], 0
+
+    def star():
+        node, root = forest(*(np.concatenate(p) for p in zip(*held)))
+        return root, node
+
+    for batch in batches:
+        held.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
+        n += batch.num_rows
+        if n > 1 << 20:
+            held = [star()]
+            n = len(held[0][0])
+    if held:
+        a, b = star()
+        for k in range(0, len(a), 1 << 16):
+            yield batch_of(_EDGE, a=a[k : k + (1 << 16)], b=b[k : k + (1 << 16)])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node reachable, for the nodes of edges (a, b).
 
-    Each node points to its least neighbour, chains of pointers are halved
-    until they end, and the edges between different roots go into the next
-    round; the rounds are few because every round at least halves what is left.
-    Hot nodes are summed before they move.  No edges give an empty table.
+    Tasks first join what they can by themselves.  Then each node points to its
+    least neighbour, chains of pointers are halved until they end, and the
+    edges between different roots go into the next round; the rounds are few
+    because every round at least halves what is left.  Once the edges fit in
+    one task (ALONE of them, 16 bytes each) it ends the work.  Hot nodes are
+    summed before they move.  No edges give an empty table.
     """
-    left = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
+    left = materialize(edges.where("a != b").select("a", "b").mapInArrow(_stars, "a long, b long"), "edges")
     levels: list[DataFrame] = []
-    while left.limit(1).count():
+    while True:
+        if left.count() <= ALONE:
+            star = left.coalesce(1).mapInArrow(_stars, "a long, b long")
+            top = F.explode(F.array(F.struct(F.col("b").alias("node"), F.col("a").alias("root")), F.struct(F.col("a").alias("node"), F.col("a").alias("root"))))
+            levels.append(materialize(star.select(top.alias("both")).select("both.*").distinct(), "parents"))
+            break
+        left, narrow = materialize(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"), left
+        discard(narrow)
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), "parents")
-        moved = True
-        while moved:
+        parent = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"), F.lit(True).alias("moved")), "parents")
+        while True:
             up = parent.select(F.col("node").alias("root"), F.col("root").alias("top"))
-            parent = materialize(parent.join(up, "root").select("node", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")), "parents")
-            moved = parent.where("moved").limit(1).count() > 0
-        parent = parent.select("node", "root")
+            halved = materialize(parent.join(up, "root").select("node", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")), "parents")
+            discard(parent)
+            parent = halved
+            if not parent.where("moved").limit(1).count():
+                break
         levels.append(parent)
         a, b = parent.select(F.col("node").alias("a"), F.col("root").alias("ra")), parent.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        left = left.join(a, "a").join(b, "b").where("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        left = materialize(left, "edges")
-    if not levels:
-        return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    out = levels[0]
+        rest = left.join(a, "a").join(b, "b").where("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        rest = materialize(rest.mapInArrow(_stars, "a long, b long"), "edges")
+        discard(left)
+        left = rest
+    discard(left)
+    if len(levels) == 1:
+        return levels[0]
+    out = levels[0].select("node", "root")
     for level in levels[1:]:
         up = level.select(F.col("node").alias("root"), F.col("root").alias("top"))
         out = out.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    return materialize(out, "components") if len(levels) > 1 else out
+    out = materialize(out, "components")
+    discard(*levels)
+    return out
 
 
 def need(n_a, n_b, share: tuple[int, int]):
@@ -59,33 +132,62 @@ def need(n_a, n_b, share: tuple[int, int]):
     return -(-s * (n_a + n_b) // (s + t))
 
 
-def postings_pairs(records: np.ndarray, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs from records (h, key, n, pos) of whole postings.
+def _partnered(n: np.ndarray, pos: np.ndarray, of: np.ndarray, share: tuple[int, int]) -> np.ndarray:
+    """Which members of postings (``of``, ascending) another member admits.
 
-    Returns pairs (a, b), star pairs of the large postings, and the large
-    postings' records.  A pair is made only if the
-    sizes and what is left behind the shared entry admit the needed overlap.
+    Members i and j admit each other when neither size passes the other's
+    limit.  So in the order of sizes a member needs someone up to its own limit
+    whose limit reaches its size: a running maximum, or the second one where
+    the member itself holds it.
+    """
+    s, t = share
+    wide = np.int64(1) << 33
+    order = np.lexsort((n, of))
+    n, of = n[order], of[order]
+    limit = np.maximum((s + t) * (n - pos[order]) // s - n, 0)
+    value, place = of * wide + limit, np.arange(len(n))
+    top = np.maximum.accumulate(value)
+    before = np.r_[np.int64(-1), top[:-1]]
+    second = np.maximum.accumulate(np.where(value > before, before, value))
+    last = np.searchsorted(of * wide + n, value, "right") - 1
+    own = (place <= last) & (value == top[last])
+    out = np.zeros(len(n), bool)
+    out[order] = (last >= 0) & (np.where(own, second[last], top[last]) >= of * wide + n)
+    return out
+
+
+def _runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and length of runs of equal values, and the run of each value."""
+    edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[edge, len(h)])
+    return edge, size, np.repeat(np.arange(len(edge)), size)
+
+
+def postings_pairs(records: np.ndarray, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b) from records (h, key, n, pos) of whole postings, and the
+    records of the large postings, of which only star pairs are among them.
+
+    n: size of the member's set; pos: the shared entry's place in its order (0
+    where there is none).  A pair is made only if the sizes and what is left
+    behind the shared entry admit the needed overlap.
     """
-    order = np.lexsort((records["key"], records["h"]))
-    r = records[order]
-    r = r[np.r_[True, (r["h"][1:] != r["h"][:-1]) | (r["key"][1:] != r["key"][:-1])]] if len(r) else r
-    edge = np.flatnonzero(np.r_[True, r["h"][1:] != r["h"][:-1]]) if len(r) else np.zeros(0, np.int64)
-    size = np.diff(np.r_[edge, len(r)])
-    of = np.repeat(np.arange(len(edge)), size)
+    r = records[np.lexsort((records["key"], records["h"]))]
+    if len(r):
+        r = r[np.r_[True, (r["h"][1:] != r["h"][:-1]) | (r["key"][1:] != r["key"][:-1])]]
+        r = r[_runs(r["h"])[1][_runs(r["h"])[2]] > 1]
+    if len(r):
+        r = r[_partnered(r["n"].astype(np.int64), r["pos"].astype(np.int64), _runs(r["h"])[2], share)]
+    edge, size, of = _runs(r["h"])
     n, pos = r["n"].astype(np.int64), r["pos"].astype(np.int64)
 
-    def admitted(i, j):
-        least = need(n[i], n[j], share)
-        return np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least
-
     def pairs(i, j):
-        ok = admitted(i, j)
+        ok = (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need(n[i], n[j], share)) & (i != j)
         out = np.empty(int(ok.sum()), [("a", "<i8"), ("b", "<i8")])
         a, b = r["key"][i[ok]], r["key"][j[ok]]
         out["a"], out["b"] = np.minimum(a, b), np.maximum(a, b)
-        return out[out["a"] != out["b"]]
+        return out
 
-    small = (size <= SMALL)[of] if len(r) else np.zeros(0, bool)
+    small = (size <= SMALL)[of]
     found = []
     i, d = np.flatnonzero(small), 1
     while len(i):  # a member that has none d places on has none further on
@@ -93,34 +195,26 @@ def postings_pairs(records: np.ndarray, share: tuple[int, int]) -> tuple[np.ndar
         i = i[of[i] == of[i + d]]
         found.append(pairs(i, i + d))
         d += 1
-    close = np.concatenate(found) if found else np.empty(0, [("a", "<i8"), ("b", "<i8")])
-    close = np.unique(close)
     big = np.flatnonzero(~small)
-    stars = np.empty(0, close.dtype)
     if len(big):
         by = big[np.lexsort((r["key"][big], pos[big], of[big]))]
-        head = by[np.r_[True, of[by[1:]] != of[by[:-1]]]]
-        central = head[np.cumsum(np.r_[False, of[by[1:]] != of[by[:-1]]])]
-        stars = np.unique(np.concatenate([pairs(central, by), pairs(edge[of[big]], big)]))
-    return close, stars, r[big]
+        begin, many, _ = _runs(of[by])
+        found.append(pairs(np.repeat(by[begin], many), by))
+    return np.unique(np.concatenate(found)) if found else np.empty(0, [("a", "<i8"), ("b", "<i8")]), r[big]
 
 
-PAIR_SCHEMA = "kind int, a long, b long, n long, pos long"
-_ARROW = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("pos", pa.int64())])
+PAIR_SCHEMA = "kind int, a long, b long, n int, pos int"
+_ARROW = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
 
 def pair_batches(bucket: int, records: np.ndarray, share: tuple[int, int]):
-    """Rows of PAIR_SCHEMA: 0 pairs, 1 star pairs, 2 large postings (a: posting,
-    b: key)."""
-    close, stars, big = postings_pairs(records, share)
-    zero = lambda k: np.zeros(k, np.int64)
-    if len(close):
-        yield batch_of(_ARROW, kind=np.zeros(len(close), np.int32), a=close["a"], b=close["b"], n=zero(len(close)), pos=zero(len(close)))
-    if len(stars):
-        yield batch_of(_ARROW, kind=np.ones(len(stars), np.int32), a=stars["a"], b=stars["b"], n=zero(len(stars)), pos=zero(len(stars)))
+    """Rows of PAIR_SCHEMA: 0 pairs, 1 members of large postings (a: posting, b: key)."""
+    pairs, big = postings_pairs(records, share)
+    if len(pairs):
+        yield batch_of(_ARROW, kind=np.zeros(len(pairs), np.int32), a=pairs["a"], b=pairs["b"], n=pa.nulls(len(pairs), pa.int32()), pos=pa.nulls(len(pairs), pa.int32()))
     if len(big):
         posting = (mix(big["h"].astype(np.uint64) + (np.uint64(bucket) << np.uint64(32)))).view(np.int64)
-        yield batch_of(_ARROW, kind=np.full(len(big), 2, np.int32), a=posting, b=big["key"], n=big["n"].astype(np.int64), pos=big["pos"].astype(np.int64))
+        yield batch_of(_ARROW, kind=np.ones(len(big), np.int32), a=posting, b=big["key"], n=big["n"].astype(np.int32), pos=big["pos"].astype(np.int32))
 
 
 def fetched(wanted: DataFrame, contents_of: Callable[[np.ndarray], DataFrame], name: str) -> DataFrame:
@@ -132,116 +226,182 @@ def fetched(wanted: DataFrame, contents_of: Callable[[np.ndarray], DataFrame], n
         for batch in batches:
             yield mix(batch.column("key").to_numpy().view(np.uint64))
 
-    return materialize(contents_of(repeat_filter(wanted.distinct(), keys, 1)).dropDuplicates(["key"]), name)
-
-
-def keys_of(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("key"))
+    return materialize(contents_of(repeat_filter(wanted, keys, 1)).dropDuplicates(["key"]), name)
 
 
 def members(rows: DataFrame) -> DataFrame:
-    """All keys that rows of PAIR_SCHEMA name."""
-    return keys_of(rows.where("kind < 2")).unionByName(rows.where("kind = 2").select(F.col("b").alias("key")))
+    """All keys of the pairs; large postings' members are among them or have no partner yet."""
+    return rows.select(F.explode(F.when(F.col("kind") == 0, F.array("a", "b")).otherwise(F.array("b"))).alias("key"))
 
 
-def checked(pairs: DataFrame, contents: DataFrame, passes: Callable, element: str | None) -> DataFrame:
-    """The pairs (a, b) whose elements pass, as arrays of ``element`` or as bytes."""
-    one = contents.select(F.col("key").alias("a"), F.col("elements").alias("of_a"))
-    two = contents.select(F.col("key").alias("b"), F.col("elements").alias("of_b"))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+#: Turns a column of contents into (hashes, offsets): each row's set, repeats allowed.
+Decoder = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+#: Pairs that are counted together: their number must fit in the bits that tag an element.
+_TAG_BITS = 12
 
-    def check(batches):
-        for batch in batches:
-            if element:
-                keep = [passes(np.frombuffer(x.as_buffer(), element), np.frombuffer(y.as_buffer(), element)) for x, y in zip(batch.column("of_a"), batch.column("of_b"))]
-            else:
-                keep = [passes(x.as_py(), y.as_py()) for x, y in zip(batch.column("of_a"), batch.column("of_b"))]
-            kept = pa.array(keep, pa.bool_())
-            yield batch_of(schema, a=batch.column("a").filter(kept), b=batch.column("b").filter(kept))
 
-    return pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "of_a", "of_b").mapInArrow(check, "a long, b long")
+def _tagged(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct elements with their row in the top bits, and each row's size."""
+    rows = np.repeat(np.arange(len(at) - 1, dtype=np.uint64), np.diff(at))
+    z = np.sort(rows << np.uint64(64 - _TAG_BITS) | hashes >> np.uint64(_TAG_BITS))
+    z = z[np.r_[True, z[1:] != z[:-1]]] if len(z) else z
+    return z, np.bincount((z >> np.uint64(64 - _TAG_BITS)).astype(np.int64), minlength=len(at) - 1)
 
 
-def similar_sets(share: tuple[int, int]) -> Callable[[np.ndarray, np.ndarray], bool]:
-    """Whether sorted distinct sets reach the similarity."""
+def similar_rows(x: pa.Array, y: pa.Array, decode: Decoder, share: tuple[int, int]) -> np.ndarray:
+    """Whether the sets of two columns reach the similarity, row by row, by one
+    sort for many rows."""
     s, t = share
+    out = np.zeros(len(x), bool)
+    for low in range(0, len(x), 512):
+        (p, n), (q, m) = _tagged(*decode(x.slice(low, 512))), _tagged(*decode(y.slice(low, 512)))
+        both = np.sort(np.concatenate([p, q]))
+        both = both[1:][both[1:] == both[:-1]]
+        common = np.bincount((both >> np.uint64(64 - _TAG_BITS)).astype(np.int64), minlength=len(n))
+        out[low : low + 512] = t * common >= s * (n + m - common)
+    return out
+
+
+def checked(pairs: DataFrame, contents: DataFrame, decode: Decoder, share: tuple[int, int]) -> DataFrame:
+    """Of rows (a, b, x, y) the edges (x, y), as (a, b), whose keys a and b are similar."""
+    one = contents.select(F.col("key").alias("a"), F.col("elements").alias("of_a"))
+    two = contents.select(F.col("key").alias("b"), F.col("elements").alias("of_b"))
 
-    def similar(x, y):
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return t * both >= s * (len(x) + len(y) - both)
-
-    return similar
-
+    def check(batches):
+        for batch in batches:
+            kept = pa.array(similar_rows(batch.column("of_a"), batch.column("of_b"), decode, share), pa.bool_())
+            yield batch_of(_EDGE, a=batch.column("x").filter(kept), b=batch.column("y").filter(kept))
 
-def short_head(n: int, head: np.ndarray) -> bytes:
-    """A set's size in two numbers, and 16 bits of each entry of its head."""
-    return np.r_[np.uint64(n & 0xFFFF), np.uint64(n >> 16), head & np.uint64(0xFFFF)].astype("<u2").tobytes()
+    return pairs.join(two, "b").join(one, "a").select("x", "y", "of_a", "of_b").mapInArrow(check, "a long, b long")
 
 
-def admitting_heads(share: tuple[int, int]) -> Callable[[np.ndarray, np.ndarray], bool]:
-    """Whether the overlap of two sets can still reach the need, by their heads.
+def overlaps(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the rows' sets, and the matrix of their overlaps.
 
-    Elements come from ``short_head``; the head is the first
-    n - ceil(share n) + 1 in the common order.  Of what two sets share, all but
-    ceil(share n) - 1 entries lie in both heads, and shortened entries can only
-    be found more often.
+    The rows are an incidence matrix of rows by columns.  Its product with
+    itself is summed over blocks of columns; columns of a single row add to the
+    sizes alone.
     """
+    bits = np.uint64(max(_TAG_BITS, (len(at) - 1).bit_length()))
+    z = np.sort(hashes >> bits << bits | np.repeat(np.arange(len(at) - 1, dtype=np.uint64), np.diff(at)))
+    z = z[np.r_[True, z[1:] != z[:-1]]] if len(z) else z
+    rows = (z & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    n = np.bincount(rows, minlength=len(at) - 1)
+    _, size, of = _runs(z >> bits)
+    shared = (size > 1)[of]
+    rows, of = rows[shared], of[shared]
+    of = np.cumsum(np.r_[False, of[1:] != of[:-1]]) if len(of) else of
+    total = np.zeros((len(n), len(n)), np.float64)
+    edges = np.searchsorted(of, np.arange(0, (int(of[-1]) if len(of) else -1) + 1 + COLUMNS, COLUMNS))
+    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+        if b > a:
+            block = np.zeros((len(n), int(of[b - 1]) - k * COLUMNS + 1), np.float32)
+            block[rows[a:b], of[a:b] - k * COLUMNS] = 1
+            total += block @ block.T  # sums of at most COLUMNS ones are exact
+    return n, total.astype(np.int64)
+
+
+def block_edges(root: np.ndarray, hashes: np.ndarray, at: np.ndarray, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join the roots of similar rows, fewer than there are rows."""
     s, t = share
+    n, both = overlaps(hashes, at)
+    i, j = np.nonzero(np.triu(t * both >= s * (n[:, None] + n[None, :] - both), 1) & (root[:, None] != root[None, :]))
+    node, top = forest(root[i], root[j])
+    return top, node
 
-    def admits(x, y):
-        n, m = int(x[0]) + (int(x[1]) << 16), int(y[0]) + (int(y[1]) << 16)
-        a, b = np.unique(x[2:]), np.unique(y[2:])
-        both = len(np.intersect1d(a, b, assume_unique=True)) + len(x) + len(y) - 4 - len(a) - len(b)
-        return both + max(-(-s * n // t), -(-s * m // t)) - 1 >= need(n, m, share)
 
-    return admits
+_CROSS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("x", pa.int64()), ("y", pa.int64())])
 
 
-def linked(rows: DataFrame, exact: Callable[[DataFrame], DataFrame], share: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
-    """(links, components) of materialized rows of PAIR_SCHEMA; ``exact`` gives
-    those of the pairs (a, b) that are links.
+def _groups(batches, names):
+    """Consecutive rows with equal values of ``names``, whole groups at a time, as tables."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        value = np.stack([batch.column(c).to_numpy() for c in names])
+        edge = np.r_[0, np.flatnonzero((value[:, 1:] != value[:, :-1]).any(0)) + 1, batch.num_rows]
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            part = batch.slice(a, b - a)
+            if held and any(held[-1].column(c)[0] != part.column(c)[0] for c in names):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
 
-    Small postings name all their pairs.  A large posting first tries a star
-    around two pivots; then, as long as its members are in different
-    components, more stars, and at last all its pairs across components.  So a
-    group of copies costs its size, and no link between components is missed.
-    """
-    large = rows.where("kind = 2").select(F.col("a").alias("posting"), F.col("b").alias("key"), "n", "pos")
-    pairs = materialize(rows.where("kind < 2").select("a", "b").distinct(), "pairs")
-    links = materialize(exact(pairs), "links")
+
+def _cross_pairs(share: tuple[int, int]):
+    """Admitted pairs of keys of one posting in different components, with their roots."""
+
+    def run(batches):
+        for batch in batches:
+            key, root, n, pos = (batch.column(c).flatten().to_numpy() for c in ("keys", "roots", "n", "pos"))
+            size = np.diff(batch.column("keys").offsets.to_numpy())
+            end = np.repeat(np.cumsum(size), size)
+            found, i, d = [], np.arange(len(key)), 1
+            while len(i):
+                i = i[i + d < end[i]]
+                x, j = i, i + d
+                ok = (root[x] != root[j]) & (np.minimum(n[x] - pos[x], n[j] - pos[j]) >= need(n[x], n[j], share))
+                x, j = x[ok], j[ok]
+                found.append(np.stack([np.minimum(key[x], key[j]), np.maximum(key[x], key[j]), root[x], root[j]], 1))
+                d += 1
+            out = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
+            out = out[np.unique(out[:, :2], axis=0, return_index=True)[1]] if len(out) else out
+            for k in range(0, len(out), 1 << 16):
+                yield batch_of(_CROSS, **dict(zip(_CROSS.names, out[k : k + (1 << 16)].T)))
+
+    return run
+
+
+def linked(rows: DataFrame, contents: DataFrame, decode: Decoder, share: tuple[int, int], some: int) -> DataFrame:
+    """Components (node, root) of the links among materialized rows of
+    PAIR_SCHEMA; see the module's docstring.  ``some``: members up to which an
+    open posting names its pairs."""
+    spark = rows.sparkSession
+    pairs = materialize(rows.where("kind = 0").select("a", "b").distinct(), "pairs")
+    links = materialize(checked(pairs.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")), contents, decode, share), "links")
     roots = components(links)
+    discard(links)
+    large = rows.where("kind = 1").select(F.col("a").alias("posting"), F.col("b").alias("key"), "n", "pos")
     if not large.limit(1).count():
-        return links, roots
-    s, t = share
-    for turn in range(ROUNDS + 1):
-        placed = large.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        mixed = placed.groupBy("posting", "root").agg(F.count("*").alias("m")).groupBy("posting").agg(F.count("*").alias("roots"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"))
-        mixed = materialize(mixed.where("roots > 1"), "mixed")
-        load = mixed.agg(F.sum("m").alias("m"), F.sum((F.col("m") * F.col("m") - F.col("own")) / 2).alias("pairs")).first()
-        if not load.m:
-            break
-        open_rows = placed.join(mixed.select("posting"), "posting", "left_semi")
-        least = lambda x, y: F.ceil(s * (F.col(f"{x}.n") + F.col(f"{y}.n")) / (s + t))
-        last = turn == ROUNDS or load.pairs <= 20 * load.m
-        if last:
-            one, two = open_rows.alias("x"), open_rows.alias("y")
-        else:
-            first = F.struct("pos", "key") if turn == 0 else F.struct(F.xxhash64("key", F.lit(turn)), "key")
-            one = open_rows.groupBy("posting").agg(F.min_by(F.struct("key", "n", "pos", "root"), first).alias("p")).select("posting", "p.*").alias("x")
-            two = open_rows.alias("y")
-        admitted = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= least("x", "y")
-        across = F.col("x.root") < F.col("y.root") if last else F.col("x.root") != F.col("y.root")
-        more = one.join(two, (F.col("x.posting") == F.col("y.posting")) & across & admitted).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
-        more = materialize(more.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if more.limit(1).count():
-            fresh = materialize(exact(more), "links")
-            if fresh.limit(1).count():
-                links = links.unionByName(fresh)
-                roots = components(links)
-            pairs = pairs.unionByName(more)
-        if last:
-            break
-    return links, roots
+        discard(pairs)
+        return roots
+    placed = large.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    placed = materialize(placed, "placed")
+    by_root = placed.groupBy("posting", "root").agg(F.count("*").alias("m"), F.sum("pos").alias("place"), F.bit_xor(F.xxhash64("key")).alias("name"))
+    mixed = by_root.groupBy("posting").agg(F.count("*").alias("roots"), F.sum("m").alias("m"), F.sum("place").alias("place"), F.bit_xor("name").alias("name")).where("roots > 1")
+    # of the same members' postings the one whose column comes first in the common order admits the most
+    kept = mixed.groupBy("name", "m").agg(F.min_by("posting", F.struct("place", "posting")).alias("posting")).select("posting", "m")
+    still = materialize(placed.join(kept, "posting"), "open")
+    discard(placed)
+    each = F.collect_list(F.struct("key", "root", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos")))
+    few = still.where(F.col("m") <= some).groupBy("posting").agg(each.alias("all")).select(F.col("all.key").alias("keys"), F.col("all.root").alias("roots"), "all.n", "all.pos")
+    few = few.mapInArrow(_cross_pairs(share), "a long, b long, x long, y long").dropDuplicates(["a", "b"]).join(pairs, ["a", "b"], "left_anti")
+    sides = F.ceil(F.col("m") / BLOCK).cast("int")
+    many = still.where(F.col("m") > some).select("posting", "key", "root", sides.alias("sides"), F.pmod(F.xxhash64("key"), sides.cast("long")).cast("int").alias("side"))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    many = many.select("posting", "key", "root", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
+
+    def multiply(batches):
+        for group in _groups(batches, ["posting", "low", "high"]):
+            root = group.column("root").to_numpy()
+            if (root != root[0]).any():
+                a, b = block_edges(root, *decode(group.column("elements").combine_chunks()), share)
+                if len(a):
+                    yield batch_of(_EDGE, a=a, b=b)
+
+    blocks = many.join(contents.select("key", "elements"), "key").select("posting", "low", "high", "root", "elements")
+    blocks = blocks.repartition(shuffle_width(spark), "posting", "low", "high").sortWithinPartitions("posting", "low", "high")
+    more = checked(few, contents, decode, share).unionByName(blocks.mapInArrow(multiply, "a long, b long"))
+    more = materialize(more, "links")
+    joined = components(more)
+    up = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    lone = joined.join(roots.select("node"), "node", "left_anti")
+    out = materialize(roots.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(lone), "components")
+    discard(pairs, still, more)
+    return out
 
 
 def filtered(whole: np.ndarray, keys: np.ndarray) -> np.ndarray:

@@ -5,6 +5,7 @@ from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+import pytest
 
 from stavegrid.llm import jaccard, linededup, links, substring
 
@@ -177,7 +178,9 @@ def test_minhash_recall():
     assert hit >= 0.97 * total
 
 
-def test_components(spark):
+@pytest.mark.parametrize("alone", [0, links.ALONE])
+def test_components(spark, monkeypatch, alone):
+    monkeypatch.setattr(links, "ALONE", alone)
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(k, k + 1) for k in range(1000, 1060)] + [(2000, k) for k in range(2001, 2100)]
     found = {r.node: r.root for r in links.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -186,3 +189,54 @@ def test_components(spark):
     assert found == {n: r for n, r in roots.items() if n in found}
     assert all(roots[n] == n for n in nodes - found.keys())
     assert links.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_large_postings_lose_no_link(spark, monkeypatch):
+    """More members in one posting than a block's side, near copies, members
+    linked with one of them alone, and members that are linked with none."""
+    rng = np.random.default_rng(12)
+    base = [f"w{k}" for k in range(100)]
+    texts = {}
+    for k in range(700):
+        w = list(base)
+        for i in rng.choice(100, (2, 3, 4, 5)[k % 4], replace=False):  # 3 edits and more are far from most others
+            w[i] = f"e{k}_{i}"
+        texts[k] = " ".join(w)
+    for k in range(700, 1000):  # the same passage in other texts
+        texts[k] = " ".join([f"a{k}_{i}" for i in range(60)] + base[:55] + [f"b{k}_{i}" for i in range(10)])
+    _, roots = brute_classes(texts)
+    assert 310 < len(set(roots.values())) < 990
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for block in (links.BLOCK, 64):
+        monkeypatch.setattr(links, "BLOCK", block)
+        found = jaccard.classes(docs).collect()
+        assert {r.doc_id: r.component_id for r in found} == roots
+
+
+def test_partnered_members():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        m = int(rng.integers(1, 40))
+        of = np.sort(rng.integers(0, 4, m))
+        n = rng.integers(1, 60, m)
+        pos = rng.integers(0, n // 3 + 1)
+        want = [any(j != i and of[j] == of[i] and min(n[i] - pos[i], n[j] - pos[j]) >= links.need(n[i], n[j], (75, 100)) for j in range(m)) for i in range(m)]
+        assert links._partnered(n, pos, of, (75, 100)).tolist() == want
+
+
+def test_overlaps_and_similar_rows():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 1 << 62, 60, dtype=np.uint64)[:n]) for n in rng.integers(0, 60, 30)]
+    sets += [np.concatenate([s[: len(s) // 2], t[len(t) // 2 :]]) for s, t in zip(sets, sets[1:])]
+    at = np.r_[0, np.cumsum([len(s) for s in sets])]
+    n, both = links.overlaps(np.concatenate(sets), at)
+    want = [[len(np.intersect1d(x, y)) for y in sets] for x in sets]
+    assert n.tolist() == [len(set(s.tolist())) for s in sets]
+    assert (both - np.diag(both.diagonal()) == np.array(want) - np.diag(np.diagonal(want))).all()
+    column = pa.array([jaccard._short(s) for s in sets], pa.binary())
+    other = column.take(pa.array(rng.permutation(len(sets))))
+    again = [set(s.tolist()) for s in np.split(*(lambda h, a: (h, a[1:-1]))(*jaccard._long(other)))]
+    one = [set(s.tolist()) for s in np.split(*(lambda h, a: (h, a[1:-1]))(*jaccard._long(column)))]
+    assert links.similar_rows(column, other, jaccard._long, (75, 100)).tolist() == [100 * len(x & y) >= 75 * len(x | y) for x, y in zip(one, again)]
