@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,9 +41,35 @@ def test_top_k(spark):
 
 def test_statistics_bound_the_product():
     rng = np.random.default_rng(4)
-    x, y = rng.normal(size=(2, 200, 24))
-    for segments in topk.SEGMENTS:
-        assert (topk.statistics(x, segments) @ topk.statistics(y, segments).T >= x @ y.T - 1e-9).all()
+    x, y = rng.normal(size=(2, 200, 64))
+    before = None
+    for edges in topk.levels(64):  # each level splits the one before
+        bound = topk.statistics(x, edges) @ topk.statistics(y, edges).T
+        assert (bound >= x @ y.T - 1e-9).all()
+        assert before is None or (bound <= before + 1e-9).all()
+        before = bound
+
+
+@pytest.mark.parametrize("d", [0, 1, 2, 3, 5, 16, 64])
+def test_levels_cover_all_components(d):
+    for edges in topk.levels(d):
+        assert edges[0] == 0 and edges[-1] == max(d, 1) and (np.diff(edges) > 0).all()
+
+
+def test_bounds_drop_most_pairs():
+    """On the real table, with the real queries."""
+    table = pq.read_table("/root/testdata/sf0.01/embeddings.parquet")
+    usable, x = topk.scaled_vectors(table.column("embedding"))
+    ids = table.column("vec_id").to_numpy()[usable]
+    asked = ids % 50 == 0
+    searcher = topk.Searcher(ids[asked], x[asked], 5, topk.starting_scores(x[asked], 5))
+    for k in range(0, len(ids), 100):
+        searcher.offer(ids[k : k + 100], x[k : k + 100])
+    assert searcher.met == asked.sum() * len(ids)
+    assert searcher.scored < 0.35 * searcher.met
+    score = x[asked] @ x.T
+    score[ids[asked][:, None] == ids[None, :]] = -np.inf
+    assert sorted(searcher.found[1].tolist()) == sorted(np.sort(score, 1)[:, -5:].ravel().astype(int).tolist())
 
 
 def test_huge_components_stay_exact():
@@ -155,6 +182,14 @@ def test_main_text():
     assert html.main_text(html.parse("<article><p>cut &am"), ()) == "cut &am"
 
 
+def test_only_attributes_of_the_name_count():
+    for kept in ('p style="overflow:hidden"', 'p title="hidden gems"', 'p data-hidden="false"', 'p id="share-price"', 'p data-id="menu"', "p title='class=ad'", "p data-class=nav", 'p class="share-price"', 'p data-role="navigation"', 'p aria-hidden="true"', 'p class="adverb"', 'p title="a > b" lang=en'):
+        assert html.main_text(html.parse(f"<article><{kept}>Text</p></article>"), ()) == "Text", kept
+        assert html.main_text(html.parse(f"<{kept.replace('p ', 'article ', 1)}><p>Text</p></article>"), ()) == "Text", kept
+    for gone in ("p hidden", 'p HIDDEN=""', 'p class="ad"', "div id=cookie-notice", 'div class="x1 comment-list"', 'div role="navigation"', "div class='site-footer'"):
+        assert html.main_text(html.parse(f"<article>Text<{gone}>Other</{gone.split()[0]}></article>"), ()) == "Text", gone
+
+
 def test_templates_are_deleted_by_host(spark):
     """A part that recurs on one host goes there and stays elsewhere."""
     pages = [(k, f"http://a.example/{k}", f"<body><div><span>Part of the site</span></div><div>Own text {k}</div></body>") for k in range(12)]
