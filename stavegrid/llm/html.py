@@ -44,6 +44,8 @@ _NO_ROLE = set("navigation banner contentinfo complementary search form alert al
 _NO_CLASS = set(
     "ad ads advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer comment comments commentlist disqus respond reply replies share sharing social related recommended newsletter subscribe signup popup modal overlay pagination pager widget toolbar masthead skip".split()
 )
+#: Words that say where or how large, but not what: "site-footer" is a footer, "share-price" no sharing.
+_PLAIN_CLASS = set("site page main top bottom left right list box bar block section wrapper wrap container inner outer item items link links content area slot form posts post articles global primary secondary mobile desktop sticky fixed header body row col column inline small large".split())
 _ENDS_P = _BLOCK - set("li dd dt td th tr tbody thead tfoot caption option optgroup body html head legend summary".split())
 _SELF_ENDING = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = set("ul ol dl table article body section div td th".split())
@@ -51,8 +53,8 @@ _SCOPE = set("ul ol dl table article body section div td th".split())
 _TAG = re.compile(
     r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|!\[CDATA\[.*?(?:\]\]>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)(?:>|\Z)|/?[A-Za-z][^>]*(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.S
 )
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_WORD = re.compile(r"[a-z]+")
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+)))?")
+_WORD = re.compile(r"[a-z]+|[0-9]+")
 _WHITE = re.compile(r"\s+")
 
 
@@ -66,15 +68,27 @@ class Element:
 
 
 def _hints(attributes: str) -> frozenset:
-    found = set()
+    """What an element's own attributes say: ``hidden``, its roles, and each word
+    of its class or id whose other words are no more than a place or a size.
+
+    Only attributes of exactly these names count, not their names within values
+    or within longer names; of a repeated one the first counts.
+    """
+    found, known = set(), set()
     for m in _ATTRIBUTE.finditer(attributes):
         kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if kind in known:
+            continue
+        known.add(kind)
         if kind == "role":
             found |= {"role:" + w for w in value.split()}
-        elif kind == "hidden" or kind == "aria-hidden" and value == "true":
-            found.add("hidden") if kind == "hidden" else None
+        elif kind == "hidden":
+            found.add("hidden")
         elif kind in ("class", "id"):
-            found |= set(_WORD.findall(value))
+            for token in value.split():
+                words = set(_WORD.findall(token))
+                if words - _PLAIN_CLASS <= _NO_CLASS:
+                    found |= words
     return frozenset(found)
 
 
@@ -227,8 +241,8 @@ def _is_boilerplate(e: Element, inside: bool) -> bool:
         return False
     if "hidden" in e.hints or e.name == "header" and not inside:
         return True
-    if e.name == "article":
-        return bool(e.hints & {"comment", "comments", "reply", "ad", "advert", "related"})
+    if e.name == "article":  # a reader's comment; else no class word deletes an article
+        return bool(e.hints & {"comment", "reply"})
     return bool(e.hints & _NO_CLASS) or any(h[5:] in _NO_ROLE for h in e.hints if h.startswith("role:")) or not inside and "header" in e.hints
 
 
