@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stavegrid.llm.common import materialize
+from stavegrid.llm.common import column, materialize, unused
 
 #: A host is rejected when more than this share of its documents is expected to fail.
 HOST_LIMIT = 0.5
@@ -27,52 +27,63 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, _SPACE), lambda w: w != "")
 
 
+def judged_names(docs: DataFrame) -> tuple[str, str]:
+    """The names of the columns that :func:`judge` adds: ``_counts`` and
+    ``_kept``, with more underscores where ``docs`` has these itself."""
+    return tuple(unused(docs.columns, "_counts", "_kept"))
+
+
 def document_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a struct column ``_counts``: n_words, word_chars, n_symbols,
-    n_dup_lines, n_repeat_words, base_failed.
+    """``docs`` with a struct column ``_counts`` (see :func:`judged_names`):
+    n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed.
 
-    A null text has no words.  Words are ``[^\\x20\\x09-\\x0D]+``.
+    A null or empty text has no words and fails; rows are counted one by one,
+    so ties and repeats do not matter.  Words are ``[^\\x20\\x09-\\x0D]+``.
     """
-    content = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    staged = docs.withColumn("__rules_t", content).withColumn("__rules_w", _words(F.col("__rules_t"))).withColumn("__rules_n", F.size("__rules_w").cast("long"))
-    many = F.col("__rules_n") >= WINDOW
-    hashes = F.transform(F.sequence(F.lit(0), F.size("__rules_w") - WINDOW), lambda i: F.xxhash64(*(F.get(F.col("__rules_w"), i + k) for k in range(WINDOW))))
-    staged = staged.withColumn("__rules_h", F.when(many, hashes))
-    again = F.when(many & (F.size(F.array_distinct("__rules_h")) < F.size("__rules_h")), F.array_sort(F.transform("__rules_h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-    staged = staged.withColumn("__rules_p", again)
+    own = "rules_"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own = "_" + own
+    found = judged_names(docs)[0]
+    content = F.coalesce(column(text).cast("string"), F.lit(""))
+    staged = docs.withColumn(f"{own}t", content).withColumn(f"{own}w", _words(F.col(f"{own}t"))).withColumn(f"{own}n", F.size(f"{own}w").cast("long"))
+    many = F.col(f"{own}n") >= WINDOW
+    hashes = F.transform(F.sequence(F.lit(0), F.size(f"{own}w") - WINDOW), lambda i: F.xxhash64(*(F.get(F.col(f"{own}w"), i + k) for k in range(WINDOW))))
+    staged = staged.withColumn(f"{own}h", F.when(many, hashes))
+    again = F.when(many & (F.size(F.array_distinct(f"{own}h")) < F.size(f"{own}h")), F.array_sort(F.transform(f"{own}h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    staged = staged.withColumn(f"{own}p", again)
     places = F.array_sort(
         F.transform(
-            F.filter("__rules_p", lambda p, k: F.coalesce(F.get(F.col("__rules_p"), k - 1)["h"] == p["h"], F.lit(False)) | F.coalesce(F.get(F.col("__rules_p"), k + 1)["h"] == p["h"], F.lit(False))),
+            F.filter(f"{own}p", lambda p, k: F.coalesce(F.get(F.col(f"{own}p"), k - 1)["h"] == p["h"], F.lit(False)) | F.coalesce(F.get(F.col(f"{own}p"), k + 1)["h"] == p["h"], F.lit(False))),
             lambda p: p["i"],
         )
     )
-    staged = staged.withColumn("__rules_s", places)
+    staged = staged.withColumn(f"{own}s", places)
     covered = F.aggregate(
-        F.transform("__rules_s", lambda s, k: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("__rules_s"), k + 1) - s, F.lit(WINDOW)))), F.lit(0).cast("long"), lambda a, x: a + x
+        F.transform(f"{own}s", lambda s, k: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col(f"{own}s"), k + 1) - s, F.lit(WINDOW)))), F.lit(0).cast("long"), lambda a, x: a + x
     )
-    lines = F.filter(F.split("__rules_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    plain = F.translate("__rules_t", "\x20\x09\x0a\x0b\x0c\x0d", "")
-    staged = staged.withColumn("__rules_l", lines)
+    lines = F.filter(F.split(f"{own}t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    plain = F.translate(f"{own}t", "\x20\x09\x0a\x0b\x0c\x0d", "")
+    staged = staged.withColumn(f"{own}l", lines)
     counts = F.struct(
-        F.col("__rules_n").alias("n_words"),
+        F.col(f"{own}n").alias("n_words"),
         F.char_length(plain).cast("long").alias("word_chars"),
-        (F.char_length("__rules_t") - F.char_length(F.translate("__rules_t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        (F.size("__rules_l") - F.size(F.array_distinct("__rules_l"))).cast("long").alias("n_dup_lines"),
+        (F.char_length(f"{own}t") - F.char_length(F.translate(f"{own}t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        (F.size(f"{own}l") - F.size(F.array_distinct(f"{own}l"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"),
     )
-    staged = staged.withColumn("_counts", counts)
-    failed = (F.col("_counts.n_words") < 10) | (100 * F.col("_counts.n_repeat_words") > 20 * F.col("_counts.n_words"))
-    return staged.withColumn("_counts", F.col("_counts").withField("base_failed", failed)).drop("__rules_t", "__rules_w", "__rules_n", "__rules_h", "__rules_p", "__rules_s", "__rules_l")
+    staged = staged.withColumn(found, counts)
+    failed = (F.col(found)["n_words"] < 10) | (100 * F.col(found)["n_repeat_words"] > 20 * F.col(found)["n_words"])
+    return staged.withColumn(found, F.col(found).withField("base_failed", failed)).drop(f"{own}t", f"{own}w", f"{own}n", f"{own}h", f"{own}p", f"{own}s", f"{own}l")
 
 
-def host_verdicts(counted: DataFrame, host: str, limit: float = HOST_LIMIT) -> DataFrame:
-    """__rules_host, n, failures, rate (posterior mean), rejected, for each host.
+def host_verdicts(counted: DataFrame, host: str, counts: str = "_counts", limit: float = HOST_LIMIT) -> DataFrame:
+    """host, n, failures, rate (posterior mean), rejected, for each host.
 
     The prior is fitted by moments over hosts with two or more documents; a
     single host, or hosts that differ no more than chance, give the weakest
     prior of the family with their mean.  Null hosts form a host of their own.
     """
-    sums = counted.groupBy(F.col(host).alias("__rules_host")).agg(F.count("*").alias("n"), F.sum(F.col("_counts.base_failed").cast("long")).alias("failures"))
+    sums = counted.groupBy(column(host).alias("host")).agg(F.count("*").alias("n"), F.sum(F.col(counts)["base_failed"].cast("long")).alias("failures"))
     sums = materialize(sums, "hosts")
     rate = F.col("failures") / F.col("n")
     fit = sums.where("n >= 2").agg(F.avg(rate).alias("mean"), F.var_samp(rate).alias("var"), F.avg(1 / F.col("n")).alias("inverse"))
@@ -82,20 +93,24 @@ def host_verdicts(counted: DataFrame, host: str, limit: float = HOST_LIMIT) -> D
     prior = fit.select(F.greatest(mean * strength, F.lit(1e-3)).alias("alpha"), F.greatest((1 - mean) * strength, F.lit(1e-3)).alias("beta"))
     one = prior.first()  # a single row
     posterior = (F.col("failures") + one.alpha) / (F.col("n") + one.alpha + one.beta)
-    return sums.select("__rules_host", "n", "failures", posterior.alias("rate"), (posterior > limit).alias("rejected"))
+    return sums.select("host", "n", "failures", posterior.alias("rate"), (posterior > limit).alias("rejected"))
 
 
-def judge(docs: DataFrame, host: str = "source", text: str = "text", limit: float = HOST_LIMIT) -> DataFrame:
-    """``docs`` with ``_counts`` and ``_kept``.
+def judge(docs: DataFrame, host: str = "source", text: str = "text", limit: float = HOST_LIMIT, carried: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``carried``) with the counts and the verdict, in
+    columns of the names of :func:`judged_names`.
 
     kept: the document passes its own rules and its host is not rejected.
     Null or repeated keys do not matter: rows are judged one by one, and the
-    verdict is looked up by host.  Counts are computed once for the sums and
-    once for the rows, which needs no shuffle of texts.
+    verdict is looked up by host; null hosts are one host.  Counts are computed
+    once and written with the carried columns.
     """
-    verdicts = host_verdicts(document_counts(docs.select(host, text), text), host, limit)
-    bad = verdicts.where("rejected").select("__rules_host", F.lit(True).alias("__rules_bad"))
+    counts, kept = judged_names(docs)
+    its, bad = unused([*docs.columns, counts, kept], "its_host", "host_bad")
+    rows = document_counts(docs.withColumn(its, column(host)), text)
+    counted = materialize(rows.select(*[column(c) for c in (docs.columns if carried is None else carried)], its, counts), "counts")
+    verdicts = host_verdicts(counted, its, counts, limit)
+    out = verdicts.where("rejected").select(F.col("host").alias(its + "_"), F.lit(True).alias(bad))
     few = verdicts.count() <= BROADCAST_HOSTS
-    counted = document_counts(docs, text)
-    joined = counted.join(F.broadcast(bad) if few else bad, F.col(host).eqNullSafe(F.col("__rules_host")), "left").drop("__rules_host")
-    return joined.withColumn("_kept", ~F.col("_counts.base_failed") & F.col("__rules_bad").isNull()).drop("__rules_bad")
+    joined = counted.join(F.broadcast(out) if few else out, F.col(its).eqNullSafe(F.col(its + "_")), "left")
+    return joined.withColumn(kept, ~F.col(counts)["base_failed"] & F.col(bad).isNull()).drop(its, its + "_", bad)

@@ -39,7 +39,7 @@ def op5_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = host_rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    judged = host_rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), carried=["doc_id"])
     return judged.select("doc_id", "_counts.*", F.col("_kept").alias("kept"))
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stavegrid.llm.common import batch_of, bucket_rows, in_filter, mix, repeat_filter, shuffle_width, slices, window_hashes, word_hashes
+from stavegrid.llm.common import batch_of, bucket_rows, column, in_filter, mapped, mix, repeat_filter, shuffle_width, slices, unused, window_hashes, word_hashes
 
 WINDOW, SYMBOL, ANCHOR = 20, 4, 10
 DEPTH = WINDOW // SYMBOL
@@ -199,7 +199,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     counts = np.zeros(1 << _TOP, np.int64)
     for r in texts.mapInArrow(histogram, "top int, n long").groupBy("top").agg(F.sum("n").alias("n")).collect():  # at most 2**_TOP
         counts[r.top] = r.n
-    buckets = max(2, shuffle_width(spark))
+    buckets = max(2, shuffle_width(spark, texts))
     more, first, tasks = prefix_plan(counts, buckets)
 
     def deal(batches):
@@ -281,13 +281,15 @@ def _cut(text: str | None, starts: bytes | None) -> tuple[int, list[bytes] | Non
     return len(words), [w for w, k in zip(words, keep.tolist()) if k]
 
 
-def with_repeats(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """``docs`` with ``__text_hash`` and ``__starts`` (null if none)."""
-    hashed = docs.withColumn("__text_hash", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    found = repeats(hashed.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col("__text_hash").alias("text_hash")))
-    found = found.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("starts").alias("__starts"))
-    same = hashed[key].cast("long").eqNullSafe(found["__doc"]) & (hashed["__text_hash"] == found["__hash"])
-    return hashed.join(found, same, "left").drop("__doc", "__hash")
+def with_repeats(docs: DataFrame, text: str, key: str, starts: str) -> DataFrame:
+    """``docs`` with a column ``starts`` (null if none)."""
+    own, of, its = unused([*docs.columns, starts], "own_hash", "window_id", "window_hash")
+    whole, id_ = column(text).cast("string"), column(key).cast("long")
+    hashed = docs.withColumn(own, F.xxhash64(F.coalesce(whole, F.lit(""))))
+    found = repeats(hashed.select(id_.alias("doc_id"), whole.alias("text"), column(own).alias("text_hash")))
+    found = found.select(F.col("doc_id").alias(of), F.col("text_hash").alias(its), F.col("starts").alias(starts))
+    same = id_.eqNullSafe(F.col(of)) & (F.col(own) == F.col(its))
+    return hashed.join(found, same, "left").select(*[column(c) for c in docs.columns], starts)
 
 
 def digest(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -309,24 +311,26 @@ def digest(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
             n, removed, sha = map(list, zip(*out)) if out else ([], [], [])
             yield batch_of(schema, doc_id=batch.column("doc_id"), n_words=n, n_removed=removed, kept_sha256=sha)
 
-    rows = with_repeats(docs.select(key, text), text, key)
-    rows = rows.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col("__starts").alias("starts"))
+    rows = with_repeats(docs.select(column(key).cast("long").alias("doc_id"), column(text).cast("string").alias("text")), "text", "doc_id", "starts")
     return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", drop_empty: bool = False) -> DataFrame:
     """``docs`` with repeated words taken out of the text; a text that changes
-    has its kept words joined by one space.  All columns and rows stay."""
+    has its kept words joined by one space.  All columns stay, whatever their
+    names, and all rows; with ``drop_empty`` a row goes that loses its last
+    word to this.  The order of rows is that of :func:`digest`."""
     names, at = docs.columns, docs.columns.index(text)
-    rows = with_repeats(docs, text, key).select(*[F.col(f"`{c}`") for c in names], "__starts")
+    rows = with_repeats(docs, text, key, *unused(names, "gone_words"))
 
     def run(batches):
         for batch in batches:
-            out = []
+            out, keep = [], []
             for t, starts in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
                 _, kept = _cut(t, starts)
                 out.append(t if kept is None else b" ".join(kept).decode("utf-8", "surrogatepass"))
-            columns = [pa.array(out, pa.string()) if k == at else batch.column(k) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                keep.append(kept is None or bool(kept) or not drop_empty)
+            columns = [pa.array(out, batch.column(k).type) if k == at else batch.column(k) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names=[str(k) for k in range(len(names))]).filter(pa.array(keep, pa.bool_()))
 
-    return rows.mapInArrow(run, docs.schema)
+    return mapped(rows, run, docs.schema)
