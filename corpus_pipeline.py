@@ -11,33 +11,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stavegrid.llm import host_rules, jaccard, linededup, packing, substring, tokens
-from stavegrid.llm.common import materialize
+from stavegrid.llm.common import column, materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass their own rules, of hosts that are not rejected."""
-    judged = materialize(host_rules.judge(docs), "judged")  # a filter pushed into the counts would compute them many times over
-    return judged.where("_kept").select(docs.columns)
+    """Documents that pass their own rules, of hosts that are not rejected.
+
+    A null or empty text has too few words and goes; a null id or host is one
+    like any other; repeated rows are judged one by one, all alike.  No rows
+    give no rows.  Other columns stay, whatever their names.
+    """
+    _, kept = host_rules.judged_names(docs)
+    return host_rules.judge(docs).where(column(kept)).select([column(c) for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-duplicate lines go; a document goes when no word is left."""
+    """Near-duplicate lines go; a document goes when no word is left.
+
+    A null or empty text stays as it is, since it loses nothing.  The first
+    line in the order of (doc_id, null last; text hash; line number) stays;
+    fully equal rows are one document and keep or lose the same lines.  No rows
+    give no rows.  Other columns stay, whatever their names.
+    """
     return linededup.deduplicate(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group stays."""
+    """The document with the smallest id of each near-duplicate group stays.
+
+    A null id comes last; among repeated ids the smaller text hash is first;
+    fully equal rows stay together.  Texts without words all stay.  No rows
+    give no rows.  Other columns stay, whatever their names.
+    """
     return jaccard.keep_first(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words in passages that also start earlier go; emptied documents go."""
-    kept = substring.deduplicate(docs.withColumn("__had", F.coalesce("text", F.lit("")) != ""))
-    return kept.where(~F.col("__had") | (F.coalesce("text", F.lit("")) != "")).select(docs.columns)
+    """Words in passages that also start earlier go; emptied documents go.
+
+    Earlier: smaller doc_id (null last), then smaller text hash, then earlier
+    place; fully equal rows are one document.  A null or empty text stays as it
+    is.  No rows give no rows.  Other columns stay, whatever their names.
+    """
+    return substring.deduplicate(docs, drop_empty=True)
 
 
 def curve_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 ids."""
+    """Pieces of sequences of 2048 ids.
+
+    A null or empty text is its end id alone; null and repeated ids are rows
+    like any other.  No rows give no pieces.
+    """
     pieces = packing.pack(docs, tokens.vocabulary_path("byte_bpe_50k.json"), length=2048, end=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
