@@ -81,8 +81,12 @@ def best_stems(runs: DataFrame, least: float) -> DataFrame:
 def confirmed_bars(bars: DataFrame, space: float) -> DataFrame:
     """Bars (page_id, staff, seq, x, top) that another near staff of the page
     repeats; all bars of a page where none is repeated, or of one staff."""
-    a, b = bars.alias("a"), bars.select("page_id", "staff", "x", "top").alias("b")
-    again = (F.col("a.page_id") == F.col("b.page_id")) & (F.col("a.staff") != F.col("b.staff")) & (F.abs(F.col("a.x") - F.col("b.x")) <= max(P.bar_match_px, P.bar_match * space)) & (F.abs(F.col("a.top") - F.col("b.top")) <= P.bar_reach * space)
+    near = max(P.bar_match_px, P.bar_match * space)
+    cell = F.floor(F.col("x") / near)  # bars that near are in the same cell or in the next
+    a = bars.withColumn("_cell", cell).alias("a")
+    b = bars.select("page_id", "staff", "x", "top", F.explode(F.array(cell - 1, cell, cell + 1)).alias("_cell")).alias("b")
+    again = (F.col("a.page_id") == F.col("b.page_id")) & (F.col("a._cell") == F.col("b._cell")) & (F.col("a.staff") != F.col("b.staff"))
+    again = again & (F.abs(F.col("a.x") - F.col("b.x")) <= near) & (F.abs(F.col("a.top") - F.col("b.top")) <= P.bar_reach * space)
     seen = a.join(b, again, "left_semi").select("page_id", "staff", "seq").withColumn("_seen", F.lit(1))
     flagged = bars.join(seen, ["page_id", "staff", "seq"], "left")
     any_seen = F.max("_seen").over(Window.partitionBy("page_id"))

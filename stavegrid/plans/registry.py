@@ -50,7 +50,6 @@ _BOXES = """boxes AS (SELECT *, x0 + w AS x1, y0 + h AS y1, w * h - CAST(round_e
   SELECT l_suppkey AS page_id, CAST(l_linenumber AS INTEGER) AS staff, l_orderkey * 10 + l_linenumber AS seq,
     CAST(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS INTEGER) AS x0, CAST(floor(l_extendedprice / 50) AS INTEGER) AS y0,
     CAST(l_quantity AS INTEGER) + 1 AS w, CAST(round_even(l_discount * 100, 0) AS INTEGER) * 4 + 3 AS h, l_tax, l_extendedprice AS score FROM lineitem))"""
-_FEW = _BOXES + ", few AS (SELECT page_id, staff, seq, x0, y0, x1, y1, area, score FROM boxes WHERE page_id % 10 = 0)"
 
 
 def _gray(spark: SparkSession, sf: str) -> DataFrame:
@@ -260,10 +259,9 @@ _NEAR_BOXES = "least(i[1].x1, k.x1) + {m} > greatest(i[1].x0, k.x0) - {m} AND le
 _BOX = ["x0", "y0", "x1", "y1"]
 
 
-@_query(_fold_sql("page_id, staff", "few", _NEAR_BOXES.format(m=3), _FEW))
+@_query(_fold_sql("page_id, staff", "boxes", _NEAR_BOXES.format(m=3), _BOXES))
 def nms1_boxes(spark, sf):
-    few = _boxes(spark, sf).where("page_id % 10 = 0")
-    return boxes.suppress(few, ["page_id", "staff"], _BOX, boxes.boxes_conflict(3)).select("page_id", "staff", "seq")
+    return boxes.suppress(_boxes(spark, sf), ["page_id", "staff"], _BOX, boxes.boxes_conflict(3)).select("page_id", "staff", "seq")
 
 
 @_query(_fold_sql("staff", "points", "abs(i[1].x - k.x) <= 43200 AND abs(i[1].y - k.y) <= 47520", _POINTS))
@@ -271,45 +269,22 @@ def nms2_notes(spark, sf):
     return boxes.suppress(_points(spark, sf), ["staff"], ["x", "y"], boxes.points_conflict(43200)).select("staff", "seq")
 
 
-@_query(_fold_sql("page_id, staff", "few", "abs((i[1].x0 + i[1].x1) * 0.5 - (k.x0 + k.x1) * 0.5) <= 80 AND abs((i[1].y0 + i[1].y1) * 0.5 - (k.y0 + k.y1) * 0.5) <= 40", _FEW))
-def nms3_ledger_lines(spark, sf):
-    few = _boxes(spark, sf).where("page_id % 10 = 0")
-    return boxes.suppress(few, ["page_id", "staff"], _BOX, boxes.centers_conflict(80, 40)).select("page_id", "staff", "seq")
-
-
-@_query(_fold_sql("page_id, staff", "few", "abs(i[1].x0 - k.x0) <= 60.5 AND abs(i[1].x1 - k.x1) <= 60.5", _FEW))
-def nms4_beam_links(spark, sf):
-    few = _boxes(spark, sf).where("page_id % 10 = 0")
-    return boxes.suppress(few, ["page_id", "staff"], ["x0", "x1"], boxes.ends_conflict(60.5)).select("page_id", "staff", "seq")
-
-
-@_query(_fold_sql("page_id", "few", "least(i[1].x1, k.x1 + 3) > greatest(i[1].x0, k.x0 - 3) AND least(i[1].y1, k.y1 + 3) > greatest(i[1].y0, k.y0 - 3)", _FEW))
-def nms5_text_regions(spark, sf):
-    few = _boxes(spark, sf).where("page_id % 10 = 0")
-    return boxes.suppress(few, ["page_id"], _BOX, boxes.one_sided_conflict(3)).select("page_id", "seq")
-
-
-# The four above and their SQL hold a tenth of the pages; these hold the whole table.
-@_query(_fold_sql("page_id, staff", "boxes", _NEAR_BOXES.format(m=3), _BOXES))
-def nms1_boxes_whole(spark, sf):
-    return boxes.suppress(_boxes(spark, sf), ["page_id", "staff"], _BOX, boxes.boxes_conflict(3)).select("page_id", "staff", "seq")
-
-
 @_query(_fold_sql("page_id, staff", "boxes", "abs((i[1].x0 + i[1].x1) * 0.5 - (k.x0 + k.x1) * 0.5) <= 80 AND abs((i[1].y0 + i[1].y1) * 0.5 - (k.y0 + k.y1) * 0.5) <= 40", _BOXES))
-def nms3_ledger_lines_whole(spark, sf):
+def nms3_ledger_lines(spark, sf):
     return boxes.suppress(_boxes(spark, sf), ["page_id", "staff"], _BOX, boxes.centers_conflict(80, 40)).select("page_id", "staff", "seq")
 
 
 @_query(_fold_sql("page_id, staff", "boxes", "abs(i[1].x0 - k.x0) <= 60.5 AND abs(i[1].x1 - k.x1) <= 60.5", _BOXES))
-def nms4_beam_links_whole(spark, sf):
+def nms4_beam_links(spark, sf):
     return boxes.suppress(_boxes(spark, sf), ["page_id", "staff"], ["x0", "x1"], boxes.ends_conflict(60.5)).select("page_id", "staff", "seq")
 
 
 @_query(_fold_sql("page_id", "boxes", "least(i[1].x1, k.x1 + 3) > greatest(i[1].x0, k.x0 - 3) AND least(i[1].y1, k.y1 + 3) > greatest(i[1].y0, k.y0 - 3)", _BOXES))
-def nms5_text_regions_whole(spark, sf):
+def nms5_text_regions(spark, sf):
     return boxes.suppress(_boxes(spark, sf), ["page_id"], _BOX, boxes.one_sided_conflict(3)).select("page_id", "seq")
 
 
+
 # --------------------------------------------------------------------- staves
 @_query(f"""WITH {_GRAY}, ink AS (SELECT page_id, y, x FROM gray WHERE g < 140), p AS (SELECT page_id, y, count(i.x) AS n FROM (SELECT DISTINCT page_id, y FROM gray) LEFT JOIN ink i USING (page_id, y) GROUP BY page_id, y),
 s AS (SELECT page_id, greatest(64 * 0.22, quantile_cont(n, 0.995) * 0.62) AS t FROM p GROUP BY page_id), h AS (SELECT p.* FROM p JOIN s USING (page_id) WHERE n > t),
@@ -517,9 +492,11 @@ def bem5_slope_segments(spark, sf):
     return marks.slope_segments(path, "staff").withColumn("slope", F.round("slope", 6))
 
 
-@_query(f"""WITH {_LINKS} SELECT staff, count(*) AS links, min("left") AS first_stem, max("right") AS last_stem, round(avg(score), 6) AS score, round(median(score), 6) AS middle FROM links GROUP BY staff""")
+@_query(f"""WITH {_LINKS} SELECT staff, count(*) AS links, min("left") AS first_stem, max("right") AS last_stem, sum(micro) / count(*) / 1e6 AS score, median(micro) / 1e6 AS middle FROM (SELECT *, CAST(round(score * 1e6) AS BIGINT) AS micro FROM links) GROUP BY staff""")
 def bem6_group_summary(spark, sf):
-    return _links(spark, sf).groupBy("staff").agg(F.count("*").alias("links"), F.min("left").alias("first_stem"), F.max("right").alias("last_stem"), F.round(F.avg("score"), 6).alias("score"), F.round(F.median("score"), 6).alias("middle"))
+    micro = F.round(F.col("score") * 1e6).cast("long")  # whole numbers add up alike in any order
+    groups = _links(spark, sf).withColumn("micro", micro).groupBy("staff").agg(F.count("*").alias("links"), F.min("left").alias("first_stem"), F.max("right").alias("last_stem"), F.sum("micro").alias("total"), F.median("micro").alias("middle"))
+    return groups.select("staff", "links", "first_stem", "last_stem", (F.col("total") / F.col("links") / 1e6).alias("score"), (F.col("middle") / 1e6).alias("middle"))
 
 
 # ---------------------------------------------------------- secondary symbols

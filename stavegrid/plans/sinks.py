@@ -8,7 +8,8 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from stavegrid.operators.page import PageDetector
 from stavegrid.sources.images import luma, png_bytes
@@ -100,10 +101,13 @@ def pdf_bytes(pages: list[np.ndarray]) -> bytes:
 
 
 def save_png(pictures: DataFrame, folder: str) -> list[str]:
-    """Write (page_id, png) to a folder of the driver, a page at a time."""
+    """Write (page_id, png) to a folder of the driver, a page at a time.  Pages of
+    one file name from different folders get the hash of their whole id as well."""
+    named = Window.partitionBy(F.element_at(F.split("page_id", "/"), -1))
     out = []
-    for row in pictures.toLocalIterator():
-        path = Path(folder) / (Path(row.page_id).name + ".png")
+    for row in pictures.withColumn("alike", F.count("*").over(named)).toLocalIterator():
+        name = Path(row.page_id).name + (f"-{zlib.crc32(row.page_id.encode()):08x}" if row.alike > 1 else "")
+        path = Path(folder) / (name + ".png")
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_bytes(bytes(row.png))
         out.append(str(path))

@@ -14,18 +14,34 @@ from pyspark.sql import functions as F
 PAGES = "page_id STRING, height INT, width INT, channels INT, data BINARY"
 
 
-def read_pages(spark: SparkSession, *paths: str) -> DataFrame:
-    """Pages (PAGES) of the first path that is given.  A page of a PDF has to be
-    rasterised first: no reader for them comes with Spark."""
+def _first(paths: tuple[str, ...]) -> str:
     path = next((p for p in paths if p), None)
     if path is None:
         raise ValueError("no input path")
     if path.lower().endswith(".pdf"):
         raise ValueError(f"{path}: rasterise PDF pages to images first")
-    image = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+    return path
+
+
+def load_pages(spark: SparkSession, paths: str | list[str], readable: bool = True) -> DataFrame:
+    """Pages (PAGES) of all paths; with ``readable`` false also files that are
+    no image, as a row of height -1."""
+    image = spark.read.format("image").option("dropInvalid", readable).load(paths).select("image.*")
     return image.select(F.col("origin").alias("page_id"), "height", "width", F.col("nChannels").alias("channels"), "data")
 
 
+def read_pages(spark: SparkSession, *paths: str) -> DataFrame:
+    """Pages (PAGES) of the first path that is given.  A page of a PDF has to be
+    rasterised first: no reader for them comes with Spark.  Files that cannot
+    be read are left out; :func:`page_status` names them."""
+    return load_pages(spark, _first(paths))
+
+
+def page_status(spark: SparkSession, *paths: str) -> DataFrame:
+    """(page_id, readable) of every file of the first path that is given."""
+    return load_pages(spark, _first(paths), False).select("page_id", (F.col("height") > 0).alias("readable"))
+
+
 def luma(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     """Gray levels of BGR(A) or gray rows: ITU-R 601 weights in 16-bit fixed point."""
     pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels)
