@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,55 +72,59 @@ def ends_conflict(reach: float) -> Callable[[Column, Column], Column]:
     return lambda a, b: (F.abs(a["x0"] - b["x0"]) <= reach) & (F.abs(a["x1"] - b["x1"]) <= reach)
 
 
-class Cluster:
-    """Boxes gathered under one growing hull."""
+class Hulls:
+    """Groups of boxes, each with the box around it, in arrays with room for n."""
 
-    __slots__ = ("members", "hull")
+    def __init__(self, n: int, px: float, py: float):
+        self.pad = np.array([-px, -py, px, py])
+        self.hull, self.wide = np.zeros((n, 4)), np.zeros((n, 4))
+        self.members: list[list] = []
 
-    def __init__(self, box):
-        self.members, self.hull = [box], tuple(box[:4])
+    def open(self, box: np.ndarray, members: list) -> None:
+        self.members.append(members)
+        self._set(len(self.members) - 1, box)
 
-    def padded(self, px: float, py: float) -> tuple[int, int, int, int]:
-        x0, y0, x1, y1 = self.hull
-        return int(x0 - px), int(y0 - py), int(x1 + px), int(y1 + py)
+    def absorb(self, k: int, box: np.ndarray, members: list) -> None:
+        self.members[k] += members
+        own = self.hull[k]
+        self._set(k, np.r_[np.minimum(own[:2], box[:2]), np.maximum(own[2:], box[2:])])
 
-    def absorb(self, boxes) -> None:
-        self.members += boxes
-        x0, y0, x1, y1 = zip(self.hull, *(b[:4] for b in boxes))
-        self.hull = min(x0), min(y0), max(x1), max(y1)
+    def _set(self, k: int, hull: np.ndarray) -> None:
+        self.hull[k], self.wide[k] = hull, np.trunc(hull + self.pad)
 
 
-def _meet(a, b) -> bool:
-    return min(a[2], b[2]) > max(a[0], b[0]) and min(a[3], b[3]) > max(a[1], b[1])
+def _meeting(boxes: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Places of the boxes that share area with one."""
+    return np.flatnonzero((np.minimum(boxes[:, 2:], one[2:]) > np.maximum(boxes[:, :2], one[:2])).all(1))
 
 
 def cluster_boxes(boxes: list, px: float, py: float) -> list[list]:
-    """Groups of boxes by closure over padded hulls: first fit from left to
-    right, then hulls that meet are joined until none do.  The order of members
-    and groups is that of absorption."""
-    clusters: list[Cluster] = []
-    for box in sorted(boxes, key=lambda b: (b[0], b[1])):
-        home = next((c for c in clusters if _meet(box, c.padded(px, py))), None)
-        if home:
-            home.absorb([box])
+    """Groups of boxes by closure over padded hulls.  From left to right a box
+    joins the first group whose padded hull it meets.  Then each group in turn
+    looks along the later ones for the next that its padded hull, as grown by
+    then, meets, until a pass over all groups joins none."""
+    rows = sorted(boxes, key=lambda b: (b[0], b[1]))
+    found = Hulls(len(rows), px, py)
+    for row, box in zip(rows, np.array([b[:4] for b in rows], float).reshape(-1, 4)):
+        home = _meeting(found.wide[: len(found.members)], box)
+        if len(home):
+            found.absorb(int(home[0]), box, [row])
         else:
-            clusters.append(Cluster(box))
-    settled = False
-    while not settled:
-        settled, done = True, []
-        for_later = clusters
-        while for_later:
-            head, rest = for_later[0], for_later[1:]
-            for_later = []
-            for other in rest:  # the hull grows while the list is walked once
-                if _meet(head.padded(px, py), other.hull):
-                    head.absorb(other.members)
-                    settled = False
-                else:
-                    for_later.append(other)
-            done.append(head)
-        clusters = done
-    return [c.members for c in clusters]
+            found.open(box, [row])
+    while True:
+        count = len(found.members)
+        passed, left = Hulls(count, px, py), np.arange(count)
+        while len(left):
+            head, left = left[0], left[1:]
+            passed.open(found.hull[head], found.members[head])
+            mine, at = len(passed.members) - 1, 0
+            while len(hits := _meeting(found.hull[left[at:]], passed.wide[mine])):
+                at += int(hits[0])
+                passed.absorb(mine, found.hull[left[at]], found.members[left[at]])
+                left = np.delete(left, at)
+        found = passed
+        if len(found.members) == count:
+            return found.members
 
 
 def merge_boxes(boxes: DataFrame, keys: list[str], px: float, py: float) -> DataFrame:
