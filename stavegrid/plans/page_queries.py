@@ -37,6 +37,14 @@ def snk1_binary_png(spark, sf):
     return binary_png(_pages(spark, sf))
 
 
+def snk7_pdf_documents(spark, sf):
+    """Twenty pages to a PDF."""
+    from stavegrid.plans.sinks import pdf_documents
+
+    number = F.element_at(F.split("page_id", "-"), -1).cast("long")
+    return pdf_documents(_pages(spark, sf).withColumn("number", number).withColumn("document", F.floor(number / 20)))
+
+
 def queries() -> dict:
     ids = dict(zip(RECORDS, ("stf1", "stf4", "acc2", "txt7", "not5", "stm1", "led1", "bar1", "sec5_rests", "sec5_beams", "bem3", "bem4", "sec5_slurs")))
     found = {f"page_{ids[name]}_{name}" if not ids[name].startswith("sec5_") else f"page_sec5_{name}": _of(name) for name in RECORDS}
@@ -47,6 +55,7 @@ def queries() -> dict:
         "snk2_documents": lambda spark, sf: pipeline.documents(_detected(spark, sf)),
         "snk4_overlay": lambda spark, sf: pipeline.overlay(_detected(spark, sf)),
         "snk5_notehead_regions": lambda spark, sf: pipeline.notehead_regions(_detected(spark, sf)),
+        "snk7_pdf_documents": snk7_pdf_documents,
         "snk6_reconstruction": lambda spark, sf: pipeline.reconstruction(_detected(spark, sf)),
     }
     return found

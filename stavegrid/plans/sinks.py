@@ -100,6 +100,18 @@ def pdf_bytes(pages: list[np.ndarray]) -> bytes:
     return out + b"xref\n0 %d\n0000000000 65535 f \n%strailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, table, len(objects) + 1, len(out))
 
 
+def pdf_documents(pages: DataFrame) -> DataFrame:
+    """(document, pages, pdf): a PDF of the pages (PAGES, with ``document`` and
+    ``number``) of each document, in the order of their numbers.  A task holds
+    one document at a time, as its reader will."""
+
+    def bind(frame: pd.DataFrame) -> pd.DataFrame:
+        rasters = [luma(p.data, p.height, p.width, p.channels) for p in frame.sort_values(["number", "page_id"]).itertuples(index=False)]
+        return pd.DataFrame({"document": [frame["document"].iloc[0]], "pages": [len(rasters)], "pdf": [pdf_bytes(rasters)]})
+
+    return pages.groupBy("document").applyInPandas(bind, "document LONG, pages LONG, pdf BINARY")
+
+
 def save_png(pictures: DataFrame, folder: str) -> list[str]:
     """Write (page_id, png) to a folder of the driver, a page at a time.  Pages of
     one file name from different folders get the hash of their whole id as well."""

@@ -201,6 +201,41 @@ def test_images(spark, tmp_path):
     assert sinks.pdf_bytes([gray, color]).startswith(b"%PDF")
 
 
+def test_pages_against_what_was_drawn():
+    """Staves, notes with their kind, stems, bars and beams of generated pages.
+    The rules also take some stems for bars, and beams' ends for notes, so the
+    share of true ones is bounded from below."""
+    good = found = 0
+    for seed in range(8):
+        sheet, truth = images.score_page(seed)
+        records = page.PageDetector(sheet).run().records
+        assert len(records["staves"]) == 2
+        near = lambda kind, staff, x, reach: [r for r in records[kind] if r["staff"] == staff and abs(r["x"] - x) <= reach]
+        for note in truth:
+            assert any(n["kind"] == note["kind"] for n in near("noteheads", note["staff"], note["x"], 4))
+            assert near("stems", note["staff"], note["x"] + 8, 4)
+        for staff in range(2):
+            for bar in (320, 616):
+                assert near("barlines", staff, bar, 3)
+        good += sum(any(t["staff"] == n["staff"] and abs(t["x"] - n["x"]) <= 4 for t in truth) for n in records["noteheads"])
+        found += len(records["noteheads"])
+    assert good >= 0.75 * found
+
+
+def test_unreadable_images_and_documents(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    sheet, _ = images.score_page(3)
+    (tmp_path / "in" / "p.png").write_bytes(images.png_bytes(sheet))
+    (tmp_path / "in" / "q.png").write_bytes(b"no image")
+    status = {r.page_id[-5:]: r.readable for r in images.page_status(spark, str(tmp_path / "in")).collect()}
+    assert status == {"p.png": True, "q.png": False}
+    assert images.read_pages(spark, str(tmp_path / "in")).count() == 1
+    pages = images.score_pages(spark, 5).selectExpr("*", "cast(right(page_id, 1) as long) as number").selectExpr("*", "number div 2 as document")
+    made = {r.document: r for r in sinks.pdf_documents(pages).collect()}
+    assert {k: r.pages for k, r in made.items()} == {0: 2, 1: 2, 2: 1}
+    assert all(bytes(r.pdf).count(b"/Type /Page ") == r.pages for r in made.values())
+
+
 def test_arrivals_are_detected_once(spark, tmp_path):
     from stavegrid.streaming import detect_arrivals
 
