@@ -117,6 +117,13 @@ class Searcher:
         self.least = np.full(len(ids), -(2**63), np.int64) if least is None else least.copy()  # the k-th best so far
         self.found = [np.zeros(0, np.int64)] * 3  # query's row, score, id
         self.met = self.scored = 0
+        self.step = 64  # few rows at first, which raise the scores to beat
+
+    def offer_all(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        at = 0
+        while at < len(ids):
+            self.offer(ids[at : at + self.step], rows[at : at + self.step])
+            at, self.step = at + self.step, min(2 * self.step, _CHUNK)
 
     def offer(self, ids: np.ndarray, rows: np.ndarray) -> None:
         width = max(self.queries.shape[1], rows.shape[1])
@@ -187,9 +194,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, key: s
                 if not len(searcher.ids):
                     continue
                 usable, x = scaled_vectors(batch.column("v"), scale)
-                own = batch.column("id").to_numpy()[usable]
-                for a in range(0, len(own), _CHUNK):
-                    searcher.offer(own[a : a + _CHUNK], x[a : a + _CHUNK])
+                searcher.offer_all(batch.column("id").to_numpy()[usable], x)
             of, value, which = searcher.found
             yield batch_of(schema, query_id=searcher.ids[of], vec_id=which, score=value)
 

@@ -63,8 +63,7 @@ def test_bounds_drop_most_pairs():
     ids = table.column("vec_id").to_numpy()[usable]
     asked = ids % 50 == 0
     searcher = topk.Searcher(ids[asked], x[asked], 5, topk.starting_scores(x[asked], 5))
-    for k in range(0, len(ids), 100):
-        searcher.offer(ids[k : k + 100], x[k : k + 100])
+    searcher.offer_all(ids, x)
     assert searcher.met == asked.sum() * len(ids)
     assert searcher.scored < 0.35 * searcher.met
     score = x[asked] @ x.T
