@@ -249,22 +249,32 @@ def repeats(docs: DataFrame) -> DataFrame:
             yield from flush()
 
     def grow(batches):
-        held: dict[int, list] = {}
+        """Trees of the groups one after the other: rows come sorted by group."""
+
+        def tree(group):
+            s, doc, d = _joined(group)
+            s, doc, common = _tree(s, d, doc)
+            later = _leaves(s, doc, common, d)[1]
+            return _place_blobs(doc[later], s["pos"][later], d, buckets)
+
+        group, here = [], None
         for batch in batches:
             for t, records, table, lost in zip(*(c.to_pylist() for c in batch.columns)):
                 s, d = np.frombuffer(records, GONE if lost else SUFFIX), np.frombuffer(table, DOC)
                 if lost:
                     yield from _place_blobs(s["doc"].astype(np.int64), s["pos"], d, buckets)
-                else:
-                    held.setdefault(t, []).append((s, d))
-        while held:
-            s, doc, d = _joined(held.popitem()[1])
-            s, doc, common = _tree(s, d, doc)
-            later = _leaves(s, doc, common, d)[1]
-            yield from _place_blobs(doc[later], s["pos"][later], d, buckets)
+                    continue
+                if t != here and group:
+                    yield from tree(group)
+                    group = []
+                here = t
+                group.append((s, d))
+        if group:
+            yield from tree(group)
 
     dealt = docs.select("doc_id", "text", "text_hash").mapInArrow(deal, "task int, suffixes binary, docs binary, gone boolean")
-    places = dealt.repartition(max(2, min(tasks, 4 * buckets)), "task").mapInArrow(grow, "bucket int, places binary, docs binary")
+    dealt = dealt.repartition(max(2, min(tasks, 4 * buckets)), "task").sortWithinPartitions("task")
+    places = dealt.mapInArrow(grow, "bucket int, places binary, docs binary")
     return places.repartition(buckets, "bucket").mapInArrow(_by_document, "doc_id long, text_hash long, starts binary")
 
 
