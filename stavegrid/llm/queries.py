@@ -15,47 +15,102 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 ids along the curve.
+
+    A null or empty text is its end id alone; null and repeated ids are rows
+    like any other; a very long text is cut over many sequences.  No rows give
+    no pieces.
+    """
     pieces = packing.pack(_table(spark, sf_dir, "documents"), tokens.vocabulary_path(BYTE_BPE), length=2048, end=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op2_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best scores of each query against all other rows.
+
+    Rows with a null id or an unusable vector take no part; ties go to the
+    smaller vec_id; a repeated row takes a rank each time.  No rows or no
+    queries give no rows.
+    """
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
 def op3_best_fit_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of near equal bytes.
+
+    Equal texts stay together, a null text with the empty ones; repeated ids
+    and rows take a slot each.  No rows give no rows.
+    """
     rows = sharding.shard_rows(_table(spark, sf_dir, "documents"), shards=16)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op4_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page.
+
+    A null or empty page has an empty text; a page without a readable host has
+    no templates; repeated rows give repeated results.  No rows give no rows.
+    """
     return html.extract(_table(spark, sf_dir, "pages"))
 
 
 def op5_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and checksums of ids read back from Simple-8b files.
+
+    A null or empty text is its end id alone; null ids come first, repeated ids
+    in the order of their texts.  No rows give no rows.
+    """
     path = tokens.vocabulary_path(WORD_BPE)
     blocks = simple8b.write_ids(_table(spark, sf_dir, "documents"), lambda: tokens.word_end_encoder(path), end=2)
     return simple8b.read_ids(blocks).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, own rules and the host's verdict of every document.
+
+    A null or empty text has no words and fails; null hosts are one host;
+    repeated rows are judged alike.  No rows give no rows.
+    """
     judged = host_rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), carried=["doc_id"])
     return judged.select("doc_id", "_counts.*", F.col("_kept").alias("kept"))
 
 
 def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text's ids and of what they decode to.
+
+    A null or empty text has no ids; null and repeated ids are rows like any
+    other.  No rows give no rows.
+    """
     return automaton.encode_decode_digest(_table(spark, sf_dir, "documents"), tokens.vocabulary_path(BYTE_BPE))
 
 
 def op8_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without words of repeated windows.
+
+    Null, empty and short texts lose nothing; a null id comes last, repeated
+    ids go by the hash of their text, equal rows are one document.  No rows
+    give no rows.
+    """
     return substring.digest(_table(spark, sf_dir, "documents"))
 
 
 def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without near duplicates of earlier lines.
+
+    Null and empty texts have no lines, and lines of white space stay; a null
+    id comes last, repeated ids go by the hash of their text, equal rows are
+    one document.  No rows give no rows.
+    """
     return linededup.digest(_table(spark, sf_dir, "documents"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document's shingle set and its component.
+
+    A null or empty text has no shingles and is alone; equal sets and repeated
+    rows are linked; a null id names a component only of null ids.  No rows
+    give no rows.
+    """
     return jaccard.classes(_table(spark, sf_dir, "documents"))
 
 
