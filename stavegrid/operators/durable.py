@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -9,8 +10,11 @@ from pyspark.sql import DataFrame
 
 def cut(df: DataFrame) -> DataFrame:
     """``df.checkpoint()``; the folder is the session's ``spark.checkpoint.dir``,
-    and one is made only where none is set."""
+    and one is made only where none is set on one machine (tests)."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stavegrid-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="stavegrid-"))
     return df.checkpoint()
