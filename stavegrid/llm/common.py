@@ -3,6 +3,7 @@ vectorised word hashing and hash-partitioned blobs."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -33,11 +34,14 @@ _powers: list[np.ndarray] = []
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is absent (tests, one machine) is a folder made.
+    Only where the setting is absent on one machine (tests) is a folder made;
+    on a cluster it has to be set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         known = spark.sparkContext.getCheckpointDir()
+        if not known and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = known or "file://" + tempfile.mkdtemp(prefix="stavegrid-")
         if not known:
             spark.sparkContext.setCheckpointDir(folder)
