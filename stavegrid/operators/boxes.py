@@ -102,8 +102,27 @@ def cluster_boxes(boxes: list, px: float, py: float) -> list[list]:
     """Groups of boxes by closure over padded hulls.  From left to right a box
     joins the first group whose padded hull it meets.  Then each group in turn
     looks along the later ones for the next that its padded hull, as grown by
-    then, meets, until a pass over all groups joins none."""
-    rows = sorted(boxes, key=lambda b: (b[0], b[1]))
+    then, meets, until a pass over all groups joins none.
+
+    A sweep first cuts the boxes where no padded hull reaches across, so that
+    only boxes of one stretch are held against each other.
+    """
+    out: list[list] = []
+    stretch: list = []
+    end = 0
+    for box in sorted(boxes, key=lambda b: (b[0], b[1])):
+        if stretch and box[0] >= int(end + px) and int(box[0] - px) >= end:
+            out += _clustered(stretch, px, py)
+            stretch = []
+        end = max(end, box[2]) if stretch else box[2]
+        stretch.append(box)
+    return out + _clustered(stretch, px, py)
+
+
+def _clustered(rows: list, px: float, py: float) -> list[list]:
+    """The groups of one stretch; rows in order."""
+    if len(rows) < 2:
+        return [[r] for r in rows]
     found = Hulls(len(rows), px, py)
     for row, box in zip(rows, np.array([b[:4] for b in rows], float).reshape(-1, 4)):
         home = _meeting(found.wide[: len(found.members)], box)

@@ -105,11 +105,12 @@ def test_margins(spark):
 def brute_clusters(rows, px, py):
     groups = [[r] for r in sorted(rows)]
     hull = lambda g: (min(r[0] for r in g), min(r[1] for r in g), max(r[2] for r in g), max(r[3] for r in g))
+    meet = lambda a, b: min(a[2], b[2]) > max(a[0], b[0]) and min(a[3], b[3]) > max(a[1], b[1])
     while True:
         for i, g in enumerate(groups):
             for j, other in enumerate(groups):
                 h, o = hull(g), hull(other)
-                if i != j and boxes._meet((int(h[0] - px), int(h[1] - py), int(h[2] + px), int(h[3] + py)), o):
+                if i != j and meet((int(h[0] - px), int(h[1] - py), int(h[2] + px), int(h[3] + py)), o):
                     groups = [x for k, x in enumerate(groups) if k not in (i, j)] + [g + other]
                     break
             else:
