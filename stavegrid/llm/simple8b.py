@@ -100,6 +100,18 @@ def decode(words: np.ndarray, n: int) -> np.ndarray:
     return out[:n]
 
 
+def decode_lanes(words: np.ndarray, lanes: np.ndarray, n: int, first: int = 0, many: int | None = None, lane: int = LANE) -> np.ndarray:
+    """The ids of the lanes ``first`` to ``first + many`` of a block of n ids, from their own words alone."""
+    last = len(lanes) if many is None else min(len(lanes), first + many)
+    if first >= last:
+        return np.zeros(0, np.uint64)
+    end = lanes[last] if last < len(lanes) else len(words)
+    return decode(words[lanes[first] : end], min(n, last * lane) - first * lane)
+
+
+#: Lanes that a reader decodes at once, which bounds its memory.
+_RUN = 256
+
 FILE_SCHEMA = "part int, before long, doc_id array<long>, n_ids array<long>, lanes array<long>, words binary"
 
 
@@ -138,7 +150,9 @@ def read_ids(blocks: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 count = np.array(row["n_ids"], np.int64)
-                ids = decode(np.frombuffer(row["words"], "<u8"), int(count.sum())).astype("<u4")
+                words, lanes, n = np.frombuffer(row["words"], "<u8"), np.array(row["lanes"], np.int64), int(count.sum())
+                runs = [decode_lanes(words, lanes, n, k, _RUN).astype("<u4") for k in range(0, len(lanes), _RUN)]
+                ids = np.concatenate(runs) if runs else np.zeros(0, "<u4")
                 at = np.r_[0, np.cumsum(count)]
                 yield batch_of(
                     schema,

@@ -134,6 +134,17 @@ def test_simple8b_round_trip(ids):
         assert simple8b.decode(words[first:end], len(own)).tolist() == own
 
 
+def test_lanes_are_read_alone():
+    rng = np.random.default_rng(4)
+    ids = rng.integers(0, 1 << 62, 5000, dtype=np.uint64) >> rng.integers(0, 62, 5000).astype(np.uint64)
+    words, lanes = simple8b.encode(ids, lane=100)
+    assert len(lanes) == 50
+    for first, many in ((0, 50), (0, 1), (49, 1), (7, 12), (48, 9), (50, 1), (3, None)):
+        want = ids[first * 100 : (50 if many is None else first + many) * 100]
+        assert (simple8b.decode_lanes(words, lanes, 5000, first, many, 100) == want).all()
+    assert len(simple8b.decode_lanes(*simple8b.encode(ids[:0]), 0)) == 0
+
+
 def test_simple8b_files(spark):
     docs = cases.awkward_documents(spark)
     found = simple8b.read_ids(simple8b.write_ids(docs, lambda: tokens.word_end_encoder(WORD), end=2)).collect()
