@@ -7,7 +7,7 @@ that space is its sort key, so that documents alike are neighbours.  The token
 stream along the curve is cut every ``length`` ids: only the very last sequence
 can be short.
 
-One small pass finds key ranges of like weight and the ids before each; the
+One small pass finds key ranges of like numbers of ids and the ids before each; the
 second pass deals ids by range, sorts each range and cuts it on its own.
 Texts are tokenized in both, which costs less than keeping all ids in the
 shared folder between them.
@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stavegrid.llm.common import batch_of, materialize, shuffle_width, slices
+from stavegrid.llm.common import batch_of, column, discard, materialize, shuffle_width, slices
 from stavegrid.llm.tokens import byte_level_encoding
 
 DIMENSIONS, BITS = 4, 10
+#: Edges to choose from for each range of ids.
+_FINER = 8
 
 
 def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -81,8 +83,8 @@ def pack(docs: DataFrame, path: str, length: int = 2048, end: int = 1, text: str
     and share no piece.  Other columns are not carried.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    parts = max(2, shuffle_width(spark))
+    rows = docs.select(column(key).cast("long").alias("doc_id"), column(text).cast("string").alias("text"))
+    parts = max(2, shuffle_width(spark, rows))
     low = -(1 << 63)
 
     def tokenized(batches):
@@ -100,31 +102,29 @@ def pack(docs: DataFrame, path: str, length: int = 2048, end: int = 1, text: str
             yield batch_of(schema, doc=doc.fill_null(low), curve=curve, n=[len(f) + 1 for f in found])
 
     small = materialize(rows.mapInArrow(keys, "doc long, curve long, n long"), "keys")  # else sampling the ranges tokenizes again
-    small = materialize(small.repartitionByRange(parts, "curve", "doc").withColumn("part", F.spark_partition_id()), "curve")
-    ranges = sorted(
-        (r.part, r.first.curve, r.first.doc, r.n)
-        for r in small.groupBy("part").agg(F.min(F.struct("curve", "doc")).alias("first"), F.sum("n").alias("n")).collect()
-    )  # as many as parts
-    edges = [(c, d) for _, c, d, _ in ranges]
-    before = np.r_[0, np.cumsum([n for *_, n in ranges])].tolist()
+    every = small.agg(F.sum("n")).first()[0] or 0
+    edges, before = _ranges(small, parts, max(1, every // (_FINER * parts)))
+    discard(small)
+    homes = _homes(spark, parts)
 
     def deal(batches):
         from bisect import bisect_right
 
-        schema = pa.schema([("part", pa.int32()), ("curve", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
+        schema = pa.schema([("home", pa.int32()), ("part", pa.int32()), ("wide", pa.bool_()), ("curve", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
         for doc, found, curve in tokenized(batches):
             place = [max(0, bisect_right(edges, (c, low if d is None else d)) - 1) for c, d in zip(curve.tolist(), doc.to_pylist())]
-            yield batch_of(schema, part=place, curve=curve, doc_id=doc, ids=[np.append(f, end).astype("<u2").tobytes() for f in found])
+            kind = "<u2" if byte_level_encoding(path).max_token_value < 1 << 16 and end < 1 << 16 else "<u4"
+            yield batch_of(schema, home=[homes[k] for k in place], part=place, wide=[kind == "<u4"] * len(place), curve=curve, doc_id=doc, ids=[np.append(f, end).astype(kind).tobytes() for f in found])
 
     def cut(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
         here, position = None, 0
         for batch in batches:
             out: list[tuple] = []
-            for part, doc, raw in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
+            for part, wide, doc, raw in zip(*(batch.column(c).to_pylist() for c in ("part", "wide", "doc_id", "ids"))):
                 if part != here:
-                    here, position = part, before[part_index[part]]
-                ids = np.frombuffer(raw, "<u2").astype("<u4")
+                    here, position = part, before[part]
+                ids = np.frombuffer(raw, "<u4" if wide else "<u2").astype("<u4")
                 start = 0
                 while start < len(ids):
                     take = min(len(ids) - start, length - position % length)
@@ -136,7 +136,50 @@ def pack(docs: DataFrame, path: str, length: int = 2048, end: int = 1, text: str
             if out:
                 yield batch_of(schema, **dict(zip(schema.names, map(list, zip(*out)))))
 
-    part_index = list(range(len(ranges)))
-    dealt = rows.mapInArrow(deal, "part int, curve long, doc_id long, ids binary").repartition(parts, "part")
+    dealt = rows.mapInArrow(deal, "home int, part int, wide boolean, curve long, doc_id long, ids binary").repartition(parts, "home")
     dealt = dealt.sortWithinPartitions("part", "curve", F.col("doc_id").asc_nulls_first(), F.octet_length("ids"), "ids")
-    return dealt.select("part", "doc_id", "ids").mapInArrow(cut, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return dealt.select("part", "wide", "doc_id", "ids").mapInArrow(cut, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+
+
+def _ranges(small: DataFrame, parts: int, quantum: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """First (curve, doc) of each range of about equal ids along the curve, and
+    the ids before it.  Rows are dealt in ranges of equal rows, each of which
+    names a possible edge after every ``quantum`` ids; the driver gets a few
+    edges for each part."""
+    schema = pa.schema([("range", pa.int32()), ("curve", pa.int64()), ("doc", pa.int64()), ("n", pa.int64())])
+
+    def mark(batches):
+        open_, held, last = None, 0, None
+        for batch in batches:
+            for r, c, d, n in zip(*(batch.column(k).to_pylist() for k in ("range", "curve", "doc", "n"))):
+                if held >= quantum and (c, d) != last:
+                    yield batch_of(schema, range=[open_[0]], curve=[open_[1]], doc=[open_[2]], n=[held])
+                    held = 0
+                if not held:
+                    open_ = (r, c, d)
+                held, last = held + n, (c, d)
+        if held:
+            yield batch_of(schema, range=[open_[0]], curve=[open_[1]], doc=[open_[2]], n=[held])
+
+    fine = small.repartitionByRange(parts, "curve", "doc").withColumn("range", F.spark_partition_id()).sortWithinPartitions("curve", "doc")
+    found = sorted(map(tuple, fine.select("range", "curve", "doc", "n").mapInArrow(mark, "range int, curve long, doc long, n long").collect()))
+    share = sum(n for *_, n in found) / parts
+    edges, before, total = [], [], 0
+    for _, c, d, n in found:
+        if total >= share * len(edges):  # ids before it reach the next part's share
+            edges.append((c, d))
+            before.append(total)
+        total += n
+    return edges, before
+
+
+def _homes(spark, parts: int) -> list[int]:
+    """A number for each partition that hash partitioning puts there, so that no two ranges meet in one task."""
+    out: dict[int, int] = {}
+    begin = 0
+    while len(out) < parts:
+        some = spark.range(begin, begin + 16 * parts).select(F.col("id").cast("int").alias("k"))
+        for r in some.select("k", F.pmod(F.hash("k"), F.lit(parts)).alias("p")).collect():  # a few for each partition
+            out.setdefault(r.p, r.k)
+        begin += 16 * parts
+    return [out[p] for p in range(parts)]
