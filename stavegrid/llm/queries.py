@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stavegrid.llm import automaton, host_rules, html, jaccard, linededup, packing, sharding, simple8b, substring, tokens, topk
+from stavegrid.llm import automaton, centroids, host_rules, html, jaccard, linededup, mixing, negatives, packing, sharding, simple8b, substring, tokens, topk
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -114,6 +114,39 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(_table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector's centroid after ten rounds.
+
+    Vectors null, of another length than 64, or with a component null or not
+    finite are left out; ties go to the smaller number; a null id comes last
+    among the first centroids; repeated rows count each time.  No rows give no
+    rows.
+    """
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"), k=8, rounds=10, d=64, scale=1024.0, seed=3)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten negatives for each of the five positives of each anchor.
+
+    Rows with a null id or label or an unusable vector take no part; ties go to
+    the smaller vec_id; a repeated anchor id is one anchor, other repeated rows
+    take a place each.  No rows or no anchors give no rows.
+    """
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label, positives=5, negatives=10, low=30, high=90)
+
+
+def op13_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes.
+
+    A null or empty text has no words and gives none; a null source is one
+    source, the last; null and repeated ids are rows like any other.  No rows
+    give no rows.
+    """
+    rows = mixing.copies(_table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3)
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
@@ -128,6 +161,9 @@ def queries() -> dict:
             op8_suffix_trees,
             op9_fuzzy_lines,
             op10_jaccard_join,
+            op11_centroids,
+            op12_hard_negatives,
+            op13_systematic_mix,
         )
     }
 
@@ -231,5 +267,78 @@ FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN least l ON w.doc_id = l.a
 """
 
 
+_USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _op11(rounds: int = 10) -> str:
+    """Each round a pair of tables: vectors with their centroid, and the new centroids."""
+    steps = [
+        f"""v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE len(embedding) = 64 AND {_USABLE}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS k, e FROM v ORDER BY k LIMIT 8)"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, v.e, k, list_dot_product(v.e, v.e) - 2 * list_dot_product(v.e, c.e) + list_dot_product(c.e, c.e) AS d FROM v, c{r} c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, k) = 1)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (SELECT k, i, floor(sum(x) / count(*)) AS x FROM (SELECT k, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM a{r}) GROUP BY k, i),
+c{r + 1} AS MATERIALIZED (SELECT c.k, coalesce(n.e, c.e) AS e FROM c{r} c LEFT JOIN (SELECT k, list(x ORDER BY i) AS e FROM m{r} GROUP BY k) n USING (k))""")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(c.e, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c USING (k)"""
+
+
+_OP12 = f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_USABLE}
+), s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+_OP13 = rf"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 1 + (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 AS weight FROM d GROUP BY source
+), r AS (
+  SELECT *, 3 * source_size AS cap, row_number() OVER w AS k, CAST(sum(source_size) OVER () AS BIGINT) AS total,
+    sum(3 * source_size) OVER w AS spent, sum(weight) OVER () - sum(weight) OVER w AS weighs, lead(3 * source_size) OVER w AS next_cap, lead(weight) OVER w AS next_weight
+  FROM s WINDOW w AS (ORDER BY 3 * source_size / weight, source)
+), starts AS (
+  SELECT 0 AS k, 0 AS spent, (SELECT sum(weight) FROM s) AS weighs, (SELECT cap FROM r WHERE k = 1) AS next_cap, (SELECT weight FROM r WHERE k = 1) AS next_weight
+  UNION ALL SELECT k, spent, weighs, next_cap, next_weight FROM r
+), level AS (
+  SELECT k, CAST((SELECT max(total) FROM r) - spent AS DOUBLE) AS rest, CAST(weighs AS DOUBLE) AS weighs FROM starts
+  WHERE next_cap IS NULL OR next_cap * weighs >= next_weight * ((SELECT max(total) FROM r) - spent) ORDER BY k LIMIT 1
+), t AS (
+  SELECT r.source, source_size, CASE WHEN r.k <= level.k THEN CAST(cap AS DOUBLE) ELSE weight * rest / level.weighs END AS target,
+    (CAST('0x' || substr(sha256('13:' || coalesce('=' || r.source, '')), 1, 5) AS BIGINT) + 0.5) / 1048576.0 AS start
+  FROM r, level
+), o AS (
+  SELECT doc_id, size, source_size, target, CAST(start AS DOUBLE) AS start, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+    row_number() OVER (PARTITION BY d.source ORDER BY size DESC, doc_id) AS place
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target, CAST(size * least(3, floor(start + place * rate) - floor(start + (place - 1) * rate)) AS BIGINT) AS taken FROM o
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_segment_topk": _OP2, "op6_host_rules": _OP6, "op8_suffix_trees": _OP8, "op10_jaccard_join": _OP10}
+    return {
+        "op2_segment_topk": _OP2,
+        "op6_host_rules": _OP6,
+        "op8_suffix_trees": _OP8,
+        "op10_jaccard_join": _OP10,
+        "op11_centroids": _op11(),
+        "op12_hard_negatives": _OP12,
+        "op13_systematic_mix": _OP13,
+    }
