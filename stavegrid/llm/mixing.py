@@ -16,40 +16,40 @@ counts before it are added to the places within.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stavegrid.llm.common import column, materialize, shuffle_width, unused
+from stavegrid.llm.common import column, discard, materialize, shuffle_width, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def numbered(rows: DataFrame, keys: list[Column], order: list[Column], place: str, group: list[str] | None = None) -> DataFrame:
-    """``rows``, written, with their place (from 1) in ``order`` among all rows or
-    within ``group`` (columns equal where ``keys`` are equal; null is one value).
+def range_dealt(rows: DataFrame, part: str, name: str, *order: Column) -> DataFrame:
+    """``rows`` range-sorted into partitions and written with their partition's
+    number, so that all that reads them sees the same partitions."""
+    dealt = rows.repartitionByRange(shuffle_width(rows.sparkSession, rows), *order)
+    return materialize(dealt.withColumn(part, F.spark_partition_id()), name)
+
+
+def places(dealt: DataFrame, part: str, place: str, order: list[Column], group: list[str] | None = None) -> DataFrame:
+    """``dealt`` (range-sorted by group, then order) with each row's place, from 1,
+    among the rows that are equal in the columns ``group`` (null is one value).
 
-    A range sort by keys and order, and counts by partition: no group is in one
-    task.  The table is written before it is counted, so that both read the same
-    partitions."""
-    group = group or []
-    part, many, before, near = unused(rows.columns, "part", "many", "before", "near")
-    spark = rows.sparkSession
-    dealt = rows.repartitionByRange(shuffle_width(spark, rows), *keys, *order)
-    dealt = materialize(dealt.withColumn(part, F.spark_partition_id()), f"numbered-{uuid.uuid4().hex[:6]}")
-    of = [column(g) for g in group]
+    Rows are counted by partition and group, and the counts of earlier partitions
+    are added to the places within; no group is in one task."""
+    many, before, near = unused([*dealt.columns, place], "many", "before", "near")
+    of = [column(g) for g in group or []]
     counts = dealt.groupBy(part, *of).agg(F.count("*").alias(many))  # a row for each partition and group in it
     earlier = Window.partitionBy(*of).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    names = unused([*dealt.columns, many, before, near, place], *[f"g{k}" for k in range(len(of) + 1)])
     counts = counts.withColumn(before, F.coalesce(F.sum(many).over(earlier), F.lit(0)))
-    names = unused([*dealt.columns, before], *[f"g{k}" for k in range(len(group))], "p")
-    counts = counts.select(*[c.alias(n) for c, n in zip(of, names)], column(part).alias(names[-1]), before)
-    same = column(part) == column(names[-1])
-    for c, n in zip(of, names):
+    counts = counts.select(*[c.alias(n) for c, n in zip([*of, column(part)], names)], before)
+    same = F.lit(True)
+    for c, n in zip([column(part), *of], [names[-1], *names]):
         same = same & c.eqNullSafe(column(n))
     inner = Window.partitionBy(part, *of).orderBy(*order)
     out = dealt.withColumn(near, F.row_number().over(inner)).join(counts, same)
-    return out.select(*[column(c) for c in rows.columns], (column(near) + column(before)).alias(place))
+    return out.select(*[column(c) for c in dealt.columns if c != part], (column(near) + column(before)).alias(place))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
@@ -60,8 +60,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> Dat
     The level, size a unit of weight, only rises, and the driver gets two sums a
     round.  Sources go by code point, null last, and weigh ``weights`` in turn.
     """
-    byte_order = [F.col("source").isNull(), F.encode("source", "utf-8"), F.col("source")]
-    placed = numbered(sizes, [F.lit(0)], byte_order, "place")
+    order = [F.col("source").isNull(), F.encode("source", "utf-8")]
+    placed = places(range_dealt(sizes, "part", "mixing-order", *order), "part", "place", order)
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod(F.col("place") - 1, F.lit(len(weights))) + 1).cast("int"))
     shared = materialize(placed.withColumn("weight", weight.cast("long")).withColumn("cap", F.col("source_size") * most), "mixing-sources")
     total = shared.agg(F.sum("source_size")).first()[0] or 0
@@ -86,44 +86,42 @@ def offset(source: Column, seed: int) -> Column:
 
 
 def copies(
-    docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 13,
+    docs: DataFrame, carried: list[str], weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 13,
     text: str = "text", key: str = "doc_id", source: str = "source",
-) -> DataFrame:
-    """doc_id, source, text_hash, size, source_size, target, copies for every row.
+) -> tuple[DataFrame, list[str]]:
+    """Every row of ``docs``, the columns ``carried`` of it, with four columns more
+    and their names: size, source_size, target, copies.
 
     Size is the number of words, none for a null text.  Ties of size go by id
     (null last), then by the text's hash; fully equal rows are alike, whichever
     of them is taken once more.  A null source is one source, the last.  A source
-    without words takes nothing.  No rows give no rows.
+    without words takes nothing.  Columns of any name are kept.  No rows give no
+    rows.
     """
+    size, whole, target, times, id_, of, hash_, tie, part, place, named = unused(docs.columns, "size", "source_size", "target", "copies", "id", "of", "hash", "tie", "part", "place", "named")
     words = F.coalesce(F.regexp_count(column(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    slim = docs.select(
-        column(key).cast("long").alias("doc_id"), column(source).cast("string").alias("source"),
-        F.xxhash64(column(text).cast("string")).alias("text_hash"), words.alias("size"),
+    own = docs.select(
+        *[column(c) for c in carried], column(key).cast("string").alias(id_), column(source).cast("string").alias(of),
+        F.xxhash64(column(text).cast("string")).alias(hash_), words.alias(size), F.monotonically_increasing_id().alias(tie),
     )
-    slim = slim.withColumn("tie", F.monotonically_increasing_id())
-    order = [F.col("size").desc(), F.col("doc_id").asc_nulls_last(), F.col("text_hash"), F.col("tie")]
-    placed = numbered(slim, [F.col("source")], order, "place", ["source"])
-    targets = source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    of = targets.select(F.col("source").alias("named"), "source_size", "target")
-    rows = placed.join(of, F.col("source").eqNullSafe(F.col("named")), "left")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    upto = lambda place: F.floor(offset(F.col("source"), seed) + place * rate)
-    taken = F.least(upto(F.col("place")) - upto(F.col("place") - 1), F.lit(most))
-    return rows.select("doc_id", "source", "text_hash", "size", "source_size", "target", taken.cast("long").alias("copies"))
-
-
-def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", **options) -> DataFrame:
+    number = F.expr(f"try_cast({id_} AS decimal(38, 0))")  # ids in the order of numbers where they are numbers
+    order = [F.col(size).desc(), number.asc_nulls_last(), F.col(id_).asc_nulls_last(), F.col(hash_), F.col(tie)]
+    counted = materialize(own, "mixing-sizes")
+    dealt = range_dealt(counted, part, "mixing", F.col(of), *order)
+    discard(counted)
+    sums = materialize(source_targets(dealt.groupBy(F.col(of).alias("source")).agg(F.sum(size).alias("source_size")), weights, most), "mixing-targets")
+    sums = sums.select(F.col("source").alias(named), F.col("source_size").alias(whole), F.col("target").alias(target))
+    rows = places(dealt, part, place, order, [of]).join(sums, F.col(of).eqNullSafe(F.col(named)), "left")
+    rate = F.when(F.col(whole) > 0, F.col(target) / F.col(whole)).otherwise(0.0)
+    upto = lambda at: F.floor(offset(F.col(of), seed) + at * rate)
+    taken = F.least(upto(F.col(place)) - upto(F.col(place) - 1), F.lit(most)).cast("long")
+    return rows.select(*[column(c) for c in carried], size, whole, target, taken.alias(times)), [size, whole, target, times]
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, all columns, each as often as
-    :func:`copies` says, with ``copy`` (from 1).  Rows that agree in id, source
-    and text take turns."""
-    id_, of, hash_, turn, first, last = unused(docs.columns, "id", "of", "hash", "turn", "first", "last")
-    own = docs.withColumn(id_, column(key).cast("long")).withColumn(of, column(source).cast("string")).withColumn(hash_, F.xxhash64(column(text).cast("string")))
-    equal = Window.partitionBy(id_, of, hash_).orderBy(F.lit(0))
-    own = own.withColumn(turn, F.row_number().over(equal))
-    counted = copies(docs, text=text, key=key, source=source, **options).where("copies > 0")
-    counted = counted.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "source", "text_hash").orderBy(F.col("copies").desc())))
-    same = column(id_).eqNullSafe(F.col("doc_id_")) & column(of).eqNullSafe(F.col("source_")) & (column(hash_) == F.col("hash_")) & (column(turn) == F.col("n_"))
-    counted = counted.select(F.col("doc_id").alias("doc_id_"), F.col("source").alias("source_"), F.col("text_hash").alias("hash_"), F.col("n").alias("n_"), F.col("copies").alias("copies_"))
-    copy = unused(docs.columns, "copy")[0]
-    return own.join(counted, same).select(*[column(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies_").cast("int"))).alias(copy))
+    :func:`copies` says, with one column more, ``copy`` (from 1)."""
+    rows, (_, _, _, times) = copies(docs, docs.columns, **options)
+    copy = unused(rows.columns, "copy")[0]
+    repeated = F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))).alias(copy)
+    return rows.where(F.col(times) > 0).select(*[column(c) for c in docs.columns], repeated)

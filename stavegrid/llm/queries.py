@@ -143,8 +143,9 @@ def op13_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, the last; null and repeated ids are rows like any other.  No rows
     give no rows.
     """
-    rows = mixing.copies(_table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3)
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    rows, (size, whole, target, times) = mixing.copies(docs, ["doc_id"], weights=(1, 2, 3), most=3)
+    return rows.select("doc_id", F.col(size).alias("size"), F.col(whole).alias("source_size"), F.col(target).alias("target"), (F.col(times) * F.col(size)).alias("taken"))
 
 
 def queries() -> dict:
