@@ -45,9 +45,10 @@ def unpack_vectors(values: pa.Array, d: int) -> np.ndarray:
 
 
 def whole_vectors(vectors: DataFrame, d: int, scale: float, key: str, vector: str) -> DataFrame:
-    """(id, v): floor(scale * x) of the vectors with d components, none null or not finite."""
+    """(id, v): floor(scale * x) of the vectors with d components, none null or not
+    finite (times ``scale``, as a double)."""
     value = column(vector).cast("array<double>")
-    usable = value.isNotNull() & (F.size(value) == d) & ~F.exists(value, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    usable = value.isNotNull() & (F.size(value) == d) & ~F.exists(value, lambda x: x.isNull() | F.isnan(x) | (F.abs(x * scale) == float("inf")))
 
     def run(batches):
         for batch in batches:
@@ -76,7 +77,7 @@ class Screen:
         self.exact = centroids
         near = np.array(centroids, float)
         squares = [sum(v * v for v in c) for c in centroids]
-        self.square = np.array([float(s) for s in squares])
+        self.square = np.array([float(s) if s < 1 << 1023 else np.inf for s in squares])
         self.length = np.sqrt(self.square) * (1 + 2.0**-40)
         with np.errstate(over="ignore"):
             self.single = near.astype(np.float32).T.copy()

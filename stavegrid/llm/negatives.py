@@ -152,7 +152,7 @@ def _search(buckets: DataFrame, blocks: list[DataFrame], k: int, same: bool, nam
     for n, block in enumerate(blocks):
         held = block.toArrow()  # BLOCK anchors or so
         ids, labels = held.column("id").to_numpy(), held.column("label").to_numpy()
-        limits = [np.array(held.column(c).to_pylist(), np.int64).reshape(len(ids), -1) for c in ("low", "high")]
+        limits = [np.array(held.column(c).to_pylist(), np.int64).reshape(len(ids), -1 if len(ids) else 1) for c in ("low", "high")]
         shared = spark.sparkContext.broadcast((ids, labels, held.column("v").to_pylist(), *limits, k, same))
 
         def run(batches, shared=shared):
