@@ -29,12 +29,14 @@ def _query(sql: str | None = None):
 
 
 def queries() -> dict:
-    from stavegrid.plans import page_queries
+    from stavegrid.plans import note_queries, page_queries  # noqa: F401
 
     return {**_QUERIES, **page_queries.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
+    from stavegrid.plans import note_queries  # noqa: F401
+
     return dict(_SQL)
 
 
