@@ -1,20 +1,23 @@
 """Repeated passages by prefix-partitioned suffix trees.
 
-The suffixes are those that start a window of ``WINDOW`` words, read as symbols
-of four words each, so the window is the path of five symbols from the root.
+The suffixes are those that start a window of ``WINDOW`` words.  An edge of four
+words leads from the root, and a second one down to the whole window.  The second
+is labelled by two hashes of all its words, 96 bits: the first is linear in the
+words' 64-bit hashes, so windows that differ in one word never share it.
 
 1.  A window's minimizer (its least hash of ten words in a row) also names
     every other place of the same window, so only windows whose minimizer is
     found twice can repeat; the others are left out.  The filter is a bit map
     of fixed size, and a false bit only lets a suffix through.
-2.  Suffixes are split by prefix: the leading bits of the first symbol, and
-    where those have too many suffixes as many bits of the second and third as
-    the count asks for, so that each group fits in memory.  A task first drops
+2.  Suffixes are split by prefix: the leading bits of the first edge, and
+    where those have too many suffixes as many bits of the second as the count
+    asks for, so that each group fits in memory.  A task first drops
     what it has itself seen earlier, so a passage that everyone quotes costs
     one suffix a task.
 3.  Each group's suffixes are sorted, which with the common prefix lengths of
-    neighbours is its suffix tree.  Below an internal node of depth five all
-    leaves but the first are repeats.
+    neighbours is its suffix tree.  Below an internal node of window depth all
+    leaves but the first are repeats; those that follow one another in a document
+    make up its maximal repeated passages (:func:`passages`).
 """
 
 from __future__ import annotations
@@ -29,14 +32,14 @@ from pyspark.sql import functions as F
 from stavegrid.llm.common import batch_of, bucket_rows, column, in_filter, mapped, mix, repeat_filter, shuffle_width, slices, unused, window_hashes, word_hashes
 
 WINDOW, SYMBOL, ANCHOR = 20, 4, 10
-DEPTH = WINDOW // SYMBOL
+#: Edges from the root to a whole window.
+DEPTH = 2
 #: Suffixes that one group may have.
 GROUP = 1 << 21
 _TOP = 12
 
-#: As sent: 96 bits of five symbols, so that unequal windows of a corpus of
-#: 10**12 words are taken for equal with a probability of 10**-5.
-SUFFIX = np.dtype([("s0", "<u4"), ("s1", "<u2"), ("s2", "<u2"), ("s3", "<u2"), ("s4", "<u2"), ("doc", "<u2"), ("pos", "<u4")])
+#: As sent: the first edge, and the second one's two hashes.
+SUFFIX = np.dtype([("s0", "<u4"), ("s1", "<u8"), ("s2", "<u4"), ("doc", "<u2"), ("pos", "<u4")])
 GONE = np.dtype([("doc", "<u2"), ("pos", "<u4")])
 DOC = np.dtype([("null", "u1"), ("doc", "<i8"), ("text", "<i8")])
 
@@ -106,20 +109,20 @@ def prefix_plan(counts: np.ndarray, tasks: int, group: int = GROUP) -> tuple[np.
 
 def _group(s: np.ndarray, more: np.ndarray, first: np.ndarray) -> np.ndarray:
     top = (s["s0"] >> np.uint32(32 - _TOP)).astype(np.int64)
-    further = mix(s["s1"].astype(np.uint64)) ^ (mix(s["s2"].astype(np.uint64) + np.uint64(1)) * (more[top] > 8).astype(np.uint64))
-    return first[top] + (further & ((np.uint64(1) << more[top].astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+    return first[top] + (s["s1"] & ((np.uint64(1) << more[top].astype(np.uint64)) - np.uint64(1))).astype(np.int64)
 
 
 def _tree(suffixes: np.ndarray, docs: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The sorted suffixes and their documents with the common prefix length (in symbols) of each
+    """The sorted suffixes and their documents with the common prefix length (in edges) of each
     with the one before: the tree's internal nodes are its intervals."""
     rank = np.empty(len(docs), np.int64)
     rank[np.lexsort((docs["text"], docs["doc"], docs["null"]))] = np.arange(len(docs))
-    order = np.lexsort((suffixes["pos"], rank[doc], *(suffixes[f"s{k}"] for k in range(DEPTH - 1, -1, -1))))
+    order = np.lexsort((suffixes["pos"], rank[doc], suffixes["s2"], suffixes["s1"], suffixes["s0"]))
     s = suffixes[order]
     common, same = np.zeros(len(s), np.int64), np.ones(max(0, len(s) - 1), bool)
-    for k in range(DEPTH):
-        same = same & (s[f"s{k}"][1:] == s[f"s{k}"][:-1])
+    for edge in (("s0",), ("s1", "s2")):
+        for part in edge:
+            same = same & (s[part][1:] == s[part][:-1])
         common[1:] += same
     return s, doc[order], common
 
@@ -177,13 +180,13 @@ def _by_document(batches):
         yield batch_of(_GONE, doc_id=pa.array(own["doc"], pa.int64(), mask=own["null"] > 0), text_hash=own["text"], starts=starts)
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, log2_bits: int = 27) -> DataFrame:
     """(doc_id, text_hash, starts): windows of ``docs`` (doc_id, text,
     text_hash) that also start earlier, a row a document, as a blob of word
-    positions."""
+    positions.  ``log2_bits``: size of the filter's bit map."""
     spark = docs.sparkSession
     texts = docs.select("text")
-    wanted = spark.sparkContext.broadcast(repeat_filter(texts, _anchors, 2))
+    wanted = spark.sparkContext.broadcast(repeat_filter(texts, _anchors, 2, log2_bits))
 
     def histogram(batches):
         total = np.zeros(1 << _TOP, np.int64)
@@ -225,11 +228,10 @@ def repeats(docs: DataFrame) -> DataFrame:
             at = at[in_filter(wanted.value, least[at])]
             if not len(at):
                 continue
-            symbols = window_hashes(words, SYMBOL)
             s = np.empty(len(at), SUFFIX)
-            s["s0"] = symbols[at] >> np.uint64(32)
-            for k in range(1, DEPTH):
-                s[f"s{k}"] = symbols[at + k * SYMBOL] >> np.uint64(48)
+            s["s0"] = window_hashes(words, SYMBOL)[at] >> np.uint64(32)
+            s["s1"] = window_hashes(words, WINDOW)[at]
+            s["s2"] = window_hashes(mix(words + np.uint64(1)), WINDOW)[at] >> np.uint64(32)
             of = np.searchsorted(first_word, at, "right") - 1
             s["pos"] = at - first_word[of]
             used, of = np.unique(of, return_inverse=True)
@@ -291,18 +293,38 @@ def _cut(text: str | None, starts: bytes | None) -> tuple[int, list[bytes] | Non
     return len(words), [w for w, k in zip(words, keep.tolist()) if k]
 
 
-def with_repeats(docs: DataFrame, text: str, key: str, starts: str) -> DataFrame:
+def with_repeats(docs: DataFrame, text: str, key: str, starts: str, log2_bits: int = 27) -> DataFrame:
     """``docs`` with a column ``starts`` (null if none)."""
     own, of, its = unused([*docs.columns, starts], "own_hash", "window_id", "window_hash")
     whole, id_ = column(text).cast("string"), column(key).cast("long")
     hashed = docs.withColumn(own, F.xxhash64(F.coalesce(whole, F.lit(""))))
-    found = repeats(hashed.select(id_.alias("doc_id"), whole.alias("text"), column(own).alias("text_hash")))
+    found = repeats(hashed.select(id_.alias("doc_id"), whole.alias("text"), column(own).alias("text_hash")), log2_bits)
     found = found.select(F.col("doc_id").alias(of), F.col("text_hash").alias(its), F.col("starts").alias(starts))
     same = id_.eqNullSafe(F.col(of)) & (F.col(own) == F.col(its))
     return hashed.join(found, same, "left").select(*[column(c) for c in docs.columns], starts)
 
 
-def digest(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def passages(docs: DataFrame, text: str = "text", key: str = "doc_id", log2_bits: int = 27) -> DataFrame:
+    """doc_id, start, n_words: the maximal passages of every row that its repeated
+    windows cover, places and lengths in words.  Rows without any give none; the
+    order of rows is that of :func:`digest`."""
+    rows = with_repeats(docs.select(column(key).cast("long").alias("doc_id"), column(text).cast("string").alias("text")), "text", "doc_id", "starts", log2_bits)
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_words", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for i, starts in zip(batch.column("doc_id").to_pylist(), batch.column("starts").to_pylist()):
+                at = np.sort(np.frombuffer(starts, "<u4").astype(np.int64))
+                edge = np.flatnonzero(np.r_[True, np.diff(at) > WINDOW])
+                out += [(i, int(a), int(b - a) + WINDOW) for a, b in zip(at[edge], at[np.r_[edge[1:], len(at)] - 1])]
+            if out:
+                yield batch_of(schema, **dict(zip(schema.names, map(list, zip(*out)))))
+
+    return rows.where("starts is not null").select("doc_id", "starts").mapInArrow(run, "doc_id long, start long, n_words long")
+
+
+def digest(docs: DataFrame, text: str = "text", key: str = "doc_id", log2_bits: int = 27) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row.
 
     Earlier: smaller doc_id (null comes last), then smaller text hash among
@@ -321,17 +343,17 @@ def digest(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
             n, removed, sha = map(list, zip(*out)) if out else ([], [], [])
             yield batch_of(schema, doc_id=batch.column("doc_id"), n_words=n, n_removed=removed, kept_sha256=sha)
 
-    rows = with_repeats(docs.select(column(key).cast("long").alias("doc_id"), column(text).cast("string").alias("text")), "text", "doc_id", "starts")
+    rows = with_repeats(docs.select(column(key).cast("long").alias("doc_id"), column(text).cast("string").alias("text")), "text", "doc_id", "starts", log2_bits)
     return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", drop_empty: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", drop_empty: bool = False, log2_bits: int = 27) -> DataFrame:
     """``docs`` with repeated words taken out of the text; a text that changes
     has its kept words joined by one space.  All columns stay, whatever their
     names, and all rows; with ``drop_empty`` a row goes that loses its last
     word to this.  The order of rows is that of :func:`digest`."""
     names, at = docs.columns, docs.columns.index(text)
-    rows = with_repeats(docs, text, key, *unused(names, "gone_words"))
+    rows = with_repeats(docs, text, key, *unused(names, "gone_words"), log2_bits)
 
     def run(batches):
         for batch in batches:

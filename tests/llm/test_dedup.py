@@ -119,6 +119,39 @@ def test_substring_edges(spark):
     assert found == [(-1, 0, 0), (-1, 40, 40), (1, 2, 0), (1, 40, own), (1, 40, own), (7, 2, 0)]  # equal rows are one document
 
 
+def test_windows_that_differ_in_one_word(spark):
+    """Also where any four of their words share their first 16 bits of hash."""
+    import pyarrow as pa
+
+    from stavegrid.llm.common import window_hashes, word_hashes
+
+    lead = " ".join(f"lead{k}" for k in range(16))
+    seen, rows = {}, []
+    for k in range(3000):
+        words, _ = word_hashes(pa.array([f"same words here v{k}"]))
+        short = int(window_hashes(words, 4)[0] >> np.uint64(48))
+        if short in seen:
+            n = len(rows) // 2
+            rows += [(2 * n, f"{n} {lead} {seen[short]}"), (2 * n + 1, f"{n} {lead} same words here v{k}")]
+        seen.setdefault(short, f"same words here v{k}")
+    assert len(rows) > 40
+    docs = spark.createDataFrame([(i, " ".join(t.split()[:1] + t.split()[2:])) for i, t in rows], "doc_id long, text string")
+    assert {r.n_removed for r in substring.digest(docs).collect()} == {0}
+
+
+def test_passages(spark):
+    docs = cases.awkward_documents(spark)
+    want = []
+    for k, kept in brute_substrings({r.doc_id: r.text for r in docs.collect()}).items():
+        want.append((k, len(words_of(cases.awkward_texts()[k])) - len(kept)))
+    found = defaultdict(int)
+    for r in substring.passages(docs).collect():
+        assert r.n_words >= 20
+        found[r.doc_id] += r.n_words
+    assert dict(found) == {k: n for k, n in want if n}
+    assert substring.passages(cases.no_documents(spark)).count() == 0
+
+
 def test_prefix_plan_splits_heavy_prefixes():
     counts = np.array([5, 900, 3, 0, 40])
     more, first, tasks = substring.prefix_plan(counts, 4, group=100)
