@@ -2,12 +2,14 @@
 
 Each page is parsed into a tree, and each element that can carry boilerplate
 gets a hash of its whole subtree.  Hashes are counted by host; subtrees that
-recur on LEAST_PAGES different pages of a host are its template and are deleted
-from the whole tree, however large the host is.  Inside an article a subtree
-must recur in articles that differ otherwise: near copies of an article share a
-sketch and count as one, so that copying does not delete it.  Headings, items and cells
-are not deleted there on their own.  Elements whose tag, role or class says that
-they are no part of an article go too; of the articles, those with text left count.
+recur on LEAST_PAGES different pages of a host are its template and are deleted,
+however large the host is.  Pages count as different by a sketch of their text
+around the subtree, so near copies of a page count as one and copying deletes
+nothing.  What recurs outside articles is deleted outside articles only, what
+recurs in different articles inside them only.  Inside articles paragraphs,
+headings, items and cells are not deleted on their own, and a page's only article
+never is.  Elements whose tag, role or class says that they are no part of an
+article go too; of the articles, those with text left count.
 """
 
 from __future__ import annotations
@@ -23,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stavegrid.llm.common import batch_of, materialize, slices
+from stavegrid.llm.common import batch_of, column, materialize, slices
 
 #: A subtree on this many different pages of a host is template; inside articles
 #: the different ones must also be this share of those that hold it.
 LEAST_PAGES, LEAST_SHARE = 5, 0.2
-#: Template subtrees up to this count are broadcast, 8 bytes and a host name each.
+#: Smallest hashes of word triples that make up a sketch.
+SKETCH = 4
+#: Template subtrees up to this count are broadcast, 9 bytes and a host name each.
 BROADCAST_TEMPLATES = 500_000
 
 # Element names of the HTML standard by their role here.
@@ -38,7 +42,7 @@ _BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Inside articles these mean something only within their whole.
-_PARTS = set("h1 h2 h3 h4 h5 h6 li dd dt td th tr tbody thead tfoot caption figcaption legend summary".split())
+_PARTS = set("p pre blockquote h1 h2 h3 h4 h5 h6 li dd dt td th tr tbody thead tfoot caption figcaption legend summary".split())
 _NO_ARTICLE = set("head script style textarea title noscript iframe noembed noframes template nav footer aside form button select option datalist input svg canvas audio video object map menu dialog search".split())
 _NO_ROLE = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist status".split())
 _NO_CLASS = set(
@@ -183,54 +187,128 @@ def _candidate(e: Element, inside: bool) -> bool:
     return bool(e.chars) and e.parent is not None and e.name in _BLOCK and not e.holds_article and e.name not in ("html", "head", "body", "main") and not (inside and e.name in _PARTS)
 
 
-def _sketch(region: Element) -> int:
-    """The least hash of the region's word triples; near copies mostly share it."""
-    words = _WHITE.sub(" ", " ".join(p for e in _order(region) for p in e.parts if isinstance(p, str))).encode("utf-8", "surrogatepass").split()
-    return min(crc32(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2)))
+def _text_spans(root: Element) -> tuple[list[int], dict[Element, tuple[int, int]]]:
+    """Hashes of all word triples of the tree's text in document order, and each
+    element's [first, end) among the words."""
+    words: list[bytes] = []
+    spans: dict[Element, tuple[int, int]] = {}
+    stack: list = [root]
+    while stack:
+        item = stack.pop()
+        if isinstance(item, str):
+            words += _WHITE.sub(" ", item).encode("utf-8", "surrogatepass").split()
+        elif isinstance(item, tuple):
+            spans[item[0]] = (item[1], len(words))
+        else:
+            stack.append((item, len(words)))
+            stack += reversed(item.parts)
+    return [crc32(b" ".join(words[i : i + 3])) for i in range(len(words))], spans
+
+
+def _running_least(hashes: list[int]) -> list[tuple[int, ...]]:
+    """For each k the SKETCH smallest different ones of the first k hashes."""
+    out: list[tuple[int, ...]] = [()]
+    for h in hashes:
+        least = out[-1]
+        if len(least) < SKETCH or h < least[-1]:
+            least = tuple(sorted({*least, h})[:SKETCH])
+        out.append(least)
+    return out
 
 
-def subtrees(root: Element) -> set[tuple[bytes, bool, int]]:
-    """(key, inside, rest): each candidate of a hashed tree, and what tells its
-    page from others.  That is the page's hash outside articles, and the
-    article's sketch inside; an article stands beside the page's other ones."""
-    out, regions, own = set(), [], int.from_bytes(root.key, "little", signed=True)
-    stack = [root]
+class Around:
+    """Sketches of the text of a region, the words [low, high), without one of its subtrees."""
+
+    def __init__(self, hashes: list[int], low: int, high: int):
+        self.low, self.high = low, high
+        self.before, self.after = _running_least(hashes[low:high]), _running_least(hashes[low:high][::-1])
+
+    def of(self, span: tuple[int, int]) -> int:
+        least = sorted({*self.before[span[0] - self.low], *self.after[self.high - span[1]]})[:SKETCH]
+        return int.from_bytes(blake2b(repr(least).encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def _regions(root: Element) -> list[Element]:
+    """The outermost articles and main elements."""
+    out, stack = [], [root]
     while stack:
         e = stack.pop()
         if e.name in ("article", "main"):
-            regions.append((e, _sketch(e)))
-            continue
-        if _candidate(e, False):
-            out.add((e.key, False, own))
-        stack += [p for p in e.parts if not isinstance(p, str)]
-    for k, (region, sketch) in enumerate(regions):
-        others = [s for m, (_, s) in enumerate(regions) if m != k]
-        if others and _candidate(region, False):
-            out.add((region.key, True, min(others)))
-        out |= {(e.key, True, sketch) for e in _order(region)[1:] if _candidate(e, True)}
+            out.append(e)
+        else:
+            stack += [p for p in e.parts if not isinstance(p, str)]
     return out
 
 
+def _deletable(root: Element, regions: list[Element]):
+    """(element, inside, region) of all candidates of a hashed tree; a region of
+    its own is one (inside) where it stands beside others."""
+    stack: list[tuple[Element, Element | None]] = [(root, None)]
+    while stack:
+        e, region = stack.pop()
+        for p in e.parts:
+            if isinstance(p, str):
+                continue
+            if region is None and p.name in ("article", "main"):
+                if len(regions) > 1 and _candidate(p, False):
+                    yield p, True, None
+                stack.append((p, p))
+            else:
+                if _candidate(p, region is not None):
+                    yield p, region is not None, region
+                stack.append((p, region))
+
+
+def subtrees(root: Element) -> set[tuple[bytes, bool, int]]:
+    """(key, inside, rest): each candidate of a hashed tree, and a sketch of what
+    stands around it: the page's text for candidates outside articles and for
+    articles beside others, the article's for those inside it."""
+    regions = _regions(root)
+    hashes, spans = _text_spans(root)
+    page, own = Around(hashes, 0, len(hashes)), {r: Around(hashes, *spans[r]) for r in regions}
+    return {(e.key, inside, (page if r is None else own[r]).of(spans[e])) for e, inside, r in _deletable(root, regions)}
+
+
 def delete_subtrees(root: Element, template: frozenset | set) -> None:
-    """Takes the template's subtrees out of a hashed tree, with the articles that
-    hold nothing else."""
-    stack, emptied = [(root, False)], []
+    """Takes the template's subtrees (key, inside) out of a hashed tree, with the
+    articles that hold nothing else; if that leaves no article, nothing of the
+    articles is deleted."""
+    regions = _regions(root)
+    gone: dict[Element, bool] = {e: inside for e, inside, _ in _deletable(root, regions) if (e.key, inside) in template}
+    if not gone:
+        return
+
+    def left(e: Element) -> int:  # what stays of a region
+        if e in gone:
+            return 0
+        chars, stack = e.chars, [e]
+        while stack:
+            for p in stack.pop().parts:
+                if not isinstance(p, str):
+                    if p in gone:
+                        chars -= p.chars
+                    else:
+                        stack.append(p)
+        return chars
+
+    kept = [r for r in regions if left(r)]
+    if any(r.chars for r in regions) and not kept:
+        gone = {e: inside for e, inside in gone.items() if not inside}
+        kept = [r for r in regions if r.chars]
+    emptied = {r for r in regions if r not in kept}
+    stack = [root]
     while stack:
-        e, inside = stack.pop()
-        inside = inside or e.name in ("article", "main")
-        gone = {p for p in e.parts if not isinstance(p, str) and p.key in template and _candidate(p, inside)}
-        if gone:
-            e.parts = [Element(p.name, frozenset(), e) if p in gone else p for p in e.parts]
-            up, chars = e, sum(p.chars for p in gone)
-            while up:
-                up.chars -= chars
-                if not up.chars and up.name in ("article", "main") and up.parent:
-                    emptied.append(up)
-                up = up.parent
-        stack += [(p, inside) for p in e.parts if not isinstance(p, str)]
-    for e in emptied:
-        e.parent.parts = [p for p in e.parent.parts if p is not e]
-    for e in reversed(_order(root) if emptied else []):
+        e = stack.pop()
+        parts = []
+        for p in e.parts:
+            if not isinstance(p, str):
+                if p in emptied or p in gone:
+                    parts.append(Element(p.name if p not in emptied else "div", frozenset(), e))
+                    continue
+                stack.append(p)
+            parts.append(p)
+        e.parts = parts
+    for e in reversed(_order(root)):
         e.holds_article = any(p.holds_article or _opens_article(p) for p in e.parts if not isinstance(p, str))
 
 
@@ -318,7 +396,7 @@ def template_subtrees(pages: DataFrame, url: str = "url", html: str = "html") ->
     a host, see :func:`subtrees`.  A task sends each of them once a page, with
     its count; sums are taken in two steps, so that a menu that a host has on
     all its pages is no single task's work."""
-    rows = pages.select(F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
+    rows = pages.select(column(url).cast("string").alias("url"), column(html).cast("string").alias("html"))
     schema = pa.schema([("host", pa.string()), ("key", pa.binary()), ("inside", pa.bool_()), ("rest", pa.int64()), ("n", pa.int64())])
 
     def sent(seen: Counter):
@@ -345,12 +423,12 @@ def template_subtrees(pages: DataFrame, url: str = "url", html: str = "html") ->
     apart = counts.groupBy("host", "key", "inside", "rest").agg(F.sum("n").alias("n"))
     found = apart.groupBy("host", "key", "inside").agg(F.count("*").alias("different"), F.sum("n").alias("n"))
     many = (F.col("different") >= LEAST_PAGES) & (~F.col("inside") | (F.col("different") >= LEAST_SHARE * F.col("n")))
-    return found.where(many).select("host", "key").distinct()
+    return found.where(many).select("host", "key", "inside")
 
 
 def _held(rows: DataFrame, templates: DataFrame) -> DataFrame:
     """host, page, keys: the template subtrees that a page holds; pages by hash."""
-    schema = pa.schema([("host", pa.string()), ("page", pa.string()), ("key", pa.binary())])
+    schema = pa.schema([("host", pa.string()), ("page", pa.string()), ("key", pa.binary()), ("inside", pa.bool_())])
 
     def run(batches):
         for whole in batches:
@@ -360,30 +438,34 @@ def _held(rows: DataFrame, templates: DataFrame) -> DataFrame:
                     if host is not None:
                         root = parse(page or "")
                         hash_subtrees(root)
-                        out += [(host, name, key) for key in {key for key, _, _ in subtrees(root)}]
-                yield batch_of(schema, host=[r[0] for r in out], page=[r[1] for r in out], key=[r[2] for r in out])
+                        out += [(host, name, key, inside) for key, inside in {(e.key, inside) for e, inside, _ in _deletable(root, _regions(root))}]
+                yield batch_of(schema, **{f: [r[k] for r in out] for k, f in enumerate(schema.names)})
+
+    keys = rows.select("host", "page", "html").mapInArrow(run, "host string, page string, key binary, inside boolean")
+    return keys.join(templates, ["host", "key", "inside"]).groupBy("host", "page").agg(F.collect_set(F.struct("key", "inside")).alias("keys"))
+
 
-    keys = rows.select("host", "page", "html").mapInArrow(run, "host string, page string, key binary")
-    return keys.join(templates, ["host", "key"]).groupBy("host", "page").agg(F.collect_set("key").alias("keys"))
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", key: str = "page_id") -> DataFrame:
     """page_id, url, text, n_chars of every page, rows one by one.
 
     A null page gives an empty text; a page without a host has no template;
-    repeated rows give repeated results.  Pages are parsed twice, so that no
+    repeated rows give repeated results; an id that is no whole number is null.  Pages are parsed twice, so that no
     page is shuffled unless templates outgrow BROADCAST_TEMPLATES; then a page
     is joined with those of its own subtrees that are template.
     """
     spark = pages.sparkSession
     templates = materialize(template_subtrees(pages, url, html), "templates")
-    rows = pages.select(F.col(key).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
+    rows = pages.select(F.expr(f"try_cast({_quoted(key)} AS bigint)").alias("page_id"), column(url).cast("string").alias("url"), column(html).cast("string").alias("html"))
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
     shared = None
     if templates.count() <= BROADCAST_TEMPLATES:
         by_host: dict[str, set] = {}
         for r in templates.toLocalIterator():
-            by_host.setdefault(r.host, set()).add(bytes(r.key))
+            by_host.setdefault(r.host, set()).add((bytes(r.key), r.inside))
         shared = spark.sparkContext.broadcast(by_host)
     else:
         rows = rows.withColumn("host", F.udf(host_of, "string")("url")).withColumn("page", F.sha2("html", 256))
@@ -393,13 +475,13 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", key: str = "
         for whole in batches:
             for batch in slices(whole, "html"):
                 urls = batch.column("url").to_pylist()
-                template = [shared.value.get(host_of(u), ()) for u in urls] if shared else [set(map(bytes, k or ())) for k in batch.column("keys").to_pylist()]
+                template = [shared.value.get(host_of(u), ()) for u in urls] if shared else [{(bytes(k["key"]), k["inside"]) for k in keys or ()} for keys in batch.column("keys").to_pylist()]
                 out = []
                 for page, t in zip(batch.column("html").to_pylist(), template):
                     tree = parse(page or "")
                     if t:
                         hash_subtrees(tree)
                     out.append(main_text(tree, t))
-                yield batch_of(schema, page_id=batch.column("page_id").cast(pa.int64()), url=urls, text=out, n_chars=[len(t) for t in out])
+                yield batch_of(schema, page_id=batch.column("page_id"), url=urls, text=out, n_chars=[len(t) for t in out])
 
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

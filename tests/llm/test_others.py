@@ -228,19 +228,99 @@ def test_templates_inside_articles(spark):
     r = np.random.default_rng(9)
     words = lambda n: " ".join(f"w{k}" for k in r.integers(0, 5000, n))
     own = [words(40) for _ in range(12)]
-    pages = [(k, f"http://a.example/{k}", f"<article><h2>Summary</h2><p>{t}</p><div><p>Subscribe now</p></div><p>Share <b>this</b></p></article>") for k, t in enumerate(own)]
+    pages = [(k, f"http://a.example/{k}", f"<article><h2>Summary</h2><p>{t}</p><div><p>Subscribe now</p></div><p>A line of many</p></article>") for k, t in enumerate(own)]
     base = words(300).split()
     near = [" ".join(w if r.random() > 0.01 else "edited" for w in base) for _ in range(60)]
     pages += [(100 + k, f"http://a.example/n{k}", f"<article><p>A passage of all copies.</p><p>{t}</p></article>") for k, t in enumerate(near)]
     pages += [(200 + k, f"http://b.example/{k}", f"<article><p>{t}</p></article><article><p>Read this too</p></article>") for k, t in enumerate(own)]
-    pages += [(300 + k, f"http://a.example/d{k}", f"<article><p>Share <b>this</b></p></article><div>Text {k} beside it</div>") for k in range(2)]
     found = {p.page_id: p.text for p in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     for k, t in enumerate(own):
-        assert found[k] == f"Summary\n\n{t}"
+        assert found[k] == f"Summary\n\n{t}\n\nA line of many"
         assert found[200 + k] == t
     for k, t in enumerate(near):
         assert found[100 + k] == f"A passage of all copies.\n\n{t}"
-    assert [found[300 + k] for k in range(2)] == ["Text 0 beside it", "Text 1 beside it"]
+
+
+@pytest.fixture(params=[500_000, -1], ids=["broadcast", "join"])
+def either_path(request, monkeypatch):
+    monkeypatch.setattr(html, "BROADCAST_TEMPLATES", request.param)
+
+
+def texts_of(spark, pages):
+    return {p.page_id: p.text for p in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+
+
+def prose(seed, n=40):
+    r = np.random.default_rng(seed)
+    return " ".join(f"w{k}" for k in r.integers(0, 5000, n))
+
+
+def test_teased_articles_keep_their_text(spark, either_path):
+    """What is template outside articles stays inside them."""
+    lede = f"<div>{prose(1)}</div>"
+    pages = [(k, f"http://a.example/{k}", f"<div class='teaser'>{lede}</div><article><p>{prose(10 + k)}</p></article>") for k in range(6)]
+    pages.append((50, "http://a.example/own", f"<article>{lede}<p>{prose(2)}</p></article>"))
+    assert texts_of(spark, pages)[50] == f"{prose(1)}\n\n{prose(2)}"
+
+
+def test_an_only_article_stays(spark, either_path):
+    """A post that stands second on other pages keeps its text on its own page."""
+    post = f"<article><div>{prose(1)}</div></article>"
+    pages = [(k, f"http://a.example/{k}", f"<article><p>{prose(10 + k)}</p></article>{post}") for k in range(6)]
+    pages.append((50, "http://a.example/own", f"<div>Menu</div>{post}"))
+    found = texts_of(spark, pages)
+    assert found[50] == prose(1) and found[3] == prose(13)
+
+
+def test_copies_without_an_article_stay(spark, either_path):
+    """Pages that are equal but for a time stamp count as one."""
+    body = "".join(f"<div>{prose(k, 60)}</div>" for k in range(4))
+    pages = [(k, f"http://a.example/{k}", f"<body>{body}<div>Printed at 10:{k:02}</div></body>") for k in range(6)]
+    found = texts_of(spark, pages)
+    assert all(all(prose(k, 60) in t for k in range(4)) for t in found.values())
+
+
+def test_paragraphs_of_many_articles_stay(spark, either_path):
+    shared = prose(1, 30)
+    pages = [(k, f"http://a.example/{k}", f"<nav>Home</nav><article><h1>{prose(90 + k, 3)}</h1><p>{prose(10 + k)}</p><p>{shared}</p></article><footer>f</footer>") for k in range(20)]
+    assert texts_of(spark, pages) == {k: f"{prose(90 + k, 3)}\n\n{prose(10 + k)}\n\n{shared}" for k in range(20)}
+
+
+def test_pages_by_another_parser(spark, either_path):
+    """Small pages against the standard library's parser and a count of subtrees
+    by their text, host by host."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self, page):
+            super().__init__()
+            self.rows, self.path = [], []
+            self.feed(page)
+
+        def handle_starttag(self, tag, attributes):
+            self.path.append(tag)
+            self.rows.append([tag, "", tuple(self.path)])
+
+        def handle_endtag(self, tag):
+            self.path.pop()
+
+        def handle_data(self, text):
+            self.rows[-1][1] += text
+
+    r = np.random.default_rng(5)
+    notes = [f"Note {k} {prose(700 + k, 3)}" for k in range(9)]
+    pages = []
+    for k in range(80):
+        before, within = (r.choice(9, 2, replace=False) for _ in range(2))
+        inner = "".join(f"<section>{notes[j]}</section>" for j in within)
+        pages.append((k, f"http://{'abc'[k % 3]}.example/{k}", "".join(f"<div>{notes[j]}</div>" for j in before) + f"<article><p>{prose(k)}</p>{inner}</article>"))
+    held = Counter()
+    for _, url, page in pages:
+        held.update((url[:8], t) for tag, t, path in Reader(page).rows if tag == "section")
+    found = texts_of(spark, pages)
+    for k, url, page in pages:
+        kept = [t for tag, t, path in Reader(page).rows if path[0] == "article" and t and not (tag == "section" and held[url[:8], t] >= html.LEAST_PAGES)]
+        assert found[k] == "\n\n".join(kept)
 
 
 # -------------------------------------------------------------- host rules

@@ -109,7 +109,7 @@ def test_extraction(spark, duck):
     for (host, inside), keys in held.items():
         for key, rests in keys.items():
             if len(set(rests)) >= html.LEAST_PAGES and (not inside or len(set(rests)) >= html.LEAST_SHARE * len(rests)):
-                template[host].add(key)
+                template[host].add((key, inside))
     for r in rows:
         u, h = pages[r.page_id]
         tree = html.parse(h)
