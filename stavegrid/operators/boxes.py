@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,25 +98,60 @@ def _meeting(boxes: np.ndarray, one: np.ndarray) -> np.ndarray:
     return np.flatnonzero((np.minimum(boxes[:, 2:], one[2:]) > np.maximum(boxes[:, :2], one[:2])).all(1))
 
 
+def _meeting_pairs(b: np.ndarray, px: float, py: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of boxes, sorted by left side, whose gaps are at most the pads: a
+    sweep that looks right from each box as far as it reaches."""
+    ends = np.searchsorted(b[:, 0], b[:, 2] + px, "right")
+    n = np.maximum(ends - np.arange(len(b)) - 1, 0)
+    i = np.repeat(np.arange(len(b)), n)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + i + 1
+    close = (b[j, 1] <= b[i, 3] + py) & (b[i, 1] <= b[j, 3] + py)
+    return i[close], j[close]
+
+
+def closed_sets(b: np.ndarray, px: float, py: float) -> np.ndarray:
+    """The number of each box's set, where no two sets' hulls come within the pads.
+
+    Meeting sets are joined by their least number and their hulls drawn anew,
+    all at once, until none meet: hulls grow, so this closure is the only one."""
+    of = np.arange(len(b))
+    while True:
+        used, of = np.unique(of, return_inverse=True)
+        hulls = np.concatenate([np.full((len(used), 2), np.inf), np.full((len(used), 2), -np.inf)], 1)
+        np.minimum.at(hulls, of, np.c_[b[:, :2], np.full((len(b), 2), np.inf)])
+        np.maximum.at(hulls, of, np.c_[np.full((len(b), 2), -np.inf), b[:, 2:]])
+        order = np.argsort(hulls[:, 0], kind="stable")
+        i, j = _meeting_pairs(hulls[order], px, py)
+        if not len(i):
+            return of
+        i, j = order[i], order[j]
+        root = np.arange(len(used))
+        while True:
+            low = np.minimum(root[i], root[j])
+            before = root.copy()
+            np.minimum.at(root, i, low)
+            np.minimum.at(root, j, low)
+            root = root[root]
+            if (root == before).all():
+                break
+        of = root[of]
+
+
 def cluster_boxes(boxes: list, px: float, py: float) -> list[list]:
     """Groups of boxes by closure over padded hulls.  From left to right a box
     joins the first group whose padded hull it meets.  Then each group in turn
     looks along the later ones for the next that its padded hull, as grown by
     then, meets, until a pass over all groups joins none.
 
-    A sweep first cuts the boxes where no padded hull reaches across, so that
-    only boxes of one stretch are held against each other.
+    Boxes are first parted by a closure with pads no smaller on any side, so that
+    only boxes that can come together at all are held against each other.
     """
-    out: list[list] = []
-    stretch: list = []
-    end = 0
-    for box in sorted(boxes, key=lambda b: (b[0], b[1])):
-        if stretch and box[0] >= int(end + px) and int(box[0] - px) >= end:
-            out += _clustered(stretch, px, py)
-            stretch = []
-        end = max(end, box[2]) if stretch else box[2]
-        stretch.append(box)
-    return out + _clustered(stretch, px, py)
+    rows = sorted(boxes, key=lambda b: (b[0], b[1]))
+    of = closed_sets(np.array([b[:4] for b in rows], float).reshape(-1, 4), px + 1, py + 1)
+    sets: dict[int, list] = {}
+    for k, row in zip(of.tolist(), rows):
+        sets.setdefault(k, []).append(row)
+    return [group for members in sets.values() for group in _clustered(members, px, py)]
 
 
 def _clustered(rows: list, px: float, py: float) -> list[list]:
@@ -147,15 +182,36 @@ def _clustered(rows: list, px: float, py: float) -> list[list]:
 
 
 def merge_boxes(boxes: DataFrame, keys: list[str], px: float, py: float) -> DataFrame:
-    """(keys, seq, group): ``group`` is the least seq of the box's cluster."""
+    """(keys, seq, group): ``group`` is the least seq of the box's cluster.
+
+    A batch of groups is closed at once, laid side by side along x; only sets of
+    several boxes are walked through in order.  Boxes hold whole numbers.
+    """
     types = dict(boxes.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", seq long, grp long"
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = list(frame[["x0", "y0", "x1", "y1", "seq"]].sort_values(["x0", "y0", "seq"]).itertuples(index=False, name=None))
-        out = [(b[4], min(m[4] for m in members)) for members in cluster_boxes(rows, px, py) for b in members]
-        return pd.DataFrame({**{k: [frame[k].iloc[0]] * len(out) for k in keys}, "seq": [s for s, _ in out], "grp": [g for _, g in out]})
-
-    return boxes.groupBy(*keys).applyInPandas(run, schema)
-
-
+    fields = ["x0", "y0", "x1", "y1", "seq"]
+    listed = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*[F.col(c).cast("long").alias(c) for c in fields]))).alias("b"))
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(len(keys))
+            flat = lists.flatten()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            b = np.stack([c.to_numpy(zero_copy_only=False) for c in flat.flatten()], 1) if len(flat) else np.zeros((0, 5), np.int64)
+            span = (b[:, :4].max(initial=0) - b[:, :4].min(initial=0) + 4 * (px + 2)) * row
+            of = closed_sets(b[:, :4] + np.c_[span, np.zeros(len(b)), span, np.zeros(len(b))], px + 1, py + 1)
+            order = np.argsort(of, kind="stable")
+            edge = np.flatnonzero(np.r_[True, of[order][1:] != of[order][:-1]]) if len(b) else []
+            group = b[:, 4].copy()
+            for low, high in zip(edge, [*edge[1:], len(b)]):
+                if high - low > 1:
+                    own = order[low:high]
+                    place = {tuple(r): k for k, r in zip(own.tolist(), b[own].tolist())}
+                    for members in _clustered([tuple(r) for r in b[own].tolist()], px, py):
+                        least = min(m[4] for m in members)
+                        for m in members:
+                            group[place[m]] = least
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in range(len(keys))], pa.array(b[:, 4]), pa.array(group)], [*keys, "seq", "grp"])
+
+    return listed.mapInArrow(run, schema)

@@ -95,25 +95,16 @@ def confirmed_bars(bars: DataFrame, space: float) -> DataFrame:
 
 # ----------------------------------------------------------------------- beams
 def stem_pairs(stems: DataFrame, keys: list[str], least_dx: float, most_dx: float, most_dy: float, most_slope: float, ahead: int = P.beam_ahead) -> DataFrame:
-    """(keys, left, right, dx, dy): each stem end (seq, x, y) with those of the next
-    ``ahead`` that are neither too near nor too far.  The look-ahead is an
-    equi-join on rank, not a range join."""
+    """(keys, left, right, dx, dy, gap, x0, y0, x1, y1): each stem end (seq, x, y)
+    with those of the next ``ahead`` that are neither too near nor too far; ``gap``
+    is how many further.  The look-ahead is an equi-join on rank, not a range join."""
     ranked = stems.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("x", "seq")))
-    left = ranked.select(*keys, F.col("seq").alias("left"), F.col("x").alias("lx"), F.col("y").alias("ly"), F.explode(F.sequence(F.col("rn") + 1, F.col("rn") + ahead)).alias("rn"))
+    left = ranked.select(*keys, F.col("seq").alias("left"), F.col("x").alias("lx"), F.col("y").alias("ly"), F.col("rn").alias("at"), F.explode(F.sequence(F.col("rn") + 1, F.col("rn") + ahead)).alias("rn"))
     right = ranked.select(*keys, F.col("seq").alias("right"), F.col("x").alias("rx"), F.col("y").alias("ry"), "rn")
     both = left.join(right, [*keys, "rn"]).withColumn("dx", F.col("rx") - F.col("lx")).withColumn("dy", F.col("ry") - F.col("ly"))
     fits = F.col("dx").between(least_dx, most_dx) & (F.abs("dy") <= most_dy) & (F.abs(F.col("dy") / F.greatest(F.lit(1), F.col("dx"))) <= most_slope)
-    return both.where(fits).select(*keys, "left", "right", "dx", "dy")
-
-
-def best_links(links: DataFrame, keys: list[str]) -> DataFrame:
-    """Links (keys, left, right, score) after the best of each left end, then
-    the best of each right end: what stays are paths that share no stem."""
-    out = links
-    for end in ("left", "right"):
-        order = Window.partitionBy(*keys, end).orderBy(F.col("score").desc(), "left", "right")
-        out = out.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
-    return out
+    ends = [F.col(a).alias(b) for a, b in (("lx", "x0"), ("ly", "y0"), ("rx", "x1"), ("ry", "y1"))]
+    return both.where(fits).select(*keys, "left", "right", "dx", "dy", (F.col("rn") - F.col("at")).alias("gap"), *ends)
 
 
 def corridor(ink: DataFrame, lines: DataFrame, half_width: int) -> DataFrame:
@@ -129,28 +120,6 @@ def corridor(ink: DataFrame, lines: DataFrame, half_width: int) -> DataFrame:
     return counts.groupBy("page_id", "line").agg(F.avg((F.col("black") > 0).cast("double")).alias("hit_ratio"), (F.sum("black") / F.sum("total")).alias("density"))
 
 
-def slope_segments(path: DataFrame, key: str, tolerance: float = P.slope_break) -> DataFrame:
-    """(key, segment, links, slope): a path's links (at, slope) cut where a slope
-    leaves the running median of its segment.  The median restarts with each
-    segment, so this is an ordered fold over one path."""
-    listed = path.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "slope"))).alias("p"))
-
-    def median(values: Column) -> Column:
-        v, n = F.array_sort(values), F.size(values)
-        return (F.element_at(v, ((n + 1) / 2).cast("int")) + F.element_at(v, (n / 2).cast("int") + 1)) / 2
-
-    start = F.expr("cast(array() as array<array<double>>)")
-
-    def step(segments: Column, item: Column) -> Column:
-        last = F.element_at(segments, -1)
-        extended = F.concat(F.slice(segments, 1, F.size(segments) - 1), F.array(F.concat(last, F.array(item["slope"]))))
-        fresh = F.concat(segments, F.array(F.array(item["slope"])))
-        return F.when(F.size(segments) == 0, fresh).when(F.abs(item["slope"] - median(last)) > tolerance, fresh).otherwise(extended)
-
-    segments = listed.select(key, F.posexplode(F.aggregate("p", start, step)).alias("segment", "s"))
-    return segments.select(key, "segment", F.size("s").alias("links"), median(F.col("s")).alias("slope"))
-
-
 # ---------------------------------------------------------------- anti-filters
 def near_bar(b: Box, bar: Box, margin: float) -> Column:
     return F.abs(bar("x") - (b("x0") + b("x1")) * 0.5) <= margin

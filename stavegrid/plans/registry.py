@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stavegrid.operators import boxes, marks, masks, raster, runs, staves
+from stavegrid.operators import beams, boxes, marks, masks, raster, runs, staves
 from stavegrid.sources import adapters
 
 _QUERIES: dict[str, Callable] = {}
@@ -470,35 +470,67 @@ def bem3_stem_pairs(spark, sf):
     return _stem_pairs(spark, sf).select("staff", "left", "right", F.round("dx", 3).alias("dx"), F.round("dy", 6).alias("dy"))
 
 
-_LINKS = _PAIRS + """, sc AS (SELECT staff, "left", "right", round(1 - abs(dy) / 50, 6) AS score FROM pairs), l1 AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY staff, "left" ORDER BY score DESC, "left", "right") = 1),
- links AS (SELECT * FROM l1 QUALIFY row_number() OVER (PARTITION BY staff, "right" ORDER BY score DESC, "left", "right") = 1)"""
-
-
-def _links(spark, sf):
-    scored = _stem_pairs(spark, sf).select("staff", "left", "right", F.round(1 - F.abs("dy") / 50, 6).alias("score"))
-    return marks.best_links(scored, ["staff"])
-
-
-@_query(f"WITH {_LINKS} SELECT * FROM links")
+#: Stems of the events: x in tenths of an hour, y the value; a space is ten hours.
+_LINKS = """stems AS (SELECT user_id AS staff, CASE WHEN event_type IN ('click', 'view') THEN 'up' ELSE 'down' END AS direction, event_id AS seq, CAST(floor(epoch_us(ts) / 3.6e8) AS BIGINT) AS x, CAST(floor(value) AS BIGINT) AS y FROM events),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY staff, direction ORDER BY x, seq) AS rn FROM stems),
+ pairs AS (SELECT a.staff, a.direction, a.seq AS "left", b.seq AS "right", b.rn - a.rn AS gap, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1, b.x - a.x AS dx, b.y - a.y AS dy FROM ranked a JOIN ranked b ON a.staff = b.staff AND a.direction = b.direction AND b.rn BETWEEN a.rn + 1 AND a.rn + 4
+   WHERE b.x - a.x BETWEEN 110 AND 750 AND abs(b.y - a.y) <= 260 AND abs((b.y - a.y) / greatest(1, b.x - a.x)) <= 0.85),
+ felt AS (SELECT *, round(1 - abs(dy) / 260.0::DOUBLE, 6) AS hit_ratio, round(0.5::DOUBLE * (1 - dx / 1500.0::DOUBLE), 6) AS density FROM pairs),
+ scored AS (SELECT *, round(least(1.0::DOUBLE, 0.72::DOUBLE * hit_ratio + 0.55::DOUBLE * density), 6) AS score FROM felt), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY staff, direction, "left" ORDER BY score DESC, gap) = 1),
+ ordered AS (SELECT *, row_number() OVER (PARTITION BY staff, direction ORDER BY x0, "left") AS seq FROM best)"""
+_SUPPRESSED = _fold_sql("staff, direction", "ordered", "abs(i[1].x0 - k.x0) <= 45 AND abs(i[1].x1 - k.x1) <= 45", _LINKS).removeprefix("WITH ").replace("SELECT staff, direction, k.seq AS seq FROM kept", "")
+_PATHS = f"""{_SUPPRESSED}, links AS (SELECT k.* FROM kept),
+ good AS (SELECT *, round(score - (0.14::DOUBLE * (gap - 1) + 0.015::DOUBLE * greatest(0.0::DOUBLE, greatest(1, x1 - x0) / 100.0::DOUBLE - 2.8::DOUBLE)), 6) AS quality, round((y1 - y0) / CAST(greatest(1, x1 - x0) AS DOUBLE), 6) AS slope FROM links WHERE gap <= 2 AND greatest(1, x1 - x0) <= 480 AND abs((y1 - y0) / greatest(1, x1 - x0)) <= 0.75),
+ out_ AS (SELECT * FROM good WHERE quality >= 0.58 QUALIFY row_number() OVER (PARTITION BY staff, direction, "left" ORDER BY quality DESC, x0, "left", x1) = 1),
+ chosen AS (SELECT * FROM out_ QUALIFY row_number() OVER (PARTITION BY staff, direction, "right" ORDER BY quality DESC, x0, "left", x1) = 1),
+ paths AS (SELECT c.*, c."left" AS path, 0 AS place FROM chosen c WHERE NOT EXISTS (SELECT 1 FROM chosen p WHERE p.staff = c.staff AND p.direction = c.direction AND p."right" = c."left")
+   UNION ALL SELECT c.*, w.path, w.place + 1 FROM paths w JOIN chosen c ON c.staff = w.staff AND c.direction = w.direction AND c."left" = w."right"),
+ walk AS (SELECT staff, direction, path, place, 0 AS segment, [slope] AS s FROM paths WHERE place = 0 UNION ALL
+   SELECT p.staff, p.direction, p.path, p.place, CASE WHEN abs(p.slope - list_median(w.s)) > 0.22 THEN w.segment + 1 ELSE w.segment END, CASE WHEN abs(p.slope - list_median(w.s)) > 0.22 THEN [p.slope] ELSE list_append(w.s, p.slope) END
+   FROM walk w JOIN paths p ON p.staff = w.staff AND p.direction = w.direction AND p.path = w.path AND p.place = w.place + 1),
+ split AS (SELECT p.*, w.segment FROM paths p JOIN walk w USING (staff, direction, path, place))"""
+_STAFF = ["staff", "direction"]
+
+
+def _scored_links(spark, sf):
+    """Each left end's best link of the next four, suppressed by both ends."""
+    direction = F.when(F.col("kind").isin("click", "view"), "up").otherwise("down")
+    x = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e8)
+    events = adapters.table(spark, sf, "events")
+    stems = events.select(F.col("user_id").alias("staff"), F.col("event_type").alias("kind"), F.col("event_id").alias("seq"), x.alias("x"), F.floor("value").alias("y"))
+    pairs = marks.stem_pairs(stems.withColumn("direction", direction), _STAFF, 110, 750, 260, 0.85)
+    felt = pairs.withColumn("hit_ratio", F.round(1 - F.abs("dy") / 260.0, 6)).withColumn("density", F.round(0.5 * (1 - F.col("dx") / 1500.0), 6))
+    felt = felt.withColumn("score", F.round(F.least(F.lit(1.0), 0.72 * F.col("hit_ratio") + 0.55 * F.col("density")), 6))
+    first = Window.partitionBy(*_STAFF, "left").orderBy(F.col("score").desc(), "gap")
+    best = felt.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
+    best = best.withColumn("seq", F.row_number().over(Window.partitionBy(*_STAFF).orderBy("x0", "left")).cast("long"))
+    return boxes.suppress(best, _STAFF, ["left", "right", "gap", "x0", "y0", "x1", "y1", "hit_ratio", "density"], boxes.ends_conflict(45))
+
+
+def _paths(spark, sf):
+    return beams.label_paths(beams.chosen_links(_scored_links(spark, sf), _STAFF, F.lit(100.0)), _STAFF)
+
+
+@_query(f"""WITH RECURSIVE {_PATHS} SELECT staff, direction, "left", "right", path, place, quality FROM paths""")
 def bem4_beam_paths(spark, sf):
-    return _links(spark, sf)
+    return _paths(spark, sf).select(*_STAFF, "left", "right", "path", "place", "quality")
 
 
-@_query(f"""WITH RECURSIVE {_POINTS}, p AS (SELECT staff, row_number() OVER (PARTITION BY staff ORDER BY x, seq) AS k, round(y / 50, 6) AS slope FROM points),
-walk AS (SELECT staff, k, 0 AS segment, [slope] AS s FROM p WHERE k = 1 UNION ALL
- SELECT w.staff, p.k, CASE WHEN abs(p.slope - list_median(w.s)) > 0.22 THEN w.segment + 1 ELSE w.segment END, CASE WHEN abs(p.slope - list_median(w.s)) > 0.22 THEN [p.slope] ELSE list_append(w.s, p.slope) END FROM walk w JOIN p ON p.staff = w.staff AND p.k = w.k + 1)
-SELECT staff, CAST(segment AS INTEGER) AS segment, CAST(max(len(s)) AS INTEGER) AS links, round(list_median(arg_max(s, len(s))), 6) AS slope FROM walk GROUP BY staff, segment""")
+@_query(f"""WITH RECURSIVE {_PATHS} SELECT staff, direction, path, segment, count(*) AS links, round(median(slope), 8) AS slope FROM split GROUP BY staff, direction, path, segment""")
 def bem5_slope_segments(spark, sf):
-    order = Window.partitionBy("staff").orderBy("x", "seq")
-    path = _points(spark, sf).select("staff", F.row_number().over(order).alias("at"), F.round(F.col("y") / 50, 6).alias("slope"))
-    return marks.slope_segments(path, "staff").withColumn("slope", F.round("slope", 6))
+    split = beams.split_paths(_paths(spark, sf), _STAFF)
+    return split.groupBy(*_STAFF, "path", "segment").agg(F.count("*").alias("links"), F.round(F.median("slope"), 8).alias("slope"))
 
 
-@_query(f"""WITH {_LINKS} SELECT staff, count(*) AS links, min("left") AS first_stem, max("right") AS last_stem, sum(micro) / count(*) / 1e6 AS score, median(micro) / 1e6 AS middle FROM (SELECT *, CAST(round(score * 1e6) AS BIGINT) AS micro FROM links) GROUP BY staff""")
+@_query(f"""WITH RECURSIVE {_PATHS}, g AS (SELECT staff, direction, path, segment, first("left" ORDER BY place) || ',' || string_agg("right", ',' ORDER BY place) AS stems,
+ first(x0 ORDER BY place) || ' ' || first(y0 ORDER BY place) || ';' || string_agg(x1 || ' ' || y1, ';' ORDER BY place) AS points,
+ least(min(x0), min(x1)) - 35 AS x0, least(first(y0 ORDER BY place), min(y1)) - 35 AS y0, greatest(max(x0), max(x1)) + 35 AS x1, greatest(first(y0 ORDER BY place), max(y1)) + 35 AS y1,
+ round(median(slope), 8) AS slope, {", ".join(f"round(sum(CAST(round({c} * 1e6) AS BIGINT)) / count(*) / 1e6, 9) AS {c}" for c in ("score", "hit_ratio", "density"))} FROM split GROUP BY staff, direction, path, segment) SELECT * FROM g""")
 def bem6_group_summary(spark, sf):
-    micro = F.round(F.col("score") * 1e6).cast("long")  # whole numbers add up alike in any order
-    groups = _links(spark, sf).withColumn("micro", micro).groupBy("staff").agg(F.count("*").alias("links"), F.min("left").alias("first_stem"), F.max("right").alias("last_stem"), F.sum("micro").alias("total"), F.median("micro").alias("middle"))
-    return groups.select("staff", "links", "first_stem", "last_stem", (F.col("total") / F.col("links") / 1e6).alias("score"), (F.col("middle") / 1e6).alias("middle"))
+    groups = beams.beam_groups(beams.split_paths(_paths(spark, sf), _STAFF), _STAFF, F.lit(100.0))
+    points = F.array_join(F.transform("points", lambda p: F.concat_ws(" ", p["x"], p["y"])), ";")
+    groups = groups.withColumn("stems", F.array_join(F.col("stems").cast("array<string>"), ",")).withColumn("points", points)
+    return groups.select(*_STAFF, "path", "segment", "stems", "points", "x0", "y0", "x1", "y1", F.round("slope", 8).alias("slope"), *[F.round(c, 9).alias(c) for c in ("score", "hit_ratio", "density")])
 
 
 # ---------------------------------------------------------- secondary symbols

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stavegrid.operators import boxes, marks, masks, page, raster, runs, staves
+from stavegrid.operators import beams, boxes, marks, masks, page, raster, runs, staves
 from stavegrid.params import DEFAULTS
 from stavegrid.plans import page_queries, pipeline, registry, sinks
 from stavegrid.schema import RECORDS
@@ -147,8 +147,27 @@ def test_look_ahead_is_four(spark):
 
 
 def test_slope_break(spark):
-    path = spark.createDataFrame([(1, k, s) for k, s in enumerate([0.0, 0.0, 0.3, 0.31])], "path int, at int, slope double")
-    assert [(r.segment, r.links) for r in marks.slope_segments(path, "path").orderBy("segment").collect()] == [(0, 2), (1, 2)]
+    rows = [(1, k, k + 1, 1, 100 * k, 0, 100 * (k + 1), d, 0.9, 0.9, 0.9) for k, d in enumerate([0, 0, 30, 31])]
+    links = spark.createDataFrame(rows, "staff int, left int, right int, gap int, x0 int, y0 int, x1 int, y1 int, score double, hit_ratio double, density double")
+    split = beams.split_paths(beams.label_paths(beams.chosen_links(links, ["staff"], F.lit(100.0)), ["staff"]), ["staff"])
+    assert [(r.path, r.place, r.segment) for r in split.orderBy("place").collect()] == [(0, 0, 0), (0, 1, 0), (0, 2, 1), (0, 3, 1)]
+    groups = beams.beam_groups(split, ["staff"], F.lit(10.0)).orderBy("segment").collect()
+    assert [g.stems for g in groups] == [[0, 1, 2], [2, 3, 4]]
+    assert [(g.x0, g.y0, g.x1, g.y1) for g in groups] == [(-4, -4, 204, 4), (196, -4, 404, 35)]
+
+
+def test_beam_limits_and_disjoint_paths(spark):
+    """A skipped stem costs quality, two skipped ones or a steep or long link are out; ends are shared by none."""
+    rows = [
+        (1, 0, 1, 1, 0, 0, 30, 0, 0.80), (1, 0, 2, 2, 0, 0, 60, 0, 0.81), (1, 2, 3, 3, 60, 0, 90, 0, 0.9), (1, 3, 4, 1, 90, 0, 120, 29, 0.9),
+        (1, 4, 5, 1, 120, 0, 620, 0, 0.9), (1, 5, 6, 1, 0, 0, 30, 0, 0.57), (1, 7, 1, 1, 10, 0, 30, 0, 0.7), (2, 1, 2, 1, 0, 0, 10, 0, 0.9),
+    ]
+    links = spark.createDataFrame(rows, "staff int, left int, right int, gap int, x0 int, y0 int, x1 int, y1 int, score double")
+    found = beams.label_paths(beams.chosen_links(links, ["staff"], F.lit(100.0)), ["staff"])
+    assert sorted((r.staff, r.left, r.right, r.path, r.place) for r in found.collect()) == [(1, 0, 1, 0, 0), (2, 1, 2, 1, 0)]
+    long = [(1, k, k + 1, 1, 10 * k, 0, 10 * k + 10, 0, 0.9) for k in range(40) if k != 17]
+    found = beams.label_paths(beams.chosen_links(spark.createDataFrame(long, links.schema), ["staff"], F.lit(100.0)), ["staff"])
+    assert {r.left: (r.path, r.place) for r in found.collect()} == {k: (0, k) if k < 17 else (18, k - 18) for k in range(40) if k != 17}
 
 
 def test_stencil_sizes():
