@@ -88,7 +88,7 @@ def beam_groups(split: DataFrame, keys: list[str], space: Column) -> DataFrame:
     end over all right ends; the box is padded; the slope is the median, the rest
     are means."""
     link = F.struct("place", "left", "right", "x0", "y0", "x1", "y1")
-    micro = lambda c: F.sum(F.round(F.col(c) * 1e6).cast("long")) / F.count("*") / 1e6  # noqa: E731  (whole numbers add up alike in any order)
+    micro = lambda c: F.sum(F.round(F.col(c) * 1e12).cast("long")) / F.count("*") / 1e12  # noqa: E731  (whole numbers add up alike in any order)
     found = split.groupBy(*keys, "path", "segment").agg(
         F.array_sort(F.collect_list(link)).alias("l"), F.median("slope").alias("slope"), *[micro(c).alias(c) for c in ("score", "hit_ratio", "density")], F.first(space).alias("_space")
     )

@@ -4,17 +4,29 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()``; the folder is the session's ``spark.checkpoint.dir``,
-    and one is made only where none is set on one machine (tests)."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; one is made only where none is set on
+    one machine (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="stavegrid-"))
-    return df.checkpoint()
+        folder = "file://" + tempfile.mkdtemp(prefix="stavegrid-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df``, written to the shared folder and read back.
+
+    A written table has a size of its own.  A checkpointed one is still taken for
+    as large as its whole plan, and a loop of self-joins squares that each round.
+    """
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -25,16 +25,19 @@ def is_text_part(b: Box, space: Column | float) -> Column:
     return (w > 0) & (h > 0) & sized & density.between(0.08, 0.82) & ~((w <= 0.22 * space) & (h >= 1.45 * space))
 
 
-def in_text_cluster(boxes: DataFrame, keys: list[str], space: float) -> DataFrame:
-    """(keys, seq) of text parts with two others beside them on the line."""
-    parts = boxes.where(is_text_part(F.col, F.lit(space)))
-    a, b = parts.alias("a"), parts.alias("b")
-    same = F.lit(True)
+def in_text_cluster(boxes: DataFrame, keys: list[str], space: Column | float) -> DataFrame:
+    """(keys, seq) of text parts with two others beside them on the line.  Parts
+    are joined by strips of rows as high as parts on a line may differ."""
+    space = space if isinstance(space, Column) else F.lit(space)
+    parts = boxes.where(is_text_part(F.col, space)).withColumn("_s", space).withColumn("_cy", (F.col("y0") + F.col("y1")) * 0.5)
+    parts = parts.select(*keys, "seq", "x0", "x1", "_s", "_cy", F.floor(F.col("_cy") / (0.68 * F.col("_s"))).alias("_cell"))
+    a, b = parts.alias("a"), parts.withColumn("_cell", F.explode(F.array(F.col("_cell") - 1, F.col("_cell"), F.col("_cell") + 1))).alias("b")
+    same = F.col("a._cell") == F.col("b._cell")
     for k in keys:
         same = same & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    level = F.abs((F.col("a.y0") + F.col("a.y1")) * 0.5 - (F.col("b.y0") + F.col("b.y1")) * 0.5) <= 0.68 * space
+    level = F.abs(F.col("a._cy") - F.col("b._cy")) <= 0.68 * F.col("a._s")
     gap = F.greatest(F.lit(0), F.col("b.x0") - F.col("a.x1"), F.col("a.x0") - F.col("b.x1"))
-    pairs = a.join(b, same & (F.col("a.seq") != F.col("b.seq")) & level & (gap <= 1.75 * space))
+    pairs = a.join(b, same & (F.col("a.seq") != F.col("b.seq")) & level & (gap <= 1.75 * F.col("a._s")))
     return pairs.groupBy(*[F.col(f"a.{k}") for k in keys], F.col("a.seq")).agg(F.count("*").alias("n")).where("n >= 2").drop("n")
 
 
@@ -50,8 +53,8 @@ def phrases(boxes: DataFrame, keys: list[str], space: float) -> DataFrame:
     return cut.groupBy(*keys, "phrase").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("n"))
 
 
-def phrase_score(n: Column, width: Column, space: float, match: float = 0.0) -> Column:
-    compact = F.least(F.lit(1.0), width / max(1.0, 5.0 * space))
+def phrase_score(n: Column, width: Column, space: Column | float, match: float = 0.0) -> Column:
+    compact = F.least(F.lit(1.0), width / F.greatest(F.lit(1.0), F.lit(5.0) * space))
     return F.least(F.lit(1.0), F.greatest(F.lit(match), 0.34 + 0.08 * F.least(F.lit(5), n) + 0.20 * compact))
 
 
@@ -154,7 +157,7 @@ def symbol_kind(w: Column, h: Column, density: Column, area: Column, cy: Column,
     kind = F.when(long_rest, "whole_or_half_rest").when(short_rest, "quarter_or_eighth_rest").when(beam, "beam_candidate")
     kind = kind.when(slur & (w <= 6.5 * space), "tie_or_slur_candidate").when(slur, "slur_candidate")
     score = F.when(long_rest, density).when(short_rest, (area / (space * space)) / F.greatest(F.lit(1.0), h / space))
-    score = score.when(beam, F.least(F.lit(1.0), w / max(1.0, 4.0 * space) * density)).when(slur, F.least(F.lit(1.0), w / max(1.0, 5.0 * space) * (0.45 - density)))
+    score = score.when(beam, F.least(F.lit(1.0), w / F.greatest(F.lit(1.0), F.lit(4.0) * space) * density)).when(slur, F.least(F.lit(1.0), w / F.greatest(F.lit(1.0), F.lit(5.0) * space) * (0.45 - density)))
     return F.struct(kind.alias("kind"), F.coalesce(score, F.lit(0.0)).alias("score"))
 
 

@@ -18,22 +18,30 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b.select(_PIXEL), _PIXEL, "left_anti")
 
 
-def _inside(pad_x: float, pad_y: float):
-    """Pixels i within rectangle r (half-open) padded on all sides; the padded
-    corners are cut towards zero, as the page's integer grid wants."""
-    i, r = (lambda c: F.col(f"i.{c}")), (lambda c: F.col(f"r.{c}"))
-    low, high = (lambda c, p: (r(c) - p).cast("int")), (lambda c, p: (r(c) + p).cast("int"))
-    return (i("page_id") == r("page_id")) & (i("x") >= low("x0", pad_x)) & (i("x") < high("x1", pad_x)) & (i("y") >= low("y0", pad_y)) & (i("y") < high("y1", pad_y))
+def _in_rows(rectangles: DataFrame, pad_x: float, pad_y: float) -> DataFrame:
+    """(page_id, y, lo, hi): the columns [lo, hi) that each padded rectangle
+    (half-open) covers, row by row; the padded corners are cut towards zero, as
+    the page's integer grid wants.  Pixels then meet only their own row's."""
+    low, high = (lambda c, p: (F.col(c) - p).cast("int")), (lambda c, p: (F.col(c) + p).cast("int"))
+    cut_ = rectangles.select("page_id", low("x0", pad_x).alias("lo"), high("x1", pad_x).alias("hi"), low("y0", pad_y).alias("top"), high("y1", pad_y).alias("end"))
+    rows = cut_.where("end > top and hi > lo").select("page_id", F.explode(F.sequence(F.col("top"), F.col("end") - 1)).alias("y"), "lo", "hi")
+    return rows.distinct()
+
+
+def _covered(ink: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    i, r = ink.alias("i"), rows.alias("r")
+    same = (F.col("i.page_id") == F.col("r.page_id")) & (F.col("i.y") == F.col("r.y"))
+    return i.join(r, same & (F.col("i.x") >= F.col("r.lo")) & (F.col("i.x") < F.col("r.hi")), how)
 
 
 def within(ink: DataFrame, rectangles: DataFrame, pad_x: float = 0, pad_y: float = 0) -> DataFrame:
     """Pixels in the union of the padded rectangles (page_id, x0, y0, x1, y1)."""
-    return ink.alias("i").join(rectangles.alias("r"), _inside(pad_x, pad_y), "left_semi")
+    return _covered(ink, _in_rows(rectangles, pad_x, pad_y), "left_semi")
 
 
 def without(ink: DataFrame, rectangles: DataFrame, pad_x: float = 0, pad_y: float = 0) -> DataFrame:
     """Pixels outside all padded rectangles."""
-    return ink.alias("i").join(rectangles.alias("r"), _inside(pad_x, pad_y), "left_anti")
+    return _covered(ink, _in_rows(rectangles, pad_x, pad_y), "left_anti")
 
 
 def erase_lines(ink: DataFrame, lines: DataFrame) -> DataFrame:
@@ -48,10 +56,12 @@ def erase_lines(ink: DataFrame, lines: DataFrame) -> DataFrame:
 def erase_marks(ink: DataFrame, ellipses: DataFrame, bars: DataFrame) -> DataFrame:
     """Ink without ellipses (page_id, cx, cy, rx, ry) and bars (page_id, x, y0, y1)
     two pixels wider on every side."""
+    reach = F.ceil("ry").cast("int")
+    rows = ellipses.select("page_id", "cx", "cy", "rx", "ry", F.explode(F.sequence(F.ceil(F.col("cy") - reach).cast("int"), F.floor(F.col("cy") + reach).cast("int"))).alias("y"))
     i, e = (lambda c: F.col(f"i.{c}")), (lambda c: F.col(f"e.{c}"))
     dx, dy = (i("x") - e("cx")) / e("rx"), (i("y") - e("cy")) / e("ry")
-    hit = (i("page_id") == e("page_id")) & i("x").between(e("cx") - e("rx"), e("cx") + e("rx")) & (dx * dx + dy * dy <= 1.0)
-    left = ink.alias("i").join(ellipses.alias("e"), hit, "left_anti")
+    hit = (i("page_id") == e("page_id")) & (i("y") == e("y")) & (dx * dx + dy * dy <= 1.0)
+    left = ink.alias("i").join(rows.alias("e"), hit, "left_anti")
     boxes = bars.select("page_id", (F.col("x") - 2).alias("x0"), (F.col("y0") - 2).alias("y0"), (F.col("x") + 3).alias("x1"), (F.col("y1") + 3).alias("y1"))
     return without(left, boxes)
 

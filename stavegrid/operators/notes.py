@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from stavegrid.functions import half_even
 from stavegrid.operators import boxes
+from stavegrid.operators.durable import cut
 from stavegrid.operators.runs import islands
 from stavegrid.operators.staves import pitch_rows
 
@@ -85,7 +86,7 @@ def integral_rows(ink: DataFrame, pages: DataFrame) -> DataFrame:
     sums = marked.select("page_id", "y", "x", along.alias("along")).select("page_id", "y", "x", down.cast("int").alias("n"))
     listed = sums.groupBy("page_id", (F.col("y") + 1).alias("y")).agg(F.array_sort(F.collect_list(F.struct("x", "n"))).alias("s"))
     listed = listed.select("page_id", "y", F.concat(F.array(F.lit(0)), F.col("s.n")).alias("sums"))
-    return listed.unionByName(pages.select("page_id", F.lit(0).alias("y"), F.array_repeat(F.lit(0), F.col("width") + 1).alias("sums")))
+    return listed.unionByName(pages.select("page_id", F.lit(0).alias("y"), F.array_repeat(F.lit(0), (F.col("width") + 1).cast("int")).alias("sums")))
 
 
 # ------------------------------------------------------------------ candidates
@@ -225,13 +226,14 @@ def scored(counts: DataFrame, rows: DataFrame, areas: DataFrame) -> DataFrame:
 def kept_notes(found: DataFrame) -> DataFrame:
     """Notes that stay: first among the candidates of a pitch row, with a reach of
     the staff's size, then among all that stayed on the staff, within 8 pixels.
-    Ties of score: the higher pitch row, then the smaller x."""
+    Ties of score: the higher pitch row, then the smaller x.  Scores are cut first:
+    with the filter on kind pushed into them, inferring constraints has no end."""
 
     def conflict(reach) -> callable:
         return lambda a, b: (F.abs(a["x"] - b["x"]) <= reach(a)) & (F.abs(a["y"] - b["y"]) <= F.greatest(F.lit(4.0), 1.10 * reach(a)))
 
     fields = ["pitch_step", "x", "y", "kind", "black_density", "center_density", "reach"]
-    items = found.where("kind is not null").withColumn("reach", F.greatest(F.lit(5), half_even(F.col("space") * 0.72)))
+    items = cut(found).where("kind is not null").withColumn("reach", F.greatest(F.lit(5), half_even(F.col("space") * 0.72)))
     items = items.withColumn("seq", F.col("pitch_step").cast("long") * (1 << 32) + F.col("x"))
     own = [f for f in fields if f != "pitch_step"]
     rows = boxes.suppress(items, _KEYS, own, conflict(lambda a: a["reach"]))

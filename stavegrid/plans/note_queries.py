@@ -130,7 +130,7 @@ def not3_scores(spark, sf):
 
 @_query(f"WITH {_SCORED} SELECT page_id, staff, pitch_step, x, kind, round(black_density, 9) AS black_density, round(center_density, 9) AS center_density FROM scores WHERE kind IS NOT NULL")
 def not4_kinds(spark, sf):
-    found = _scored(spark, sf).where("kind is not null")
+    found = cut(_scored(spark, sf)).where("kind is not null")
     return found.select("page_id", "staff", "pitch_step", "x", "kind", F.round("black_density", 9).alias("black_density"), F.round("center_density", 9).alias("center_density"))
 
 
