@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from stavegrid.functions import half_even
 from stavegrid.operators import boxes, marks, masks
@@ -137,15 +138,13 @@ def text_rows(parts: DataFrame, keys: list[str]) -> DataFrame:
     """``parts`` (keys, seq, x0 .. y1, space) with ``text_row``: first fit into rows
     by height, in the order of middle, left side, seq.  A group is what a page's
     staff holds."""
-    types = dict(parts.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", seq long, text_row int"
+    schema = StructType([*parts.schema.fields, StructField("text_row", IntegerType())])
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.assign(cy=(frame["y0"] + frame["y1"]) * 0.5).sort_values(["cy", "x0", "seq"])
-        return frame[[*keys, "seq"]].assign(text_row=first_fit(frame["cy"].tolist(), 0.58 * frame["space"].iloc[0]))
+        return frame.assign(text_row=first_fit(frame["cy"].tolist(), 0.58 * frame["space"].iloc[0])).drop(columns="cy")
 
-    rows = parts.select(*keys, "seq", "x0", "y0", "y1", "space").groupBy(*keys).applyInPandas(run, schema)
-    return parts.join(rows, [*keys, "seq"])
+    return parts.groupBy(*keys).applyInPandas(run, schema)
 
 
 def text_regions(parts: DataFrame, where: DataFrame) -> DataFrame:

@@ -29,13 +29,13 @@ def _query(sql: str | None = None):
 
 
 def queries() -> dict:
-    from stavegrid.plans import note_queries, page_queries  # noqa: F401
+    from stavegrid.plans import mark_queries, note_queries, page_queries  # noqa: F401
 
     return {**_QUERIES, **page_queries.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from stavegrid.plans import note_queries  # noqa: F401
+    from stavegrid.plans import mark_queries, note_queries  # noqa: F401
 
     return dict(_SQL)
 
@@ -395,15 +395,6 @@ def txt5_phrase_scores(spark, sf):
     return found.select("page_id", "staff", "phrase", F.round(marks.phrase_score(F.col("n"), F.col("x1") - F.col("x0"), 20.0), 6).alias("score"))
 
 
-@_query(f"""WITH {_LIGHT}, c AS (SELECT page_id, seq, x1 - x0 AS w, y1 - y0 AS h, area / ((x1 - x0) * (y1 - y0)) AS d, CAST(seq % 5 AS INTEGER) AS r, CAST(seq % 4 AS INTEGER) AS k, CAST(seq % 7 AS INTEGER) AS t FROM light),
-f AS (SELECT *, w BETWEEN 4.2 AND 25.8 AND h BETWEEN 10.2 AND 43.8 AND d BETWEEN 0.08 AND 0.82 AND h >= 19.8 AS ok FROM c), e AS (SELECT *, ok AND w BETWEEN 6.0 AND 18.6 AND r >= 3 AND t >= 4 AND (k >= 1 OR d >= 0.32) AS sharp, ok AND r >= 2 AND k >= 2 AND t >= 3 AND d >= 0.18 AS nat FROM f)
-SELECT page_id, seq, CASE WHEN sharp THEN 'sharp' WHEN nat THEN 'natural' END AS kind, round(CASE WHEN sharp THEN least(1.0, 0.45 + 0.10 * r + 0.10 * k + 0.25 * d) WHEN nat THEN least(1.0, 0.34 + 0.09 * r + 0.12 * k + 0.22 * d) ELSE 0 END, 10) AS score FROM e""")
-def acc1_accidental_kinds(spark, sf):
-    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    kind = marks.accidental_kind(F.col("seq") % 5, F.col("seq") % 4, F.col("seq") % 7, w, h, F.col("area") / (w * h), 12.0)
-    return _light(spark, sf).select("page_id", "seq", kind.alias("k")).select("page_id", "seq", "k.kind", F.round("k.score", 10).alias("score"))
-
-
 # ----------------------------------------------------- stems, bars and beams
 @_query(f"""WITH {_BOXES} SELECT page_id AS note, direction, x, start, "end", length FROM (SELECT page_id, CASE WHEN staff % 2 = 0 THEN 'up' ELSE 'down' END AS direction, x0 AS x, y0 AS start, y1 AS "end", y1 - y0 AS length FROM boxes)
 WHERE length >= 21 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length DESC, direction DESC, x, start) = 1""")
@@ -559,21 +550,3 @@ _BY_STEM = "b.x0 BETWEEN a.x0 - 7.5 AND a.x1 + 7.5 AND least(b.y1, a.y1 + 8) >=
 @_query(_anti(_BY_STEM))
 def sec3_not_near_stems(spark, sf):
     return _without(spark, sf, lambda a, b: marks.near_stem(a, b, 10.0))
-
-
-@_query(f"""WITH {_LIGHT}, c AS (SELECT page_id, seq, x1 - x0 AS w, y1 - y0 AS h, area / ((x1 - x0) * (y1 - y0)) AS d, (SELECT min(abs((y0 + y1) * 0.5 - (300.0 + k * 10))) FROM range(-10, 19) t(k)) AS p, seq % 2 = 0 AS s FROM light)
-SELECT page_id, seq FROM c WHERE w BETWEEN 11.0 AND 35.0 AND h BETWEEN 7.6 AND 22.0 AND p <= 4.8 AND (w / greatest(1, h) BETWEEN 0.75 AND 2.2 AND d >= 0.42 OR s)""")
-def sec4_notehead_like(spark, sf):
-    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    pitch = staves.pitch_distance((F.col("y0") + F.col("y1")) * 0.5, F.lit(300.0), F.lit(20.0))
-    return _light(spark, sf).where(marks.notehead_like(w, h, F.col("area") / (w * h), pitch, F.col("seq") % 2 == 0, 20.0)).select("page_id", "seq")
-
-
-@_query(f"""WITH {_LIGHT}, c AS (SELECT page_id, seq, area, x1 - x0 AS w, y1 - y0 AS h, area * 0.5 / ((x1 - x0) * (y1 - y0)) AS d, (y0 + y1) * 0.5 AS cy, seq % 3 = 0 AS note FROM light),
-f AS (SELECT *, NOT note AND cy BETWEEN 500 - 23.0 AND 500 + 103.0 AS body FROM c), e AS (SELECT *, body AND w BETWEEN 11.0 AND 44.0 AND h BETWEEN 2.8 AND 10.4 AND w / greatest(1, h) >= 2.05 AND d >= 0.35 AND cy BETWEEN 513 AND 567 AS r1, body AND w BETWEEN 5.0 AND 29.0 AND h BETWEEN 18.0 AND 64.0 AND d <= 0.62 AS r2, w >= 29.0 AND h <= 19.0 AND d >= 0.38 AS b, w >= 36.0 AND h BETWEEN 3.6 AND 34.0 AND d BETWEEN 0.035 AND 0.36 AS s FROM f)
-SELECT page_id, seq, CASE WHEN r1 THEN 'whole_or_half_rest' WHEN r2 THEN 'quarter_or_eighth_rest' WHEN b THEN 'beam_candidate' WHEN s AND w <= 130.0 THEN 'tie_or_slur_candidate' WHEN s THEN 'slur_candidate' END AS kind,
- round(CASE WHEN r1 THEN d WHEN r2 THEN (area / 400.0) / greatest(1.0, h / 20.0) WHEN b THEN least(1.0, w / 80.0 * d) WHEN s THEN least(1.0, w / 100.0 * (0.45 - d)) ELSE 0 END, 10) AS score FROM e""")
-def sec5_symbol_kinds(spark, sf):
-    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    kind = marks.symbol_kind(w, h, F.col("area") * 0.5 / (w * h), F.col("area"), (F.col("y0") + F.col("y1")) * 0.5, F.col("seq") % 3 == 0, F.lit(500.0), 20.0)
-    return _light(spark, sf).select("page_id", "seq", kind.alias("k")).select("page_id", "seq", "k.kind", F.round("k.score", 10).alias("score"))
