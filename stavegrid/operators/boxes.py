@@ -21,6 +21,23 @@ def holds_point(box: Callable[[str], Column], x: Column, y: Column, margin: Colu
     return x.between(box("x0") - margin, box("x1") + margin) & y.between(box("y0") - margin, box("y1") + margin)
 
 
+def near_pairs(a: DataFrame, b: DataFrame, keys: list[str], near: Callable, reach: float, cell: int = 64) -> DataFrame:
+    """Pairs of rows of a and b (aliased so) with equal keys that are near.
+
+    ``near`` is held only against rows that share a strip of ``cell`` columns, a's
+    widened by ``reach``; a pair counts in the first strip that both are in."""
+
+    def stripped(rows: DataFrame, wide: float) -> DataFrame:
+        first = F.floor((F.col("x0") - wide) / cell)
+        return rows.withColumn("_first", first).withColumn("_cell", F.explode(F.sequence(first, F.floor((F.col("x1") + wide) / cell))))
+
+    same = (F.col("a._cell") == F.col("b._cell")) & (F.col("a._cell") == F.greatest("a._first", "b._first"))
+    for k in keys:
+        same = same & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    of = lambda alias: lambda name: F.col(f"{alias}.{name}")
+    return stripped(a, reach).alias("a").join(stripped(b, 0).alias("b"), same & near(of("a"), of("b")))
+
+
 def hull(*also: Column) -> list[Column]:
     """Aggregates: the box around boxes."""
     return [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), *also]

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stavegrid.operators import beams, boxes, marks, masks, raster, runs, staves
+from stavegrid.operators import beams, boxes, marks, masks, raster, runs, staves, symbols
 from stavegrid.sources import adapters
 
 _QUERIES: dict[str, Callable] = {}
@@ -70,9 +70,10 @@ def _boxes(spark: SparkSession, sf: str) -> DataFrame:
     return adapters.lineitem_boxes(adapters.table(spark, sf, "lineitem"))
 
 
-def _targets(spark: SparkSession, sf: str) -> DataFrame:
-    """The boxes of line number 1 stand for marks that others are held against."""
-    return _boxes(spark, sf).where("staff = 1")
+def _roles(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The boxes of odd line numbers and those of even ones."""
+    every = _boxes(spark, sf)
+    return every.where("staff % 2 = 1"), every.where("staff % 2 = 0")
 
 
 # --------------------------------------------------------------------- raster
@@ -221,12 +222,11 @@ def msk4_erase_marks(spark, sf):
 
 
 # ---------------------------------------------------------------------- boxes
-@_query(f"""WITH {_BOXES} SELECT a.page_id, a.seq AS a, b.seq AS b FROM boxes a JOIN boxes b ON a.page_id = b.page_id AND a.staff = 1 AND b.staff = 2
+@_query(f"""WITH {_BOXES} SELECT a.page_id, a.seq AS a, b.seq AS b FROM boxes a JOIN boxes b ON a.page_id = b.page_id AND a.staff % 2 = 1 AND b.staff % 2 = 0
 AND least(a.x1, b.x1 + 3) > greatest(a.x0, b.x0 - 3) AND least(a.y1, b.y1 + 3) > greatest(a.y0, b.y0 - 3)""")
 def box1_intersections(spark, sf):
-    a, b = _boxes(spark, sf).where("staff = 1").alias("a"), _boxes(spark, sf).where("staff = 2").alias("b")
-    meet = boxes.intersects(marks.of("a"), marks.of("b"), 3)
-    return a.join(b, (F.col("a.page_id") == F.col("b.page_id")) & meet).select("a.page_id", F.col("a.seq").alias("a"), F.col("b.seq").alias("b"))
+    found = boxes.near_pairs(*_roles(spark, sf), ["page_id"], lambda a, b: boxes.intersects(a, b, 3), 3)
+    return found.select("a.page_id", F.col("a.seq").alias("a"), F.col("b.seq").alias("b"))
 
 
 @_query(f"WITH {_BOXES} SELECT page_id, staff, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n FROM boxes GROUP BY page_id, staff")
@@ -240,13 +240,12 @@ def box3_merge_nearby(spark, sf):
     return boxes.merge_boxes(_boxes(spark, sf), ["page_id", "staff"], 4.7, 6.4)
 
 
-@_query(f"""WITH {_BOXES} SELECT a.page_id, a.seq AS box, b.seq AS point FROM boxes a JOIN boxes b ON a.page_id = b.page_id AND a.staff = 1 AND b.staff = 3
+@_query(f"""WITH {_BOXES} SELECT a.page_id, a.seq AS box, b.seq AS point FROM boxes a JOIN boxes b ON a.page_id = b.page_id AND a.staff % 2 = 1 AND b.staff % 2 = 0
 AND (b.x0 + b.x1) * 0.5 BETWEEN a.x0 - 2.5 AND a.x1 + 2.5 AND (b.y0 + b.y1) * 0.5 BETWEEN a.y0 - 2.5 AND a.y1 + 2.5""")
 def box4_points_in_boxes(spark, sf):
-    a, b = _boxes(spark, sf).where("staff = 1").alias("a"), _boxes(spark, sf).where("staff = 3").alias("b")
-    center = [(F.col(f"b.{c}0") + F.col(f"b.{c}1")) * 0.5 for c in "xy"]
-    inside = boxes.holds_point(marks.of("a"), *center, 2.5)
-    return a.join(b, (F.col("a.page_id") == F.col("b.page_id")) & inside).select("a.page_id", F.col("a.seq").alias("box"), F.col("b.seq").alias("point"))
+    middle = lambda b, c: (b(f"{c}0") + b(f"{c}1")) * 0.5
+    found = boxes.near_pairs(*_roles(spark, sf), ["page_id"], lambda a, b: boxes.holds_point(a, middle(b, "x"), middle(b, "y"), 2.5), 2.5)
+    return found.select("a.page_id", F.col("a.seq").alias("box"), F.col("b.seq").alias("point"))
 
 
 # ---------------------------------------------------------------- suppression
@@ -525,23 +524,26 @@ def bem6_group_summary(spark, sf):
 
 
 # ---------------------------------------------------------- secondary symbols
-def _without(spark, sf, near) -> DataFrame:
-    a, b = _boxes(spark, sf).where("staff = 2").alias("a"), _targets(spark, sf).withColumn("x", F.col("x0")).alias("b")
-    return a.join(b, (F.col("a.page_id") == F.col("b.page_id")) & near(marks.of("a"), marks.of("b")), "left_anti").select("page_id", "seq")
+def _without(spark, sf, near, reach: float, right: str = "x0") -> DataFrame:
+    """Even boxes without an odd one near, which stands for a mark from x0 to ``right``."""
+    order = F.row_number().over(Window.partitionBy("page_id").orderBy("seq", "x0", "y0", "x1", "y1"))
+    own = _boxes(spark, sf).withColumn("id", F.col("seq")).withColumn("seq", order).withColumn("x", F.col("x0"))
+    flagged = symbols.flagged(own.where("staff % 2 = 0"), symbols.spans(own.where("staff % 2 = 1"), "x0", right), near, F.lit(reach), "near", ["page_id"])
+    return flagged.where("not near").select("page_id", F.col("id").alias("seq"))
 
 
 def _anti(test: str) -> str:
-    return f"WITH {_BOXES} SELECT page_id, seq FROM boxes a WHERE staff = 2 AND NOT EXISTS (SELECT 1 FROM boxes b WHERE b.staff = 1 AND a.page_id = b.page_id AND ({test}))"
+    return f"WITH {_BOXES} SELECT page_id, seq FROM boxes a WHERE staff % 2 = 0 AND NOT EXISTS (SELECT 1 FROM boxes b WHERE b.staff % 2 = 1 AND a.page_id = b.page_id AND ({test}))"
 
 
 @_query(_anti("abs(b.x0 - (a.x0 + a.x1) * 0.5) <= 4.5"))
 def sec1_not_near_bars(spark, sf):
-    return _without(spark, sf, lambda a, b: marks.near_bar(a, b, 4.5))
+    return _without(spark, sf, lambda a, b: marks.near_bar(a, b, 4.5), 4.5)
 
 
 @_query(_anti("least(a.x1, b.x1 + 20) >= greatest(a.x0, b.x0 - 20) AND least(a.y1, b.y1 + 20) >= greatest(a.y0, b.y0 - 20)"))
 def sec2_not_near_groups(spark, sf):
-    return _without(spark, sf, lambda a, b: marks.near_group(a, b, 20))
+    return _without(spark, sf, lambda a, b: marks.near_group(a, b, 20), 20, "x1")
 
 
 _BY_STEM = "b.x0 BETWEEN a.x0 - 7.5 AND a.x1 + 7.5 AND least(b.y1, a.y1 + 8) >= greatest(b.y0, a.y0 - 8) OR abs(b.x0 - (a.x0 + a.x1) * 0.5) <= 4.5 AND (a.y0 + a.y1) * 0.5 BETWEEN b.y0 - 10 AND b.y1 + 10"
@@ -549,4 +551,4 @@ _BY_STEM = "b.x0 BETWEEN a.x0 - 7.5 AND a.x1 + 7.5 AND least(b.y1, a.y1 + 8) >=
 
 @_query(_anti(_BY_STEM))
 def sec3_not_near_stems(spark, sf):
-    return _without(spark, sf, lambda a, b: marks.near_stem(a, b, 10.0))
+    return _without(spark, sf, lambda a, b: marks.near_stem(a, b, 10.0), 7.5)
