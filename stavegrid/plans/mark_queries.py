@@ -89,23 +89,28 @@ def acc1_accidental_kinds(spark, sf):
 
 
 # ------------------------------------------------------------------------ bars
-_BARS = f"""{_GRAY}, {STAVES}, dark AS (SELECT page_id, y, x FROM gray WHERE g < 150),
+_BAR_STEPS = """dark AS (SELECT page_id, y, x FROM gray WHERE g < 150),
  win AS (SELECT s.*, top + 4 * space AS bottom, CAST(greatest(0, round_even(top - 0.35 * space, 0)) AS INTEGER) AS ry0, CAST(least(height, round_even(top + 4 * space + 0.35 * space, 0)) AS INTEGER) AS ry1, CAST(greatest(0, round_even(scan_x0 - 0.8 * space, 0)) AS INTEGER) AS rx0, CAST(least(width, round_even(x1 + 0.4 * space, 0)) AS INTEGER) AS rx1, CAST(round_even(3.55 * space, 0) AS INTEGER) AS least_ FROM staves s JOIN pages USING (page_id)),
  col AS (SELECT w.page_id, staff, d.x, d.y, least_, CASE WHEN d.y - lag(d.y) OVER (PARTITION BY w.page_id, staff, d.x ORDER BY d.y) <= 2 THEN 0 ELSE 1 END AS new FROM win w JOIN dark d ON d.page_id = w.page_id AND d.y >= ry0 AND d.y < ry1 AND d.x >= rx0 AND d.x < rx1),
- isl AS (SELECT *, sum(new) OVER (PARTITION BY page_id, staff, x ORDER BY y) AS k FROM col), rn AS (SELECT page_id, staff, x, least_, min(y) AS a, max(y) AS b FROM isl GROUP BY page_id, staff, x, least_, k),
+ bar_isl AS (SELECT *, sum(new) OVER (PARTITION BY page_id, staff, x ORDER BY y) AS k FROM col), rn AS (SELECT page_id, staff, x, least_, min(y) AS a, max(y) AS b FROM bar_isl GROUP BY page_id, staff, x, least_, k),
  tall AS (SELECT * FROM rn WHERE b - a + 1 >= least_ QUALIFY row_number() OVER (PARTITION BY page_id, staff, x ORDER BY b - a DESC, a) = 1),
  near AS (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY page_id, staff ORDER BY x) <= 2 THEN 0 ELSE 1 END AS new FROM tall), grp AS (SELECT *, sum(new) OVER (PARTITION BY page_id, staff ORDER BY x) AS k FROM near),
  raw_bars AS (SELECT g.page_id, g.staff, CAST(round_even(median(g.x), 0) AS INTEGER) AS x, min(a) AS y0, max(b) AS y1 FROM grp g GROUP BY g.page_id, g.staff, g.k),
  bars AS (SELECT b.*, CASE WHEN abs(b.x - w.x0) <= 1.2 * space THEN 'system_start' ELSE 'barline' END AS kind, (y1 - y0 + 1) / CAST(greatest(1, ry1 - ry0) AS DOUBLE) AS score, top, space FROM raw_bars b JOIN win w USING (page_id, staff) WHERE y1 - y0 + 1 >= least_),
- ok AS (SELECT *, kind = 'system_start' OR EXISTS (SELECT 1 FROM bars o WHERE o.page_id = b.page_id AND o.staff <> b.staff AND abs(o.x - b.x) <= greatest(2.0, 0.60 * b.space) AND abs(o.top - b.top) <= 13 * b.space) AS seen FROM bars b)"""
+ ok AS (SELECT *, kind = 'system_start' OR EXISTS (SELECT 1 FROM bars o WHERE o.page_id = b.page_id AND o.staff <> b.staff AND abs(o.x - b.x) <= greatest(2.0, 0.60 * b.space) AND abs(o.top - b.top) <= 13 * b.space) AS seen FROM bars b),
+ kept_bars AS (SELECT * FROM (SELECT *, bool_or(seen) OVER (PARTITION BY page_id) AS any_seen FROM ok) WHERE seen OR NOT any_seen)"""
+_BARS = f"{_GRAY}, {STAVES}, {_BAR_STEPS}"
 
 
-@_query(f"WITH {_BARS} SELECT page_id, staff, x, y0, y1, kind, round(score, 9) AS score FROM (SELECT *, bool_or(seen) OVER (PARTITION BY page_id) AS any_seen FROM ok) WHERE seen OR NOT any_seen")
+def _bars(spark, sf) -> DataFrame:
+    _, _, pages, staff_rows = note_queries.rasters(spark, sf)
+    return symbols.find_bars(_gray(spark, sf).where("g < 150").select("page_id", "y", "x"), staff_rows, pages)
+
+
+@_query(f"WITH {_BARS} SELECT page_id, staff, x, y0, y1, kind, round(score, 9) AS score FROM kept_bars")
 def bar1_barlines(spark, sf):
     """Islands of columns that are islands of rows, confirmed by the other staff."""
-    gray = _gray(spark, sf)
-    _, _, pages, staff_rows = note_queries.rasters(spark, sf)
-    found = symbols.find_bars(gray.where("g < 150").select("page_id", "y", "x"), staff_rows, pages)
+    found = _bars(spark, sf)
     return found.select("page_id", "staff", "x", "y0", "y1", "kind", F.round("score", 9).alias("score"))
 
 
@@ -118,17 +123,56 @@ _STEMS = f"""{NOTES}, heads AS (SELECT n.*, row_number() OVER (PARTITION BY n.pa
  stem AS (SELECT page_id, note, staff, space, direction, x, min(y) AS y0, max(y) AS y1, max(y) - min(y) + 1 AS length FROM srun GROUP BY page_id, note, staff, space, direction, x, k)"""
 
 
-@_query(f"WITH {_STEMS} SELECT page_id, staff, note, x, y0, y1, direction, length, round(length / greatest(1, round_even(4.8 * space, 0)), 9) AS score FROM stem WHERE length >= round_even(2.1 * space, 0) QUALIFY row_number() OVER (PARTITION BY page_id, note ORDER BY length DESC, direction DESC, x, y0) = 1")
-def stm1_note_stems(spark, sf):
-    """The stem of each notehead that not5 keeps."""
+_STEMS += """, kept_stems AS (SELECT page_id, staff, note, x, y0, y1, direction, length, space FROM stem WHERE length >= round_even(2.1 * space, 0) QUALIFY row_number() OVER (PARTITION BY page_id, note ORDER BY length DESC, direction DESC, x, y0) = 1)"""
+
+
+def _heads_and_stems(spark, sf) -> tuple[DataFrame, DataFrame]:
     _, cleaned, pages, staff_rows = note_queries.rasters(spark, sf)
     heads = cut(note_queries._notes(spark, sf)).join(staff_rows.select("page_id", "staff", "space"), ["page_id", "staff"])
     note = F.row_number().over(Window.partitionBy("page_id").orderBy("staff", "x", "y")) - 1
-    heads = cut(heads.withColumn("note", note).select("page_id", "note", "staff", "x", "y", "space"))
-    found = symbols.find_stems(cleaned, heads, pages)
+    heads = cut(heads.withColumn("note", note))
+    return heads, symbols.find_stems(cleaned, heads.select("page_id", "note", "staff", "x", "y", "space"), pages)
+
+
+@_query(f"WITH {_STEMS} SELECT page_id, staff, note, x, y0, y1, direction, length, round(length / greatest(1, round_even(4.8 * space, 0)), 9) AS score FROM kept_stems")
+def stm1_note_stems(spark, sf):
+    """The stem of each notehead that not5 keeps."""
+    found = _heads_and_stems(spark, sf)[1]
     return found.select("page_id", "staff", "note", "x", "y0", "y1", "direction", "length", F.round("score", 9).alias("score"))
 
 
+# ------------------------------------------------------------------- documents
+_LISTS = {
+    "noteheads": ("heads", "note", ("staff", "x", "pitch_step", "kind")),
+    "stems": ("kept_stems", "note", ("staff", "note", "x", "y0", "y1", "direction", "length")),
+    "barlines": ("kept_bars", "staff, x", ("staff", "x", "y0", "y1", "kind")),
+}
+
+
+def _list_sql(name: str) -> str:
+    table, order, fields = _LISTS[name]
+    record = "{" + ", ".join(f"'{f}': {f}" for f in fields) + "}"
+    return f"{name}_of AS (SELECT page_id, list({record} ORDER BY {order}) AS l FROM {table} GROUP BY page_id)"
+
+
+@_query(f"""WITH {_STEMS}, {_BAR_STEPS}, {", ".join(map(_list_sql, _LISTS))}
+SELECT p.page_id, '{{"page_id":' || p.page_id || {" || ".join(f"""',"{n}":' || coalesce(CAST(to_json({n}_of.l) AS VARCHAR), '[]')""" for n in _LISTS)} || ',"counts":{{' || {" || ',' || ".join(f"""'"{n}":' || coalesce(len({n}_of.l), 0)""" for n in _LISTS)} || '}}}}' AS document
+FROM pages p {" ".join(f"LEFT JOIN {n}_of ON {n}_of.page_id = p.page_id" for n in _LISTS)}""")
+def snk2_note_documents(spark, sf):
+    """Noteheads, their stems and the bars of each page as one nested JSON text,
+    records in order, counts last."""
+    heads, stems = _heads_and_stems(spark, sf)
+    _, _, pages, _ = note_queries.rasters(spark, sf)
+    out = pages.select("page_id")
+    for (name, (_, order, fields)), table in zip(_LISTS.items(), (heads, stems, _bars(spark, sf))):
+        keys = [F.col(c).alias(f"o{k}") for k, c in enumerate(order.split(", "))]
+        listed = table.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(*keys, F.struct(*fields).alias("r")))).alias("l"))
+        out = out.join(cut(listed.select("page_id", F.col("l.r").alias(name))), "page_id", "left")
+        out = out.withColumn(name, F.coalesce(name, F.array().cast(dict(out.dtypes)[name])))
+    counts = F.struct(*[F.size(n).alias(n) for n in _LISTS]).alias("counts")
+    return out.select("page_id", F.to_json(F.struct("page_id", *_LISTS, counts)).alias("document"))
+
+
 # ----------------------------------------------------------- secondary symbols
 # A page's boxes by line number: multiples of three are parts, the next ones stems, the rest notes.
 _ROLES = f"""{_LIGHT}, own AS (SELECT * REPLACE (row_number() OVER (PARTITION BY page_id ORDER BY seq, x0, y0, x1, y1) AS seq) FROM light),

@@ -296,10 +296,17 @@ def test_suppression_holds_every_page(spark, monkeypatch, name, keys, meet):
     assert sorted(map(tuple, registry.queries()[name](spark, "").collect())) == want
 
 
-@pytest.mark.parametrize("suppliers", [3, 7])
-def test_whole_pages_grow_with_the_tables(spark, tmp_path, suppliers):
-    spark.range(5).write.parquet(str(tmp_path / "region.parquet"))
-    spark.range(suppliers).write.parquet(str(tmp_path / "supplier.parquet"))
+def test_whole_pages_of_a_table(spark, tmp_path):
+    """A page for each hundred vectors; the document holds what the counts say."""
+    r = np.random.default_rng(4)
+    rows = [(k, [float(v) for v in np.clip(r.normal(0, 0.12, 64), -1, 1)], 0) for k in range(130)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     queries = page_queries.queries()
-    assert queries["snk1_binary_png"](spark, str(tmp_path)).count() == suppliers
-    assert queries["drv1_detect"](spark, str(tmp_path)).count() == suppliers
+    assert queries["snk1_binary_png"](spark, str(tmp_path)).count() == 2
+    counts = {r.page_id: r for r in queries["drv2_counts"](spark, str(tmp_path)).collect()}
+    documents = {r.page_id: json.loads(r.document) for r in queries["snk2_documents"](spark, str(tmp_path)).collect()}
+    assert counts.keys() == documents.keys() == {"0", "1"}
+    for page, document in documents.items():
+        assert all(len(document[name]) == counts[page][name] == document["counts"][name] for name in RECORDS)
+        assert len(document["staves"]) == 2
+    assert sum(c.noteheads for c in counts.values()) > 0
