@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stavegrid.operators.durable import cut
 from stavegrid.operators.runs import islands
 from stavegrid.params import DEFAULTS as P
 
@@ -31,6 +32,7 @@ def in_text_cluster(boxes: DataFrame, keys: list[str], space: Column | float) ->
     space = space if isinstance(space, Column) else F.lit(space)
     parts = boxes.where(is_text_part(F.col, space)).withColumn("_s", space).withColumn("_cy", (F.col("y0") + F.col("y1")) * 0.5)
     parts = parts.select(*keys, "seq", "x0", "x1", "_s", "_cy", F.floor(F.col("_cy") / (0.68 * F.col("_s"))).alias("_cell"))
+    parts = cut(parts)  # else the join's sides infer the test of parts from each other, too large to be compiled
     a, b = parts.alias("a"), parts.withColumn("_cell", F.explode(F.array(F.col("_cell") - 1, F.col("_cell"), F.col("_cell") + 1))).alias("b")
     same = F.col("a._cell") == F.col("b._cell")
     for k in keys:
@@ -48,9 +50,9 @@ def phrases(boxes: DataFrame, keys: list[str], space: float) -> DataFrame:
     gap = F.col("x0") - F.lag("x1").over(order)
     overlap = F.least(F.col("y1"), F.lag("y1").over(order)) - F.greatest(F.col("y0"), F.lag("y0").over(order))
     joined = F.coalesce((gap <= 1.35 * space) & (overlap >= -0.25 * space), F.lit(False))
-    cut = boxes.withColumn("_new", F.when(joined, 0).otherwise(1))
-    cut = cut.withColumn("phrase", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return cut.groupBy(*keys, "phrase").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("n"))
+    parted = boxes.withColumn("_new", F.when(joined, 0).otherwise(1))
+    parted = parted.withColumn("phrase", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return parted.groupBy(*keys, "phrase").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("n"))
 
 
 def phrase_score(n: Column, width: Column, space: Column | float, match: float = 0.0) -> Column:
