@@ -3,8 +3,7 @@
 Keys are 64-bit names of distinct contents (classes), so copies never meet.
 Nothing here is collected but counts.
 
-Candidates come from postings: the members that share a column.  Work is kept
-in proportion to the members, not to their pairs:
+Candidates come from postings: the members that share a column.
 
 1.  Members that no other member of a posting admits by size and place leave it.
 2.  Small postings name their pairs; a large one only its star, all members
@@ -16,8 +15,8 @@ in proportion to the members, not to their pairs:
     the block's incidence matrix counts all overlaps at once.  Only edges
     between components leave a block, fewer than it has members.
 
-So no link between components is missed, and rows grow with the members of
-postings, whatever the size of a group.
+So no link between components is missed.  Rows grow with the members of postings
+but for step 3, where m members that are still apart take m * m / BLOCK rows.
 """
 
 from __future__ import annotations
