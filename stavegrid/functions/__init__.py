@@ -9,8 +9,3 @@ from pyspark.sql import functions as F
 def half_even(c: Column) -> Column:
     """Round half to even, as an int."""
     return F.rint(c).cast("int")
-
-
-def first_best(value: Column, score: Column, seq: Column) -> Column:
-    """Aggregate: the value with the greatest score; ties go to the least seq."""
-    return F.max_by(value, F.struct(score, -seq))

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from stavegrid.operators import boxes, page, symbols
 from stavegrid.operators.page import PageDetector
 from stavegrid.plans import relational
 from stavegrid.schema import RECORDS
@@ -67,3 +68,46 @@ def test_records_equal_the_dense_ones(both, name):
         assert rows == [{f: plain(w[f]) for f in fields} for w in want.records[name]], page
     if name not in ("accidentals", "rests"):
         assert any(found[p][name] for p in found), "nothing to compare"
+
+
+def test_first_fit_takes_the_first_row():
+    """Row medians move as boxes join, and the first row in reach is taken, not the nearest."""
+    assert symbols.first_fit([0.0, 3.0, 4.5, 5.0, 9.0], 3.0) == [0, 0, 0, 0, 1]
+    r = np.random.default_rng(6)
+    centers = sorted(r.integers(0, 300, 120) / 2)
+    rows, want = [], []
+    for c in centers:
+        home = next((k for k, row in enumerate(rows) if abs(c - np.median(row)) <= 4.3), None)
+        if home is None:
+            rows.append([])
+            home = len(rows) - 1
+        rows[home].append(c)
+        want.append(home)
+    assert symbols.first_fit(centers, 4.3) == want
+    assert symbols.first_fit([], 1.0) == []
+
+
+@pytest.mark.parametrize("share", [0.1, 0.3, 0.45, 0.7])
+def test_connected_runs_equal_components(share):
+    mask = np.random.default_rng(int(100 * share)).random((40, 50)) < share
+    runs = page.row_runs(mask)
+    label = symbols.connected_runs(runs[:, 0], runs[:, 1], runs[:, 2] - 1)
+    found = []
+    for k in np.unique(label):
+        own = runs[label == k]
+        found.append((int(own[:, 1].min()), int(own[:, 0].min()), int(own[:, 2].max()), int(own[:, 0].max()) + 1, int((own[:, 2] - own[:, 1]).sum())))
+    assert sorted(found) == sorted(tuple(map(int, b)) for b in page.components(mask))
+
+
+def test_flags_and_pairs_by_strips(spark):
+    """Marks strips apart, and one box over many strips."""
+    r = np.random.default_rng(8)
+    rows = [(int(r.integers(0, 2)), k, int(x), int(y), int(x + w), int(y + 9)) for k, (x, y, w) in enumerate(zip(r.integers(-300, 900, 90), r.integers(0, 60, 90), r.integers(1, 400, 90)))]
+    boxes_ = spark.createDataFrame(rows, "page_id int, seq int, x0 int, y0 int, x1 int, y1 int")
+    a, b = boxes_.where("seq % 2 = 0"), boxes_.where("seq % 2 = 1")
+    near = lambda p, q: boxes.intersects(p, q, 3)
+    meet = {(p[1], q[1]) for p in rows for q in rows if p[1] % 2 == 0 and q[1] % 2 == 1 and p[0] == q[0] and min(p[4], q[4] + 3) > max(p[2], q[2] - 3) and min(p[5], q[5] + 3) > max(p[3], q[3] - 3)}
+    pairs = [(x.a, x.b) for x in boxes.near_pairs(a, b, ["page_id"], near, 3).select(F.col("a.seq").alias("a"), F.col("b.seq").alias("b")).collect()]
+    assert sorted(pairs) == sorted(meet)
+    flags = {x.seq for x in symbols.flagged(a, symbols.spans(b), near, F.lit(3), "hit", ["page_id"]).where("hit").collect()}
+    assert flags == {p for p, _ in meet}
