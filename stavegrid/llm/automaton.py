@@ -12,8 +12,10 @@ the whole automaton.  Equal states and equal arcs are then joined into one bit
 table.
 
 Encoding.  A trie of arc labels and that table drive many words at a time:
-each prefix of a word has one path, so a position holds one state.  Decoding
-writes the arcs' labels.
+each prefix of a word has one path, so a position holds one state.  A long word
+is walked in lanes that start a little early and must agree with the lane before
+them over the longest label, beyond which no arc looks back.  Decoding writes
+the arcs' labels.
 """
 
 from __future__ import annotations
@@ -28,12 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stavegrid.llm.common import batch_of, ragged, slices, text_bytes
+from stavegrid.llm.common import batch_of, column, ragged, slices, text_bytes
 from stavegrid.llm.tokens import ChunkEncoder, _byte_letters, space_keeping_pieces
 
 
 #: States whose arcs are unpacked at once on compiling; a multiple of 8.
 _STATES = 512
+#: Bytes of a long word that a lane settles, and those it starts early.  Multiples
+#: of 384, so that runs of a repeated letter of 1 to 4 bytes come out in phase.
+_LANE, _EARLY = 768, 384
+#: Lanes walked at once, and lanes in sequence whose outcome is kept for equal ones.
+_LANES, _KEPT = 2048, 64
 
 
 class TokenAutomaton:
@@ -143,6 +150,7 @@ class TokenAutomaton:
         self.token = np.full(len(child) + 1, -1, np.int32)
         self.token[list(ends)] = list(ends.values())
         self.length = np.array([len(x) for x in labels], np.int64)
+        self.reach = int(self.length.max())
         spelled = [b""] * (1 + max([int(self.ids.max()), *self.special.values()]))
         for t, label in enumerate(labels):
             spelled[self.ids[t]] = label
@@ -159,14 +167,17 @@ class TokenAutomaton:
         counts = np.zeros(len(words), np.int64)
         order = np.argsort(size, kind="stable")
         parts: list[np.ndarray] = []
-        low = int(np.searchsorted(size[order], 1))
-        while low < len(order):  # words of like length together
+        low, end = np.searchsorted(size[order], [1, 2 * max(_LANE, self.reach)]).tolist()
+        while low < end:  # words of like length together
             longest = max(8, int(size[order[low]] * 1.5))
-            high = min(int(np.searchsorted(size[order], longest, "right")), low + max(1, (1 << 21) // longest))
+            high = min(int(np.searchsorted(size[order[:end]], longest, "right")), low + max(1, (1 << 21) // longest))
             group = order[low:high]
             ids, counts[group] = self._walk([words[k] for k in group], size[group])
             parts.append(ids)
             low = high
+        for k in order[end:].tolist():
+            parts.append(self._long(words[k]))
+            counts[k] = len(parts[-1])
         flat = np.concatenate(parts) if parts else np.zeros(0, np.uint16)
         start = np.zeros(len(words), np.int64)
         start[order] = np.cumsum(counts[order]) - counts[order]
@@ -176,42 +187,111 @@ class TokenAutomaton:
         n, width = len(words), int(size.max())
         text = np.zeros((width, n), np.uint8)
         pool = np.frombuffer(b"".join(words), np.uint8)
-        which = np.repeat(np.arange(n), size)
-        text[ragged(size, np.zeros(n, np.int64)), which] = pool
-        last = np.full((width + 1, n), -1, np.int32)  # the arc by which a position is reached
+        text[ragged(size, np.zeros(n, np.int64)), np.repeat(np.arange(n), size)] = pool
+        last = self._advance(text, size, np.full((1, n), -1, np.int32))
+        where, which, found = size.copy(), np.arange(n), []
+        while len(which):
+            token = last[where[which], which]
+            found.append((which, token))
+            where[which] -= self.length[token]
+            which = which[where[which] > 0]
+        word = np.concatenate([w for w, _ in found])
+        order = np.lexsort((-np.repeat(np.arange(len(found)), [len(w) for w, _ in found]), word))
+        return self.ids[np.concatenate([t for _, t in found])[order]], np.bincount(word, minlength=n)
+
+    def _advance(self, text: np.ndarray, size: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """The arc by which each position of the columns of ``text`` is reached.
+        ``known``: arcs of the first positions, of which -1 begins a word."""
+        width, n = text.shape
+        last = np.full((width + 1, n), -1, np.int32)
+        last[: len(known)] = known
         for i in range(width):
             row = np.flatnonzero(size > i)
-            if i:
+            fresh = i == 0 and known[0, 0] < 0
+            if not fresh:
                 behind = self.state[last[i, row]]
             at, j = self.next[0, text[i, row]], i
             while len(row):
                 j += 1
                 token = self.token[at]
                 ok = token >= 0
-                if i:
+                if not fresh:
                     arc = self.arc[token]
                     ok &= (self.missing[behind, arc >> 3] >> (7 - (arc & 7))) & 1 == 0
-                last[j, row[ok]] = token[ok]
+                if j >= len(known):
+                    last[j, row[ok]] = token[ok]
                 on = size[row] > j
                 row, at = row[on], at[on]
-                if i:
+                if not fresh:
                     behind = behind[on]
                 if not len(row):
                     break
                 at = self.next[at, text[j, row]]
                 on = at > 0
                 row, at = row[on], at[on]
-                if i:
+                if not fresh:
                     behind = behind[on]
-        where, which, found = size.copy(), np.arange(n), []
-        while len(which):
-            token = last[where[which], which]
-            found.append((which, token))
-            where[which] -= self.length[token]
-            which = which[where[which] > 0]
-        word = np.concatenate([w for w, _ in found])
-        order = np.lexsort((-np.repeat(np.arange(len(found)), [len(w) for w, _ in found]), word))
-        return self.ids[np.concatenate([t for _, t in found])[order]], np.bincount(word, minlength=n)
+        return last
+
+    def _long(self, word: bytes) -> np.ndarray:
+        """ids of one long word.
+
+        Lanes that do not agree with the one before them walk on from it, first
+        all at once and then in order; equal lanes with equal arcs before them
+        are walked once.  So the cost follows the length of the word, and steps
+        that NumPy takes for many lanes at once are few unless a word falls
+        into no common phase within a lane and does not repeat either.
+        """
+        raw, reach = np.frombuffer(word, np.uint8), self.reach
+        lane, early = max(_LANE, reach), max(_EARLY, reach)
+        last = np.full(len(raw) + 1, -1, np.int32)  # by position, as all lanes leave it
+        starts = np.arange(0, len(raw), lane)
+        warm = np.full((len(starts), reach), -1, np.int32)  # what a lane takes for the arcs before it
+
+        def walk(k: np.ndarray, back: int, known: np.ndarray) -> None:
+            low, high = starts[k] - back, np.minimum(starts[k] + lane, len(raw))
+            seen: dict[tuple[bytes, bytes], int] = {}  # equal lanes are walked once
+            of = [seen.setdefault((word[a:b], arcs.tobytes()), len(seen)) for a, b, arcs in zip(low.tolist(), high.tolist(), known.T)]
+            one = np.zeros(len(seen), np.int64)
+            one[of] = np.arange(len(k))
+            size = (high - low)[one]
+            text = raw[np.minimum(low[one] + np.arange(int(size.max()))[:, None], len(raw) - 1)]
+            found = self._advance(text, size, known[:, one])
+            if back:
+                warm[k] = found[back - reach + 1 : back + 1, of].T
+            for c, begin, end in zip(of, starts[k].tolist(), high.tolist()):
+                last[begin + 1 : end + 1] = found[back + 1 : back + 1 + end - begin, c]
+
+        def before(k: np.ndarray) -> np.ndarray:
+            return last[starts[k][:, None] - reach + 1 + np.arange(reach)]
+
+        walk(np.array([0]), 0, np.full((1, 1), -1, np.int32))
+        rest = np.arange(1, len(starts))
+        for k in np.split(rest, range(_LANES, len(rest), _LANES)):
+            if len(k):
+                walk(k, early, np.full((1, len(k)), -1, np.int32))
+        off = rest[(before(rest) != warm[rest]).any(1)]
+        for k in np.split(off, range(_LANES, len(off), _LANES)):
+            if len(k):
+                walk(k, reach, last[starts[k] - reach + np.arange(reach + 1)[:, None]])
+        kept: dict[tuple[bytes, bytes], np.ndarray] = {}
+        for k in rest.tolist():
+            low = int(starts[k])
+            if (last[low - reach + 1 : low + 1] == warm[k]).all():
+                continue
+            same = (last[low - reach : low + 1].tobytes(), word[low - reach : low + lane])
+            if same in kept:
+                last[low + 1 : low + lane + 1] = kept[same]
+                continue
+            walk(np.array([k]), reach, last[low - reach : low + 1, None].copy())
+            if len(kept) == _KEPT:
+                kept.clear()
+            kept[same] = last[low + 1 : low + lane + 1].copy()
+        arcs, length, at, out = memoryview(last), self.length.tolist(), len(raw), []
+        while at:
+            out.append(arcs[at])
+            at -= length[out[-1]]
+        return self.ids[np.array(out[::-1], np.int64)]
 
     # --------------------------------------------------------------- decoding
     def labels(self, ids: np.ndarray) -> np.ndarray:
@@ -257,7 +337,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", key: str = "do
     """
     spark = docs.sparkSession
     tables = spark.sparkContext.broadcast(automaton(path))
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(column(key).cast("long").alias("doc_id"), column(text).cast("string").alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
 
     def run(batches):

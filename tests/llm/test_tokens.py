@@ -1,6 +1,7 @@
 """Packing, Simple-8b files and the BPE automaton against the library."""
 
 import hashlib
+import time
 import zlib
 from functools import lru_cache
 
@@ -60,6 +61,27 @@ def test_repeated_letters_and_long_words():
         assert ids[at[k] : at[k + 1]].tolist() == library_ids(BYTE, w.decode())
 
 
+def test_words_without_end_are_walked_in_lanes():
+    pick = np.random.default_rng(3)
+    cjk = "".join(map(chr, pick.integers(0x4E00, 0x9FA0, 20_000)))
+    parts = "".join(np.array(["the", "cat", "tion", "e", "ing", "x"])[pick.integers(0, 6, 20_000)])
+    repeats = ["a" * 20_000, "b" + "a" * 20_001, "q日日" + "日" * 7_000, "abcde" * 4_000, "." * 9_001, " " * 9_001 + "x", "🎉🎊" * 2_000, "-_" * 5_001]
+    edges = ["a" * k for k in (1535, 1536, 1537, 2303, 2304, 2305)]
+    texts = [cjk, parts, *repeats, *edges]
+    ids, at = automaton_encoder()(pa.array(texts))
+    for text, a, b in zip(texts, at[:-1], at[1:]):
+        assert ids[a:b].tolist() == library_ids(BYTE, text)
+
+
+def test_long_words_cost_a_bounded_time_a_byte():
+    tables = automaton.automaton(BYTE)
+    word = "".join(map(chr, np.random.default_rng(4).integers(0x4E00, 0x9FA0, 400_000))).encode()
+    begin = time.process_time()
+    ids, counts = tables.encode_words([word, b"." * 600_000])
+    assert time.process_time() - begin < 40  # 1.8 MB; byte by byte it took over 120 s
+    assert tables.labels(ids).tobytes() == word + b"." * 600_000 and len(counts) == 2
+
+
 def test_encode_decode(spark):
     docs = cases.awkward_documents(spark)
     texts = {r.doc_id: r.text for r in docs.collect()}
