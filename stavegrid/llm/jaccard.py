@@ -3,12 +3,14 @@
 Rows of the incidence matrix are distinct shingle sets, columns are shingles.
 Two sets can reach the similarity only if they share a column among their
 first n - need + 1 in one common order, so only these entries enter the
-product of column blocks, which names the row pairs that their sizes and the
-entries' places admit.  Columns that HOT sets hold, counted over all entries,
-come last in that order: a passage that many texts quote admits a pair only if
-it is most of both.  Of the admitted pairs, and of blocks of rows where a
-column has too many of them, whole overlaps are accumulated over all columns
-and pairs below the bound that their sizes imply are discarded; see ``links``.
+product of column blocks.  Where up to SMALL rows share a column, it names the
+row pairs that their sizes and the entries' places admit; where more do, each
+row and one pivot.  Rows of a column that these pairs leave in different
+components meet as a block of rows, in which the product over all columns is
+accumulated.  Pairs below the bound that their sizes imply are discarded.
+Columns that HOT sets hold, counted over all entries, come last in the order:
+a passage that many texts quote admits a pair only if it is most of both.  See
+``links``.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stavegrid.llm.common import batch_of, bucket_rows, column, discard, in_filter, materialize, mix, repeat_filter, shuffle_width, slices, unused, window_hashes, word_hashes
-from stavegrid.llm.links import PAIR_SCHEMA, fetched, filtered, linked, members, pair_batches
+from stavegrid.llm.links import PAIR_SCHEMA, SMALL, fetched, filtered, linked, members, pair_batches
 
 WIDTH = 5
 SHARE = (75, 100)
@@ -177,7 +179,7 @@ def joined(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int
         return texts.mapInArrow(run, "key long, elements binary")
 
     sets = fetched(members(pairs), sets_of, "wholes")
-    roots = linked(pairs, sets, _long, share, 64)
+    roots = linked(pairs, sets, _long, share, SMALL)
     discard(pairs, sets)
     return rows, roots
 

@@ -9,14 +9,15 @@ Candidates come from postings: the members that share a column.
 2.  Small postings name their pairs; a large one only its star, all members
     against one pivot.  These pairs are verified and linked members joined.
 3.  Postings whose members are all in one component by then are done; of
-    postings with the same members one is kept.  Of the others those of few
-    members name their admitted pairs between components.  The members of the
-    rest meet in blocks of at most twice BLOCK rows, where a blocked product of
+    postings with the same members one is kept.  The members of the others
+    meet in blocks of at most twice BLOCK rows, where a blocked product of
     the block's incidence matrix counts all overlaps at once.  Only edges
-    between components leave a block, fewer than it has members.
+    between components leave a block, fewer than it has members.  Where the
+    caller says so, postings of few members name their admitted pairs instead.
 
 So no link between components is missed.  Rows grow with the members of postings
-but for step 3, where m members that are still apart take m * m / BLOCK rows.
+but for step 3, where m members that are still apart take m * m / BLOCK rows if
+they are more than BLOCK.
 """
 
 from __future__ import annotations
@@ -357,7 +358,7 @@ def _cross_pairs(share: tuple[int, int]):
 def linked(rows: DataFrame, contents: DataFrame, decode: Decoder, share: tuple[int, int], some: int) -> DataFrame:
     """Components (node, root) of the links among materialized rows of
     PAIR_SCHEMA; see the module's docstring.  ``some``: members up to which an
-    open posting names its pairs."""
+    open posting names its pairs; SMALL for none."""
     spark = rows.sparkSession
     pairs = materialize(rows.where("kind = 0").select("a", "b").distinct(), "pairs")
     links = materialize(checked(pairs.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")), contents, decode, share), "links")
@@ -375,9 +376,6 @@ def linked(rows: DataFrame, contents: DataFrame, decode: Decoder, share: tuple[i
     kept = mixed.groupBy("name", "m").agg(F.min_by("posting", F.struct("place", "posting")).alias("posting")).select("posting", "m")
     still = materialize(placed.join(kept, "posting"), "open")
     discard(placed)
-    each = F.collect_list(F.struct("key", "root", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos")))
-    few = still.where(F.col("m") <= some).groupBy("posting").agg(each.alias("all")).select(F.col("all.key").alias("keys"), F.col("all.root").alias("roots"), "all.n", "all.pos")
-    few = few.mapInArrow(_cross_pairs(share), "a long, b long, x long, y long").dropDuplicates(["a", "b"]).join(pairs, ["a", "b"], "left_anti")
     sides = F.ceil(F.col("m") / BLOCK).cast("int")
     many = still.where(F.col("m") > some).select("posting", "key", "root", sides.alias("sides"), F.pmod(F.xxhash64("key"), sides.cast("long")).cast("int").alias("side"))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
@@ -393,7 +391,12 @@ def linked(rows: DataFrame, contents: DataFrame, decode: Decoder, share: tuple[i
 
     blocks = many.join(contents.select("key", "elements"), "key").select("posting", "low", "high", "root", "elements")
     blocks = blocks.repartition(shuffle_width(spark), "posting", "low", "high").sortWithinPartitions("posting", "low", "high")
-    more = checked(few, contents, decode, share).unionByName(blocks.mapInArrow(multiply, "a long, b long"))
+    more = blocks.mapInArrow(multiply, "a long, b long")
+    if some > SMALL:
+        each = F.collect_list(F.struct("key", "root", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos")))
+        few = still.where(F.col("m") <= some).groupBy("posting").agg(each.alias("all")).select(F.col("all.key").alias("keys"), F.col("all.root").alias("roots"), "all.n", "all.pos")
+        few = few.mapInArrow(_cross_pairs(share), "a long, b long, x long, y long").dropDuplicates(["a", "b"]).join(pairs, ["a", "b"], "left_anti")
+        more = more.unionByName(checked(few, contents, decode, share))
     more = materialize(more, "links")
     joined = components(more)
     up = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
