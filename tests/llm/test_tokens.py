@@ -78,7 +78,7 @@ def test_long_words_cost_a_bounded_time_a_byte():
     word = "".join(map(chr, np.random.default_rng(4).integers(0x4E00, 0x9FA0, 400_000))).encode()
     begin = time.process_time()
     ids, counts = tables.encode_words([word, b"." * 600_000])
-    assert time.process_time() - begin < 40  # 1.8 MB; byte by byte it took over 120 s
+    assert time.process_time() - begin < 40  # 1.8 MB; byte by byte 0.18 MB took 12 s
     assert tables.labels(ids).tobytes() == word + b"." * 600_000 and len(counts) == 2
 
 
