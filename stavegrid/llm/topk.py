@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stavegrid.llm.common import batch_of, column, materialize
+from stavegrid.llm.common import batch_of, column, discard, materialize
 
 #: Levels of equal segments; two finer ones follow, see :func:`levels`.
 SEGMENTS = (1, 4, 16)
-#: Queries of a block at most, and blocks that are searched for in one job.
-QUERY_BLOCK, AT_ONCE = 4096, 16
+#: Queries of a block at most, and blocks that are searched for in one scan.
+QUERY_BLOCK, AT_ONCE = 4096, 8
 _CHUNK = 1024
 
 
@@ -171,40 +171,47 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, key: s
     without a key or without a usable vector take no part; a repeated key's
     queries are one query (its least vector), and a query meets no row of its
     own key; equal (vec_id, score) of repeated rows take a rank each.
-    Queries go out in blocks of a bounded size, AT_ONCE blocks in one job, each
-    against all rows; a task sends at most k rows a query to the merge.
+    Queries are written once, in blocks of a bounded size with the scores they
+    start with, which a task finds for its blocks.  AT_ONCE blocks go out in one
+    scan of all rows; a task sends at most k rows a query to the merge.
     """
     spark = vectors.sparkSession
     id_, value = column(key).cast("long"), column(vector).cast("array<double>")
     rows = vectors.where(id_.isNotNull()).select(id_.alias("id"), value.alias("v"))
     asked = vectors.where(id_.isNotNull() & is_query).select(id_.alias("id"), value.alias("v"))
     usable = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    asked = asked.where(usable).groupBy("id").agg(F.min("v").alias("v"))
+    asked = materialize(asked.where(usable).groupBy("id").agg(F.min("v").alias("v")), "topk-asked")
     blocks = max(1, -(-asked.count() // (QUERY_BLOCK // 2)))
+
+    def start(block: pa.Table) -> pa.Table:
+        _, queries = scaled_vectors(block.column("v"), scale)
+        return block.append_column("least", pa.array(starting_scores(queries, k), pa.int64()))
+
+    placed = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    started = materialize(placed.groupBy("block").applyInArrow(start, "id long, v array<double>, block int, least long"), "topk-started")
+    discard(asked)
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-    parts, waiting = [], []
-    for block in range(blocks):
-        held = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toArrow() if blocks > 1 else asked.toArrow()
+    parts = []
+    for first in range(0, blocks, AT_ONCE):
+        held = started.where(F.col("block").between(first, first + AT_ONCE - 1)).toArrow()  # at most AT_ONCE blocks
+        of, ids, least = (held.column(c).to_numpy() for c in ("block", "id", "least"))
         _, queries = scaled_vectors(held.column("v"), scale)
-        shared = spark.sparkContext.broadcast((held.column("id").to_numpy(), queries, k, starting_scores(queries, k)))
+        shared = spark.sparkContext.broadcast([(ids[of == b], queries[of == b], least[of == b]) for b in np.unique(of)])
 
         def run(batches, shared=shared):
-            searcher = Searcher(*shared.value)
-            for batch in batches:
-                if not len(searcher.ids):
-                    continue
+            searchers = [Searcher(ids, queries, k, least) for ids, queries, least in shared.value]
+            for batch in batches if searchers else ():
                 usable, x = scaled_vectors(batch.column("v"), scale)
-                searcher.offer_all(batch.column("id").to_numpy()[usable], x)
-            of, value, which = searcher.found
-            yield batch_of(schema, query_id=searcher.ids[of], vec_id=which, score=value)
-
-        waiting.append(rows.mapInArrow(run, "query_id long, vec_id long, score long"))
-        if blocks > 1 and (len(waiting) == AT_ONCE or block == blocks - 1):
-            parts.append(materialize(reduce(DataFrame.unionByName, waiting), "topk"))
-            waiting = []
-    parts += waiting
-    best = parts[0]
-    for other in parts[1:]:
-        best = best.unionByName(other)
+                ids = batch.column("id").to_numpy()[usable]
+                for searcher in searchers:
+                    searcher.offer_all(ids, x)
+            for searcher in searchers:
+                of, value, which = searcher.found
+                yield batch_of(schema, query_id=searcher.ids[of], vec_id=which, score=value)
+
+        found = rows.mapInArrow(run, "query_id long, vec_id long, score long")
+        parts.append(materialize(found, "topk") if blocks > AT_ONCE else found)
+    discard(started)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(order))
+    return best.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

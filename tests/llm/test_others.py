@@ -39,6 +39,17 @@ def test_top_k(spark):
     assert topk.top_k(few.where("vec_id < 0"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_in_many_blocks(spark, monkeypatch):
+    """Blocks smaller than k, several scans; repeated queries and ties across blocks."""
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(topk, "AT_ONCE", 2)
+    rng = np.random.default_rng(5)
+    rows = [(k, [float(x) for x in rng.integers(-2, 3, 6)]) for k in range(2000)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    found = topk.top_k(frame, F.col("vec_id") % 50 == 0).collect()
+    assert {tuple(r) for r in found} == brute_top(rows) and len(found) == 200
+
+
 def test_statistics_bound_the_product():
     rng = np.random.default_rng(4)
     x, y = rng.normal(size=(2, 200, 64))
