@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stavegrid.llm.common import batch_of, materialize, ragged, shuffle_width, slices
+from stavegrid.llm.common import batch_of, column, materialize, ragged, shuffle_width, slices
 
 LANE = 1024
 #: Ids per word, by selector: each count for which 60 bits have a new width.
@@ -120,11 +120,14 @@ def write_ids(docs: DataFrame, encoder, end: int, text: str = "text", key: str =
 
     ``encoder()`` gives a worker's ``encode(column, end)``.  Returns the written
     table (FILE_SCHEMA).  A null text is empty; null keys come first; equal
-    keys are in the order of their texts.  Only the key is sampled to find the
-    ranges, and a range is a part of the files.
+    keys are in the order of their texts.  The key and the text's first signs
+    are sampled to find the ranges, so that a key of many rows fills as many as
+    it needs; a range is a part of the files, and their number grows with the
+    table.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = rows.repartitionByRange(max(2, shuffle_width(docs.sparkSession)), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(column(key).cast("long").alias("doc_id"), column(text).cast("string").alias("text"))
+    width = max(2, shuffle_width(docs.sparkSession, docs))
+    rows = rows.repartitionByRange(width, F.col("doc_id"), F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     schema = pa.schema([("part", pa.int32()), ("before", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("n_ids", pa.list_(pa.int64())), ("lanes", pa.list_(pa.int64())), ("words", pa.binary())])
 
     def run(batches):
