@@ -19,7 +19,7 @@ from bisect import bisect_right
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stavegrid.llm.common import materialize
+from stavegrid.llm.common import column, materialize
 
 _FINE, _STEPS = 1 << 16, 12
 #: Parts of a size class in which groups are ranked side by side.
@@ -174,9 +174,9 @@ def shard_rows_by_capacity(docs: DataFrame, capacity: int, text: str = "text", k
 
 
 def _sharded(docs: DataFrame, planned, text: str, key: str, capacity: int | None = None) -> tuple[DataFrame, int]:
-    content = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    content = F.coalesce(column(text).cast("string"), F.lit(""))
     rows = docs.select(
-        F.col(key).cast("long").alias("doc_id"),
+        column(key).cast("long").alias("doc_id"),
         (F.octet_length(content) + 1).cast("long").alias("size"),
         F.crc32(content.cast("binary")).alias("text_crc32"),
         F.xxhash64(content).alias("g1"),

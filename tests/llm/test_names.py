@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stavegrid.llm import host_rules, jaccard, linededup, packing, substring, tokens
+from stavegrid.llm import host_rules, jaccard, linededup, packing, sharding, simple8b, substring, tokens
 
 from . import cases
 
@@ -58,5 +58,8 @@ def test_dotted_text_and_key(spark):
     same_rows(jaccard.classes(docs, "my.text", "my.id"), jaccard.classes(want))
     same_rows(linededup.digest(docs, "my.text", "my.id"), linededup.digest(want))
     same_rows(substring.digest(docs, "my.text", "my.id"), substring.digest(want))
+    same_rows(sharding.shard_rows(docs, 3, "my.text", "my.id"), sharding.shard_rows(want, 3))
+    encoder = lambda: tokens.word_end_encoder(tokens.vocabulary_path("word_bpe_49k.json"))
+    same_rows(simple8b.read_ids(simple8b.write_ids(docs, encoder, 2, "my.text", "my.id")), simple8b.read_ids(simple8b.write_ids(want, encoder, 2)))
     path = tokens.vocabulary_path("byte_bpe_50k.json")
     same_rows(packing.pack(docs, path, text="my.text", key="my.id"), packing.pack(want, path))
