@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -43,17 +43,25 @@ def hull(*also: Column) -> list[Column]:
     return [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), *also]
 
 
-def suppress(items: DataFrame, keys: list[str], fields: list[str], conflict: Callable[[Column, Column], Column], score: str = "score", seq: str = "seq") -> DataFrame:
+def suppress(items: DataFrame, keys: list[str], fields: list[str], conflict: Callable[[Column, Column], Column], score: str = "score", seq: str = "seq", reach: tuple[Column, Column] | None = None) -> DataFrame:
     """Greedy suppression: by falling score (ties: rising seq) an item stays
     unless it conflicts with one that already stays.
 
     A suppressed item suppresses nothing, so this is an ordered fold over the
     group's sorted array, with no Python.  A group is what one page and staff
     hold, which the paper bounds.
+
+    ``reach``: an item's low and high end, where items that conflict overlap.
+    Runs of items that overlap in a chain are then folded each by itself, which
+    takes a sort of the group but no further shuffle.
     """
     cols = list(dict.fromkeys([score, seq, *fields]))
+    if reach:
+        by = Window.partitionBy(*keys).orderBy("_low").rowsBetween(Window.unboundedPreceding, -1)
+        items = items.withColumn("_low", reach[0]).withColumn("_high", reach[1]).withColumn("_opens", (F.col("_low") > F.max("_high").over(by)).cast("int"))
+        items = items.withColumn("_run", F.coalesce(F.sum("_opens").over(by.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
     row = F.struct((-F.col(score)).alias("_down"), F.col(seq).alias("_seq"), *[F.col(c) for c in cols])
-    grouped = items.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_all"))
+    grouped = items.groupBy(*keys, *["_run"] * bool(reach)).agg(F.array_sort(F.collect_list(row)).alias("_all"))
     fold = F.aggregate("_all", F.slice("_all", 1, 0), lambda kept, item: F.when(F.exists(kept, lambda k: conflict(item, k)), kept).otherwise(F.concat(kept, F.array(item))))
     return grouped.select(*keys, F.explode(fold).alias("_k")).select(*keys, *[F.col(f"_k.{c}") for c in cols])
 

@@ -262,7 +262,7 @@ _BOX = ["x0", "y0", "x1", "y1"]
 
 @_query(_fold_sql("page_id, staff", "boxes", _NEAR_BOXES.format(m=3), _BOXES))
 def nms1_boxes(spark, sf):
-    return boxes.suppress(_boxes(spark, sf), ["page_id", "staff"], _BOX, boxes.boxes_conflict(3)).select("page_id", "staff", "seq")
+    return boxes.suppress(_boxes(spark, sf), ["page_id", "staff"], _BOX, boxes.boxes_conflict(3), reach=(F.col("x0") - 3, F.col("x1") + 3)).select("page_id", "staff", "seq")
 
 
 @_query(_fold_sql("staff", "points", "abs(i[1].x - k.x) <= 43200 AND abs(i[1].y - k.y) <= 47520", _POINTS))
@@ -272,12 +272,12 @@ def nms2_notes(spark, sf):
 
 @_query(_fold_sql("page_id, staff", "boxes", "abs((i[1].x0 + i[1].x1) * 0.5 - (k.x0 + k.x1) * 0.5) <= 80 AND abs((i[1].y0 + i[1].y1) * 0.5 - (k.y0 + k.y1) * 0.5) <= 40", _BOXES))
 def nms3_ledger_lines(spark, sf):
-    return boxes.suppress(_boxes(spark, sf), ["page_id", "staff"], _BOX, boxes.centers_conflict(80, 40)).select("page_id", "staff", "seq")
+    return boxes.suppress(_boxes(spark, sf), ["page_id", "staff"], _BOX, boxes.centers_conflict(80, 40), reach=(F.col("x0") + F.col("x1"), F.col("x0") + F.col("x1") + 161)).select("page_id", "staff", "seq")
 
 
 @_query(_fold_sql("page_id, staff", "boxes", "abs(i[1].x0 - k.x0) <= 60.5 AND abs(i[1].x1 - k.x1) <= 60.5", _BOXES))
 def nms4_beam_links(spark, sf):
-    return boxes.suppress(_boxes(spark, sf), ["page_id", "staff"], ["x0", "x1"], boxes.ends_conflict(60.5)).select("page_id", "staff", "seq")
+    return boxes.suppress(_boxes(spark, sf), ["page_id", "staff"], ["x0", "x1"], boxes.ends_conflict(60.5), reach=(F.col("x0"), F.col("x0") + 61)).select("page_id", "staff", "seq")
 
 
 @_query(_fold_sql("page_id", "boxes", "least(i[1].x1, k.x1 + 3) > greatest(i[1].x0, k.x0 - 3) AND least(i[1].y1, k.y1 + 3) > greatest(i[1].y0, k.y0 - 3)", _BOXES))

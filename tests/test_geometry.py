@@ -95,6 +95,18 @@ def test_suppressed_boxes_suppress_nothing(spark):
     assert sorted(i["seq"] for i in page.kept(items, page.boxes_clash(1), page.by_box)) == [1, 3, 4]
 
 
+def test_runs_of_suppression(spark):
+    """Chains that meet, touch and lie apart, nested and inverted boxes, no columns: the same with and without runs."""
+    r = np.random.default_rng(3)
+    rows = [(k % 4, k, int(x), int(y), int(x + w), int(y + h), float(r.integers(0, 9))) for k, (x, y, w, h) in enumerate(zip(r.integers(0, 900, 240), r.integers(0, 40, 240), r.integers(-4, 40, 240), r.integers(1, 30, 240)))]
+    rows += [(0, 500, None, 0, None, 5, 1.0), (5, 501, 7, 0, 7, 5, 1.0), (5, 502, 13, 0, 20, 5, 1.0)]
+    frame = spark.createDataFrame(rows, "page int, seq int, x0 int, y0 int, x1 int, y1 int, score double")
+    for conflict, reach in ((boxes.boxes_conflict(3), (F.col("x0") - 3, F.col("x1") + 3)), (boxes.ends_conflict(60.5), (F.col("x0"), F.col("x0") + 61))):
+        whole, runs_ = (sorted(map(tuple, boxes.suppress(frame, ["page"], ["x0", "y0", "x1", "y1"], conflict, reach=by).collect()), key=str) for by in (None, reach))
+        assert runs_ == whole and len(whole) < len(rows)
+    assert boxes.suppress(frame.where("page = 9"), ["page"], ["x0", "x1"], boxes.ends_conflict(1), reach=(F.col("x0"), F.col("x0") + 2)).count() == 0
+
+
 def test_margins(spark):
     apart = spark.createDataFrame([(0, 0, 10, 10, 12, 0, 22, 10)], "ax0 int, ay0 int, ax1 int, ay1 int, bx0 int, by0 int, bx1 int, by1 int")
     a, b = (lambda c: F.col("a" + c)), (lambda c: F.col("b" + c))
