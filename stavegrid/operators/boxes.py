@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +66,84 @@ def suppress(items: DataFrame, keys: list[str], fields: list[str], conflict: Cal
     return grouped.select(*keys, F.explode(fold).alias("_k")).select(*keys, *[F.col(f"_k.{c}") for c in cols])
 
 
+def pieces(batch: pa.RecordBatch, lists: pa.ListArray, most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """``batch`` in stretches of rows whose lists hold ``most`` items together, or one row's."""
+    ends, start = lists.offsets.to_numpy(), 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, int(ends[start]) + most, "right")) - 1)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def _conflicts(group: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, margin: float, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(worse, better): boxes of one group that meet, of which the earlier is the
+    better and widened.  A sweep looks right from each box as far as it reaches,
+    over about ``most`` pairs at once; an unknown side meets all."""
+    known = np.concatenate([c[~np.isnan(c)] for c in (x0, x1)])
+    least, last = known.min(initial=0), known.max(initial=0)
+    shift = group * (last - least + 2 * abs(margin) + 4)
+    low = np.where(np.isnan(x0), least, x0) + shift
+    order = np.argsort(low, kind="stable")
+    ends = np.searchsorted(low[order], (np.where(np.isnan(x1), last, x1) + shift)[order] + margin + 1, "right")
+    n = np.maximum(ends - np.arange(len(order)) - 1, 0)
+    upto = np.r_[0, np.cumsum(n)]
+    out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 2]
+    start = 0
+    while start < len(order):
+        stop = max(start + 1, int(np.searchsorted(upto, upto[start] + most, "right")) - 1)
+        i = np.repeat(np.arange(start, stop), n[start:stop])
+        j = np.arange(len(i)) - np.repeat(upto[start:stop] - upto[start], n[start:stop]) + i + 1
+        i, j = order[i], order[j]
+        a, b = np.maximum(i, j), np.minimum(i, j)
+        meet = (group[a] == group[b]) & (np.fmin(x1[a], x1[b] + margin) > np.fmax(x0[a], x0[b] - margin)) & (np.fmin(y1[a], y1[b] + margin) > np.fmax(y0[a], y0[b] - margin))
+        out.append((a[meet], b[meet]))
+        start = stop
+    return np.concatenate([p[0] for p in out]), np.concatenate([p[1] for p in out])
+
+
+def unconflicted(n: int, worse: np.ndarray, better: np.ndarray) -> np.ndarray:
+    """Which of n items stay: in rounds, those that no better one left conflicts
+    with; what they conflict with goes."""
+    stays, left = np.zeros(n, bool), np.ones(n, bool)
+    while left.any():
+        free = left.copy()
+        free[worse] = False
+        stays |= free
+        left &= ~free
+        left[worse[free[better]]] = False
+        live = left[worse] & left[better]
+        worse, better = worse[live], better[live]
+    return stays
+
+
+def suppress_boxes(items: DataFrame, keys: list[str], fields: list[str], margin: float, score: str = "score", seq: str = "seq") -> DataFrame:
+    """What :func:`suppress` keeps by :func:`one_sided_conflict`, for groups of many
+    boxes of which few meet: the fold holds each box against all kept ones of its
+    group, here a sweep finds those that meet."""
+    cols = list(dict.fromkeys([score, seq, *fields]))
+    row = F.struct((-F.col(score)).alias("_down"), F.col(seq).alias("_seq"), *[F.col(c) for c in cols])
+    grouped = items.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_all"))
+    types = dict(items.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in [*keys, *cols])
+
+    def kept(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column(len(keys))
+        flat = lists.flatten()
+        group = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+        held = dict(zip(cols, flat.flatten()[2:]))
+        sides = [held[c].cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("x0", "y0", "x1", "y1")]
+        stays = np.flatnonzero(unconflicted(len(group), *_conflicts(group, *sides, margin)))
+        at, of = pa.array(stays), pa.array(group[stays])
+        return pa.RecordBatch.from_arrays([*[batch.column(k).take(of) for k in range(len(keys))], *[held[c].take(at) for c in cols]], [*keys, *cols])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, batch.column(len(keys))):
+                yield kept(piece)
+
+    return grouped.mapInArrow(run, schema)
+
+
 def boxes_conflict(margin: int) -> Callable[[Column, Column], Column]:
     """Both boxes widened by the margin meet."""
 

@@ -159,7 +159,7 @@ def text_regions(parts: DataFrame, where: DataFrame) -> DataFrame:
     held = held.where((F.col("n") >= 3) & (w >= 1.8 * _s()) & (h <= 2.15 * _s()) & ~core).withColumn("score", marks.phrase_score(F.col("n"), w, _s()))
     order = Window.partitionBy("page_id").orderBy("staff", "text_row", "phrase")
     held = held.withColumn("seq", F.row_number().over(order).cast("long"))
-    return boxes.suppress(held, ["page_id"], ["staff", *BOX, "n"], boxes.one_sided_conflict(3))
+    return boxes.suppress_boxes(held, ["page_id"], ["staff", *BOX, "n"], 3)
 
 
 def find_text(cleaned: DataFrame, staves: DataFrame, pages: DataFrame, accidentals: DataFrame | None = None) -> DataFrame:

@@ -282,7 +282,7 @@ def nms4_beam_links(spark, sf):
 
 @_query(_fold_sql("page_id", "boxes", "least(i[1].x1, k.x1 + 3) > greatest(i[1].x0, k.x0 - 3) AND least(i[1].y1, k.y1 + 3) > greatest(i[1].y0, k.y0 - 3)", _BOXES))
 def nms5_text_regions(spark, sf):
-    return boxes.suppress(_boxes(spark, sf), ["page_id"], _BOX, boxes.one_sided_conflict(3)).select("page_id", "seq")
+    return boxes.suppress_boxes(_boxes(spark, sf), ["page_id"], _BOX, 3).select("page_id", "seq")
 
 
 

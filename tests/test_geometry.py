@@ -322,3 +322,23 @@ def test_whole_pages_of_a_table(spark, tmp_path):
         assert all(len(document[name]) == counts[page][name] == document["counts"][name] for name in RECORDS)
         assert len(document["staves"]) == 2
     assert sum(c.noteheads for c in counts.values()) > 0
+
+
+def test_sweep_keeps_what_the_fold_keeps(spark):
+    """Meeting, nested, inverted and unknown boxes, chains and copies, on pages of many sizes."""
+    r = np.random.default_rng(12)
+    rows = [(int(k % 7) ** 2, k, int(x), int(y), int(x + w), int(y + h), float(r.integers(0, 9))) for k, (x, y, w, h) in enumerate(zip(r.integers(-200, 500, 500), r.integers(0, 300, 500), r.integers(-4, 40, 500), r.integers(1, 30, 500)))]
+    rows += [(50, 600 + k, 10 * k, 0, 10 * k + 12, 5, float(-k)) for k in range(40)] + [(51, 700 + k, 3, 3, 9, 9, 1.0) for k in range(20)]
+    rows += [(0, 800, None, 0, None, 5, 1.0), (50, 801, 7, None, 9, None, 1.0), (52, 802, None, None, None, None, 1.0)]
+    frame = spark.createDataFrame(rows, "page int, seq int, x0 int, y0 int, x1 int, y1 int, score double")
+    fields = ["x0", "y0", "x1", "y1"]
+    fold, sweep = (sorted(map(tuple, found.collect()), key=str) for found in (boxes.suppress(frame, ["page"], fields, boxes.one_sided_conflict(3)), boxes.suppress_boxes(frame, ["page"], fields, 3)))
+    assert sweep == fold and len(fold) < len(rows)
+    assert boxes.suppress_boxes(frame.where("page = 99"), ["page"], fields, 3).count() == 0
+
+
+def test_text_regions_hold_no_box_against_all_others(spark, monkeypatch):
+    """On a page of boxes far apart the fold, which holds each against all kept ones, has no part."""
+    monkeypatch.setattr(registry, "_boxes", lambda spark, sf: spark.range(3000).selectExpr("1L as page_id", "1 as staff", "id as seq", "cast(id * 20 as int) as x0", "0 as y0", "cast(id * 20 + 9 as int) as x1", "9 as y1", "1D as score"))
+    monkeypatch.setattr(boxes, "one_sided_conflict", None)
+    assert registry.queries()["nms5_text_regions"](spark, "").count() == 3000
