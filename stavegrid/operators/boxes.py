@@ -288,37 +288,41 @@ def merge_boxes(boxes: DataFrame, keys: list[str], px: Column | float, py: Colum
     """(keys, seq, grp): ``grp`` is the least seq of the box's cluster; pads may
     differ by group.
 
-    A batch of groups is closed at once, laid side by side along x; only sets of
-    several boxes are walked through in order.  Boxes hold whole numbers.
+    Some groups of a batch are closed at once, laid side by side along x; only sets
+    of several boxes are walked through in order.  Boxes hold whole numbers.
     """
     types = dict(boxes.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", seq long, grp long"
     fields = ["x0", "y0", "x1", "y1", "seq"]
     listed = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*[F.col(c).cast("long").alias(c) for c in fields]))).alias("b"), *[F.first(p if isinstance(p, Column) else F.lit(p)).cast("double").alias(n) for n, p in (("pad_x", px), ("pad_y", py))])
 
-    def run(batches):
+    def closed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        pads = [batch.column(len(keys) + 1 + k).to_numpy() for k in range(2)]
+        wide, tall = (p.max(initial=0) + 1 for p in pads)  # a larger pad for some only leaves larger sets to walk through
+        lists = batch.column(len(keys))
+        flat = lists.flatten()
+        row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+        b = np.stack([c.to_numpy(zero_copy_only=False) for c in flat.flatten()], 1) if len(flat) else np.zeros((0, 5), np.int64)
+        span = (b[:, :4].max(initial=0) - b[:, :4].min(initial=0) + 4 * (wide + 2)) * row
+        of = closed_sets(b[:, :4] + np.c_[span, np.zeros(len(b)), span, np.zeros(len(b))], wide, tall)
+        order = np.argsort(of, kind="stable")
+        edge = np.flatnonzero(np.r_[True, of[order][1:] != of[order][:-1]]) if len(b) else []
+        group = b[:, 4].copy()
+        for low, high in zip(edge, [*edge[1:], len(b)]):
+            if high - low > 1:
+                own = order[low:high]
+                place = {tuple(r): k for k, r in zip(own.tolist(), b[own].tolist())}
+                of_group = row[own[0]]
+                for members in _clustered([tuple(r) for r in b[own].tolist()], *(float(p[of_group]) for p in pads)):
+                    least = min(m[4] for m in members)
+                    for m in members:
+                        group[place[m]] = least
+        at = pa.array(row)
+        return pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in range(len(keys))], pa.array(b[:, 4]), pa.array(group)], [*keys, "seq", "grp"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pads = [batch.column(len(keys) + 1 + k).to_numpy() for k in range(2)]
-            wide, tall = (p.max(initial=0) + 1 for p in pads)  # a larger pad for some only leaves larger sets to walk through
-            lists = batch.column(len(keys))
-            flat = lists.flatten()
-            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            b = np.stack([c.to_numpy(zero_copy_only=False) for c in flat.flatten()], 1) if len(flat) else np.zeros((0, 5), np.int64)
-            span = (b[:, :4].max(initial=0) - b[:, :4].min(initial=0) + 4 * (wide + 2)) * row
-            of = closed_sets(b[:, :4] + np.c_[span, np.zeros(len(b)), span, np.zeros(len(b))], wide, tall)
-            order = np.argsort(of, kind="stable")
-            edge = np.flatnonzero(np.r_[True, of[order][1:] != of[order][:-1]]) if len(b) else []
-            group = b[:, 4].copy()
-            for low, high in zip(edge, [*edge[1:], len(b)]):
-                if high - low > 1:
-                    own = order[low:high]
-                    place = {tuple(r): k for k, r in zip(own.tolist(), b[own].tolist())}
-                    of_group = row[own[0]]
-                    for members in _clustered([tuple(r) for r in b[own].tolist()], *(float(p[of_group]) for p in pads)):
-                        least = min(m[4] for m in members)
-                        for m in members:
-                            group[place[m]] = least
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in range(len(keys))], pa.array(b[:, 4]), pa.array(group)], [*keys, "seq", "grp"])
+            for piece in pieces(batch, batch.column(len(keys))):
+                yield closed(piece)
 
     return listed.mapInArrow(run, schema)

@@ -4,6 +4,7 @@ import json
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -342,3 +343,12 @@ def test_text_regions_hold_no_box_against_all_others(spark, monkeypatch):
     monkeypatch.setattr(registry, "_boxes", lambda spark, sf: spark.range(3000).selectExpr("1L as page_id", "1 as staff", "id as seq", "cast(id * 20 as int) as x0", "0 as y0", "cast(id * 20 + 9 as int) as x1", "9 as y1", "1D as score"))
     monkeypatch.setattr(boxes, "one_sided_conflict", None)
     assert registry.queries()["nms5_text_regions"](spark, "").count() == 3000
+
+
+def test_batches_are_parted_by_what_their_lists_hold():
+    """Stretches hold few items, or one long list; their rows are all of the batch's, also of a slice."""
+    lists = [[0] * n for n in (3, 0, 4, 9, 1, 0, 0, 2)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(lists)], ["k", "b"]).slice(1)
+    parts = list(boxes.pieces(batch, batch.column("b"), 5))
+    assert [k for p in parts for k in p.column("k").to_pylist()] == list(range(1, 8))
+    assert all(p.num_rows == 1 or sum(map(len, p.column("b").to_pylist())) <= 5 for p in parts) and len(parts) == 3
