@@ -11,7 +11,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stavegrid.operators.durable import shared_folder
+from stavegrid.operators.durable import shared_folder, shuffled_joins
 from stavegrid.operators.staves import line_candidates
 from stavegrid.plans import note_queries, pipeline, relational
 from stavegrid.plans.registry import _gray
@@ -36,7 +36,9 @@ def _detected(spark, sf) -> DataFrame:
     path = f"{shared_folder(spark)}/detected-{name}"
     done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
-        _detect(spark, sf).write.mode("overwrite").parquet(path)
+        found = _detect(spark, sf)
+        with shuffled_joins(spark):
+            found.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 

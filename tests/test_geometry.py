@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stavegrid.operators import beams, boxes, marks, masks, page, raster, runs, staves
+from stavegrid.operators import beams, boxes, durable, marks, masks, page, raster, runs, staves
 from stavegrid.params import DEFAULTS
 from stavegrid.plans import page_queries, pipeline, registry, sinks
 from stavegrid.schema import RECORDS
@@ -352,3 +352,26 @@ def test_batches_are_parted_by_what_their_lists_hold():
     parts = list(boxes.pieces(batch, batch.column("b"), 5))
     assert [k for p in parts for k in p.column("k").to_pylist()] == list(range(1, 8))
     assert all(p.num_rows == 1 or sum(map(len, p.column("b").to_pylist())) <= 5 for p in parts) and len(parts) == 3
+
+
+def test_written_tables_are_joined_by_shuffles(spark):
+    """What a step writes is planned without broadcasts of written tables, small as their files are; the settings come back, also after a fault."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before, pixels = spark.conf.get(name), durable.cut(spark.range(20000).selectExpr("id div 6400 as page_id", "cast(id % 100 as int) as x"))
+    plans = []
+
+    class Noted:
+        sparkSession, schema, write = spark, pixels.schema, property(lambda self: self)
+
+        def parquet(self, path):
+            joined = pixels.join(pixels.withColumnRenamed("x", "z"), "page_id").select("page_id", "x").limit(3)
+            plans.append(joined._jdf.queryExecution().executedPlan().toString())
+            joined.write.parquet(path)
+            if len(plans) > 1:
+                raise OSError("no room")
+
+    assert durable.cut(Noted()).count() == 3
+    with pytest.raises(OSError):
+        durable.cut(Noted())
+    assert all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
+    assert spark.conf.get(name) == before and spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None
