@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +24,8 @@ from stavegrid.operators.staves import pitch_rows
 #: Parts of a stencil in the order of the counts that :func:`stencil_counts` returns.
 PARTS = ("outer", "inner", "surround", "left", "right", "top", "bottom", "core")
 _KEYS = ["page_id", "staff", "pitch_step"]
+#: Pitch rows whose candidates a task counts at once; their tables stay Arrow's, as they came.
+ROWS_AT_ONCE = 128
 
 
 # -------------------------------------------------------------------- stencils
@@ -126,14 +128,18 @@ def candidate_columns(rows: DataFrame, integral: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------- densities
-def _stencil(spans: list, rx: int, ry: int) -> tuple[np.ndarray, ...]:
-    part, dy, x0, x1 = (np.array([s[f] for s in spans]) for f in ("part", "dy", "x0", "x1"))
-    member = np.array([[p == name for name in PARTS] for p in part]).astype(np.int64)
-    outer = part == "outer"
+def _stencil(part: np.ndarray, dy: np.ndarray, x0: np.ndarray, x1: np.ndarray, rx: int, ry: int) -> tuple[np.ndarray, ...]:
+    member = (part[:, None] == np.arange(len(PARTS))).astype(np.int64)
+    outer = part == PARTS.index("outer")
     reach = np.array([max((int(y) for y, a, b in zip(dy[outer], x0[outer], x1[outer]) if a <= dx <= b), default=-1) for dx in range(-rx, rx + 1)])
     return dy + ry, x0, x1, member, outer, reach
 
 
+def _numbers(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each list begins and ends in the values, and the values."""
+    return lists.offsets.to_numpy(), lists.values.to_numpy()
+
+
 def stencil_counts(rows: DataFrame, candidates: DataFrame, cleaned: DataFrame, raw: DataFrame, spans: DataFrame) -> DataFrame:
     """(page_id, staff, pitch_step, x, n, raw): ink under each part of the stencil
     at each candidate whose window is on the page.
@@ -149,40 +155,51 @@ def stencil_counts(rows: DataFrame, candidates: DataFrame, cleaned: DataFrame, r
     lines = rows.select(*_KEYS, F.explode(F.sequence(F.col("y") - F.col("ry"), F.col("y") + F.col("ry") + 1)).alias("y"))
     both = cleaned.join(raw.withColumnRenamed("sums", "raw_sums"), ["page_id", "y"])
     fetched = lines.join(both, ["page_id", "y"]).groupBy(*_KEYS).agg(F.array_sort(F.collect_list(F.struct("y", "sums", "raw_sums"))).alias("r"))
-    stencils = spans.groupBy("rx", "ry").agg(F.collect_list(F.struct("part", "dy", "x0", "x1")).alias("spans"))
+    number = F.array_position(F.array(*[F.lit(p) for p in PARTS]), F.col("part")).cast("int") - 1
+    stencils = spans.groupBy("rx", "ry").agg(F.collect_list(F.struct(number.alias("part"), "dy", "x0", "x1")).alias("spans"))
     work = rows.select(*_KEYS, "rx", "ry").join(listed, _KEYS).join(fetched, _KEYS).join(F.broadcast(stencils), ["rx", "ry"])
-    work = work.select(*_KEYS, "rx", "ry", "xs", F.col("r.sums").alias("sums"), F.col("r.raw_sums").alias("raw_sums"), "spans")
+    work = work.select(*_KEYS, F.col("rx").cast("int").alias("rx"), F.col("ry").cast("int").alias("ry"), F.col("xs").cast("array<int>").alias("xs"), F.col("r.sums").alias("sums"), F.col("r.raw_sums").alias("raw_sums"), "spans")
     types = dict(rows.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in _KEYS) + ", x int, n array<int>, raw array<int>"
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict = {}
-        for frame in frames:
-            out = []
-            for w in frame.itertuples(index=False):
-                if (w.rx, w.ry) not in known:
-                    known[w.rx, w.ry] = _stencil(w.spans, w.rx, w.ry)
-                r, x0, x1, member, outer, reach = known[w.rx, w.ry]
-                x = np.asarray(w.xs)[:, None]
-
-                def inked(sums: np.ndarray, x=x, r=r, x0=x0, x1=x1) -> np.ndarray:
-                    return sums[r + 1, x + x1 + 1] - sums[r + 1, x + x0] - sums[r, x + x1 + 1] + sums[r, x + x0]
-
-                sums, raw_sums = np.stack(w.sums), np.stack(w.raw_sums)
-                n, own = inked(sums), inked(raw_sums) @ member
-                column = x + np.arange(-w.rx, w.rx + 1)
-                low, high = w.ry - reach, w.ry + reach + 1
-                tall = sums[high, column + 1] - sums[high, column] - sums[low, column + 1] + sums[low, column]
-                row_hits = (n[:, outer] >= max(2, int(0.18 * (2 * w.rx + 1)))).sum(1)
-                column_hits = (tall >= max(2, int(0.18 * (2 * w.ry + 1)))).sum(1)
-                counts = np.column_stack([n @ member, row_hits, column_hits]).astype(np.int32)
-                rough = own[:, [PARTS.index(p) for p in ("outer", "inner", "core")]].astype(np.int32)
-                keys = {k: [getattr(w, k)] * len(x) for k in _KEYS}
-                out.append(pd.DataFrame({**keys, "x": x[:, 0], "n": list(counts), "raw": list(rough)}))
-            if out:
-                yield pd.concat(out)
-
-    return work.mapInPandas(run, schema)
+    known: dict = {}
+
+    def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rxs, rys = (batch.column(k).to_numpy() for k in ("rx", "ry"))
+        at, xs = _numbers(batch.column("xs"))
+        tables = []
+        for name in ("sums", "raw_sums"):
+            lists = batch.column(name)
+            tables.append((lists.offsets.to_numpy(), *_numbers(lists.values)))
+        counts, rough = [], []
+        for k, (rx, ry) in enumerate(zip(rxs.tolist(), rys.tolist())):
+            if (rx, ry) not in known:
+                known[rx, ry] = _stencil(*(c.to_numpy() for c in batch.column("spans").slice(k, 1).flatten().flatten()), rx, ry)
+            r, x0, x1, member, outer, reach = known[rx, ry]
+            x = xs[at[k] : at[k + 1], None]
+            sums, raw_sums = (values[inner[of[k]] : inner[of[k + 1]]].reshape(of[k + 1] - of[k], -1) for of, inner, values in tables)
+
+            def inked(sums: np.ndarray, x=x, r=r, x0=x0, x1=x1) -> np.ndarray:
+                return sums[r + 1, x + x1 + 1] - sums[r + 1, x + x0] - sums[r, x + x1 + 1] + sums[r, x + x0]
+
+            n, own = inked(sums), inked(raw_sums) @ member
+            column = x + np.arange(-rx, rx + 1)
+            low, high = ry - reach, ry + reach + 1
+            tall = sums[high, column + 1] - sums[high, column] - sums[low, column + 1] + sums[low, column]
+            row_hits = (n[:, outer] >= max(2, int(0.18 * (2 * rx + 1)))).sum(1)
+            column_hits = (tall >= max(2, int(0.18 * (2 * ry + 1)))).sum(1)
+            counts.append(np.column_stack([n @ member, row_hits, column_hits]).astype(np.int32))
+            rough.append(own[:, [PARTS.index(p) for p in ("outer", "inner", "core")]].astype(np.int32))
+        at = at.astype(np.int64)
+        keys = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(at)))
+        lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1, dtype=np.int32) * c.shape[1]), pa.array(c.ravel())) for c in (np.concatenate(counts), np.concatenate(rough))]
+        return pa.RecordBatch.from_arrays([*[batch.column(k).take(keys) for k in _KEYS], pa.array(xs[at[0] : at[-1]]), *lists], [*_KEYS, "x", "n", "raw"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                yield counted(batch.slice(start, ROWS_AT_ONCE))
+
+    return work.mapInArrow(run, schema)
 
 
 def scored(counts: DataFrame, rows: DataFrame, areas: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stavegrid.operators import beams, boxes, durable, marks, masks, page, raster, runs, staves
+from stavegrid.operators import beams, boxes, durable, marks, masks, notes, page, raster, runs, staves
 from stavegrid.params import DEFAULTS
 from stavegrid.plans import page_queries, pipeline, registry, sinks
 from stavegrid.schema import RECORDS
@@ -375,3 +375,33 @@ def test_written_tables_are_joined_by_shuffles(spark):
         durable.cut(Noted())
     assert all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
     assert spark.conf.get(name) == before and spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None
+
+
+def test_stencil_counts_stay_arrow(spark):
+    """Counts of heads of several sizes equal those of the pixels one by one; rows reach the task as Arrow's
+    tables, a few at once, and not as lists of objects."""
+    r = np.random.default_rng(2)
+    mask, cleaned = r.random((2, 60, 50)) < 0.4, r.random((2, 60, 50)) < 0.3
+    staff_rows = spark.createDataFrame([(p, k, 14.0 + 10 * k, space, 2, 48, 4) for p in range(2) for k, space in enumerate((6.0, 9.0))], "page_id long, staff int, top double, space double, x0 int, x1 int, scan_x0 int")
+    pages = spark.createDataFrame([(p, 60, 50) for p in range(2)], "page_id long, height int, width int")
+    table = lambda m: notes.integral_rows(spark.createDataFrame([tuple(map(int, p)) for p in np.argwhere(m)], "page_id long, y int, x int"), pages)
+    rows, spans = notes.note_rows(staff_rows, pages), notes.stencil_spans(notes.radii(staff_rows)).cache()
+    tables = table(cleaned), table(mask)
+    counts = notes.stencil_counts(rows, notes.candidate_columns(rows, tables[0]), *tables, spans)
+    plan = counts._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
+    at = {(w.page_id, w.staff, w.pitch_step): w for w in rows.collect()}
+    parts = {}
+    for s in spans.collect():
+        parts.setdefault((s.rx, s.ry, s.part), []).append((s.dy, s.x0, s.x1))
+    found = counts.collect()
+    assert len(found) > 2 * notes.ROWS_AT_ONCE and len({(at[c[:3]].rx, at[c[:3]].ry) for c in found}) == 2
+    for c in found:
+        w = at[c[:3]]
+        under = lambda m, name: int(sum(m[c.page_id, w.y + dy, c.x + a : c.x + b + 1].sum() for dy, a, b in parts[w.rx, w.ry, name]))
+        outer = np.zeros((2 * w.ry + 1, 2 * w.rx + 1), bool)
+        for dy, a, b in parts[w.rx, w.ry, "outer"]:
+            outer[dy + w.ry, a + w.rx : b + w.rx + 1] = True
+        window = cleaned[c.page_id, w.y - w.ry : w.y + w.ry + 1, c.x - w.rx : c.x + w.rx + 1] & outer
+        lines = [int((window.sum(axis) >= max(2, int(0.18 * (2 * k + 1)))).sum()) for axis, k in ((1, w.rx), (0, w.ry))]
+        assert c.n == [*(under(cleaned, p) for p in notes.PARTS), *lines] and c.raw == [under(mask, p) for p in ("outer", "inner", "core")]
