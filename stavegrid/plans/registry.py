@@ -385,12 +385,12 @@ _PHRASES = _BOXES + """, m AS (SELECT page_id, staff, seq, x0, y0, x1, y1, CASE
 
 @_query(f"WITH {_PHRASES.replace('-500', '-5')} SELECT * FROM phrases")
 def txt4_phrases(spark, sf):
-    return marks.phrases(_boxes(spark, sf), ["page_id", "staff"], 20.0)
+    return marks.phrases(adapters.spread(_boxes(spark, sf), "page_id", "staff"), ["page_id", "staff"], 20.0)
 
 
 @_query(f"""WITH {_PHRASES.replace('-500', '-5')} SELECT page_id, staff, phrase, round(least(1.0, greatest(0.0, 0.34 + 0.08 * least(5, n) + 0.20 * least(1.0, (x1 - x0) / 100.0))), 6) AS score FROM phrases WHERE n >= 3 AND x1 - x0 >= 36""")
 def txt5_phrase_scores(spark, sf):
-    found = marks.phrases(_boxes(spark, sf), ["page_id", "staff"], 20.0).where("n >= 3 AND x1 - x0 >= 36")
+    found = marks.phrases(adapters.spread(_boxes(spark, sf), "page_id", "staff"), ["page_id", "staff"], 20.0).where("n >= 3 AND x1 - x0 >= 36")
     return found.select("page_id", "staff", "phrase", F.round(marks.phrase_score(F.col("n"), F.col("x1") - F.col("x0"), 20.0), 6).alias("score"))
 
 

@@ -12,6 +12,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` as read, dealt by keys into eight partitions for each split that they
+    are read in, so what a task sorts does not grow with the table, however few
+    partitions the session shuffles into."""
+    return rows.repartition(8 * max(1, rows.rdd.getNumPartitions()), *keys)
+
+
 def gray_raster(embeddings: DataFrame) -> DataFrame:
     """(page_id, y, x, g): a vector is a row of pixels, a hundred rows a page."""
     g = F.greatest(F.lit(0), F.least(F.lit(255), F.floor((F.col("e").cast("double") + 1) * 127.5)))

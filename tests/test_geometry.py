@@ -405,3 +405,13 @@ def test_stencil_counts_stay_arrow(spark):
         window = cleaned[c.page_id, w.y - w.ry : w.y + w.ry + 1, c.x - w.rx : c.x + w.rx + 1] & outer
         lines = [int((window.sum(axis) >= max(2, int(0.18 * (2 * k + 1)))).sum()) for axis, k in ((1, w.rx), (0, w.ry))]
         assert c.n == [*(under(cleaned, p) for p in notes.PARTS), *lines] and c.raw == [under(mask, p) for p in ("outer", "inner", "core")]
+
+
+@pytest.mark.parametrize("name", ["txt4_phrases", "txt5_phrase_scores"])
+def test_phrases_are_sorted_in_parts_that_follow_the_splits(spark, monkeypatch, name):
+    """Eight partitions for each split, and no further shuffle into the session's few."""
+    monkeypatch.setattr(registry, "_boxes", lambda spark, sf: spark.range(0, 60, 1, 3).selectExpr("id % 4 as page_id", "cast(id % 2 as int) as staff", "id as seq", "cast(id * 5 as int) as x0", "0 as y0", "cast(id * 5 + 4 as int) as x1", "9 as y1"))
+    found = registry.queries()[name](spark, "")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hash") == 1 and ", 24), REPARTITION_BY_NUM" in plan
+    assert found.count() == 4
