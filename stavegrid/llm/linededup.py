@@ -30,7 +30,11 @@ SHARE = (75, 100)
 _SALT = np.random.default_rng(11).integers(1, 1 << 31, (2, BANDS * ROWS), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_CHUNK = 1 << 18
+#: Bytes or shingles that are worked on at once, so that they stay in the cache.
+_CHUNK = 1 << 16
+_POINT = np.uint64(0x1F83D9AB)
+#: Hashes of the code points of the first plane.
+_POINTS = mix(np.arange(1 << 16, dtype=np.uint64) + _POINT)
 
 
 def line_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -55,47 +59,74 @@ def line_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts[some], ends[some], doc[some], number[some]
 
 
-def _character_shingles(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes of all lines end to end, and each line's count."""
-    points = np.frombuffer(raw.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4")
-    place = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)]
-    a, b = place[starts], place[ends]
-    h = mix(points.astype(np.uint64) + np.uint64(0x1F83D9AB))
+def _stretches(edge: np.ndarray, most: int):
+    """Ranges of lines that hold about ``most`` of what ``edge`` sums up (one line at least)."""
+    low, n = 0, len(edge) - 1
+    while low < n:
+        high = max(low + 1, int(np.searchsorted(edge, edge[low] + most, "right")) - 1)
+        yield low, high
+        low = high
+
+
+def _shingles_of(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    points = raw
+    if len(raw) and raw.max() >= 0x80:
+        points = np.frombuffer(raw.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4")
+        place = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)]
+        starts, ends = place[starts], place[ends]
+    count = np.maximum(ends - starts - SHINGLE + 1, 0)
+    if len(points) < SHINGLE:
+        return np.zeros(0, np.uint64), count
+    h = _POINTS[points] if points is raw or points.max() < len(_POINTS) else mix(points.astype(np.uint64) + _POINT)
     span = 1
     for factor in (0x9E6C63D0876A9A47, 0xD1B54A32D192ED03, 0xAEF17502108EF2D9):
-        if len(h) <= span:
-            h = np.zeros(0, np.uint64)
-            break
-        h = h[:-span] * np.uint64(factor) + h[span:]
+        longer = h[:-span] * np.uint64(factor)
+        longer += h[span:]
+        h = longer
         span *= 2
-    count = np.maximum(b - a - SHINGLE + 1, 0)
-    inside = np.zeros(len(h) + 1, np.int32)
+    turns = np.zeros(len(h) + 1, np.int8)
     some = count > 0
-    np.add.at(inside, a[some], 1)
-    np.add.at(inside, a[some] + count[some], -1)
-    return mix(h[np.cumsum(inside[:-1]) > 0]), count
+    turns[starts[some]] = 1
+    turns[starts[some] + count[some]] -= 1
+    return mix(h[np.cumsum(turns[:-1], dtype=np.int8).view(bool)]), count
+
+
+def _character_shingles(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of all lines end to end, and each line's count; lines ascend."""
+    out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for low, high in _stretches(np.r_[starts, ends[-1:]], _CHUNK):
+        base = starts[low]
+        out.append(_shingles_of(raw[base : ends[high - 1]], starts[low:high] - base, ends[low:high] - base))
+    shingles, count = zip(*out)
+    return np.concatenate(shingles), np.concatenate(count)
 
 
 def signatures(shingles: np.ndarray, count: np.ndarray) -> np.ndarray:
     """MinHash signatures (lines x BANDS * ROWS); each line has a shingle."""
     out = np.empty((len(count), BANDS * ROWS), np.uint32)
     edge = np.r_[0, np.cumsum(count)]
-    low = 0
-    while low < len(count):  # about _CHUNK shingles at a time, which stay in the cache
-        high = max(low + 1, int(np.searchsorted(edge, edge[low] + _CHUNK, "right")) - 1)
+    for low, high in _stretches(edge, _CHUNK):
         h = (shingles[edge[low] : edge[high]] >> np.uint64(32)).astype(np.uint32)
         where = edge[low:high] - edge[low]
+        turned = np.empty_like(h)
         for k in range(BANDS * ROWS):
-            out[low:high, k] = np.minimum.reduceat(h * _SALT[0, k] + _SALT[1, k], where)
-        low = high
+            np.multiply(h, _SALT[0, k], out=turned)
+            turned += _SALT[1, k]
+            out[low:high, k] = np.minimum.reduceat(turned, where)
     return out
 
 
 def _sizes(shingles: np.ndarray, count: np.ndarray) -> np.ndarray:
     """How many different shingles each line has (65535 at most, which admits no fewer pairs)."""
-    z = np.sort(np.repeat(np.arange(len(count), dtype=np.uint64), count) << np.uint64(44) | shingles >> np.uint64(20))
-    z = z[np.r_[True, z[1:] != z[:-1]]]
-    return np.minimum(np.bincount((z >> np.uint64(44)).astype(np.int64), minlength=len(count)), 65535)
+    out = np.zeros(len(count), np.int64)
+    edge = np.r_[0, np.cumsum(count)]
+    for low, high in _stretches(edge, _CHUNK):
+        z = np.repeat(np.arange(high - low, dtype=np.uint64) << np.uint64(44), count[low:high])
+        z |= shingles[edge[low] : edge[high]] >> np.uint64(20)
+        z.sort()
+        z = z[np.r_[True, z[1:] != z[:-1]]] if len(z) else z
+        out[low:high] = np.bincount((z >> np.uint64(44)).astype(np.int64), minlength=high - low)
+    return np.minimum(out, 65535)
 
 
 def band_hashes(signature: np.ndarray) -> np.ndarray:
@@ -214,13 +245,15 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
     every = materialize(docs.mapInArrow(lines, "doc_id long, text_hash long, number int, key long"), "lines")
     roots = line_components(docs.select("text"))
+    # a line that occurs once and has no near duplicate stays, so only the others are ranked
+    groups = every.groupBy("key").agg(F.count("*").alias("n")).join(roots.withColumnRenamed("node", "key"), "key", "left")
+    # written by itself, so that a very common line's rows can be split in the join
+    groups = materialize(groups.where("n > 1 OR root IS NOT NULL").select("key", F.coalesce("root", "key").alias("root")), "groups")
+    again = materialize(every.join(groups.hint("merge"), "key").drop("key"), "again")
+    discard(every, groups)
     rank = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash", "number")
-    groups = every.groupBy("key").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
-    groups = groups.join(roots.withColumnRenamed("node", "key"), "key", "left")
-    firsts = groups.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("first").alias("lead"), F.sum("n").alias("n"), F.count("*").alias("keys"))
-    firsts = firsts.where("n > 1")
-    leads = groups.select("key", F.coalesce("root", "key").alias("root")).join(firsts, "root").select("key", "lead")
-    later = every.join(leads, "key").where(rank != F.col("lead"))
+    leads = again.groupBy("root").agg(F.min(rank).alias("lead"))
+    later = again.join(leads, "root").where(rank != F.col("lead"))
     return later.groupBy("doc_id", "text_hash").agg(F.collect_set("number").alias("numbers"))
 
 
@@ -232,7 +265,8 @@ def with_repeats(docs: DataFrame, text: str, key: str, numbers: str) -> DataFram
     found = repeated_lines(hashed.select(id_.alias("doc_id"), whole.alias("text"), column(own).alias("text_hash")))
     found = found.select(F.col("doc_id").alias(of), F.col("text_hash").alias(its), F.col("numbers").alias(numbers))
     same = id_.eqNullSafe(F.col(of)) & (F.col(own) == F.col(its))
-    return hashed.join(found, same, "left").select(*[column(c) for c in docs.columns], numbers)
+    # the same plan at all sizes: what is found outgrows a broadcast
+    return hashed.join(found.hint("merge"), same, "left").select(*[column(c) for c in docs.columns], numbers)
 
 
 def _cut(text: str | None, numbers) -> str | None:

@@ -163,6 +163,13 @@ def _runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return edge, size, np.repeat(np.arange(len(edge)), size)
 
 
+def _repeated(h: np.ndarray) -> np.ndarray:
+    """Where values of 32 bits are that occur more than once."""
+    z = np.sort(h.astype(np.uint64) << np.uint64(32) | np.arange(len(h), dtype=np.uint64))
+    same = z[1:] >> np.uint64(32) == z[:-1] >> np.uint64(32)
+    return (z[np.r_[False, same] | np.r_[same, False]] & np.uint64(0xFFFFFFFF)).astype(np.int64) if len(h) else np.zeros(0, np.int64)
+
+
 def postings_pairs(records: np.ndarray, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (a, b) from records (h, key, n, pos) of whole postings, and the
     records of the large postings, of which only star pairs are among them.
@@ -171,7 +178,8 @@ def postings_pairs(records: np.ndarray, share: tuple[int, int]) -> tuple[np.ndar
     where there is none).  A pair is made only if the sizes and what is left
     behind the shared entry admit the needed overlap.
     """
-    r = records[np.lexsort((records["key"], records["h"]))]
+    r = records[_repeated(records["h"])]
+    r = r[np.lexsort((r["key"], r["h"]))]
     if len(r):
         r = r[np.r_[True, (r["h"][1:] != r["h"][:-1]) | (r["key"][1:] != r["key"][:-1])]]
         r = r[_runs(r["h"])[1][_runs(r["h"])[2]] > 1]
@@ -238,6 +246,7 @@ def members(rows: DataFrame) -> DataFrame:
 Decoder = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 #: Pairs that are counted together: their number must fit in the bits that tag an element.
 _TAG_BITS = 12
+_TOGETHER = 128
 
 
 def _tagged(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,12 +262,12 @@ def similar_rows(x: pa.Array, y: pa.Array, decode: Decoder, share: tuple[int, in
     sort for many rows."""
     s, t = share
     out = np.zeros(len(x), bool)
-    for low in range(0, len(x), 512):
-        (p, n), (q, m) = _tagged(*decode(x.slice(low, 512))), _tagged(*decode(y.slice(low, 512)))
+    for low in range(0, len(x), _TOGETHER):
+        (p, n), (q, m) = _tagged(*decode(x.slice(low, _TOGETHER))), _tagged(*decode(y.slice(low, _TOGETHER)))
         both = np.sort(np.concatenate([p, q]))
         both = both[1:][both[1:] == both[:-1]]
         common = np.bincount((both >> np.uint64(64 - _TAG_BITS)).astype(np.int64), minlength=len(n))
-        out[low : low + 512] = t * common >= s * (n + m - common)
+        out[low : low + _TOGETHER] = t * common >= s * (n + m - common)
     return out
 
 

@@ -1,6 +1,7 @@
 """Line, substring and n-gram deduplication against brute force."""
 
 import hashlib
+import tracemalloc
 from collections import defaultdict
 from itertools import combinations
 
@@ -246,6 +247,56 @@ def test_large_postings_lose_no_link(spark, monkeypatch):
         assert {r.doc_id: r.component_id for r in found} == roots
 
 
+def test_only_lines_that_recur_are_ranked(spark, monkeypatch):
+    """A line that occurs once and has no near duplicate is not ranked."""
+    rows, real = {}, linededup.materialize
+
+    def counted(df, name):
+        out = real(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(linededup, "materialize", counted)
+    near = "the quick brown fox jumps over the lazy dog and runs away " * 3
+    texts = [f"line {hashlib.md5(str(k).encode()).hexdigest()} of its own" for k in range(50)] + ["twice", "twice", near, near + "!"]
+    docs = spark.createDataFrame([(k, t, k) for k, t in enumerate(texts)], "doc_id long, text string, text_hash long")
+    found = linededup.repeated_lines(docs).collect()
+    assert {(r.doc_id, *r.numbers) for r in found} == {(51, 0), (53, 0)}
+    assert rows["lines"] == 54 and rows["again"] == 4
+
+
+def test_shingles_are_made_by_stretches(monkeypatch):
+    """The same for any length of stretch, and little memory besides what comes out."""
+    lines = ["", "short", "1234567", "12345678", "é" * 9, "\U0001F600" * 11 + "end", "x" * 300, "more of it, and more of it", "Ж€" * 40]
+    raw = np.frombuffer("\n".join(lines).encode(), np.uint8)
+    ends = np.cumsum([len(x.encode()) + 1 for x in lines]) - 1
+    starts = ends - [len(x.encode()) for x in lines]
+    some = np.array([len(x) >= linededup.SHINGLE for x in lines])
+    found = []
+    for most in (1, 20, 1 << 16):
+        monkeypatch.setattr(linededup, "_CHUNK", most)
+        shingles, count = linededup._character_shingles(raw, starts, ends)
+        found.append((shingles.tolist(), count.tolist(), linededup.signatures(shingles, count[some]).tolist(), linededup._sizes(shingles, count[some]).tolist()))
+    assert found[0] == found[1] == found[2]
+    assert found[0][1] == [max(0, len(x) - 7) for x in lines]
+    assert found[0][3] == [len({x[k : k + 8] for k in range(len(x) - 7)}) for x in lines if len(x) >= 8]
+    raw = np.tile(np.frombuffer(b"a line of thirty-two characters\n", np.uint8), 1 << 15)
+    starts = np.arange(0, len(raw), 32)
+    tracemalloc.start()
+    shingles, count = linededup._character_shingles(raw, starts, starts + 31)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(shingles) == 24 << 15 and most < 3 * shingles.nbytes
+
+
+def test_values_that_repeat():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 2, 50, 1000):
+        h = rng.integers(0, 600, n).astype(np.uint32) * np.uint32(7_000_000)
+        value, many = np.unique(h, return_counts=True)
+        assert sorted(links._repeated(h).tolist()) == np.flatnonzero(np.isin(h, value[many > 1])).tolist()
+
+
 def test_partnered_members():
     rng = np.random.default_rng(5)
     for _ in range(200):
