@@ -151,8 +151,19 @@ def text_regions(parts: DataFrame, where: DataFrame) -> DataFrame:
     """(page_id, staff, x0 .. y1, score, n, seq) from the parts of each staff: rows,
     phrases of three parts or more that are wide and flat and no notes on a
     pitch row, and of those that meet only the best."""
-    sized = parts.join(where.select(*KEYS, "top", "bottom", "space"), KEYS).where(marks.is_text_part(F.col, _s()))
-    lined = text_rows(sized, KEYS)
+    return regions_of(parts.join(where.select(*KEYS, "top", "bottom", "space"), KEYS))
+
+
+def regions_of(parts: DataFrame, pieces: int | None = None) -> DataFrame:
+    """:func:`text_regions` of parts that carry their staff's top, bottom and space.
+
+    ``pieces``: into how many partitions pages are dealt again once the parts have
+    rows, since what Python returns is no longer dealt by anything; the session's
+    number where there is none.
+    """
+    lined = text_rows(parts.where(marks.is_text_part(F.col, _s())), KEYS)
+    if pieces:
+        lined = lined.repartition(pieces, "page_id")
     held = marks.phrases(lined, [*KEYS, "top", "bottom", "space", "text_row"], _s())
     w, h, cy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), (F.col("y0") + F.col("y1")) * 0.5
     core = cy.between(F.col("top") - 0.35 * _s(), F.col("bottom") + 0.35 * _s()) & (pitch_distance(cy, F.col("top"), _s()) <= 0.22 * _s())

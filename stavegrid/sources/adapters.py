@@ -16,7 +16,12 @@ def spread(rows: DataFrame, *keys: str) -> DataFrame:
     """``rows`` as read, dealt by keys into eight partitions for each split that they
     are read in, so what a task sorts does not grow with the table, however few
     partitions the session shuffles into."""
-    return rows.repartition(8 * max(1, rows.rdd.getNumPartitions()), *keys)
+    return rows.repartition(pieces(rows), *keys)
+
+
+def pieces(rows: DataFrame) -> int:
+    """Eight for each split that ``rows``, as read, are read in."""
+    return 8 * max(1, rows.rdd.getNumPartitions())
 
 
 def gray_raster(embeddings: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stavegrid.operators import beams, boxes, durable, marks, masks, notes, page, raster, runs, staves
 from stavegrid.params import DEFAULTS
-from stavegrid.plans import page_queries, pipeline, registry, sinks
+from stavegrid.plans import mark_queries, page_queries, pipeline, registry, sinks
 from stavegrid.schema import RECORDS
 from stavegrid.sources import images
 
@@ -415,3 +415,13 @@ def test_phrases_are_sorted_in_parts_that_follow_the_splits(spark, monkeypatch,
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hash") == 1 and ", 24), REPARTITION_BY_NUM" in plan
     assert found.count() == 4
+
+
+def test_regions_are_sorted_in_parts_that_follow_the_splits(spark, monkeypatch):
+    """Pages are dealt twice, before rows and after them, eight partitions for each split."""
+    for module in (registry, mark_queries):
+        monkeypatch.setattr(module, "_boxes", lambda spark, sf: spark.range(0, 60, 1, 3).selectExpr("id % 4 as page_id", "cast(id % 2 as int) as staff", "id as seq", "cast(id * 5 as int) as x0", "0 as y0", "cast(id * 5 + 19 as int) as x1", "19 as y1", "200 as area"))
+    found = registry.queries()["txt7_table_regions"](spark, "")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hash") == plan.count(", 24), REPARTITION_BY_NUM") == 2
+    assert found.count() == 4
